@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm.gif import media_features
+from marketloom.llm.langid import held_out, identify, train
 from marketloom.llm.line_dedup import dedup_lines
 from marketloom.llm.url_filter import filter_urls
+from marketloom.llm.warc import archive_pages
 
 URL_RULES = [
     ("block", "com", "/en/"),
@@ -28,6 +30,10 @@ def op1_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(spark, table(spark, sf_dir, "pages"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.col("__kept_sha256").alias("kept_sha256"))
@@ -37,9 +43,25 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), held_out(3, 1)
+    out = identify(docs.select("doc_id", "text"), train(docs, ~held))
+    return out.select("doc_id", held.alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"), F.col("__rejected").alias("rejected"))
+
+
 SQL_UPPER, SQL_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE = {
+    "op2_warc": """
+        WITH digests AS (
+          SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+        ), named AS (
+          SELECT *, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+              1 + ((('0x' || substr(hex || '0', 5 * i // 4 + 1, 2))::INTEGER >> (3 - (5 * i) % 4)) & 31), 1) FOR i IN range(32)], '') AS payload_digest FROM digests
+        ), firsts AS (SELECT hex, min(page_id) AS first_id FROM digests GROUP BY hex)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM named JOIN firsts USING (hex)""",
     "op3_line_dedup": rf"""
         WITH lines AS (
           SELECT doc_id, generate_subscripts(parts, 1) AS pos, unnest(parts) AS line
