@@ -98,7 +98,7 @@ def twice_seen(texts: DataFrame, n_bits: int, min_chars: int) -> np.ndarray:
 def plan_line_drops(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """(doc_id, digests): the keys that each document loses, as 16-byte digests joined together."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), payload().alias("text")).where("doc_id is not null")
-    n_lines = texts.select(F.coalesce(F.sum(F.ceil(F.octet_length("text") / (4 * min_chars)))).alias("n")).first()["n"] or 0
+    n_lines = texts.select((F.sum(F.octet_length("text") - F.octet_length(F.replace(F.col("text").cast("string"), F.lit("\n"), F.lit(""))) + 1)).alias("n")).first()["n"] or 0
     n_bits = size_filter(int(n_lines))
     shared = docs.sparkSession.sparkContext.broadcast(twice_seen(texts.select("text"), n_bits, min_chars))
 

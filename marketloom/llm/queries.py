@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.llm.decontam import digest_hits, search_benchmark
 from marketloom.llm.gif import media_features
 from marketloom.llm.langid import held_out, identify, train
 from marketloom.llm.line_dedup import dedup_lines
+from marketloom.llm import toxicity
 from marketloom.llm.url_filter import filter_urls
 from marketloom.llm.warc import archive_pages
 
@@ -43,6 +45,16 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), held_out(4, 2)
+    out = toxicity.score_texts(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), ~held))
+    return out.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_hits(search_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), held_out(3, 1)
     out = identify(docs.select("doc_id", "text"), train(docs, ~held))
@@ -90,6 +102,23 @@ ORACLE = {
           FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id
         )
         SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (page_id)""",
+    "op8_decontamination": rf"""
+        WITH item_words AS (
+          SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), '{SQL_UPPER}', '{SQL_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+        ), windows AS (
+          SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS gram
+          FROM item_words, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS t(i) WHERE len(w) > 0
+        ), doc_words AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{SQL_UPPER}', '{SQL_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), hits AS (
+          SELECT doc_id, item, n, i FROM (
+            SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS gram
+            FROM doc_words, (SELECT DISTINCT n FROM windows) AS s, unnest(range(1, len(w) - n + 2)) AS t(i)
+          ) JOIN windows USING (n, gram)
+        ), words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS listed FROM hits GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM doc_words LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
 }
 
 
