@@ -12,6 +12,7 @@ from marketloom.llm.gif import media_features
 from marketloom.llm.langid import held_out, identify, train
 from marketloom.llm.line_dedup import dedup_lines
 from marketloom.llm import toxicity
+from marketloom.llm.suffix_dedup import dedup_strings
 from marketloom.llm.url_filter import filter_urls
 from marketloom.llm.warc import archive_pages
 
@@ -51,6 +52,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_strings(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_hits(search_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from marketloom.llm.text import payload, rows_of, slices
 
 #: N-grams hash to so many buckets; the model keeps the most telling of them.
-BUCKET_BITS, ORDERS, FEATURES = 20, (4, 5), 4096
+BUCKET_BITS, ORDERS, FEATURES = 20, (5, 6), 8192
 #: The classifier is fitted on a bounded sample of the labelled rows.
 SAMPLE_ROWS = 20_000
-SMOOTH, RIDGE, STEPS, RATE, KEEP = 1.0, 1e-4, 250, 0.3, 0.9
+SMOOTH, RIDGE, STEPS, RATE, KEEP = 1.0, 1e-3, 250, 0.3, 0.9
 
 _FOLD = np.full(256, 0x20, dtype=np.uint64)
 _FOLD[128:] = np.arange(128, 256)
