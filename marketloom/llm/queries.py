@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marketloom.llm.decontam import digest_hits, search_benchmark
 from marketloom.llm.gif import media_features
+from marketloom.llm.jaccard import jaccard_components
 from marketloom.llm.langid import held_out, identify, train
 from marketloom.llm.line_dedup import dedup_lines
 from marketloom.llm import toxicity
@@ -46,6 +47,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), held_out(4, 2)
     out = toxicity.score_texts(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), ~held))
