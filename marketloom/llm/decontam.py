@@ -262,6 +262,49 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def remove_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without these merged spans; a blank stands for each, so that words on both sides don't join."""
+    parts, at = [], 0
+    for a, b in spans:
+        parts.append(text[at:a])
+        at = b
+    return b" ".join([*parts, text[at:]])
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """The documents, all columns kept, with hit words cut out of their texts, and __n_cut, the number of words cut.
+
+    Cuts are repeated while what is left holds a window again. Null texts stay null, documents without hits stay as they are; null ids
+    and repeated rows need no care, an empty table stays empty, an empty benchmark cuts nothing. Nothing shuffles.
+    """
+    blocks = [docs.sparkSession.sparkContext.broadcast(x) for x in phrase_blocks(benchmark, width)]
+    columns = docs.columns
+    others = [c for c in columns if c != "text"]
+    kinds = ", ".join(["__one: int", *(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.select(*(f"`{c}`" for c in others)).schema)])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            dropped = [0] * len(texts)
+            for start, end in slices([t or b"" for t in texts], SHARD_BYTES):
+                todo = [i for i in range(start, end) if texts[i]]
+                while todo:
+                    changed = set()
+                    for block in blocks:  # spans of one block are cut before the next is searched for
+                        rows = [texts[i] for i in todo]
+                        for i, (_, mask, _, spans) in zip(todo, find_hits(rows, block.value), strict=True):
+                            if spans:
+                                texts[i] = remove_spans(texts[i], spans)
+                                dropped[i] += int(mask.sum())
+                                changed.add(i)
+                    todo = sorted(changed)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(dropped, pa.int64()), batch.column(1)], ["__text", "__n_cut", "__row"])
+
+    row = F.struct(F.lit(0).alias("__one"), *(F.col(f"`{c}`") for c in others)).alias("__row")
+    out = docs.select(F.col("text").cast("binary").alias("__t"), row).mapInArrow(search, f"__text binary, __n_cut long, __row struct<{kinds}>")
+    return out.select(*(F.col("__text").cast("string").alias(c) if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in columns), "__n_cut")
+
+
 def digest_hits(hits: DataFrame) -> DataFrame:
     return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 

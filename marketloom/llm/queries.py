@@ -13,6 +13,7 @@ from marketloom.llm.jaccard import jaccard_components
 from marketloom.llm.langid import held_out, identify, train
 from marketloom.llm.line_dedup import dedup_lines
 from marketloom.llm import toxicity
+from marketloom.llm.mixing import Targets, mix_documents
 from marketloom.llm.suffix_dedup import dedup_strings
 from marketloom.llm.url_filter import filter_urls
 from marketloom.llm.warc import archive_pages
@@ -25,6 +26,10 @@ URL_RULES = [
     ("block", "org", "/es/"),
 ]
 
+#: Equal shares of the sources, 40 % English, equal shares of the topics; half of all tokens are sampled.
+MIX_TARGETS = Targets(source={f"src{k}": 1.0 for k in range(20)}, lang={"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2})
+MIX_FRACTION = 0.5
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -71,6 +76,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"), F.col("__rejected").alias("rejected"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(table(spark, sf_dir, "documents"), MIX_TARGETS, MIX_FRACTION).drop("key")
+
+
 SQL_UPPER, SQL_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE = {
