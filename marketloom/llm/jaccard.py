@@ -1,14 +1,16 @@
 """Jaccard join of word n-gram sets by signature trees.
 
-1. Sets. Documents of equal sets are one node, named by a 64-bit sum over its set.
-2. Candidate clusters. In a fixed order of all shingles, frequent ones last, two sets that are similar enough share one of their first
-   n - ceil(threshold * n) + 1. Nodes that share such a shingle are chained (rare shingles) or tied to the least one (frequent
-   shingles), never paired with each other; the components of these edges are clusters that no link leaves.
-3. Trees. A cluster's sets are leaves of a tree whose nodes have the OR of their token bitmaps and the range of their sizes. A
-   traversal of the tree with itself prunes node pairs by their greatest possible overlap, skips those that are linked
-   already, and compares what is left exactly.
-4. A cluster beyond CHUNK_NODES is joined in chunks, then by the leaders of what the chunks linked; what is not in its largest component
-   after that is a query set that is joined, in blocks, with all chunks of the cluster. That is exact, and no task has more than two chunks.
+1. Sets. Documents of equal sets are one node, named by a 64-bit sum over its set. Shingles are ordered by their hashes.
+2. Prefixes. Two sets of n and m shingles that are similar enough share L(least of both) of the first n - ceil(threshold * n) + L(n) of the one
+   and m - ceil(threshold * m) + L(m) of the other. Sets with too few shingles that are in another prefix too have no partner and are done.
+3. Keys. Of what is left all shingles are counted and ordered again, rare ones first. Similar sets share one of their first
+   n - ceil(threshold * n) + 1 in this order; those that two sets have are keys. Sets without keys are done.
+4. First groups. Sets meet at their first FIRST_KEYS keys. A group's sets are leaves of a tree whose nodes have the
+   OR of their token bitmaps and the range of their sizes. A traversal of the tree with itself prunes node pairs by their
+   greatest possible overlap, skips those that are linked already, and compares what is left exactly.
+5. The rest. Where sets of different components share a key, they are joined by trees as
+   well: sets of small components by cluster or key, sets that share one with a large component with all of that, in blocks.
+   So every pair that may be linked is linked already or compared, and no task has more than two blocks.
 """
 
 from __future__ import annotations
@@ -24,9 +26,11 @@ from marketloom.llm.components import components
 from marketloom.llm.text import SPACE, U64, cut, fold_table, mix, payload, rows_of, short_hash, slices, windows_of, word_hashes
 
 SHINGLE, PERCENT = 5, 80
-#: Shingles known as frequent, at most (they are broadcast); documents that make one frequent; nodes of a tree.
-MAX_FREQUENT, FREQUENT_DOCS, CHUNK_NODES = 200_000, 24, 2000
-LEAF, FANOUT = 16, 8
+#: Shared shingles at which a set meets others first; sets of a tree; sets of a large component.
+FIRST_KEYS, CHUNK_NODES, LARGE_NODES = 2, 2000, 500
+#: Ids that are broadcast at most.
+BROADCAST_ROWS = 2_000_000
+LEAF, FANOUT = 32, 8
 
 
 def shingle_sets(rows: list[bytes], width: int = SHINGLE) -> list[np.ndarray]:
@@ -44,76 +48,53 @@ def shingle_sets(rows: list[bytes], width: int = SHINGLE) -> list[np.ndarray]:
 
 def set_id(tokens: np.ndarray) -> int:
     """A set's 64-bit name, the same for equal sets."""
-    return int((np.sum(mix(tokens ^ U64(0x5851F42D4C957F2D)), dtype=np.uint64) * U64(3) + U64(len(tokens))).view(np.int64)) if len(tokens) else 0
+    if not len(tokens):
+        return 0
+    total = (int(np.sum(mix(tokens ^ U64(0x5851F42D4C957F2D)), dtype=np.uint64)) * 3 + len(tokens)) % 2**64
+    return total - 2**64 if total >= 2**63 else total
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def frequent_shingles(texts: DataFrame, width: int, percent: int) -> np.ndarray:
-    """Sorted shingles that are in the prefixes of many documents. Which ones are found only decides the order of
-    shingles, and so the work, not the result; so tasks may leave out those that they see once."""
+def more_shared(n: int) -> int:
+    """L(n): shingles that similar sets share in their longer prefixes."""
+    return max(1, n // 10)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen = [], set()
-        for batch in batches:
-            rows = rows_of(batch.column(0))
-            for start, end in slices(rows):
-                for tokens in shingle_sets(rows[start:end], width):
-                    name = set_id(tokens)
-                    if name not in seen:  # copies count once
-                        seen.add(name)
-                        held.append(tokens[: prefix_length(len(tokens), percent)])
-        if held:
-            found, times = np.unique(np.concatenate(held), return_counts=True)
-            found, times = found[times > 1], times[times > 1]
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times.astype(np.int64))], ["token", "n"])
-
-    counts = texts.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_DOCS)
-    top = counts.orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).select("token")
-    return np.sort(top.toArrow()["token"].to_numpy().astype(np.int64).view(np.uint64))
 
-
-def prefixes(texts: DataFrame, frequent: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, node, rare, common): size and name of every set, and once a task and set its prefix, split by frequency."""
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+def prefixes(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, n, node, prefix): size and name of every set, and once a task and set its longer prefix."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, seen = shared.value, set()
+        seen: set[int] = set()
         for batch in batches:
             rows = rows_of(batch.column(1))
             for start, end in slices(rows):
-                sizes, names, rare, common = [], [], [], []
-                for tokens in shingle_sets(rows[start:end], width):
-                    name = set_id(tokens)
-                    sizes.append(len(tokens))
+                sizes, names, held = [], [], []
+                for doc_id, tokens in zip(batch.column(0)[start:end].to_pylist(), shingle_sets(rows[start:end], width), strict=True):
+                    n, name = len(tokens), set_id(tokens)
+                    sizes.append(n)
                     names.append(name)
-                    if name in seen or not len(tokens):
-                        rare.append(None)
-                        common.append(None)
-                        continue
-                    seen.add(name)
-                    often = frequent[np.minimum(np.searchsorted(frequent, tokens), max(0, len(frequent) - 1))] == tokens if len(frequent) else np.zeros(len(tokens), dtype=bool)
-                    few, n = tokens[~often], prefix_length(len(tokens), percent)
-                    rare.append(few[:n].view(np.int64))
-                    common.append(tokens[often][: max(0, n - len(few))].view(np.int64))
-                kind = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(rare, kind), pa.array(common, kind)], ["doc_id", "n", "node", "rare", "common"])
-
-    return cut(texts.select("doc_id", "text").mapInArrow(make, "doc_id long, n long, node long, rare array<long>, common array<long>"))
+                    if doc_id is None or name in seen or not n:
+                        held.append(None)
+                    else:
+                        held.append(tokens[: prefix_length(n, percent) + more_shared(n) - 1].view(np.int64))
+                        seen.add(name)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(held, pa.list_(pa.int64()))], ["doc_id", "n", "node", "prefix"])
 
+    return cut(texts.select("doc_id", "text").mapInArrow(make, "doc_id long, n long, node long, prefix array<long>"))
 
-def candidate_edges(sets: DataFrame) -> DataFrame:
-    """Edges (src, dst) that connect all nodes which share a shingle of their prefixes; as many as shingles, not as pairs."""
-    from pyspark.sql import Window
 
-    rare = sets.where("rare is not null").select(F.explode("rare").alias("token"), "node")
-    chain = rare.select("node", F.lag("node").over(Window.partitionBy("token").orderBy("node")).alias("before")).where("before <> node").select(F.col("before").alias("src"), F.col("node").alias("dst"))
-    common = sets.where("size(common) > 0").select(F.explode("common").alias("token"), "node")
-    least = common.groupBy("token").agg(F.min("node").alias("least"))  # MAX_FREQUENT rows at most
-    star = common.join(F.broadcast(least), "token").where("node <> least").select(F.col("least").alias("src"), F.col("node").alias("dst"))
-    return chain.union(star).distinct()
+def survivors(sets: DataFrame, percent: int) -> DataFrame:
+    """(node) of sets that may have a partner: enough shingles of their prefixes are in another prefix too."""
+    # Dealt by shingle once: for counting and for the join.
+    rows = sets.where("prefix is not null").select("node", F.explode("prefix").alias("token")).where("token is not null and node is not null").repartition("token")
+    shared = rows.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
+    held = rows.join(shared, "token").groupBy("node").agg(F.count_distinct("token").alias("n_shared"))
+    sizes = sets.where("prefix is not null").groupBy("node").agg(F.max("n").alias("n"))
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 10))
+    return held.join(sizes, "node").where(F.col("n_shared") >= least).select("node")
 
 
 class SignatureTree:
@@ -150,7 +131,7 @@ def possible(a: tuple, i: range, b: tuple, j: range, percent: int) -> np.ndarray
 
 
 class Links:
-    """Union of linked sets."""
+    """Union of linked sets: the parent of each, itself for a root."""
 
     def __init__(self, n: int) -> None:
         self.parent = list(range(n))
@@ -167,13 +148,16 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def join_tree(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> list[int]:
-    """The root of each set when all links among them are followed; if `left` marks some, only links of these count."""
+def join_tree(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None, known: list | None = None) -> list[int]:
+    """The root of each set when all links among them are followed; if `left` marks some, only links of these count. Sets of equal `known` are linked already."""
     n = len(sets)
     order = sorted(range(n), key=lambda i: (len(sets[i]), sets[i][:1].tolist()))
     sets = [sets[i] for i in order]
     marked = None if left is None else left[order]
-    links = Links(n)
+    links, met = Links(n), {}
+    for i, original in enumerate(order):
+        if known and known[original] is not None:
+            links.parent[i] = met.setdefault(known[original], i)
     most = max((len(s) for s in sets), default=1)
     tree = SignatureTree(sets, min(1 << 14, max(256, 1 << (2 * most - 1).bit_length())))
     wanted = [marked]
@@ -220,19 +204,25 @@ def join_tree(sets: list[np.ndarray], percent: int, left: np.ndarray | None = No
 
 
 def join_groups(sets: DataFrame, percent: int) -> DataFrame:
-    """(cluster, node, root) of the links inside each task's group. sets: cluster, group, node, left (null: all), tokens."""
+    """(node, root) of the links inside each group. sets: key, part (a group each), node, component (null: none yet), left (null: all), tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def emit() -> pa.RecordBatch:
-            tokens = [np.frombuffer(x[4], dtype=np.uint64) for x in held]
-            left = None if held[0][3] is None else np.array([x[3] for x in held], dtype=bool)
-            root = join_tree(tokens, percent, left)
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([x[2] for x in held], pa.int64()), pa.array([held[r][2] for r in root], pa.int64())], ["cluster", "node", "root"])
+            rows = list({(x[2], x[4]): x for x in held}.values())
+            asked = {x[2] for x in rows if x[4]}
+            rows = [x for x in rows if x[4] or x[2] not in asked]  # a query set is there once
+            left = None if rows[0][4] is None else np.array([x[4] for x in rows], dtype=bool)
+            root = join_tree([x[5] for x in rows], percent, left, [x[3] for x in rows])
+            links = [(x[2], rows[r][2]) for x, r in zip(rows, root, strict=True) if x[2] != rows[r][2]]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["node", "root"])
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ends = batch.column(5).offsets.to_numpy()
+            values = batch.column(5).values.to_numpy().view(np.uint64)
+            tokens = [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            for row in zip(*(c.to_pylist() for c in batch.columns[:5]), tokens, strict=True):
                 if held and row[:2] != held[0][:2]:
                     yield emit()
                     held.clear()
@@ -240,68 +230,94 @@ def join_groups(sets: DataFrame, percent: int) -> DataFrame:
         if held:
             yield emit()
 
-    dealt = sets.select("cluster", "group", "node", "left", "tokens").repartition("cluster", "group").sortWithinPartitions("cluster", "group")
-    return dealt.mapInArrow(run, "cluster long, node long, root long")
+    dealt = sets.select("key", "part", "node", "component", "left", "tokens").repartition("key", "part").sortWithinPartitions("key", "part")
+    return dealt.mapInArrow(run, "node long, root long")
 
 
-def cluster_sets(texts: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """The sets of a representative document (doc_id) of each node: cluster, group, node, left, tokens."""
+def kept_sets(texts: DataFrame, left: DataFrame, width: int) -> DataFrame:
+    """(node, tokens) of the survivors (node, doc_id), each from that document; repeated rows of a doc_id give a row each.
+
+    Up to BROADCAST_ROWS ids of survivors are broadcast to find their texts; beyond, texts shuffle.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = rows_of(batch.column(3))
+            rows, nodes = rows_of(batch.column(1)), batch.column(0).to_pylist()
             for start, end in slices(rows):
-                clusters, groups, nodes = (batch.column(k).slice(start, end - start).to_pylist() for k in range(3))
-                out = [(c, g, n, t.tobytes()) for c, g, n, t in zip(clusters, groups, nodes, shingle_sets(rows[start:end], width), strict=True) if set_id(t) == n]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["cluster", "group", "node", "tokens"])
-
-    found = texts.join(members, "doc_id").select("cluster", "group", "node", "text").mapInArrow(make, "cluster long, group long, node long, tokens binary")
-    return found.select("cluster", "group", "node", F.lit(None).cast("boolean").alias("left"), "tokens")
-
-
-def join_large(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """All links of clusters that were joined in chunks: more (node, root) rows. sets and found are of these clusters only."""
-    labels = cut(found)  # of each node, the leader of what is linked so far
-    rest = labels.select("cluster", F.col("root").alias("node")).distinct()
-    forests, salt = [labels.select("node", "root")], 0
-    while True:  # leaders of chunks, then leaders of those
-        salt += 1
-        sizes = rest.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-        largest = sizes.agg(F.max("size")).first()[0] or 0
-        if largest <= 1:
-            break
-        parts = rest.join(sizes, "cluster").withColumn("group", F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(F.col("size") / CHUNK_NODES)))
-        step = cut(join_groups(sets.drop("group").join(parts.select("node", "group"), "node"), percent))
-        forests.append(step.select("node", "root"))
-        rest = cut(step.select("cluster", F.col("root").alias("node")).distinct())
-        if largest <= CHUNK_NODES:
-            break
-    merged = forests[0]
-    for forest in forests[1:]:
-        merged = merged.union(forest)
-    comps = components(merged.select(F.col("root").alias("src"), F.col("node").alias("dst")))
-    placed = cut(labels.select("cluster", "node", F.col("group") if "group" in labels.columns else F.lit(0).alias("group")).join(comps, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    sizes = placed.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("size"))
-    main = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("size", F.col("root"))).alias("main"))
-    query = placed.join(main, "cluster").where("root <> main").select("cluster", "node")
-    chunks = sets.groupBy("cluster").agg((F.max("group") + 1).alias("chunks"))
-    blocks = query.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CHUNK_NODES).alias("blocks")).join(chunks, "cluster")
-    asked = query.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node", F.lit(-1)), "blocks"))
-    # Task (block, chunk) has the block's query sets on the left and the chunk's sets on the right.
-    queries = asked.select("node", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-    left = sets.select("cluster", "node", "tokens").join(queries, "node").select("cluster", (F.col("block") * 1_000_000 + F.col("chunk")).alias("group"), "node", F.lit(True).alias("left"), "tokens")
-    right = sets.join(blocks, "cluster").join(query.select(F.col("node").alias("__q")), F.col("node") == F.col("__q"), "left_anti")
-    right = right.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "group", "node", "tokens")
-    right = right.select("cluster", (F.col("block") * 1_000_000 + F.col("group")).alias("group"), "node", F.lit(False).alias("left"), "tokens")
-    both_sides = left.union(right)
-    among = join_groups(both_sides, percent).select("node", "root")
-    # Query sets of different blocks meet as well: each block with the others' query sets.
-    pairs = asked.select("node", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")).select(
-        "node", (F.lit(-1) - (F.least("block", "other") * 1_000_000 + F.greatest("block", "other"))).alias("group")
-    )
-    queried = join_groups(sets.drop("group").join(pairs.distinct(), "node"), percent).select("node", "root")
-    return merged.union(among).union(queried)
+                out = [(node, tokens.view(np.int64)) for node, tokens in zip(nodes[start:end], shingle_sets(rows[start:end], width), strict=True) if set_id(tokens) == node]
+                if out:  # else another row of the doc_id
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], ["node", "tokens"])
+
+    wanted = F.broadcast(left) if left.count() <= BROADCAST_ROWS else left
+    return cut(texts.join(wanted, "doc_id").select("node", "text").mapInArrow(make, "node long, tokens array<long>"))
+
+
+def keys_of(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, keys) of sets that may have a partner; keys: the shingles among the first of the set, rare ones first, that another set has too."""
+    rows = sets.select("node", F.explode("tokens").alias("token")).where("token is not null and node is not null").repartition("token")
+    times = rows.groupBy("token").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token", "times")
+    # Places in the order: the number of sets, then the hash; two shingles at one place only make a group larger.
+    place = F.shiftleft(F.least("times", F.lit(65535)).cast("long"), 47).bitwiseOR(F.shiftrightunsigned("token", 17))
+    held = rows.join(times, "token").distinct().groupBy("node").agg(F.array_sort(F.collect_list(place)).alias("held"))  # a set's own shingles only
+    sizes = sets.select("node", F.size("tokens").alias("n")).distinct()
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("held"))  # shingles of one set only come before
+    return cut(held.join(sizes, "node").where(first > 0).select("node", F.slice("held", F.lit(1), first.cast("int")).alias("keys")))
+
+
+def grouped(rows: DataFrame, sets: DataFrame, component: str = "null") -> DataFrame:
+    """Sets by groups of rows (key, part, node)."""
+    return rows.join(sets, "node").select("key", "part", "node", F.expr(f"cast({component} as long)").alias("component"), F.lit(None).cast("boolean").alias("left"), "tokens")
+
+
+def first_links(sets: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
+    """Links among sets that meet at one of their first keys; a group beyond CHUNK_NODES is dealt to parts, other keys deal otherwise."""
+    rows = keys.select("node", F.explode(F.slice("keys", 1, FIRST_KEYS)).alias("key"))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    dealt = rows.join(sizes, "key").select("key", F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("size") / CHUNK_NODES)).alias("part"), "node")
+    return join_groups(grouped(dealt, sets), percent)
+
+
+def label(keys: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component, size) of every set with keys as linked so far."""
+    found = components(links.select(F.col("root").alias("src"), F.col("node").alias("dst")))
+    placed = keys.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+    return cut(placed.join(placed.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component"))
+
+
+def last_links(sets: DataFrame, keys: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links among sets of different components that share a key."""
+    rows = keys.select("node", F.explode("keys").alias("key")).join(labels, "node")
+    mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    open_rows = cut(rows.join(mixed, "key"))
+    # What shares keys directly or by others is a cluster; as one group, each of its sets moves once.
+    small = open_rows.where(F.col("size") <= LARGE_NODES)
+    star = small.join(small.groupBy("key").agg(F.min("node").alias("least")), "key").select(F.col("least").alias("src"), F.col("node").alias("dst")).distinct()
+    clusters = components(star).withColumnRenamed("root", "cluster")
+    clusters = cut(clusters.join(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("cluster_size")), "cluster"))
+    placed = cut(small.join(clusters, "node"))
+    whole = placed.where(F.col("cluster_size") <= CHUNK_NODES).select(F.col("cluster").alias("key"), "node", "component", F.lit(-1).cast("long").alias("part")).distinct()
+    # Larger clusters: a group for each key; keys with the same sets are one group, as a passage has many.
+    rest = placed.where(F.col("cluster_size") > CHUNK_NODES)
+    groups = rest.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("name"), F.min("component").alias("low"), F.max("component").alias("high"))
+    groups = groups.where("low <> high").groupBy("members", "name").agg(F.min("key").alias("key"))
+    blocks = F.ceil(F.col("members") / CHUNK_NODES)
+    dealt = rest.join(groups, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    # Beyond CHUNK_NODES, each two blocks of a group meet in a part.
+    dealt = dealt.select("key", "node", "component", F.col("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", "node", "component", (F.least("block", "other") * 1_000_000 + F.greatest("block", "other")).alias("part")).unionByName(whole)
+    among_small = join_groups(grouped(dealt, sets, "component"), percent)
+
+    # A set that shares a key with a larger component asks all of that. Sets of large components ask those that are larger still.
+    large = open_rows.where(F.col("size") > LARGE_NODES).select("key", F.col("component").alias("target"), F.col("size").alias("target_size")).distinct()
+    asks = open_rows.join(large, "key").where(F.struct("size", "component") < F.struct("target_size", "target")).select("node", "target", "target_size").distinct()
+    asks = cut(asks)
+    counts = asks.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / CHUNK_NODES).alias("asking"), F.max(F.ceil(F.col("target_size") / CHUNK_NODES)).alias("asked"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    queries = asks.join(counts, "target").select(F.col("target").alias("key"), "node", F.pmod(F.xxhash64("node"), "asking").alias("a"), each("asked").alias("b"), F.lit(True).alias("left"))
+    asked = labels.join(counts, labels["component"] == counts["target"]).select(F.col("target").alias("key"), "node", F.pmod(F.xxhash64("node"), "asked").alias("b"), each("asking").alias("a"), F.lit(False).alias("left"))
+    both = queries.unionByName(asked).select("key", (F.col("a") * 1_000_000 + F.col("b")).alias("part"), "node", "left")
+    both = both.join(sets, "node").join(labels.select("node", "component"), "node")
+    return among_small.union(join_groups(both, percent))
 
 
 def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -312,22 +328,15 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = PER
     document each and share their components if their texts do. An empty table gives none, other columns are not read.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), payload().alias("text"))
-    sets = prefixes(texts, frequent_shingles(texts, width, percent), width, percent)
+    sets = prefixes(texts, width, percent)
     known = sets.where("doc_id is not null and n > 0")
-    edges = candidate_edges(known)
-    clusters = components(edges).withColumnRenamed("root", "cluster")
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     names = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    members = cut(clusters.join(sizes, "cluster").join(names, "node").withColumn("group", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CHUNK_NODES))))
-    has_large = members.where(F.col("size") > CHUNK_NODES).limit(1).count() > 0
-    small = join_groups(cluster_sets(texts, members.where(F.col("size") <= CHUNK_NODES).select("doc_id", "cluster", "group", "node"), width), percent)
-    forest = small.select("node", "root")
-    if has_large:
-        large = cut(cluster_sets(texts, members.where(F.col("size") > CHUNK_NODES).select("doc_id", "cluster", "group", "node"), width).dropDuplicates(["node"]))
-        more = join_large(large, join_groups(large, percent), percent)
-        forest = forest.union(components(more.select(F.col("root").alias("src"), F.col("node").alias("dst"))))
-    linked_nodes = forest.join(names, "node")
-    least = linked_nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    kept = kept_sets(texts, cut(survivors(known, percent).join(names, "node")), width)
+    keys = keys_of(kept, percent)
+    first = cut(first_links(kept, keys, percent))
+    links = first.union(cut(last_links(kept, keys, label(keys, first), percent)))
+    forest = components(links.select(F.col("root").alias("src"), F.col("node").alias("dst")))
+    least = forest.join(names, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = forest.join(least, "root").select(F.col("node").alias("__node"), "component_id")
     alone = names.select(F.col("node").alias("__name"), F.col("doc_id").alias("__least"))
     # One row a node on the right; a node of many copies is a hot key, whose rows have three numbers.
