@@ -1 +1 @@
-
+"""Readers, panels derived from tables, calendars, and writers."""

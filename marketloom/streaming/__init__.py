@@ -1 +1 @@
-
+"""Streams of trades."""
