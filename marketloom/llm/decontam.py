@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.text import NOT_ALNUM, fold_table, payload, rows_of, slices, word_hashes
+from marketloom.llm.text import NOT_ALNUM, fold_table, payload, text_parts, word_hashes
 
 WINDOW = 10
 #: Bytes of texts in a shard's index; suffixes between two samples.
@@ -209,10 +209,10 @@ def phrase_blocks(benchmark: DataFrame, width: int = WINDOW) -> Iterator[Phrases
         yield Phrases.of(rows, width)
 
 
-HITS_SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>, text binary"
+HITS_SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
 
 
-def search_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, with_text: bool = False) -> DataFrame:
+def search_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_hit, items, spans) of every row; spans are merged byte ranges of hit words in the UTF-8 text.
 
     A window is `width` consecutive words of an item, or all words of a shorter one. Null and empty texts have no words; null
@@ -224,9 +224,7 @@ def search_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW,
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            ids, texts = batch.column(0), rows_of(batch.column(1))
-            for start, end in slices(texts, SHARD_BYTES):
-                rows = texts[start:end]
+            for part, rows in text_parts(batch, 1, SHARD_BYTES):
                 merged: list = [(0, None, set(), [])] * len(rows)
                 for block in blocks or [None]:
                     phrases = block.value if block is not None else Phrases.of([])
@@ -238,18 +236,16 @@ def search_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW,
                             merged[i] = (n, old[1] | mask, old[2] | set(items), merge_spans(old[3] + spans))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(start, end - start),
+                        part.column(0),
                         pa.array([m[0] for m in merged], pa.int64()),
                         pa.array([int(m[1].sum()) for m in merged], pa.int64()),
                         pa.array([sorted(m[2]) for m in merged], pa.list_(pa.string())),
                         pa.array([[{"start": a, "end": b} for a, b in m[3]] for m in merged], kind),
-                        pa.array(rows if with_text else [None] * len(rows), pa.binary()),
                     ],
-                    ["doc_id", "n_words", "n_hit", "items", "spans", "text"],
+                    ["doc_id", "n_words", "n_hit", "items", "spans"],
                 )
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), payload().alias("text")).mapInArrow(search, HITS_SCHEMA)
-    return out if with_text else out.drop("text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), payload().alias("text")).mapInArrow(search, HITS_SCHEMA)
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -284,21 +280,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            dropped = [0] * len(texts)
-            for start, end in slices([t or b"" for t in texts], SHARD_BYTES):
-                todo = [i for i in range(start, end) if texts[i]]
+            for part, texts in text_parts(batch, 0, SHARD_BYTES):
+                dropped, todo = [0] * len(texts), [i for i, t in enumerate(texts) if t]
                 while todo:
                     changed = set()
                     for block in blocks:  # spans of one block are cut before the next is searched for
-                        rows = [texts[i] for i in todo]
-                        for i, (_, mask, _, spans) in zip(todo, find_hits(rows, block.value), strict=True):
+                        for i, (_, mask, _, spans) in zip(todo, find_hits([texts[i] for i in todo], block.value), strict=True):
                             if spans:
                                 texts[i] = remove_spans(texts[i], spans)
                                 dropped[i] += int(mask.sum())
                                 changed.add(i)
                     todo = sorted(changed)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(dropped, pa.int64()), batch.column(1)], ["__text", "__n_cut", "__row"])
+                null = part.column(0).is_null().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary(), mask=null), pa.array(dropped, pa.int64()), part.column(1)], ["__text", "__n_cut", "__row"])
 
     row = F.struct(F.lit(0).alias("__one"), *(F.col(f"`{c}`") for c in others)).alias("__row")
     out = docs.select(F.col("text").cast("binary").alias("__t"), row).mapInArrow(search, f"__text binary, __n_cut long, __row struct<{kinds}>")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.components import components
-from marketloom.llm.text import SPACE, U64, cut, fold_table, mix, payload, rows_of, short_hash, slices, windows_of, word_hashes
+from marketloom.llm.text import SPACE, U64, cut, fold_table, mix, payload, short_hash, text_parts, windows_of, word_hashes
 
 SHINGLE, PERCENT = 5, 80
 #: Shared shingles at which a set meets others first; sets of a tree; sets of a large component.
@@ -69,10 +69,9 @@ def prefixes(texts: DataFrame, width: int, percent: int) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            rows = rows_of(batch.column(1))
-            for start, end in slices(rows):
+            for part, rows in text_parts(batch, 1):
                 sizes, names, held = [], [], []
-                for doc_id, tokens in zip(batch.column(0)[start:end].to_pylist(), shingle_sets(rows[start:end], width), strict=True):
+                for doc_id, tokens in zip(part.column(0).to_pylist(), shingle_sets(rows, width), strict=True):
                     n, name = len(tokens), set_id(tokens)
                     sizes.append(n)
                     names.append(name)
@@ -81,7 +80,7 @@ def prefixes(texts: DataFrame, width: int, percent: int) -> DataFrame:
                     else:
                         held.append(tokens[: prefix_length(n, percent) + more_shared(n) - 1].view(np.int64))
                         seen.add(name)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(held, pa.list_(pa.int64()))], ["doc_id", "n", "node", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(held, pa.list_(pa.int64()))], ["doc_id", "n", "node", "prefix"])
 
     return cut(texts.select("doc_id", "text").mapInArrow(make, "doc_id long, n long, node long, prefix array<long>"))
 
@@ -242,9 +241,8 @@ def kept_sets(texts: DataFrame, left: DataFrame, width: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, nodes = rows_of(batch.column(1)), batch.column(0).to_pylist()
-            for start, end in slices(rows):
-                out = [(node, tokens.view(np.int64)) for node, tokens in zip(nodes[start:end], shingle_sets(rows[start:end], width), strict=True) if set_id(tokens) == node]
+            for part, rows in text_parts(batch, 1):
+                out = [(node, tokens.view(np.int64)) for node, tokens in zip(part.column(0).to_pylist(), shingle_sets(rows, width), strict=True) if set_id(tokens) == node]
                 if out:  # else another row of the doc_id
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], ["node", "tokens"])
 

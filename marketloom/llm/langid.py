@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.text import payload, rows_of
+from marketloom.llm.text import payload, rows_of, text_parts
 
 DIMS = 4096
 #: The classifier is fitted on a bounded sample: rows in all, and a language's share at most.
@@ -138,17 +138,17 @@ def identify(docs: DataFrame, model: CentroidModel) -> DataFrame:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = rows_of(batch.column(0))
-            langs, scores, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
-            for start in range(0, len(texts), 256):
-                found = [(i, c) for i, c in ((i, ngram_counts(texts[i])) for i in range(start, min(start + 256, len(texts)))) if c is not None]
-                if found:
-                    at = [i for i, _ in found]
-                    names, near, far = model.predict(np.stack([c for _, c in found]))
-                    scores[at], rejected[at] = near, far
-                    for i, name in zip(at, names, strict=True):
-                        langs[i] = name
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected), batch.column(0), batch.column(1)], ["__lang_pred", "__score", "__rejected", "__text", "__row"])
+            for part, texts in text_parts(batch, 0):
+                langs, scores, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
+                for start in range(0, len(texts), 256):
+                    found = [(i, c) for i, c in ((i, ngram_counts(texts[i])) for i in range(start, min(start + 256, len(texts)))) if c is not None]
+                    if found:
+                        at = [i for i, _ in found]
+                        names, near, far = model.predict(np.stack([c for _, c in found]))
+                        scores[at], rejected[at] = near, far
+                        for i, name in zip(at, names, strict=True):
+                            langs[i] = name
+                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected), part.column(0), part.column(1)], ["__lang_pred", "__score", "__rejected", "__text", "__row"])
 
     out = docs.select(F.col("text").cast("binary").alias("__t"), F.struct(F.lit(0).alias("__one"), *(F.col(f"`{c}`") for c in others)).alias("__row")).mapInArrow(judge, f"__lang_pred string, __score double, __rejected boolean, __text binary, __row struct<__one: int, {kinds}>".replace(", >", ">"))
     return out.select(*(F.col("__text").cast("string").alias(c) if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in columns), "__lang_pred", "__score", "__rejected")

@@ -1,8 +1,7 @@
 """Line deduplication: two Bloom filters find suspected repeats, only those shuffle for exact confirmation.
 
-1. Every task puts its lines' hashes into a filter of once-seen hashes, and those that it holds already into one of
-   twice-seen hashes. Filters are merged chunk by chunk: once = OR; twice = OR, plus each bit that is set in two
-   once-filters. A hash in two tasks has all its bits there, so no repeat is missed.
+1. Tasks build two filters of their lines' hashes, once-seen and twice-seen, which are merged (see bloom). Beyond some 25 million lines they
+   fill up: more lines are suspected and shuffled, and results stay the same.
 2. Lines whose hash is in the merged twice-filter are suspected: (digest of the key, document) is shuffled, once for
    each document. Counting confirms repeats exactly and finds the document that keeps the line.
 3. Documents that lose lines are rewritten; the others pass through.
@@ -14,20 +13,15 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.text import cut, payload, rows_of
+from marketloom.llm.bloom import filter_bits, holds, twice_seen
+from marketloom.llm.text import cut, payload, text_parts
 
 STRIP = bytes([0x20, *range(0x09, 0x0E)])
-#: Both filters are broadcast; this bounds their size (2**28 bits are 32 MB). Beyond some 25 million lines they fill up:
-#: more lines are suspected and shuffled, and results stay the same.
-MAX_BITS = 1 << 28
-CHUNK_BITS = 1 << 19
-N_HASHES = 3
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -40,82 +34,30 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
     return key.lower()  # bytes: A-Z only
 
 
-def bit_positions(hashes: np.ndarray, n_bits: int) -> np.ndarray:
-    """N_HASHES positions for each 64-bit hash, by double hashing."""
-    a, b = hashes & np.uint64(0xFFFFFFFF), (hashes >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(a + np.uint64(k) * b + np.uint64(k * k)) & np.uint64(n_bits - 1) for k in range(N_HASHES)])
+def line_keys(text: bytes, min_chars: int) -> list[bytes]:
+    """The distinct keys of a text."""
+    return list({k for k in (line_key(x, min_chars) for x in text.split(b"\n")) if k is not None})
 
 
-def line_hashes(text: bytes, min_chars: int) -> set[int]:
-    keys = (line_key(x, min_chars) for x in text.split(b"\n"))
-    return {xxhash.xxh3_64_intdigest(k) for k in keys if k is not None}
-
-
-def size_filter(n_lines: int) -> int:
-    """A power of two, at least ten bits for each line, within MAX_BITS."""
-    return min(MAX_BITS, max(CHUNK_BITS, 1 << (max(1, 10 * n_lines) - 1).bit_length()))
-
-
-def twice_seen(texts: DataFrame, n_bits: int, min_chars: int) -> np.ndarray:
-    """The merged filter of hashes that two documents at least may hold, as packed bits."""
-    chunk_bytes = CHUNK_BITS // 8
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(n_bits, dtype=bool), np.zeros(n_bits, dtype=bool)
-        for batch in batches:
-            for text in rows_of(batch.column(0)):
-                found = line_hashes(text, min_chars)
-                if found:
-                    at = bit_positions(np.fromiter(found, dtype=np.uint64, count=len(found)), n_bits)
-                    seen = once[at].all(axis=0)
-                    twice[at[:, seen].ravel()] = True
-                    once[at.ravel()] = True
-        for i, (a, b) in enumerate(zip(np.packbits(once).reshape(-1, chunk_bytes), np.packbits(twice).reshape(-1, chunk_bytes), strict=True)):
-            if a.any():
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([i], pa.int32()), "once": [a.tobytes()], "twice": [b.tobytes()]})
-
-    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[np.ndarray]] = {}
-        for frame in frames:
-            for chunk, once, twice in frame.itertuples(index=False):
-                a, b = np.frombuffer(once, np.uint8), np.frombuffer(twice, np.uint8)
-                if chunk in held:
-                    old = held[chunk]
-                    held[chunk] = [old[0] | a, old[1] | b | (old[0] & a)]
-                else:
-                    held[chunk] = [a, b]
-        yield pd.DataFrame({"chunk": list(held), "once": [x[0].tobytes() for x in held.values()], "twice": [x[1].tobytes() for x in held.values()]})
-
-    schema = "chunk int, once binary, twice binary"
-    parts = texts.mapInArrow(build, schema)
-    merged = parts.repartition(max(1, n_bits // CHUNK_BITS // 8), "chunk").mapInPandas(merge, schema)
-    out = np.zeros((n_bits // CHUNK_BITS, chunk_bytes), dtype=np.uint8)
-    for row in merged.select("chunk", "twice").toLocalIterator():  # of bounded size: n_bits in all
-        out[row["chunk"]] = np.frombuffer(row["twice"], np.uint8)
-    return out.ravel()
+def line_hashes(texts: list[bytes], min_chars: int) -> np.ndarray:
+    """Hashes of the keys of some texts, once a text."""
+    return np.array([xxhash.xxh3_64_intdigest(k) for text in texts for k in line_keys(text, min_chars)], dtype=np.uint64)
 
 
 def plan_line_drops(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """(doc_id, digests): the keys that each document loses, as 16-byte digests joined together."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), payload().alias("text")).where("doc_id is not null")
     n_lines = texts.select((F.sum(F.octet_length("text") - F.octet_length(F.replace(F.col("text").cast("string"), F.lit("\n"), F.lit(""))) + 1)).alias("n")).first()["n"] or 0
-    n_bits = size_filter(int(n_lines))
-    shared = docs.sparkSession.sparkContext.broadcast(twice_seen(texts.select("text"), n_bits, min_chars))
+    shared = docs.sparkSession.sparkContext.broadcast(twice_seen(texts.select("text"), filter_bits(int(n_lines)), lambda rows: line_hashes(rows, min_chars)))
 
     def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for batch in batches:
-            ids, digests = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), rows_of(batch.column(1)), strict=True):
-                keys = list({k for k in (line_key(x, min_chars) for x in text.split(b"\n")) if k is not None})
-                if not keys:
-                    continue
-                at = bit_positions(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], dtype=np.uint64), n_bits)
-                hit = ((bits[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1).all(axis=0)
-                for i in np.flatnonzero(hit):
-                    ids.append(doc_id)
-                    digests.append(xxhash.xxh3_128_digest(keys[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "digest"])
+            for part, rows in text_parts(batch, 1):
+                keys = [(doc_id, k) for doc_id, text in zip(part.column(0).to_pylist(), rows, strict=True) for k in line_keys(text, min_chars)]
+                hit = holds(shared.value, np.array([xxhash.xxh3_64_intdigest(k) for _, k in keys], dtype=np.uint64))
+                found = [keys[i] for i in np.flatnonzero(hit).tolist()]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([xxhash.xxh3_128_digest(k) for _, k in found], pa.binary())], ["doc_id", "digest"])
 
     # Rows for a line that every document holds are one a document; counting combines them before the shuffle.
     suspected = cut(texts.mapInArrow(suspect, "doc_id long, digest binary"))
@@ -150,21 +92,22 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     # Only this join moves texts; the side of drops has a row a document.
     joined = docs.join(drops, docs["doc_id"].cast("long") == F.col("__drop_id"), "left")
 
-    def rewrite(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frames:
-            texts, lines, dropped, digest = [], [], [], []
-            for text, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = bytes.fromhex(held or "")
-                keep, n = drop_lines(text or b"", {raw[i : i + 16] for i in range(0, len(raw), 16)}, min_chars)
-                joined_text = b"\n".join(keep)
-                texts.append(None if text is None else joined_text)
-                lines.append(n)
-                dropped.append(n - len(keep))
-                digest.append(hashlib.sha256(joined_text).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(texts, pa.binary()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(digest, pa.string()), batch.column(2)],
-                ["__text", "__n_lines", "__n_dropped", "__kept_sha256", "__row"],
-            )
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, rows in text_parts(batch, 0):
+                texts, lines, dropped, digest = [], [], [], []
+                for text, null, held in zip(rows, part.column(0).is_null().to_pylist(), part.column(1).to_pylist(), strict=True):
+                    raw = bytes.fromhex(held or "")
+                    keep, n = drop_lines(text, {raw[i : i + 16] for i in range(0, len(raw), 16)}, min_chars)
+                    joined_text = b"\n".join(keep)
+                    texts.append(None if null else joined_text)
+                    lines.append(n)
+                    dropped.append(n - len(keep))
+                    digest.append(hashlib.sha256(joined_text).hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(texts, pa.binary()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(digest, pa.string()), part.column(2)],
+                    ["__text", "__n_lines", "__n_dropped", "__kept_sha256", "__row"],
+                )
 
     # The row travels with its text, so no second join is needed.
     others = [c for c in columns if c != "text"]

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,18 @@ def slices(rows: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, i
         yield start, len(rows)
 
 
+def text_parts(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Consecutive parts of a batch with about `limit` bytes of text each, and their texts (null as empty): only a part's texts are Python objects."""
+    texts = batch.column(column)
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.float64)))
+    start = 0
+    while start < len(texts):
+        begun = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, begun + limit, side="right")))
+        yield batch.slice(start, end - start), rows_of(texts.slice(start, end - start))
+        start = end
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64)."""
     x = x ^ (x >> U64(30))

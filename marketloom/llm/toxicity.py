@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.text import payload, rows_of, slices
+from marketloom.llm.text import payload, rows_of, text_parts
 
 #: N-grams hash to so many buckets; the model keeps the most telling of them.
 BUCKET_BITS, ORDERS, FEATURES = 20, (5, 6), 8192
@@ -91,7 +91,7 @@ def sample_labels(labels: DataFrame, usable: Column, bound: int = SAMPLE_ROWS) -
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column) -> ToxicModel:
-    """A model of the usable rows (a condition on doc_id) among the labels."""
+    """A model of the usable rows (a condition on doc_id) among the labels; without any, all scores are next to 0."""
     spark = docs.sparkSession
     # The sample has SAMPLE_ROWS rows of two numbers at most: it is broadcast, so texts don't shuffle to find their labels.
     sample = sample_labels(labels, usable)
@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> ToxicModel:
     chosen, ratio = choose_features(total[1], total[0], n_toxic, n_clean)
     slot = np.full(1 << BUCKET_BITS, -1, dtype=np.int32)
     slot[chosen] = np.arange(len(chosen))
-    model = ToxicModel(slot, ratio, np.zeros(len(ratio)), 0.0)
+    model = ToxicModel(slot, ratio, np.zeros(len(ratio)), -60.0)
     shared = spark.sparkContext.broadcast(model)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,9 +140,9 @@ def score_texts(docs: DataFrame, model: ToxicModel, threshold: float = 0.3) -> D
         model = shared.value
         effect = (model.weight * model.ratio).astype(np.float64)
         for batch in batches:
-            texts, scores = rows_of(batch.column(1)), []
-            for start, end in slices(texts):
-                for text in texts[start:end]:
+            scores = []
+            for _, texts in text_parts(batch, 1):
+                for text in texts:
                     z = model.bias + float(effect[model.present(text)].sum())
                     scores.append(1 / (1 + np.exp(-min(60.0, max(-60.0, z)))))
             found = np.array(scores, dtype=np.float64)
