@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions.expressions import average_rank, correlation, corrected_skew, divide
@@ -100,8 +100,8 @@ def correlation_matrix(panel: DataFrame, column: str, tickers: Sequence[str], me
 
 def histogram(panel: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """(ticker, bin, low, high, n) of equal bins from each ticker's least to greatest value; the last bin holds the greatest. Empty bins have no row."""
-    over = Window.partitionBy("ticker")
-    known = panel.where(F.col(column).isNotNull()).withColumns({"__a": F.min(column).over(over), "__z": F.max(column).over(over)})
+    values = panel.where(F.col(column).isNotNull()).select("ticker", column)
+    known = values.join(values.groupBy("ticker").agg(F.min(column).alias("__a"), F.max(column).alias("__z")), "ticker")  # a row a ticker
     width = (F.col("__z") - F.col("__a")) / F.lit(float(bins))
     place = F.least(F.lit(bins - 1), F.coalesce(F.floor(divide(F.col(column) - F.col("__a"), width)), F.lit(0)).cast("int"))
     counts = known.select("ticker", "__a", width.alias("__w"), place.alias("bin")).groupBy("ticker", "bin").agg(F.first("__a").alias("__a"), F.first("__w").alias("__w"), F.count(F.lit(1)).alias("n"))
