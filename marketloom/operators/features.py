@@ -12,13 +12,17 @@ from marketloom.functions.expressions import by_ticker, canonical, divide, lagge
 
 def returns(panel: DataFrame, kind: str = "log", column: str = "price", pad: bool = True) -> DataFrame:
     """(date, ticker, ret): change to the row before. Simple returns carry the last price over gaps if pad, log returns never do."""
+    return with_returns(panel, kind, column, pad).select("date", "ticker", "ret")
+
+
+def with_returns(panel: DataFrame, kind: str = "log", column: str = "price", pad: bool = True) -> DataFrame:
+    """Adds ret, as `returns` has it."""
     if kind not in ("log", "simple"):
         raise ValueError("kind must be 'log' or 'simple'")
     if kind == "log":
-        ret = log_of(column) - F.lag(log_of(column)).over(by_ticker())
-        return panel.select("date", "ticker", ret.alias("ret"))
+        return panel.withColumn("ret", log_of(column) - F.lag(log_of(column)).over(by_ticker()))
     held = panel.withColumn("__held", last_known(column) if pad else F.col(column))
-    return held.select("date", "ticker", lagged_change("__held").alias("ret"))
+    return held.withColumn("ret", lagged_change("__held")).drop("__held")
 
 
 def forward_returns(panel: DataFrame, horizons: Sequence[int], column: str = "price") -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from marketloom.operators.prepare import Prepared, prepare_price_data
 from marketloom.plans import oracle as o
 from marketloom.plans.oracle import q
 from marketloom.sources import panels, sinks
+from marketloom.sources.scratch import materialise, scratch_path
 
 Plan = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Plan] = {}
@@ -57,8 +57,9 @@ def prepared(spark: SparkSession, sf: str) -> Prepared:
 
 
 def prep_panel(spark: SparkSession, sf: str) -> DataFrame:
-    found = prepared(spark, sf)
-    return found.panel().join(found.returns, ["date", "ticker"])
+    """Price, volume and return of every ticker and day. It is read by several branches of a plan, so it is written once: a panel is
+    small next to the lines that it sums up."""
+    return materialise(prepared(spark, sf).panel, "panel")
 
 
 def signals(spark: SparkSession, sf: str, params: gravity.GravityParams = gravity.GravityParams()) -> DataFrame:
@@ -186,7 +187,7 @@ def winsorize(spark, sf):
 
 @query("prepare_prices", WITH_PREP + f"SELECT date, ticker, {q('price')} AS price, volume, {q('ret')} AS ret FROM prep")
 def prepare_prices(spark, sf):
-    return rounded(prep_panel(spark, sf), "price", "ret")
+    return rounded(prepared(spark, sf).panel, "price", "ret")
 
 
 # Returns, features, indicators
@@ -321,7 +322,7 @@ RET_PAIRS = WITH_PREP + ", pr AS (SELECT a.ticker AS i, b.ticker AS j, a.ret AS
 
 @query("corr_pearson", RET_PAIRS + f"SELECT i, j, {q(o.corr('x', 'y'))} AS corr FROM pr GROUP BY i, j")
 def corr_pearson(spark, sf):
-    return rounded(explore.correlation_pairs(prepared(spark, sf).returns, "ret"), "corr")
+    return rounded(explore.correlation_pairs(prep_panel(spark, sf), "ret"), "corr")
 
 
 def _pair_rank(x: str) -> str:
@@ -333,18 +334,18 @@ QUANTISED_RET_PAIRS = RET_PAIRS + f", pq AS (SELECT i, j, {q('x')} AS x, {q('y')
 
 @query("corr_spearman", QUANTISED_RET_PAIRS + f"SELECT i, j, {q(o.corr('x', 'y'))} AS corr FROM (SELECT i, j, {_pair_rank('x')} AS x, {_pair_rank('y')} AS y FROM pq) GROUP BY i, j")
 def corr_spearman(spark, sf):
-    return rounded(explore.correlation_pairs(rounded(prepared(spark, sf).returns, "ret"), "ret", "spearman"), "corr")
+    return rounded(explore.correlation_pairs(rounded(prep_panel(spark, sf), "ret"), "ret", "spearman"), "corr")
 
 
 @query("corr_kendall")
 def corr_kendall(spark, sf):
-    return rounded(explore.correlation_pairs(rounded(prepared(spark, sf).returns, "ret"), "ret", "kendall"), "corr")
+    return rounded(explore.correlation_pairs(rounded(prep_panel(spark, sf), "ret"), "ret", "kendall"), "corr")
 
 
 @query("corr_matrix", RET_PAIRS + f", c AS (SELECT i, j, {o.corr('x', 'y')} AS corr FROM pr GROUP BY i, j), e AS (SELECT i, j, corr FROM c UNION ALL SELECT j, i, corr FROM c UNION ALL SELECT DISTINCT ticker, ticker, 1.0 FROM prep) SELECT i AS ticker, " + ", ".join(f"{q(f'max(corr) FILTER (j = {t!r})')} AS {t}" for t in ("AFRICA", "AMERICA", "ASIA", "EUROPE")) + " FROM e WHERE i IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE') GROUP BY i")
 def corr_matrix(spark, sf):
     names = ["AFRICA", "AMERICA", "ASIA", "EUROPE"]
-    return rounded(explore.correlation_matrix(prepared(spark, sf).returns, "ret", names), *names)
+    return rounded(explore.correlation_matrix(prep_panel(spark, sf), "ret", names), *names)
 
 
 @query(
@@ -425,16 +426,20 @@ def zscore_cross_section(spark, sf):
 
 @query("pair_corr_rolling", WITH_DEFAULT + f"SELECT date, i, j, {q('corr')} AS corr FROM dist")
 def pair_corr_rolling(spark, sf):
-    return rounded(gravity.rolling_correlations(prepared(spark, sf).returns), "corr")
+    return rounded(gravity.rolling_correlations(prep_panel(spark, sf)), "corr")
 
 
 @query("pair_distance", WITH_DEFAULT + f"SELECT date, i, j, {q('dist')} AS dist FROM dist")
 def pair_distance(spark, sf):
-    return rounded(gravity.distances(gravity.rolling_correlations(prepared(spark, sf).returns)).select("date", "i", "j", "dist"), "dist")
+    return rounded(gravity.distances(gravity.rolling_correlations(prep_panel(spark, sf))).select("date", "i", "j", "dist"), "dist")
 
 
 def pair_forces(spark: SparkSession, sf: str, cap: float | None = None) -> DataFrame:
     panel = prep_panel(spark, sf)
+    return forces_of(panel, cap)
+
+
+def forces_of(panel: DataFrame, cap: float | None = None) -> DataFrame:
     dist = gravity.distances(gravity.rolling_correlations(panel.select("date", "ticker", "ret")))
     return gravity.forces(dist, gravity.masses(panel), cap=cap)
 
@@ -451,13 +456,15 @@ def pair_force_capped(spark, sf):
 
 @query("net_force", WITH_DEFAULT + f"SELECT date, ticker, {q('sign(net) * ln(1 + abs(net))')} AS net FROM net")
 def net_force(spark, sf):
-    net = gravity.net_forces(pair_forces(spark, sf), gravity.momentum(prepared(spark, sf).prices))
+    panel = prep_panel(spark, sf)
+    net = gravity.net_forces(forces_of(panel), gravity.momentum(panel))
     return net.select("date", "ticker", quantise(F.signum("net") * F.log(1 + F.abs("net"))).alias("net"))
 
 
 @query("net_force_normalised", WITH_DEFAULT + f"SELECT date, ticker, {q(o.zscore('net', False))} AS net FROM net")
 def net_force_normalised(spark, sf):
-    return rounded(gravity.net_forces(pair_forces(spark, sf), gravity.momentum(prepared(spark, sf).prices), True), "net")
+    panel = prep_panel(spark, sf)
+    return rounded(gravity.net_forces(forces_of(panel), gravity.momentum(panel), True), "net")
 
 
 @query("gravity_signals", WITH_DEFAULT + f"SELECT date, ticker, {q('signal')} AS signal FROM sig")
@@ -556,24 +563,13 @@ def summary_cards(spark, sf):
     return dashboard.summary_cards(panels.order_panel(spark, sf), "1-urgent", "1y", AS_OF)
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new shared folder for files that a query writes and reads back."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return str(base or PurePosixPath(tempfile.gettempdir())).rstrip("/") + f"/marketloom-{name}-{uuid.uuid4().hex}"
-
-
 @query("roundtrip_parquet", WITH_OHLCV + "SELECT date, ticker, close, volume FROM ohlcv")
 def roundtrip_parquet(spark, sf):
-    path = sinks.save_processed(panels.order_panel(spark, sf), _scratch(spark, "parquet"), save_csv=False)[0]
+    path = sinks.save_processed(panels.order_panel(spark, sf), scratch_path(spark, "parquet"), save_csv=False)[0]
     return panels.read_ohlcv(spark, path).select("date", "ticker", "close", "volume")
 
 
 @query("roundtrip_csv", WITH_OHLCV + "SELECT date, ticker, close, volume FROM ohlcv")
 def roundtrip_csv(spark, sf):
-    path = sinks.save_processed(panels.order_panel(spark, sf), _scratch(spark, "csv"), save_parquet=False)[0]
+    path = sinks.save_processed(panels.order_panel(spark, sf), scratch_path(spark, "csv"), save_parquet=False)[0]
     return panels.read_ohlcv(spark, path, "csv").select("date", "ticker", "close", "volume")

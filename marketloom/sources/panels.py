@@ -95,9 +95,11 @@ def calendar(panel: DataFrame, freq: str = "B") -> DataFrame:
 
 def dense_grid(panel: DataFrame, freq: str = "B") -> DataFrame:
     """Every ticker on every date of the calendar; rows off the calendar are left out, missing measures are NULL."""
-    tickers = panel.select("ticker").distinct()
+    # One pass for the tickers and their first and last dates, from which the calendar follows.
+    spans = panel.groupBy("ticker").agg(F.min("date").alias("date"), F.max("date").alias("__last"))
+    days = calendar(spans.select(F.explode(F.array("date", "__last")).alias("date")), freq)
     # The calendar has a row a day, so this is tickers * days, the size of the result.
-    return tickers.crossJoin(F.broadcast(calendar(panel, freq))).join(panel, ["date", "ticker"], "left")
+    return spans.select("ticker").crossJoin(F.broadcast(days)).join(panel, ["date", "ticker"], "left")
 
 
 def period_filter(panel: DataFrame, period: str, as_of: str) -> DataFrame:

@@ -73,6 +73,6 @@ def test_prepare_price_data(spark):
     assert found.prices.count() == found.returns.count() == found.features.count() == found.volumes.count() == 140
     assert found.features.columns == ["date", "ticker", "momentum_3", "momentum_5", "sma_3", "sma_5", "volatility_3", "volatility_5"]
     assert close(column(found.returns, "ret", "A")[:3], [None, 1 / 100, 1 / 101])
-    assert column(found.panel(), "volume", "B")[0] == 2e6
+    assert column(found.panel, "volume", "B")[0] == 2e6
     with pytest.raises(ValueError):
         prepare_price_data(rows, return_kind="daily")
