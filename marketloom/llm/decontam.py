@@ -20,7 +20,7 @@ from marketloom.llm.text import NOT_ALNUM, fold_table, payload, text_parts, word
 
 WINDOW = 10
 #: Bytes of texts in a shard's index; suffixes between two samples.
-SHARD_BYTES, SAMPLE_EVERY = 4 << 20, 8
+SHARD_BYTES, SAMPLE_EVERY = 1 << 20, 8
 #: Phrases that are broadcast and searched for at once; a larger benchmark is searched in blocks of its items.
 BLOCK_ITEMS = 20_000
 END, GAP = 0, 1

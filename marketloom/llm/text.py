@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that are hashed together; a longer document is hashed alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 BYTE_VALUE = _RNG.integers(1, 2**64, 256, dtype=np.uint64)
 BASE = 0x9E3779B97F4A7C55
