@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.text import NOT_ALNUM, fold_table, payload, text_parts, word_hashes
+from marketloom.llm.text import NOT_ALNUM, fold_table, payload, share, text_parts, word_hashes
 
 WINDOW = 10
 #: Bytes of texts in a shard's index; suffixes between two samples.
@@ -219,15 +219,16 @@ def search_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW)
     items have no windows, items without an id only hit. Repeated items count once, repeated rows and null ids of documents
     give a row each. An empty benchmark hits nothing. Nothing shuffles: every shard is searched where its texts are read.
     """
-    blocks = [docs.sparkSession.sparkContext.broadcast(x) for x in phrase_blocks(benchmark, width)]
+    blocks = [share(docs.sparkSession, x) for x in phrase_blocks(benchmark, width)]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        only = None if len(blocks) > 1 else blocks[0]() if blocks else Phrases.of([])
         for batch in batches:
             for part, rows in text_parts(batch, 1, SHARD_BYTES):
                 merged: list = [(0, None, set(), [])] * len(rows)
                 for block in blocks or [None]:
-                    phrases = block.value if block is not None else Phrases.of([])
+                    phrases = only or block()
                     for i, (n, mask, items, spans) in enumerate(find_hits(rows, phrases)):
                         old = merged[i]
                         if old[1] is None:
@@ -273,19 +274,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     Cuts are repeated while what is left holds a window again. Null texts stay null, documents without hits stay as they are; null ids
     and repeated rows need no care, an empty table stays empty, an empty benchmark cuts nothing. Nothing shuffles.
     """
-    blocks = [docs.sparkSession.sparkContext.broadcast(x) for x in phrase_blocks(benchmark, width)]
+    blocks = [share(docs.sparkSession, x) for x in phrase_blocks(benchmark, width)]
     columns = docs.columns
     others = [c for c in columns if c != "text"]
     kinds = ", ".join(["__one: int", *(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.select(*(f"`{c}`" for c in others)).schema)])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = blocks[0]() if len(blocks) == 1 else None
         for batch in batches:
             for part, texts in text_parts(batch, 0, SHARD_BYTES):
                 dropped, todo = [0] * len(texts), [i for i, t in enumerate(texts) if t]
                 while todo:
                     changed = set()
                     for block in blocks:  # spans of one block are cut before the next is searched for
-                        for i, (_, mask, _, spans) in zip(todo, find_hits([texts[i] for i in todo], block.value), strict=True):
+                        for i, (_, mask, _, spans) in zip(todo, find_hits([texts[i] for i in todo], only or block()), strict=True):
                             if spans:
                                 texts[i] = remove_spans(texts[i], spans)
                                 dropped[i] += int(mask.sum())

@@ -11,9 +11,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from marketloom.llm.text import payload, rows_of
+from marketloom.llm.text import payload, rows_of, text_parts
 
 MAX_CODES = 4096
+#: Files of larger canvases (pixels) are not decoded.
+MAX_CANVAS = 1 << 26
 #: Fixed values of the query's stored form: samples are padded to a multiple of BLOCK, frames are WIDTH samples wide and high at most.
 BLOCK, WIDTH, DELAY_CS = 576, 96, 4
 BITS = np.arange(12, dtype=np.uint32)
@@ -180,13 +182,17 @@ def _deinterlace(rows: np.ndarray) -> np.ndarray:
 
 
 def decode_gif(data: bytes) -> Iterator[Frame]:
-    """The frames in order, with palettes, transparency and disposal applied. A file that breaks off gives its whole frames; one that isn't GIF, none."""
+    """The frames in order, with palettes, transparency and disposal applied. A file that breaks off gives its whole frames; one that isn't GIF or is larger than MAX_CANVAS, none."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         return
     width, height = int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little")
     at, common = 13, None
+    if width * height > MAX_CANVAS:
+        return
     if data[10] & 0x80:
         n = 2 << (data[10] & 7)
+        if len(data) < at + 3 * n:
+            return
         common = np.frombuffer(data[at : at + 3 * n], dtype=np.uint8).reshape(-1, 3)
         at += 3 * n
     canvas = np.zeros((height, width, 4), dtype=np.uint8)
@@ -212,6 +218,8 @@ def decode_gif(data: bytes) -> Iterator[Frame]:
             flags, at, palette = data[at + 9], at + 10, common
             if flags & 0x80:
                 n = 2 << (flags & 7)
+                if len(data) < at + 3 * n:
+                    return
                 palette = np.frombuffer(data[at : at + 3 * n], dtype=np.uint8).reshape(-1, 3)
                 at += 3 * n
             if at >= len(data) or not 2 <= data[at] <= 8 or palette is None:
@@ -295,9 +303,9 @@ def media_features(docs: DataFrame) -> DataFrame:
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         palette = colour_palette()
-        for batch in batches:
+        for part, texts in (x for batch in batches for x in text_parts(batch, 1)):
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), rows_of(batch.column(1)), strict=True):
+            for doc_id, text in zip(part.column(0).to_pylist(), texts, strict=True):
                 media = encode_gif(frames_of(pack_samples(text)), palette)
                 back, crc, total, tail = hashlib.sha256(), 0, 0, b""
                 histogram, duration, n_frames = np.zeros(8, dtype=np.int64), 0, 0

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,6 +126,12 @@ def short_hash(hashes: np.ndarray) -> np.uint64:
     return mix(np.array([U64(len(hashes)) + np.sum(hashes * WORD_FACTORS[: len(hashes)], dtype=np.uint64)], dtype=np.uint64))[0]
 
 
+def share(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcasts an object with its class, which executors need not have installed; the function returns it in a task."""
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(packed.value)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share: in spark.checkpoint.dir, or in a temporary one where that is unset, as in local tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -138,7 +146,16 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut: written as Parquet to the shared folder and read again."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what `cut` wrote for this frame, when nothing will read it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def filesystem(uri: str):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.text import payload, rows_of, text_parts
+from marketloom.llm.text import payload, rows_of, share, text_parts
 
 #: N-grams hash to so many buckets; the model keeps the most telling of them.
 BUCKET_BITS, ORDERS, FEATURES = 20, (5, 6), 8192
@@ -115,11 +115,12 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> ToxicModel:
     slot = np.full(1 << BUCKET_BITS, -1, dtype=np.int32)
     slot[chosen] = np.arange(len(chosen))
     model = ToxicModel(slot, ratio, np.zeros(len(ratio)), -60.0)
-    shared = spark.sparkContext.broadcast(model)
+    shared = share(spark, model)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shared.value.present(t).astype(np.int16).tobytes() for t in rows_of(batch.column(1))], pa.binary())], ["toxic", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.present(t).astype(np.int16).tobytes() for t in rows_of(batch.column(1))], pa.binary())], ["toxic", "features"])
 
     rows = [(r["toxic"], bytes(r["features"])) for r in texts.mapInArrow(features, "toxic int, features binary").toLocalIterator()]
     rows.sort()
@@ -134,10 +135,10 @@ def score_texts(docs: DataFrame, model: ToxicModel, threshold: float = 0.3) -> D
     Null and empty texts have no features and get the score of the bias. Rows are scored alone: null ids and repeated rows
     need no care, an empty table gives none, other columns are not read. There is no shuffle; the model has a fixed size.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared()
         effect = (model.weight * model.ratio).astype(np.float64)
         for batch in batches:
             scores = []

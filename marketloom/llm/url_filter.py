@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from marketloom.llm.text import share
+
 #: Rules that are broadcast at most; a trie of so many takes some 100 MB.
 MAX_RULES = 500_000
 
@@ -84,10 +86,10 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: st
     and null ids give a row each, an empty table gives none, other columns are not read.
     The trie is broadcast; the number of rules is checked against MAX_RULES. There is no shuffle.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(UrlTrie(rules))
+    shared = share(pages.sparkSession, UrlTrie(rules))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = shared.value
+        trie = shared()
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
             for url in batch.column(1).to_pylist():
