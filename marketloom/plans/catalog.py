@@ -264,7 +264,7 @@ def volume_colour(spark, sf):
     return features.volume_colours(panels.order_panel(spark, sf))
 
 
-SUMMARY = WITH_OHLCV + f""", r AS (SELECT *, close / nullif({o.back("close")}, 0) - 1 AS ret FROM ohlcv),
+SUMMARY = WITH_OHLCV + f""", few AS (SELECT * FROM ohlcv WHERE true), r AS (SELECT *, close / nullif({o.back("close")}, 0) - 1 AS ret FROM few),
     s AS (SELECT ticker, max_by(close, date) AS current_price, min_by(close, date) AS first_price, max(high) AS high, min(low) AS low, avg(volume) AS avg_volume,
       stddev_samp(ret) * 100 AS volatility FROM r GROUP BY ticker),
     t AS (SELECT *, current_price - first_price AS price_change, (current_price - first_price) / nullif(first_price, 0) * 100 AS price_change_pct FROM s) """
@@ -558,9 +558,12 @@ def chart_specs(spark, sf):
     return dashboard.chart_specs(panels.order_panel(spark, sf), "1-urgent", "1y", AS_OF)
 
 
-@query("summary_cards")
+CARDS = SUMMARY.replace("WHERE true", f"WHERE ticker = '1-URGENT' AND date BETWEEN DATE '{AS_OF}' - 365 AND DATE '{AS_OF}'")
+
+
+@query("summary_cards", CARDS + f"SELECT ticker, {', '.join(f'{q(c)} AS {c}' for c in STATS)}, CASE WHEN price_change < 0 THEN 'red' ELSE 'green' END AS change_colour FROM t")
 def summary_cards(spark, sf):
-    return dashboard.summary_cards(panels.order_panel(spark, sf), "1-urgent", "1y", AS_OF)
+    return rounded(dashboard.summary_cards(panels.order_panel(spark, sf), "1-urgent", "1y", AS_OF).select("ticker", *STATS, "change_colour"), *STATS)
 
 
 @query("roundtrip_parquet", WITH_OHLCV + "SELECT date, ticker, close, volume FROM ohlcv")
