@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from marketloom.llm.text import cut
+from marketloom.llm.text import cut, discard
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -22,14 +22,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return inner.union(least.select("src", F.col("least").alias("dst"))).distinct()
 
 
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, and what tells them from others: their number and a sum over them, seen while they were written."""
+    seen = Observation()
+    table = cut(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("s")))
+    return table, (seen.get["n"], seen.get["s"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): each node of an edge (src, dst) with the least node of its component, roots included. Rounds are logarithmic in the longest path."""
-    current = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
-    before = None
+    current, state = _written(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
     while True:
-        state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
+        last, before = current, state
+        current, state = _written(_small_star(_large_star(last)))
+        discard(last)
+        if state == before:
             break
-        before = tuple(state)
-        current = cut(_small_star(_large_star(current)))
     return current.select(F.col("src").alias("node"), F.col("dst").alias("root")).union(current.select("dst", "dst").distinct())

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.components import components
@@ -28,6 +28,8 @@ from marketloom.llm.text import SPACE, U64, cut, fold_table, mix, payload, short
 SHINGLE, PERCENT = 5, 80
 #: Shared shingles at which a set meets others first; sets of a tree; sets of a large component.
 FIRST_KEYS, CHUNK_NODES, LARGE_NODES = 2, 2000, 500
+#: Shingles in a tree, all sets together.
+CHUNK_TOKENS = 4_000_000
 #: Ids that are broadcast at most.
 BROADCAST_ROWS = 2_000_000
 LEAF, FANOUT = 32, 8
@@ -87,8 +89,8 @@ def prefixes(texts: DataFrame, width: int, percent: int) -> DataFrame:
 
 def survivors(sets: DataFrame, percent: int) -> DataFrame:
     """(node) of sets that may have a partner: enough shingles of their prefixes are in another prefix too."""
-    # Dealt by shingle once: for counting and for the join.
-    rows = sets.where("prefix is not null").select("node", F.explode("prefix").alias("token")).where("token is not null and node is not null").repartition("token")
+    # Counting combines before its shuffle and the join's is one that Spark can split, so a shingle of very many sets is no burden.
+    rows = sets.where("prefix is not null").select("node", F.explode("prefix").alias("token"))
     shared = rows.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
     held = rows.join(shared, "token").groupBy("node").agg(F.count_distinct("token").alias("n_shared"))
     sizes = sets.where("prefix is not null").groupBy("node").agg(F.max("n").alias("n"))
@@ -251,15 +253,20 @@ def kept_sets(texts: DataFrame, left: DataFrame, width: int) -> DataFrame:
 
 
 def keys_of(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, keys) of sets that may have a partner; keys: the shingles among the first of the set, rare ones first, that another set has too."""
-    rows = sets.select("node", F.explode("tokens").alias("token")).where("token is not null and node is not null").repartition("token")
+    """(node, n, keys) of sets that may have a partner; n: its size; keys: the shingles among the first of the set, rare ones first, that another set has too."""
+    rows = sets.select("node", F.explode("tokens").alias("token"))
     times = rows.groupBy("token").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token", "times")
     # Places in the order: the number of sets, then the hash; two shingles at one place only make a group larger.
     place = F.shiftleft(F.least("times", F.lit(65535)).cast("long"), 47).bitwiseOR(F.shiftrightunsigned("token", 17))
     held = rows.join(times, "token").distinct().groupBy("node").agg(F.array_sort(F.collect_list(place)).alias("held"))  # a set's own shingles only
     sizes = sets.select("node", F.size("tokens").alias("n")).distinct()
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("held"))  # shingles of one set only come before
-    return cut(held.join(sizes, "node").where(first > 0).select("node", F.slice("held", F.lit(1), first.cast("int")).alias("keys")))
+    return cut(held.join(sizes, "node").where(first > 0).select("node", "n", F.slice("held", F.lit(1), first.cast("int")).alias("keys")))
+
+
+def chunks() -> Column:
+    """Parts for the sets of a group, by their number and by their shingles; a single set is a part at most."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_NODES), F.least(F.ceil(F.sum("n") / CHUNK_TOKENS), F.count(F.lit(1))))
 
 
 def grouped(rows: DataFrame, sets: DataFrame, component: str = "null") -> DataFrame:
@@ -269,16 +276,16 @@ def grouped(rows: DataFrame, sets: DataFrame, component: str = "null") -> DataFr
 
 def first_links(sets: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
     """Links among sets that meet at one of their first keys; a group beyond CHUNK_NODES is dealt to parts, other keys deal otherwise."""
-    rows = keys.select("node", F.explode(F.slice("keys", 1, FIRST_KEYS)).alias("key"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    dealt = rows.join(sizes, "key").select("key", F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("size") / CHUNK_NODES)).alias("part"), "node")
+    rows = keys.select("node", "n", F.explode(F.slice("keys", 1, FIRST_KEYS)).alias("key"))
+    parts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), chunks().alias("parts")).where("size > 1")
+    dealt = rows.join(parts, "key").select("key", F.pmod(F.xxhash64("node", "key"), "parts").alias("part"), "node")
     return join_groups(grouped(dealt, sets), percent)
 
 
 def label(keys: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, component, size) of every set with keys as linked so far."""
+    """(node, n, component, size) of every set with keys as linked so far; size: sets of its component."""
     found = components(links.select(F.col("root").alias("src"), F.col("node").alias("dst")))
-    placed = keys.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+    placed = keys.select("node", "n").join(found, "node", "left").select("node", "n", F.coalesce("root", "node").alias("component"))
     return cut(placed.join(placed.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component"))
 
 
@@ -291,28 +298,28 @@ def last_links(sets: DataFrame, keys: DataFrame, labels: DataFrame, percent: int
     small = open_rows.where(F.col("size") <= LARGE_NODES)
     star = small.join(small.groupBy("key").agg(F.min("node").alias("least")), "key").select(F.col("least").alias("src"), F.col("node").alias("dst")).distinct()
     clusters = components(star).withColumnRenamed("root", "cluster")
-    clusters = cut(clusters.join(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("cluster_size")), "cluster"))
+    clusters = cut(clusters.join(labels.select("node", "n"), "node"))
+    clusters = clusters.select("node", "cluster").join(clusters.groupBy("cluster").agg(chunks().alias("cluster_parts")), "cluster")
     placed = cut(small.join(clusters, "node"))
-    whole = placed.where(F.col("cluster_size") <= CHUNK_NODES).select(F.col("cluster").alias("key"), "node", "component", F.lit(-1).cast("long").alias("part")).distinct()
-    # Larger clusters: a group for each key; keys with the same sets are one group, as a passage has many.
-    rest = placed.where(F.col("cluster_size") > CHUNK_NODES)
-    groups = rest.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("name"), F.min("component").alias("low"), F.max("component").alias("high"))
-    groups = groups.where("low <> high").groupBy("members", "name").agg(F.min("key").alias("key"))
-    blocks = F.ceil(F.col("members") / CHUNK_NODES)
-    dealt = rest.join(groups, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    # Beyond CHUNK_NODES, each two blocks of a group meet in a part.
+    whole = placed.where("cluster_parts = 1").select(F.col("cluster").alias("key"), "node", "component", F.lit(-1).cast("long").alias("part")).distinct()
+    # Clusters of several parts: a group for each key; keys with the same sets are one group, as a passage has many.
+    rest = placed.where("cluster_parts > 1")
+    groups = rest.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("name"), F.min("component").alias("low"), F.max("component").alias("high"), chunks().alias("blocks"))
+    groups = groups.where("low <> high").groupBy("members", "name", "blocks").agg(F.min("key").alias("key"))
+    dealt = rest.join(groups, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    # Each two blocks of a group meet in a part.
     dealt = dealt.select("key", "node", "component", F.col("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("key", "node", "component", (F.least("block", "other") * 1_000_000 + F.greatest("block", "other")).alias("part")).unionByName(whole)
     among_small = join_groups(grouped(dealt, sets, "component"), percent)
 
     # A set that shares a key with a larger component asks all of that. Sets of large components ask those that are larger still.
     large = open_rows.where(F.col("size") > LARGE_NODES).select("key", F.col("component").alias("target"), F.col("size").alias("target_size")).distinct()
-    asks = open_rows.join(large, "key").where(F.struct("size", "component") < F.struct("target_size", "target")).select("node", "target", "target_size").distinct()
-    asks = cut(asks)
-    counts = asks.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / CHUNK_NODES).alias("asking"), F.max(F.ceil(F.col("target_size") / CHUNK_NODES)).alias("asked"))
+    asks = cut(open_rows.join(large, "key").where(F.struct("size", "component") < F.struct("target_size", "target")).select("node", "n", "target").distinct())
+    asked_sets = labels.join(asks.select("target").distinct(), F.col("component") == F.col("target"))
+    counts = asks.groupBy("target").agg(chunks().alias("asking")).join(asked_sets.groupBy("target").agg(chunks().alias("asked")), "target")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     queries = asks.join(counts, "target").select(F.col("target").alias("key"), "node", F.pmod(F.xxhash64("node"), "asking").alias("a"), each("asked").alias("b"), F.lit(True).alias("left"))
-    asked = labels.join(counts, labels["component"] == counts["target"]).select(F.col("target").alias("key"), "node", F.pmod(F.xxhash64("node"), "asked").alias("b"), each("asking").alias("a"), F.lit(False).alias("left"))
+    asked = asked_sets.join(counts, "target").select(F.col("target").alias("key"), "node", F.pmod(F.xxhash64("node"), "asked").alias("b"), each("asking").alias("a"), F.lit(False).alias("left"))
     both = queries.unionByName(asked).select("key", (F.col("a") * 1_000_000 + F.col("b")).alias("part"), "node", "left")
     both = both.join(sets, "node").join(labels.select("node", "component"), "node")
     return among_small.union(join_groups(both, percent))
