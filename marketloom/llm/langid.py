@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.text import payload, rows_of, text_parts
+from marketloom.llm.text import payload, rows_of, share, text_parts
 
 DIMS = 4096
 #: The classifier is fitted on a bounded sample: rows in all, and a language's share at most.
-SAMPLE_ROWS, SAMPLE_PER_LANG = 4000, 600
+SAMPLE_ROWS, SAMPLE_PER_LANG = 2000, 300
 CENTROIDS, ROUNDS = 4, 12
 #: A text is rejected below this share of the cosine that nearly all (all but REJECT_QUANTILE) training texts reach.
 REJECT_SHARE, REJECT_QUANTILE = 0.15, 0.001
@@ -85,7 +85,7 @@ def cluster(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
 def fit(samples: list[tuple[str, np.ndarray]], k: int = CENTROIDS) -> CentroidModel:
     if not samples:
         return CentroidModel(np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), [], np.zeros(0))
-    counts = np.stack([c for _, c in samples])
+    counts = np.stack([c for _, c in samples]).astype(np.float32)
     idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
     x, lang = weighted(counts, idf), np.array([name for name, _ in samples])
     centroids, langs, least = [], [], []
@@ -116,11 +116,11 @@ def train(docs: DataFrame, usable: Column) -> CentroidModel:
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(lang, x) for lang, x in ((lang, ngram_counts(t)) for lang, t in zip(batch.column(0).to_pylist(), rows_of(batch.column(1)), strict=True)) if x is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.string()), pa.array([x.tobytes() for _, x in found], pa.binary())], ["lang", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.string()), pa.array([np.minimum(x, 65535).astype(np.uint16).tobytes() for _, x in found], pa.binary())], ["lang", "counts"])
 
     sample = rows.where(uniform(F.col("doc_id"), 9) < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(0.0))).select("lang", "text").mapInArrow(counts, "lang string, counts binary")
     taken = sorted((r["lang"], bytes(r["counts"])) for r in sample.limit(2 * SAMPLE_ROWS).toLocalIterator())
-    return fit([(lang, np.frombuffer(c, np.float32)) for lang, c in taken])
+    return fit([(lang, np.frombuffer(c, np.uint16)) for lang, c in taken])
 
 
 def identify(docs: DataFrame, model: CentroidModel) -> DataFrame:
@@ -130,13 +130,13 @@ def identify(docs: DataFrame, model: CentroidModel) -> DataFrame:
     are judged alone: null ids and repeated rows need no care, an empty table stays empty. There is no shuffle;
     the model that is broadcast has CENTROIDS vectors of DIMS numbers a language.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     columns = docs.columns
     others = [c for c in columns if c != "text"]
     kinds = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.select(*(f"`{c}`" for c in others)).schema)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared()
         for batch in batches:
             for part, texts in text_parts(batch, 0):
                 langs, scores, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
