@@ -1,15 +1,18 @@
 """Removal of repeated byte strings by suffix order, built column by column for many documents at once.
 
 1. Anchors. Of the k-grams inside every string of LENGTH bytes, the one with the least hash is its anchor, so equal strings have
-   equal anchors at equal places. Two Bloom filters of once- and twice-seen anchors drop those that occur once only.
-2. Fragments. What a document's strings with one anchor cover is a fragment of 2 * LENGTH - KGRAM bytes at most. Fragments are
-   shuffled by their anchor's hash.
+   equal anchors at equal places. Two Bloom filters of once- and twice-seen anchors drop those that occur once only. Beyond some
+   25 million anchors (5 GB) they fill up: more fragments are shuffled, and results stay the same.
+2. Fragments. What a document's strings with one anchor cover is a fragment of 2 * LENGTH - KGRAM bytes at most. Equal fragments are
+   combined before they are shuffled by their anchor's hash.
 3. Columns. The fragments of an anchor are a collection of documents that are aligned at it. Each round inserts one symbol of each of
    them, from the right: a stable sort by the symbol makes the order of suffixes (the round's column of the collection's
    Burrows-Wheeler transform) from that of the round before, and range minima make the common prefixes of neighbours. Symbols, orders and
    prefixes go through files that are read and written in sequence. A string whose suffix has a common prefix of LENGTH with a
    neighbour is repeated.
-4. Repeated strings become spans of their documents, which are cut out.
+4. An anchor of more than GROUP_FRAGMENTS fragments is no group for a task: their strings are counted by 128-bit hashes instead, which combine
+   before the shuffle as well.
+5. Repeated strings become spans of their documents, which are cut out.
 """
 
 from __future__ import annotations
@@ -20,18 +23,17 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.text import BYTE_VALUE, U64, mix, payload, rows_of, slices
+from marketloom.llm.bloom import filter_bits, holds, twice_seen
+from marketloom.llm.text import BYTE_VALUE, U64, cut, mix, payload, text_parts
 
 LENGTH, KGRAM = 400, 32
-#: Both filters are broadcast; 2**28 bits are 32 MB. Beyond some 25 million anchors (5 GB) they fill up: more fragments are shuffled, and results stay the same.
-MAX_BITS, CHUNK_BITS, N_HASHES = 1 << 28, 1 << 19, 3
-#: Fragments that go through the rounds together.
-ROUND_FRAGMENTS = 8192
+#: Fragments that go through the rounds together, and of one anchor at most.
+ROUND_FRAGMENTS, GROUP_FRAGMENTS = 8192, 50_000
 NONE = 256  # no symbol: beyond a fragment's ends, equal to nothing
 
 
@@ -63,7 +65,7 @@ def find_anchors(rows: list[bytes], length: int = LENGTH, k: int = KGRAM) -> tup
     if len(data) < length or sizes.max() < length:
         return empty, np.zeros(0, dtype=np.uint64), empty, empty, empty
     hashes = kgram_hashes(data, k)
-    bits = U64(int(len(hashes)).bit_length())
+    bits = U64(32)  # of the hash count, for slices of any size alike; the first place breaks ties
     place = np.arange(len(hashes), dtype=np.uint64)
     least = sliding_min(hashes >> bits << bits | place, length - k + 1)
     anchor = (least & ((U64(1) << bits) - U64(1))).astype(np.int64)
@@ -84,82 +86,51 @@ def find_anchors(rows: list[bytes], length: int = LENGTH, k: int = KGRAM) -> tup
     return d, hashes[at[first]], at[first] - begin[d], start[first] - begin[d], start[last] - begin[d]
 
 
-def bit_positions(hashes: np.ndarray, n_bits: int) -> np.ndarray:
-    a, b = hashes & U64(0xFFFFFFFF), (hashes >> U64(32)) | U64(1)
-    return np.stack([(a + U64(k) * b) & U64(n_bits - 1) for k in range(N_HASHES)])
+FRAGMENT_SCHEMA = "key long, digest binary, starts array<int>, anchor int, fid binary, fragment binary"
+RUN_SCHEMA = "key long, anchor int, fid binary, runs array<struct<start: int, end: int>>"
 
 
-def twice_seen(texts: DataFrame, n_bits: int, length: int) -> np.ndarray:
-    """Packed bits of the filter of anchors that may occur twice. Filters of tasks merge as once = OR, twice = OR and all bits of two once-filters."""
-    chunk_bytes = CHUNK_BITS // 8
+def anchor_counts(texts: DataFrame, bits: np.ndarray, length: int) -> DataFrame:
+    """(key, n): how many places have each anchor of the filter."""
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(n_bits, dtype=bool), np.zeros(n_bits, dtype=bool)
-        for batch in batches:
-            rows = rows_of(batch.column(0))
-            for start, end in slices(rows):
-                found, counts = np.unique(find_anchors(rows[start:end], length)[1], return_counts=True)
-                if len(found):
-                    at = bit_positions(found, n_bits)
-                    twice[at[:, once[at].all(axis=0) | (counts > 1)].ravel()] = True
-                    once[at.ravel()] = True
-        for i, (a, b) in enumerate(zip(np.packbits(once).reshape(-1, chunk_bytes), np.packbits(twice).reshape(-1, chunk_bytes), strict=True)):
-            if a.any():
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([i], pa.int32()), "once": [a.tobytes()], "twice": [b.tobytes()]})
-
-    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for frame in frames:
-            for chunk, once, twice in frame.itertuples(index=False):
-                a, b = np.frombuffer(once, np.uint8), np.frombuffer(twice, np.uint8)
-                old = held.get(chunk)
-                held[chunk] = (a, b) if old is None else (old[0] | a, old[1] | b | (old[0] & a))
-        yield pd.DataFrame({"chunk": list(held), "twice": [x[1].tobytes() for x in held.values()]})
-
-    parts = texts.mapInArrow(build, "chunk int, once binary, twice binary")
-    merged = parts.repartition(max(1, n_bits // CHUNK_BITS // 8), "chunk").mapInPandas(merge, "chunk int, twice binary")
-    out = np.zeros((n_bits // CHUNK_BITS, chunk_bytes), dtype=np.uint8)
-    for row in merged.toLocalIterator():  # of bounded size: n_bits in all
-        out[row["chunk"]] = np.frombuffer(row["twice"], np.uint8)
-    return out.ravel()
-
-
-FRAGMENT_SCHEMA = "key long, digest binary, starts array<int>, anchor int, fragment binary"
-SPAN_SCHEMA = "digest binary, start int, end int"
-
-
-def cut_fragments(texts: DataFrame, bits: np.ndarray, n_bits: int, length: int) -> DataFrame:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in (x for batch in batches for x in text_parts(batch, 0)):
+            keys, n = np.unique(find_anchors(rows, length)[1], return_counts=True)
+            hit = holds(shared.value, keys)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[hit].view(np.int64)), pa.array(n[hit].astype(np.int64))], ["key", "n"])
+
+    return texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def cut_fragments(texts: DataFrame, bits: np.ndarray, length: int) -> DataFrame:
     """The fragments of anchors in the filter. starts: where the fragment begins in its document, several times if that repeats it;
-    anchor: where the anchor begins in the fragment."""
+    anchor: where the anchor begins in the fragment; fid: the fragment's digest."""
     shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for batch in batches:
-            digests, rows = batch.column(0).to_pylist(), rows_of(batch.column(1))
-            # Copies in a batch have the same fragments: one of them is enough, as copies are counted by themselves.
+        for part, rows in (x for batch in batches for x in text_parts(batch, 1)):
+            digests = part.column(0).to_pylist()
+            # Copies in a part have the same fragments: one of them is enough, as copies are counted by themselves.
             own = list({d: i for i, d in enumerate(digests)}.values())
             digests, rows = [digests[i] for i in own], [rows[i] for i in own]
-            for start, end in slices(rows):
-                doc, keys, at, first, last = find_anchors(rows[start:end], length)
-                if not len(keys):
-                    continue
-                where = bit_positions(keys, n_bits)
-                hit = np.flatnonzero(((bits[(where >> U64(3)).astype(np.int64)] >> (U64(7) - (where & U64(7))).astype(np.uint8)) & 1).all(axis=0))
-                held: dict[tuple[int, int, int, bytes], list[int]] = {}
-                for d, key, a, s, e in zip(doc[hit].tolist(), keys[hit].view(np.int64).tolist(), at[hit].tolist(), first[hit].tolist(), last[hit].tolist(), strict=True):
-                    held.setdefault((d, key, a - s, rows[start + d][s : e + length]), []).append(s)
-                if held:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([k[1] for k in held], pa.int64()),
-                            pa.array([digests[start + k[0]] for k in held], pa.binary()),
-                            pa.array(list(held.values()), pa.list_(pa.int32())),
-                            pa.array([k[2] for k in held], pa.int32()),
-                            pa.array([k[3] for k in held], pa.binary()),
-                        ],
-                        ["key", "digest", "starts", "anchor", "fragment"],
-                    )
+            doc, keys, at, first, last = find_anchors(rows, length)
+            if not len(keys):
+                continue
+            hit = np.flatnonzero(holds(shared.value, keys))
+            held: dict[tuple[int, int, int, bytes], list[int]] = {}
+            for d, key, a, s, e in zip(doc[hit].tolist(), keys[hit].view(np.int64).tolist(), at[hit].tolist(), first[hit].tolist(), last[hit].tolist(), strict=True):
+                held.setdefault((d, key, a - s, rows[d][s : e + length]), []).append(s)
+            if held:
+                columns = [
+                    pa.array([k[1] for k in held], pa.int64()),
+                    pa.array([digests[k[0]] for k in held], pa.binary()),
+                    pa.array(list(held.values()), pa.list_(pa.int32())),
+                    pa.array([k[2] for k in held], pa.int32()),
+                    pa.array([xxhash.xxh3_128_digest(k[3]) for k in held], pa.binary()),
+                    pa.array([k[3] for k in held], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in FRAGMENT_SCHEMA.split(", ")])
 
     return texts.mapInArrow(extract, FRAGMENT_SCHEMA)
 
@@ -212,77 +183,97 @@ def repeated_columns(group: np.ndarray, fragments: list[bytes], anchors: np.ndar
     return found
 
 
-def spans_of_batch(keys: list[int], digests: list[bytes], starts: list[list[int]], anchors: list[int], fragments: list[bytes], length: int) -> Iterator[tuple[bytes, int, int]]:
-    """(digest, start, end) of the runs of repeated strings; rows are whole groups in order of their keys."""
-    # Equal fragments of a group repeat each other; one of them stands for all in the rounds.
-    slot: dict[tuple[int, int, bytes], int] = {}
-    member = [slot.setdefault(x, len(slot)) for x in zip(keys, anchors, fragments, strict=True)]
-    times = np.zeros(len(slot), dtype=np.int64)
-    for m, s in zip(member, starts, strict=True):
-        times[m] += len(s)
-    listed = list(slot)
-    group = np.unique(np.array([x[0] for x in listed], dtype=np.int64), return_inverse=True)[1].astype(np.int32)
-    rank = np.argsort(group, kind="stable")
-    size = np.bincount(group)
-    rank = rank[size[group[rank]] > 1]  # a fragment alone in its group needs no rounds
+def runs_of_batch(keys: list[int], anchors: list[int], fragments: list[bytes], times: list[int], length: int) -> Iterator[tuple[int, int, bytes, list[dict[str, int]]]]:
+    """(key, anchor, fid, runs) of distinct fragments with repeated strings; rows are whole groups in order of their keys."""
+    group = np.unique(np.array(keys, dtype=np.int64), return_inverse=True)[1].astype(np.int32)
+    rank = np.flatnonzero(np.bincount(group)[group] > 1)  # a fragment alone in its group needs no rounds
     found: dict[int, np.ndarray] = {}
     if len(rank):
-        marks = repeated_columns(group[rank], [listed[i][2] for i in rank], np.array([listed[i][1] for i in rank]), length)
+        marks = repeated_columns(group[rank], [fragments[i] for i in rank], np.array([anchors[i] for i in rank]), length)
         found = {int(i): marks[:, j] for j, i in enumerate(rank)}
     left = length - KGRAM
-    for m, digest, where in zip(member, digests, starts, strict=True):
-        _, anchor, fragment = listed[m]
-        n = len(fragment) - length + 1
-        if times[m] > 1:
-            runs = [(0, n)]
-        elif m in found:
-            mark = found[m][left - anchor : left - anchor + n]
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], mark.astype(np.int8), [0]])))
-            runs = edges.reshape(-1, 2).tolist()
+    for i, (key, anchor, fragment, n) in enumerate(zip(keys, anchors, fragments, times, strict=True)):
+        strings = len(fragment) - length + 1
+        if n > 1:
+            runs = [(0, strings)]
+        elif i in found:
+            mark = found[i][left - anchor : left - anchor + strings]
+            runs = np.flatnonzero(np.diff(np.concatenate([[0], mark.astype(np.int8), [0]]))).reshape(-1, 2).tolist()
         else:
             continue
-        for a, b in runs:
-            for s in where:
-                yield digest, s + a, s + b - 1 + length
+        if runs:
+            yield key, anchor, xxhash.xxh3_128_digest(fragment), [{"start": a, "end": b - 1 + length} for a, b in runs]
 
 
-def repeated_spans(fragments: DataFrame, length: int) -> DataFrame:
-    """(digest, start, end) of byte ranges that repeated strings cover."""
+def repeated_runs(distinct: DataFrame, length: int) -> DataFrame:
+    """The runs of repeated strings in distinct fragments (key, anchor, fragment, times)."""
 
     def rounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, ...] = ([], [], [], [], [])
+        held: tuple[list, ...] = ([], [], [], [])
 
         def emit(upto: int) -> Iterator[pa.RecordBatch]:
-            rows = list(spans_of_batch(*(c[:upto] for c in held), length))
+            rows = list(runs_of_batch(*(c[:upto] for c in held), length))
             for column in held:
                 del column[:upto]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int32(), pa.int32()), strict=True)], ["digest", "start", "end"])
+                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "anchor", "fid", "runs"])
 
         for batch in batches:
-            for column, values in zip(held, batch.columns, strict=True):
-                column += values.to_pylist()
-            if len(held[0]) >= ROUND_FRAGMENTS:
-                upto = len(held[0])
-                while upto and held[0][upto - 1] == held[0][-1]:
-                    upto -= 1
-                if upto:
-                    yield from emit(upto)
+            for start in range(0, batch.num_rows, 1024):
+                for column, values in zip(held, batch.slice(start, 1024).columns, strict=True):
+                    column += values.to_pylist()
+                if len(held[0]) >= ROUND_FRAGMENTS:
+                    upto = len(held[0])
+                    while upto and held[0][upto - 1] == held[0][-1]:
+                        upto -= 1
+                    if upto:
+                        yield from emit(upto)
         if held[0]:
             yield from emit(len(held[0]))
 
-    dealt = fragments.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(rounds, SPAN_SCHEMA)
+    dealt = distinct.select("key", "anchor", "fragment", "times").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(rounds, RUN_SCHEMA)
 
 
-def merge_runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def counted_runs(distinct: DataFrame, length: int) -> DataFrame:
+    """The same runs by counting the hashes of all strings: a row for each string, in no group of a task."""
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, anchor, fragment, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n, fid = len(fragment) - length + 1, xxhash.xxh3_128_digest(fragment)
+                hashes = [xxhash.xxh3_128_digest(fragment[a : a + length]) for a in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * n), pa.array([anchor] * n, pa.int32()), pa.array([fid] * n), pa.array(range(n), pa.int32()), pa.array(hashes), pa.array([times] * n, pa.int64())], ["key", "anchor", "fid", "start", "string", "times"])
+
+    rows = distinct.select("key", "anchor", "fragment", "times").mapInArrow(strings, "key long, anchor int, fid binary, start int, string binary, times long")
+    again = rows.groupBy("string").agg(F.sum("times").alias("all")).where(F.col("all") > 1).select("string")
+    runs = F.collect_list(F.struct("start", (F.col("start") + length).alias("end")))  # of one fragment: length - KGRAM + 1 at most
+    return rows.join(again, "string").groupBy("key", "anchor", "fid").agg(runs.alias("runs"))
+
+
+def repeated_spans(texts: DataFrame, bits: np.ndarray, length: int) -> DataFrame:
+    """(digest, starts, runs): byte ranges that repeated strings cover, each run counted from each start."""
+    fragments = cut_fragments(texts, bits, length)
+    distinct = fragments.groupBy("key", "anchor", "fragment").agg(F.sum(F.size("starts")).alias("times"))
+    large = cut(anchor_counts(texts.select("text"), bits, length).where(F.col("n") > GROUP_FRAGMENTS).select("key"))
+    if large.isEmpty():
+        runs = repeated_runs(distinct, length)
+    else:
+        runs = repeated_runs(distinct.join(large, "key", "left_anti"), length).unionByName(counted_runs(distinct.join(large, "key", "left_semi"), length))
+    return fragments.select("key", "anchor", "fid", "digest", "starts").join(runs, ["key", "anchor", "fid"]).select("digest", "starts", "runs")
+
+
+def merge_runs(found: list[dict]) -> list[tuple[int, int]]:
+    """Disjoint ranges in order, from starts and runs."""
+    if not found:
+        return []
+    starts = np.concatenate([np.add.outer(x["starts"], [r["start"] for r in x["runs"]]).ravel() for x in found])
+    ends = np.concatenate([np.add.outer(x["starts"], [r["end"] for r in x["runs"]]).ravel() for x in found])
+    order = np.argsort(starts, kind="stable")
+    starts, reach = starts[order], np.maximum.accumulate(ends[order])
+    first = np.flatnonzero(np.concatenate([[True], starts[1:] > reach[:-1]]))
+    return list(zip(starts[first].tolist(), reach[np.append(first[1:], len(reach)) - 1].tolist(), strict=True))
 
 
 DEDUP_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: int, end: int>>"
@@ -299,18 +290,19 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError(f"length is at least {KGRAM + 1}")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), payload().alias("text")).withColumn("digest", F.unhex(F.md5("text")))
     n_bytes = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n_bits = min(MAX_BITS, max(CHUNK_BITS, 1 << (n_bytes * 20 // length).bit_length()))  # two anchors in `length` bytes, ten bits each
-    bits = twice_seen(texts.select("text"), n_bits, length)
-    spans = repeated_spans(cut_fragments(texts.where(F.octet_length("text") >= length).select("digest", "text"), bits, n_bits, length), length)
-    spans = spans.groupBy("digest").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    copies = texts.where(F.octet_length("text") >= length).groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    removed = spans.join(copies, "digest", "full").select(F.col("digest").alias("__digest"), "spans", F.col("copies").isNotNull().alias("copied"))
+    bits = twice_seen(texts.select("text"), filter_bits(n_bytes * 2 // length), lambda rows: find_anchors(rows, length)[1])  # two anchors in `length` bytes
+    spans = repeated_spans(texts.where(F.octet_length("text") >= length).select("digest", "text"), bits, length)
+    copies = texts.where(F.octet_length("text") >= length).groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest")
+    # Copies lose everything, so their spans, once for each of them, are left out before any gathering.
+    spans = spans.join(copies, "digest", "left_anti").groupBy("digest").agg(F.collect_list(F.struct("starts", "runs")).alias("spans"))
+    removed = spans.withColumn("copied", F.lit(False)).unionByName(copies.withColumn("copied", F.lit(True)), allowMissingColumns=True)
+    removed = removed.withColumnRenamed("digest", "__digest")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part, texts in (x for batch in batches for x in text_parts(batch, 1)):
             out = []
-            for doc_id, text, found, copied in zip(batch.column(0).to_pylist(), rows_of(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                runs = [(0, len(text))] if copied else merge_runs([(x["start"], x["end"]) for x in found or ()])
+            for doc_id, text, found, copied in zip(part.column(0).to_pylist(), texts, part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                runs = [(0, len(text))] if copied else merge_runs(found or [])
                 kept, at = hashlib.sha256(), 0
                 for a, b in runs:
                     kept.update(text[at:a])

@@ -40,7 +40,9 @@ def check(spark, rows, length):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == want
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("most", [50_000, 3])
+def test_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "GROUP_FRAGMENTS", most)  # 3: larger groups are counted by hashes
     rng = random.Random(5)
     word = lambda n: "".join(rng.choice("abcde é") for _ in range(n))
     passage = word(300)
