@@ -33,18 +33,6 @@ def rows_of(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.to_pylist()]
 
 
-def slices(rows: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Consecutive row ranges of about `limit` bytes."""
-    start = total = 0
-    for i, row in enumerate(rows):
-        if total and total + len(row) > limit:
-            yield start, i
-            start, total = i, 0
-        total += len(row)
-    if start < len(rows):
-        yield start, len(rows)
-
-
 def text_parts(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Consecutive parts of a batch with about `limit` bytes of text each, and their texts (null as empty): only a part's texts are Python objects."""
     texts = batch.column(column)
