@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.functions.expressions import average_rank, by_date, log_of, quantise, zscore
+from marketloom.functions.expressions import average_rank, last_known, log_of, quantise, zscore
 from marketloom.operators import clean, dashboard, explore, features, gravity
 from marketloom.operators.prepare import Prepared, prepare_price_data
 from marketloom.plans import oracle as o
@@ -151,8 +151,6 @@ def bfill_limit(spark, sf):
 
 @query("ffill_unlimited", WITH_GRID + f"SELECT date, ticker, {q('last_value(price IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING)')} AS price FROM grid")
 def ffill_unlimited(spark, sf):
-    from marketloom.functions.expressions import last_known
-
     return grid(spark, sf).select("date", "ticker", quantise(last_known("price")).alias("price"))
 
 
