@@ -7,7 +7,7 @@ a wavelet matrix of the Burrows-Wheeler transform and sampled suffix positions,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -164,27 +164,32 @@ def shard_text(hashes: np.ndarray, first: np.ndarray, phrases: Phrases) -> tuple
     return text, word
 
 
-def find_hits(rows: list[bytes], phrases: Phrases) -> list[tuple[int, np.ndarray, list[str], list[tuple[int, int]]]]:
-    """Of each text in a shard: number of words, mask of hit words, items found, merged byte spans that hold hits."""
+def find_hits(rows: list[bytes], blocks: Iterable[Phrases]) -> list[tuple[int, np.ndarray, list[str], list[tuple[int, int]]]]:
+    """Of each text in a shard: number of words, mask of hit words, items found, merged byte spans that hold hits.
+
+    All blocks are searched in the same texts, so the result doesn't depend on how the benchmark is dealt to blocks.
+    """
     hashes, first, starts, ends = word_hashes(rows, fold_table(NOT_ALNUM))
-    hit = np.zeros(len(hashes) + 1, dtype=np.int64)
+    covered = np.zeros(len(hashes), dtype=bool)
     items: dict[int, set[str]] = {}
-    text, word = shard_text(hashes, first, phrases)
-    if len(text) > 2:
-        index = FMIndex(text, len(phrases.vocabulary) + 2)
-        low, high = index.search(phrases.windows, phrases.lengths)
-        found = np.flatnonzero(high > low)
-        counts = (high - low)[found]
-        if len(found):
-            which = np.repeat(found, counts)
-            offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            at = word[index.locate(low[which] + offset)]
-            np.add.at(hit, at, 1)
-            np.add.at(hit, at + phrases.lengths[which], -1)
-            owner = np.searchsorted(first[:-1], at, side="right") - 1
-            for doc, window in np.unique(np.stack([owner, which]), axis=1).T.tolist():
-                items.setdefault(doc, set()).update(phrases.items[window])
-    covered = np.cumsum(hit[:-1]) > 0
+    for phrases in blocks:
+        hit = np.zeros(len(hashes) + 1, dtype=np.int64)
+        text, word = shard_text(hashes, first, phrases)
+        if len(text) > 2:
+            index = FMIndex(text, len(phrases.vocabulary) + 2)
+            low, high = index.search(phrases.windows, phrases.lengths)
+            found = np.flatnonzero(high > low)
+            counts = (high - low)[found]
+            if len(found):
+                which = np.repeat(found, counts)
+                offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                at = word[index.locate(low[which] + offset)]
+                np.add.at(hit, at, 1)
+                np.add.at(hit, at + phrases.lengths[which], -1)
+                owner = np.searchsorted(first[:-1], at, side="right") - 1
+                for doc, window in np.unique(np.stack([owner, which]), axis=1).T.tolist():
+                    items.setdefault(doc, set()).update(phrases.items[window])
+                covered |= np.cumsum(hit[:-1]) > 0
     begin = np.cumsum([0, *(len(r) + 1 for r in rows)])
     out = []
     for i in range(len(rows)):
@@ -222,25 +227,17 @@ def search_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        only = None if len(blocks) > 1 else blocks[0]() if blocks else Phrases.of([])
+        only = blocks[0]() if len(blocks) == 1 else None
         for batch in batches:
             for part, rows in text_parts(batch, 1, SHARD_BYTES):
-                merged: list = [(0, None, set(), [])] * len(rows)
-                for block in blocks or [None]:
-                    phrases = only or block()
-                    for i, (n, mask, items, spans) in enumerate(find_hits(rows, phrases)):
-                        old = merged[i]
-                        if old[1] is None:
-                            merged[i] = (n, mask, set(items), spans)
-                        else:
-                            merged[i] = (n, old[1] | mask, old[2] | set(items), merge_spans(old[3] + spans))
+                found = find_hits(rows, [only] if only else (block() for block in blocks))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
-                        pa.array([m[0] for m in merged], pa.int64()),
-                        pa.array([int(m[1].sum()) for m in merged], pa.int64()),
-                        pa.array([sorted(m[2]) for m in merged], pa.list_(pa.string())),
-                        pa.array([[{"start": a, "end": b} for a, b in m[3]] for m in merged], kind),
+                        pa.array([n for n, _, _, _ in found], pa.int64()),
+                        pa.array([int(mask.sum()) for _, mask, _, _ in found], pa.int64()),
+                        pa.array([items for _, _, items, _ in found], pa.list_(pa.string())),
+                        pa.array([[{"start": a, "end": b} for a, b in spans] for _, _, _, spans in found], kind),
                     ],
                     ["doc_id", "n_words", "n_hit", "items", "spans"],
                 )
@@ -248,16 +245,6 @@ def search_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), payload().alias("text")).mapInArrow(search, HITS_SCHEMA)
 
 
-def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
 def remove_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     """The text without these merged spans; a blank stands for each, so that words on both sides don't join."""
     parts, at = [], 0
@@ -284,14 +271,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
             for part, texts in text_parts(batch, 0, SHARD_BYTES):
                 dropped, todo = [0] * len(texts), [i for i, t in enumerate(texts) if t]
                 while todo:
-                    changed = set()
-                    for block in blocks:  # spans of one block are cut before the next is searched for
-                        for i, (_, mask, _, spans) in zip(todo, find_hits([texts[i] for i in todo], only or block()), strict=True):
-                            if spans:
-                                texts[i] = remove_spans(texts[i], spans)
-                                dropped[i] += int(mask.sum())
-                                changed.add(i)
-                    todo = sorted(changed)
+                    changed = []
+                    for i, (_, mask, _, spans) in zip(todo, find_hits([texts[i] for i in todo], [only] if only else (block() for block in blocks)), strict=True):
+                        if spans:
+                            texts[i] = remove_spans(texts[i], spans)
+                            dropped[i] += int(mask.sum())
+                            changed.append(i)
+                    todo = changed
                 null = part.column(0).is_null().to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary(), mask=null), pa.array(dropped, pa.int64()), part.column(1)], ["__text", "__n_cut", "__row"])
 

@@ -67,3 +67,15 @@ def test_removal_leaves_no_window(spark):
     assert decontam.decontaminate(docs, bench(spark, [])).where("__n_cut > 0").count() == 0
     assert decontam.decontaminate(docs.limit(0), bench(spark, items)).count() == 0
     assert decontam.search_benchmark(docs, bench(spark, [])).where("n_hit > 0 or n_words is null").count() == 0
+
+
+def test_removal_by_blocks_of_items_gives_the_same(spark, monkeypatch):
+    w = [f"w{k}" for k in range(1, 26)]
+    items = bench(spark, [(1, " ".join(w[:10])), (2, " ".join(w[5:15])), (3, " ".join(w[15:25])), (4, "left right")])
+    docs = documents(spark, [(1, " ".join(w[:15]), "en", "s"), (2, f"start {', '.join(w)}; end", "en", "s"), (3, "left left w16 right right", "en", "s"), (4, "keep me", "en", "s")])
+    once = sorted((r.doc_id, r.text, r["__n_cut"]) for r in decontam.decontaminate(docs, items).collect())
+    spans = sorted((r.doc_id, r.spans) for r in decontam.search_benchmark(docs, items).collect())
+    assert [n for _, _, n in once] == [15, 25, 0, 0] and alnum_words(once[1][1]) == ["start", "end"]
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 1)
+    assert sorted((r.doc_id, r.text, r["__n_cut"]) for r in decontam.decontaminate(docs, items).collect()) == once
+    assert sorted((r.doc_id, r.spans) for r in decontam.search_benchmark(docs, items).collect()) == spans
