@@ -16,8 +16,13 @@ DIMS = 4096
 #: The classifier is fitted on a bounded sample: rows in all, and a language's share at most.
 SAMPLE_ROWS, SAMPLE_PER_LANG = 2000, 300
 CENTROIDS, ROUNDS = 4, 12
-#: A text is rejected below this share of the cosine that nearly all (all but REJECT_QUANTILE) training texts reach.
-REJECT_SHARE, REJECT_QUANTILE = 0.15, 0.001
+#: Starts of clusters are taken at this share of the rows, not at the very farthest; clusters of a smaller share than LEAST_SHARE go.
+START_SHARE, LEAST_SHARE = 0.05, 0.02
+#: Lengths in trigrams for which the least cosine is measured on held-out pieces of the sample; it falls to 0 at half the first length.
+LENGTHS = 16 << np.arange(9)
+#: A text is rejected below the cosine that all but REJECT_QUANTILE of the pieces of its length reach. A language with fewer than
+#: LEAST_PIECES of them takes those of all languages; HEAD trigrams of a text are cut to pieces, at most.
+REJECT_QUANTILE, LEAST_PIECES, HEAD = 0.005, 200, 8192
 UNKNOWN = "und"
 
 _LETTER = np.full(256, 0x20, dtype=np.uint64)
@@ -32,8 +37,8 @@ def has_letter(text: bytes, folded: np.ndarray) -> bool:
     return bool((folded >= 128).any()) and any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
-def ngram_counts(text: bytes) -> np.ndarray | None:
-    """Hashed counts of the text's byte trigrams, words being padded with a blank and all ASCII but letters being one; None without a letter."""
+def ngram_ids(text: bytes) -> np.ndarray | None:
+    """Hashes of the text's byte trigrams in order, words being padded with a blank and all ASCII but letters being one; None without a letter."""
     folded = _LETTER[np.frombuffer(text, dtype=np.uint8)]
     if not has_letter(text, folded):
         return None
@@ -41,7 +46,17 @@ def ngram_counts(text: bytes) -> np.ndarray | None:
     folded = np.concatenate([[np.uint64(0x20)], folded[~(blank & np.concatenate([[True], blank[:-1]]))], [np.uint64(0x20)]])
     a, b, c = folded[:-2], folded[1:-1], folded[2:]
     key = (a << np.uint64(16) | b << np.uint64(8) | c) * np.uint64(0x9E3779B97F4A7C15)
-    return np.bincount((key >> np.uint64(52)).astype(np.int64), minlength=DIMS).astype(np.float32)
+    return (key >> np.uint64(52)).astype(np.int64)
+
+
+def counts_of(ids: np.ndarray) -> np.ndarray:
+    return np.bincount(ids, minlength=DIMS).astype(np.float32)
+
+
+def ngram_counts(text: bytes) -> np.ndarray | None:
+    """Hashed counts of the text's byte trigrams; None without a letter."""
+    ids = ngram_ids(text)
+    return None if ids is None else counts_of(ids)
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -52,7 +67,7 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 @dataclass
 class CentroidModel:
-    """Unit centroids (rows) with their languages and the least cosine to accept."""
+    """Unit centroids (rows) with their languages and the least cosines to accept, a column for each of LENGTHS."""
 
     idf: np.ndarray
     centroids: np.ndarray
@@ -66,37 +81,72 @@ class CentroidModel:
         near = weighted(counts, self.idf) @ self.centroids.T
         best = near.argmax(axis=1)
         score = np.clip(near[np.arange(len(near)), best], 0.0, 1.0).astype(np.float64)
-        return [self.langs[i] for i in best], score, score < self.least[best]
+        return [self.langs[i] for i in best], score, (score <= 0) | (score < self.bound(best, counts.sum(axis=1)))
+
+    def bound(self, best: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The least cosine of these centroids for texts of n trigrams: between two lengths, by the logarithm; texts of few trigrams can't be judged."""
+        at = np.clip(np.log2(np.maximum(1, n) / LENGTHS[0]) + 1, 0, len(LENGTHS))
+        low = np.minimum(at.astype(np.int64), len(LENGTHS) - 1)
+        least = np.concatenate([np.zeros((len(self.least), 1)), self.least], axis=1)
+        return least[best, low] + (at - low) * (least[best, low + 1] - least[best, low])
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Spherical k-means from farthest-first starts; deterministic."""
+    """Spherical k-means from far starts; deterministic. Clusters of next to no rows are no part of a language and go."""
     starts = [int((x @ x.mean(axis=0)).argmax())]
     while len(starts) < min(k, len(x)):
-        starts.append(int((x @ x[starts].T).max(axis=1).argmin()))
+        starts.append(int((x @ x[starts].T).max(axis=1).argsort(kind="stable")[int(START_SHARE * len(x))]))
     centroids = x[starts]
     for _ in range(rounds):
         own = (x @ centroids.T).argmax(axis=1)
         sums = np.stack([x[own == i].sum(axis=0) if (own == i).any() else centroids[i] for i in range(len(centroids))])
         centroids = sums / np.maximum(1e-12, np.linalg.norm(sums, axis=1, keepdims=True))
-    return centroids
-
-
-def fit(samples: list[tuple[str, np.ndarray]], k: int = CENTROIDS) -> CentroidModel:
+    size = np.bincount((x @ centroids.T).argmax(axis=1), minlength=len(centroids))
+    return centroids[size >= max(1, LEAST_SHARE * len(x))]
+
+
+def held_out_cosines(own: np.ndarray, heads: list[np.ndarray], idf: np.ndarray, k: int) -> list[list[float]]:
+    """For each of LENGTHS: cosines of pieces of a language's texts (two a text, at most) to clusters of the other half of the texts."""
+    found: list[list[float]] = [[] for _ in LENGTHS]
+    for half in (0, 1):
+        if len(own) > 1:
+            centroids = cluster(own[1 - half :: 2], k)
+            for head in heads[half::2]:
+                pieces = [(i, head[a : a + n]) for i, n in enumerate(LENGTHS) for a in sorted({0, (len(head) // n - 1) * n}) if len(head) >= n]
+                if pieces:
+                    near = (weighted(np.stack([counts_of(p) for _, p in pieces]), idf) @ centroids.T).max(axis=1)
+                    for (i, _), cosine in zip(pieces, near.tolist(), strict=True):
+                        found[i].append(cosine)
+    return found
+
+
+def least_cosines(own: list[list[float]], every: list[list[float]]) -> np.ndarray:
+    """The bound for each of LENGTHS; where there are too few pieces, that of the length before."""
+    least = np.zeros(len(LENGTHS))
+    for i in range(len(LENGTHS)):
+        pieces = next((p for p in (own[i], every[i]) if len(p) >= LEAST_PIECES), None)
+        least[i] = np.quantile(pieces, REJECT_QUANTILE) if pieces else least[i - 1] if i else 0.0
+    return least
+
+
+def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], k: int = CENTROIDS) -> CentroidModel:
+    """A model of (language, counts, first trigrams in order)."""
     if not samples:
-        return CentroidModel(np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), [], np.zeros(0))
-    counts = np.stack([c for _, c in samples]).astype(np.float32)
+        return CentroidModel(np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), [], np.zeros((0, len(LENGTHS))))
+    counts = np.stack([c for _, c, _ in samples]).astype(np.float32)
     idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    x, lang = weighted(counts, idf), np.array([name for name, _ in samples])
-    centroids, langs, least = [], [], []
+    x, lang = weighted(counts, idf), np.array([name for name, _, _ in samples])
+    del counts
+    centroids, langs, cosines = [], [], {}
     for name in sorted(set(lang)):
-        own = x[lang == name]
-        found = cluster(own, k)
-        reach = np.quantile((own @ found.T).max(axis=1), REJECT_QUANTILE)
+        rows = np.flatnonzero(lang == name)
+        found = cluster(x[rows], k)
+        cosines[str(name)] = held_out_cosines(x[rows], [samples[i][2] for i in rows], idf, k)
         centroids.append(found)
         langs += [str(name)] * len(found)
-        least += [REJECT_SHARE * reach] * len(found)
-    return CentroidModel(idf, np.concatenate(centroids).astype(np.float32), langs, np.array(least))
+    every = [[c for own in cosines.values() for c in own[i]] for i in range(len(LENGTHS))]
+    least = {name: least_cosines(own, every) for name, own in cosines.items()}
+    return CentroidModel(idf, np.concatenate(centroids).astype(np.float32), langs, np.stack([least[name] for name in langs]))
 
 
 def uniform(doc_id: Column, salt: int) -> Column:
@@ -115,12 +165,13 @@ def train(docs: DataFrame, usable: Column) -> CentroidModel:
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(lang, x) for lang, x in ((lang, ngram_counts(t)) for lang, t in zip(batch.column(0).to_pylist(), rows_of(batch.column(1)), strict=True)) if x is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.string()), pa.array([np.minimum(x, 65535).astype(np.uint16).tobytes() for _, x in found], pa.binary())], ["lang", "counts"])
+            found = [(lang, x) for lang, x in ((lang, ngram_ids(t)) for lang, t in zip(batch.column(0).to_pylist(), rows_of(batch.column(1)), strict=True)) if x is not None]
+            counts = [np.minimum(counts_of(x), 65535).astype(np.uint16).tobytes() for _, x in found]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.string()), pa.array(counts, pa.binary()), pa.array([x[:HEAD].astype(np.uint16).tobytes() for _, x in found], pa.binary())], ["lang", "counts", "head"])
 
-    sample = rows.where(uniform(F.col("doc_id"), 9) < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(0.0))).select("lang", "text").mapInArrow(counts, "lang string, counts binary")
-    taken = sorted((r["lang"], bytes(r["counts"])) for r in sample.limit(2 * SAMPLE_ROWS).toLocalIterator())
-    return fit([(lang, np.frombuffer(c, np.uint16)) for lang, c in taken])
+    sample = rows.where(uniform(F.col("doc_id"), 9) < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(0.0))).select("lang", "text").mapInArrow(counts, "lang string, counts binary, head binary")
+    taken = sorted((r["lang"], bytes(r["counts"]), bytes(r["head"])) for r in sample.limit(2 * SAMPLE_ROWS).toLocalIterator())
+    return fit([(lang, np.frombuffer(c, np.uint16), np.frombuffer(h, np.uint16)) for lang, c, h in taken])
 
 
 def identify(docs: DataFrame, model: CentroidModel) -> DataFrame:

@@ -1,3 +1,6 @@
+import base64
+
+import numpy as np
 from cases import documents, texts
 from pyspark.sql import functions as F
 
@@ -28,3 +31,20 @@ def test_odd_rows(spark):
     empty = langid.train(docs.limit(0), F.lit(True))
     assert langid.identify(docs, empty).where("__lang_pred <> 'und'").count() == 0
     assert langid.identify(docs.limit(0), empty).count() == 0
+
+
+def test_rejects_what_is_no_known_language(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs, ~langid.held_out(3, 1))
+    rng = np.random.default_rng(3)
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem. "
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto. "
+    junk = [polish * 10, finnish * 10]
+    for n in (500, 1000, 5000, 20_000):
+        junk += [bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode(), base64.b64encode(rng.bytes(n * 3 // 4)).decode(), "".join(map(chr, rng.integers(0x4E00, 0x9FA5, n // 3)))]
+    junk += [rng.bytes(n // 2).hex() for n in (1000, 5000, 20_000)]
+    names, _, rejected = model.predict(np.stack([langid.ngram_counts(t.encode()) for t in junk]))
+    assert rejected.all(), [(t[:20], len(t)) for t, r in zip(junk, rejected) if not r]
+    short = [r.text for r in docs.where(langid.held_out(3, 1) & F.col("lang").isNotNull() & F.length("text").between(5, 60)).collect()] + ["Hello world"]
+    counts = [c for c in (langid.ngram_counts(t.encode()) for t in short) if c is not None]
+    assert len(counts) > 20 and model.predict(np.stack(counts))[2].mean() < 0.02 and not model.predict(counts[-1][None])[2][0]
