@@ -3,25 +3,31 @@
 A shard's text is the sequence of its documents' words as symbols of the benchmark's vocabulary. Stretches of words that are too short to hold a
 window, or are outside the vocabulary, become one separator, as no window can lie in them. The index has
 a wavelet matrix of the Burrows-Wheeler transform and sampled suffix positions, nothing else of the text.
+
+The benchmark's windows are cut by tasks, made distinct by a shuffle and written to the shared folder in blocks of bounded size. A task
+searches its shards for one block after the other, so nothing of the benchmark is broadcast or passes through the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import pickle
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marketloom.llm.text import NOT_ALNUM, fold_table, payload, share, text_parts, word_hashes
+from marketloom.llm.text import NOT_ALNUM, arrow_map, cut, filesystem, fold_table, packed_rows, payload, quoted, shared_folder, text_parts, unpacked, word_hashes
 
 WINDOW = 10
-#: Bytes of texts in a shard's index; suffixes between two samples.
-SHARD_BYTES, SAMPLE_EVERY = 1 << 20, 8
-#: Phrases that are broadcast and searched for at once; a larger benchmark is searched in blocks of its items.
-BLOCK_ITEMS = 20_000
+#: Bytes of texts in a shard's index, and of texts that are searched for a block together; suffixes between two samples.
+SHARD_BYTES, HOLD_BYTES, SAMPLE_EVERY = 1 << 20, 8 << 20, 8
+#: Rows (window, item) of a block.
+BLOCK_WINDOWS = 100_000
 END, GAP = 0, 1
 
 
@@ -42,19 +48,37 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
             return order
 
 
+class BitRank:
+    """Packed bits with the number of ones before every 64 of them."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        padded = np.zeros((len(bits) // 64 + 1) * 64, dtype=np.uint8)
+        padded[: len(bits)] = bits
+        self.words = np.packbits(padded, bitorder="little").view(np.uint64)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])
+        if len(bits) < 1 << 31:
+            self.before = self.before.astype(np.int32)
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each position."""
+        below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[at >> 6] + np.bitwise_count(self.words[at >> 6] & below)
+
+    def bit(self, at: np.ndarray) -> np.ndarray:
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
 class WaveletMatrix:
     """Symbols by bits, from the highest: rank and access in one step a bit, for many positions at once."""
 
     def __init__(self, symbols: np.ndarray, n_symbols: int) -> None:
         self.bits = max(1, (n_symbols - 1).bit_length())
-        self.ones: list[np.ndarray] = []
+        self.ones: list[BitRank] = []
         self.zeros: list[int] = []
         for level in range(self.bits - 1, -1, -1):
-            bit = (symbols >> level) & 1
-            before = np.zeros(len(symbols) + 1, dtype=np.int32)
-            np.cumsum(bit, out=before[1:])
-            self.ones.append(before)
-            self.zeros.append(len(symbols) - int(before[-1]))
+            bit = ((symbols >> level) & 1).astype(np.uint8)
+            self.ones.append(BitRank(bit))
+            self.zeros.append(len(symbols) - int(bit.sum(dtype=np.int64)))
             symbols = np.concatenate([symbols[bit == 0], symbols[bit == 1]])
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -62,18 +86,20 @@ class WaveletMatrix:
         start, end = np.zeros_like(at), at
         for level, (ones, zeros) in enumerate(zip(self.ones, self.zeros, strict=True)):
             one = ((symbol >> (self.bits - 1 - level)) & 1).astype(bool)
-            start = np.where(one, zeros + ones[start], start - ones[start])
-            end = np.where(one, zeros + ones[end], end - ones[end])
+            before, until = ones.rank(start), ones.rank(end)
+            start = np.where(one, zeros + before, start - before)
+            end = np.where(one, zeros + until, end - until)
         return end - start
 
     def access(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbol at each position, and how often it occurs before."""
         symbol, start, end = np.zeros_like(at), np.zeros_like(at), at
         for ones, zeros in zip(self.ones, self.zeros, strict=True):
-            one = ones[end + 1] > ones[end]
+            one = ones.bit(end)
             symbol = symbol << 1 | one
-            start = np.where(one, zeros + ones[start], start - ones[start])
-            end = np.where(one, zeros + ones[end], end - ones[end])
+            before, until = ones.rank(start), ones.rank(end)
+            start = np.where(one, zeros + before, start - before)
+            end = np.where(one, zeros + until, end - until)
         return symbol, end - start
 
 
@@ -86,7 +112,7 @@ class FMIndex:
         self.less = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n_symbols))]).astype(np.int64)
         self.tree = WaveletMatrix(text[order - 1], n_symbols)
         sampled = order % SAMPLE_EVERY == 0
-        self.marked = np.concatenate([[0], np.cumsum(sampled)])
+        self.marked = BitRank(sampled.astype(np.uint8))
         self.samples = order[sampled]
 
     def search(self, windows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,9 +130,9 @@ class FMIndex:
         """Where the suffixes of these rows start: steps back to the next sampled one."""
         at, steps = rows.copy(), np.zeros(len(rows), dtype=np.int64)
         while True:
-            walking = np.flatnonzero(self.marked[at + 1] == self.marked[at])
+            walking = np.flatnonzero(~self.marked.bit(at))
             if not len(walking):
-                return self.samples[self.marked[at]] + steps
+                return self.samples[self.marked.rank(at)] + steps
             symbol, before = self.tree.access(at[walking])
             at[walking] = self.less[symbol] + before
             steps[walking] += 1
@@ -122,23 +148,19 @@ class Phrases:
     items: list[list[str]]
 
     @staticmethod
-    def of(rows: list[tuple[str | None, bytes]], width: int = WINDOW) -> Phrases:
-        words = []
-        for _, text in rows:
-            found, _, _, _ = word_hashes([text], fold_table(NOT_ALNUM))
-            words.append(found)
-        vocabulary = np.unique(np.concatenate(words)) if words else np.zeros(0, dtype=np.uint64)
-        owners: dict[tuple[int, ...], set[str]] = {}
-        for (item, _), found in zip(rows, words, strict=True):
-            symbols = (np.searchsorted(vocabulary, found) + 2).tolist()
-            for k in range(max(1, len(symbols) - width + 1) if symbols else 0):
-                held = owners.setdefault(tuple(symbols[k : k + width]), set())
-                if item is not None:
-                    held.add(item)
+    def of(rows: list[tuple[bytes, str | None]], width: int) -> Phrases:
+        """Of (window, item) rows, a window being the hashes of its words."""
+        owners: dict[bytes, list[str]] = {}
+        for window, item in rows:
+            held = owners.setdefault(window, [])
+            if item is not None:
+                held.append(item)
+        lengths = np.array([len(w) // 8 for w in owners], dtype=np.int64)
+        words = np.frombuffer(b"".join(owners), dtype=np.uint64)
+        vocabulary, symbol = np.unique(words, return_inverse=True)
         windows = np.full((len(owners), width), END, dtype=np.int64)
-        for i, window in enumerate(owners):
-            windows[i, : len(window)] = window
-        return Phrases(vocabulary, windows, np.array([len(w) for w in owners], dtype=np.int64), [sorted(x) for x in owners.values()])
+        windows[np.arange(width) < lengths[:, None]] = symbol + 2
+        return Phrases(vocabulary, windows, lengths, [sorted(x) for x in owners.values()])
 
 
 def shard_text(hashes: np.ndarray, first: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
@@ -164,53 +186,130 @@ def shard_text(hashes: np.ndarray, first: np.ndarray, phrases: Phrases) -> tuple
     return text, word
 
 
-def find_hits(rows: list[bytes], blocks: Iterable[Phrases]) -> list[tuple[int, np.ndarray, list[str], list[tuple[int, int]]]]:
-    """Of each text in a shard: number of words, mask of hit words, items found, merged byte spans that hold hits.
+class Shard:
+    """Texts that are searched together: which of their words are hit, by which items."""
+
+    def __init__(self, rows: list[bytes]) -> None:
+        self.rows = rows
+        self.hashes, self.first, self.starts, self.ends = word_hashes(rows, fold_table(NOT_ALNUM))
+        self.covered = np.zeros(len(self.hashes), dtype=bool)
+        self.items: dict[int, set[str]] = {}
+
+    def search(self, phrases: Phrases) -> None:
+        """Builds the shard's index over the block's vocabulary and adds what it finds. The texts stay as they are, so the order of blocks doesn't count."""
+        text, word = shard_text(self.hashes, self.first, phrases)
+        if len(text) <= 2:
+            return
+        index = FMIndex(text, len(phrases.vocabulary) + 2)
+        low, high = index.search(phrases.windows, phrases.lengths)
+        found = np.flatnonzero(high > low)
+        if not len(found):
+            return
+        counts = (high - low)[found]
+        which = np.repeat(found, counts)
+        offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        at = word[index.locate(low[which] + offset)]
+        hit = np.zeros(len(self.hashes) + 1, dtype=np.int32)
+        np.add.at(hit, at, 1)
+        np.add.at(hit, at + phrases.lengths[which], -1)
+        self.covered |= np.cumsum(hit[:-1]) > 0
+        owner = np.searchsorted(self.first[:-1], at, side="right") - 1
+        for doc, window in np.unique(np.stack([owner, which]), axis=1).T.tolist():
+            self.items.setdefault(doc, set()).update(phrases.items[window])
+
+    def found(self) -> Iterator[tuple[int, int, list[str], list[tuple[int, int]]]]:
+        """Of each text: number of words, of hit words, items found, merged byte spans that hold hits."""
+        begin = np.cumsum([0, *(len(r) + 1 for r in self.rows)])
+        for i in range(len(self.rows)):
+            a, b = int(self.first[i]), int(self.first[i + 1])
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], self.covered[a:b].astype(np.int8), [0]])))
+            spans = [(int(self.starts[a + s] - begin[i]), int(self.ends[a + e - 1] - begin[i])) for s, e in edges.reshape(-1, 2)]
+            yield b - a, int(self.covered[a:b].sum()), sorted(self.items.get(i, ())), spans
+
+
+def find_hits(texts: list[bytes], blocks: Iterable[Phrases]) -> list[tuple[int, int, list[str], list[tuple[int, int]]]]:
+    """What Shard.found gives, of each text; each block is there once for all of them."""
+    shards, part, size = [], [], 0
+    for text in texts:
+        if part and size + len(text) > SHARD_BYTES:
+            shards.append(Shard(part))
+            part, size = [], 0
+        part.append(text)
+        size += len(text)
+    if part:
+        shards.append(Shard(part))
+    for phrases in blocks:
+        for shard in shards:
+            shard.search(phrases)
+    return [x for shard in shards for x in shard.found()]
+
+
+def item_windows(text: bytes, width: int) -> set[bytes]:
+    """The distinct windows of an item, each as the hashes of its words."""
+    hashes, _, _, _ = word_hashes([text], fold_table(NOT_ALNUM))
+    return {hashes[k : k + width].tobytes() for k in range(max(1, len(hashes) - width + 1))} if len(hashes) else set()
+
+
+def phrase_blocks(benchmark: DataFrame, width: int = WINDOW) -> list[str]:
+    """Files in the shared folder, each with the Phrases of some BLOCK_WINDOWS distinct rows (window, item).
 
-    All blocks are searched in the same texts, so the result doesn't depend on how the benchmark is dealt to blocks.
+    A row's block is drawn by both, so a window of very many items is in several blocks. A task that is run again writes other files; only those of the
+    attempt that counts are listed.
     """
-    hashes, first, starts, ends = word_hashes(rows, fold_table(NOT_ALNUM))
-    covered = np.zeros(len(hashes), dtype=bool)
-    items: dict[int, set[str]] = {}
-    for phrases in blocks:
-        hit = np.zeros(len(hashes) + 1, dtype=np.int64)
-        text, word = shard_text(hashes, first, phrases)
-        if len(text) > 2:
-            index = FMIndex(text, len(phrases.vocabulary) + 2)
-            low, high = index.search(phrases.windows, phrases.lengths)
-            found = np.flatnonzero(high > low)
-            counts = (high - low)[found]
-            if len(found):
-                which = np.repeat(found, counts)
-                offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                at = word[index.locate(low[which] + offset)]
-                np.add.at(hit, at, 1)
-                np.add.at(hit, at + phrases.lengths[which], -1)
-                owner = np.searchsorted(first[:-1], at, side="right") - 1
-                for doc, window in np.unique(np.stack([owner, which]), axis=1).T.tolist():
-                    items.setdefault(doc, set()).update(phrases.items[window])
-                covered |= np.cumsum(hit[:-1]) > 0
-    begin = np.cumsum([0, *(len(r) + 1 for r in rows)])
-    out = []
-    for i in range(len(rows)):
-        a, b = first[i], first[i + 1]
-        mask = covered[a:b]
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-        spans = [(int(starts[a + s] - begin[i]), int(ends[a + e - 1] - begin[i])) for s, e in edges.reshape(-1, 2)]
-        out.append((int(b - a), mask, sorted(items.get(i, ())), spans))
-    return out
-
-
-def phrase_blocks(benchmark: DataFrame, width: int = WINDOW) -> Iterator[Phrases]:
-    """Blocks of items of bounded size; one block, for any usual benchmark. Items of equal id may be in any block."""
-    rows: list[tuple[str | None, bytes]] = []
-    for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), payload().alias("text")).toLocalIterator():
-        rows.append((row["item_id"], bytes(row["text"])))
-        if len(rows) >= BLOCK_ITEMS:
-            yield Phrases.of(rows, width)
-            rows = []
-    if rows:
-        yield Phrases.of(rows, width)
+    folder = shared_folder(benchmark.sparkSession)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_parts(batch, 1):
+                for item, text in zip(part.column(0).to_pylist(), texts, strict=True):
+                    found = list(item_windows(text, width))
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([item] * len(found), pa.string())], ["window", "item"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes, str | None]] = []
+
+        def put() -> pa.RecordBatch:
+            path = f"{folder}/{uuid.uuid4().hex}.phrases"
+            fs, local = filesystem(path)
+            fs.create_dir(local.rpartition("/")[0], recursive=True)
+            with fs.open_output_stream(local, compression=None) as out:
+                found = Phrases.of([(w, i) for _, w, i in held], width)
+                out.write(pickle.dumps((found.vocabulary, found.windows, found.lengths, found.items)))
+            return pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[0] != held[0][0]:
+                    yield put()
+                    held = []
+                held.append(row)
+        if held:
+            yield put()
+
+    given = benchmark.select(F.col("item_id").cast("string").alias("item"), payload().alias("text"))
+    rows = cut(arrow_map(given, windows, "window binary, item string").distinct())
+    blocks = max(1, -(-rows.count() // BLOCK_WINDOWS))
+    dealt = rows.select(F.pmod(F.xxhash64("window", "item"), F.lit(blocks)).alias("block"), "window", "item").repartition(blocks, "block").sortWithinPartitions("block", "window", "item")
+    return sorted(r["path"] for r in cut(arrow_map(dealt, write, "path string")).collect())  # a name for each block
+
+
+def block_reader(paths: list[str]) -> Callable[[], Iterator[Phrases]]:
+    """In a task: the blocks, read one after the other; a single one is read once a task."""
+    only: list[Phrases] = []
+
+    def read(path: str) -> Phrases:
+        fs, local = filesystem(path)
+        with fs.open_input_file(local) as source:
+            return Phrases(*pickle.loads(source.read()))
+
+    def blocks() -> Iterator[Phrases]:
+        if len(paths) == 1:
+            only[:] = only or [read(paths[0])]
+            yield only[0]
+        else:
+            yield from map(read, paths)
+
+    return blocks
 
 
 HITS_SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
@@ -221,28 +320,28 @@ def search_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW)
 
     A window is `width` consecutive words of an item, or all words of a shorter one. Null and empty texts have no words; null
     items have no windows, items without an id only hit. Repeated items count once, repeated rows and null ids of documents
-    give a row each. An empty benchmark hits nothing. Nothing shuffles: every shard is searched where its texts are read.
+    give a row each. A very long text is a shard of its own; items that tie for a window are all found. An empty benchmark hits
+    nothing, an empty table gives no rows, other columns are not read. Of the documents nothing shuffles: every shard is searched where its texts are read.
     """
-    blocks = [share(docs.sparkSession, x) for x in phrase_blocks(benchmark, width)]
+    paths = phrase_blocks(benchmark, width)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        only = blocks[0]() if len(blocks) == 1 else None
+        kind, blocks = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), block_reader(paths)
         for batch in batches:
-            for part, rows in text_parts(batch, 1, SHARD_BYTES):
-                found = find_hits(rows, [only] if only else (block() for block in blocks))
+            for part, rows in text_parts(batch, 1, HOLD_BYTES):
+                found = find_hits(rows, blocks())
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.array([n for n, _, _, _ in found], pa.int64()),
-                        pa.array([int(mask.sum()) for _, mask, _, _ in found], pa.int64()),
+                        pa.array([hit for _, hit, _, _ in found], pa.int64()),
                         pa.array([items for _, _, items, _ in found], pa.list_(pa.string())),
                         pa.array([[{"start": a, "end": b} for a, b in spans] for _, _, _, spans in found], kind),
                     ],
                     ["doc_id", "n_words", "n_hit", "items", "spans"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), payload().alias("text")).mapInArrow(search, HITS_SCHEMA)
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), payload().alias("text")), search, HITS_SCHEMA)
 
 
 def remove_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -257,33 +356,31 @@ def remove_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """The documents, all columns kept, with hit words cut out of their texts, and __n_cut, the number of words cut.
 
-    Cuts are repeated while what is left holds a window again. Null texts stay null, documents without hits stay as they are; null ids
-    and repeated rows need no care, an empty table stays empty, an empty benchmark cuts nothing. Nothing shuffles.
+    All blocks of the benchmark are searched in the same text before it is cut; that is repeated while what is left holds a window again. Null
+    texts stay null, documents without hits stay as they are; null ids and repeated rows need no care, a very long text is a shard of its own, an
+    empty table stays empty, an empty benchmark cuts nothing. Of the documents nothing shuffles.
     """
-    blocks = [share(docs.sparkSession, x) for x in phrase_blocks(benchmark, width)]
-    columns = docs.columns
-    others = [c for c in columns if c != "text"]
-    kinds = ", ".join(["__one: int", *(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.select(*(f"`{c}`" for c in others)).schema)])
+    paths = phrase_blocks(benchmark, width)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = blocks[0]() if len(blocks) == 1 else None
+        blocks = block_reader(paths)
         for batch in batches:
-            for part, texts in text_parts(batch, 0, SHARD_BYTES):
+            for part, texts in text_parts(batch, 0, HOLD_BYTES):
                 dropped, todo = [0] * len(texts), [i for i, t in enumerate(texts) if t]
                 while todo:
                     changed = []
-                    for i, (_, mask, _, spans) in zip(todo, find_hits([texts[i] for i in todo], [only] if only else (block() for block in blocks)), strict=True):
+                    for i, (_, hit, _, spans) in zip(todo, find_hits([texts[i] for i in todo], blocks()), strict=True):
                         if spans:
                             texts[i] = remove_spans(texts[i], spans)
-                            dropped[i] += int(mask.sum())
+                            dropped[i] += hit
                             changed.append(i)
                     todo = changed
                 null = part.column(0).is_null().to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary(), mask=null), pa.array(dropped, pa.int64()), part.column(1)], ["__text", "__n_cut", "__row"])
 
-    row = F.struct(F.lit(0).alias("__one"), *(F.col(f"`{c}`") for c in others)).alias("__row")
-    out = docs.select(F.col("text").cast("binary").alias("__t"), row).mapInArrow(search, f"__text binary, __n_cut long, __row struct<{kinds}>")
-    return out.select(*(F.col("__text").cast("string").alias(c) if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in columns), "__n_cut")
+    row, field = packed_rows(docs)
+    schema = T.StructType().add("__text", "binary").add("__n_cut", "long").add(field)
+    return unpacked(arrow_map(docs.select(quoted("text").cast("binary").alias("__text"), row), search, schema), docs.columns, "__n_cut")
 
 
 def digest_hits(hits: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
-"""Helpers shared by the corpus operators: Arrow batches of texts, vectorised word hashing, shared folders."""
+"""Helpers shared by the corpus operators: Arrow batches of texts, vectorised word hashing, bounded samples, shared folders."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import pickle
 import tempfile
@@ -13,7 +15,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U64 = np.uint64
 #: Bytes of text that are hashed together; a longer document is hashed alone.
@@ -45,6 +49,53 @@ def text_parts(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) ->
         start = end
 
 
+#: Rows of a batch that goes to a Python worker, where the session has Spark's own default: 10,000 texts may be more than a worker should hold.
+BATCH_ROWS, DEFAULT_BATCH_ROWS = 2000, "10000"
+
+
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system. Workers are used again: without this they keep the most that any task took."""
+    _POWERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow in batches of BATCH_ROWS (a session's own setting goes first), whose workers give their memory back when a task ends."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == DEFAULT_BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def quoted(name: str) -> Column:
+    """A column by its plain name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed_rows(docs: DataFrame, leave: str = "text") -> tuple[Column, T.StructField]:
+    """All columns but `leave` as one struct __row, which travels through a worker as it is, and its field in a schema."""
+    others = docs.drop(leave).schema.fields
+    row = F.struct(F.lit(0).alias("__one"), *(quoted(f.name).alias(f.name) for f in others)).alias("__row")
+    return row, T.StructField("__row", T.StructType([T.StructField("__one", T.IntegerType()), *others]))
+
+
+def unpacked(out: DataFrame, columns: list[str], *more: str) -> DataFrame:
+    """The columns in their order from __row and __text, then `more`."""
+    row = F.col("__row")
+    return out.select(*(F.col("__text").cast("string").alias(c) if c == "text" else row.getField(c).alias(c) for c in columns), *more)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64)."""
     x = x ^ (x >> U64(30))
@@ -114,6 +165,24 @@ def short_hash(hashes: np.ndarray) -> np.uint64:
     return mix(np.array([U64(len(hashes)) + np.sum(hashes * WORD_FACTORS[: len(hashes)], dtype=np.uint64)], dtype=np.uint64))[0]
 
 
+def least_hashes(rows: DataFrame, group: str, order: str, k: int) -> dict[str | None, int]:
+    """Of each group the k-th least value of `order`, a hash (or its greatest, with fewer rows): what isn't above it is a sample of the group.
+
+    Tasks keep k rows a group before anything is shuffled, so a group of a third of all rows is no burden. A number a group is gathered.
+    """
+    place = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    least = rows.select(group, order).withColumn("__place", place).where(F.col("__place") <= k)
+    return {r[group]: r["bound"] for r in least.groupBy(group).agg(F.max(order).alias("bound")).collect()}
+
+
+def in_sample(group: str, order: str, bounds: dict[str | None, int]) -> Column:
+    """Whether a row is in the sample that least_hashes has found."""
+    named = [F.lit(x) for name, bound in bounds.items() if name is not None for x in (name, bound)]
+    bound = F.try_element_at(F.create_map(*named), F.coalesce(F.col(group), F.lit(""))) if named else F.lit(None).cast("long")
+    bound = F.when(F.col(group).isNull(), F.lit(bounds.get(None)).cast("long")).otherwise(bound)
+    return F.coalesce(F.col(order) <= bound, F.lit(False))
+
+
 def share(spark: SparkSession, value: object) -> Callable[[], object]:
     """Broadcasts an object with its class, which executors need not have installed; the function returns it in a task."""
     packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))

@@ -52,7 +52,7 @@ def test_against_brute_force(spark):
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     docs, items = documents(spark), bench(spark, [(k, t) for k, (_, t, *_) in enumerate(texts()[:6])])
     once = sorted(map(tuple, decontam.digest_hits(decontam.search_benchmark(docs, items)).collect()), key=repr)
-    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 2)
+    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 40)
     assert sorted(map(tuple, decontam.digest_hits(decontam.search_benchmark(docs, items)).collect()), key=repr) == once
 
 
@@ -76,6 +76,6 @@ def test_removal_by_blocks_of_items_gives_the_same(spark, monkeypatch):
     once = sorted((r.doc_id, r.text, r["__n_cut"]) for r in decontam.decontaminate(docs, items).collect())
     spans = sorted((r.doc_id, r.spans) for r in decontam.search_benchmark(docs, items).collect())
     assert [n for _, _, n in once] == [15, 25, 0, 0] and alnum_words(once[1][1]) == ["start", "end"]
-    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 1)
+    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 2)
     assert sorted((r.doc_id, r.text, r["__n_cut"]) for r in decontam.decontaminate(docs, items).collect()) == once
     assert sorted((r.doc_id, r.spans) for r in decontam.search_benchmark(docs, items).collect()) == spans
