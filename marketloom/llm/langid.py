@@ -1,20 +1,27 @@
-"""Language identification: nearest of several centroids per language, by cosine of TF-IDF n-gram vectors, with rejection by distance."""
+"""Language identification: nearest of several centroids per language, by cosine of TF-IDF n-gram vectors, with rejection by distance.
+
+Each language is clustered in a group of its own, from SAMPLE_PER_LANG rows at most, so a language more is a group more and none is left out.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marketloom.llm.text import payload, rows_of, share, text_parts
+from marketloom.llm.text import arrow_map, cut, in_sample, least_hashes, packed_rows, payload, quoted, share, text_parts, unpacked
 
 DIMS = 4096
-#: The classifier is fitted on a bounded sample: rows in all, and a language's share at most.
-SAMPLE_ROWS, SAMPLE_PER_LANG = 2000, 300
+#: The classifier is fitted on a bounded sample: rows of a language at most, those with the least hashes of their ids.
+SAMPLE_PER_LANG = 1000
+#: Languages that a task compares with at once; a model of more is broadcast in blocks, which are held one at a time.
+BLOCK_LANGS = 256
 CENTROIDS, ROUNDS = 4, 12
 #: Starts of clusters are taken at this share of the rows, not at the very farthest; clusters of a smaller share than LEAST_SHARE go.
 START_SHARE, LEAST_SHARE = 0.05, 0.02
@@ -129,80 +136,125 @@ def least_cosines(own: list[list[float]], every: list[list[float]]) -> np.ndarra
     return least
 
 
-def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], k: int = CENTROIDS) -> CentroidModel:
-    """A model of (language, counts, first trigrams in order)."""
-    if not samples:
-        return CentroidModel(np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), [], np.zeros((0, len(LENGTHS))))
-    counts = np.stack([c for _, c, _ in samples]).astype(np.float32)
-    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    x, lang = weighted(counts, idf), np.array([name for name, _, _ in samples])
-    del counts
-    centroids, langs, cosines = [], [], {}
-    for name in sorted(set(lang)):
-        rows = np.flatnonzero(lang == name)
-        found = cluster(x[rows], k)
-        cosines[str(name)] = held_out_cosines(x[rows], [samples[i][2] for i in rows], idf, k)
-        centroids.append(found)
-        langs += [str(name)] * len(found)
-    every = [[c for own in cosines.values() for c in own[i]] for i in range(len(LENGTHS))]
-    least = {name: least_cosines(own, every) for name, own in cosines.items()}
-    return CentroidModel(idf, np.concatenate(centroids).astype(np.float32), langs, np.stack([least[name] for name in langs]))
-
-
-def uniform(doc_id: Column, salt: int) -> Column:
-    """A repeatable number in [0, 1) for an id."""
-    return (F.xxhash64(doc_id, F.lit(salt)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))).cast("double")
-
-
-def train(docs: DataFrame, usable: Column) -> CentroidModel:
-    """A model from a bounded sample of the usable rows (a condition on doc_id) that have a text and a lang."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), payload().alias("text")).where(usable & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_ROWS // 10).collect()}
-    if not sizes:
-        return fit([])
-    share = min(SAMPLE_PER_LANG, SAMPLE_ROWS // len(sizes))
-    rate = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, share / n))))
-
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def fit_language(frame: pd.DataFrame, idf: np.ndarray, k: int = CENTROIDS) -> tuple[np.ndarray, list[list[float]]]:
+    """Centroids of one language, and cosines of held-out pieces, from its sampled rows (counts, head: bytes) in an order of their own."""
+    rows = sorted(zip(frame["counts"], frame["head"], strict=True))
+    x = weighted(np.stack([np.frombuffer(c, np.float32) for c, _ in rows]), idf)
+    return cluster(x, k), held_out_cosines(x, [np.frombuffer(h, np.uint16) for _, h in rows], idf, k)
+
+
+def assemble(found: list[tuple[str, np.ndarray, list[list[float]]]], idf: np.ndarray) -> CentroidModel:
+    """The model of (language, centroids, cosines) rows."""
+    found = sorted(found, key=lambda x: x[0])
+    every = [[c for _, _, own in found for c in own[i]] for i in range(len(LENGTHS))]
+    least = [least_cosines(own, every) for _, _, own in found]
+    centroids = [x for _, x, _ in found]
+    return CentroidModel(
+        idf,
+        np.concatenate(centroids).astype(np.float32) if found else np.zeros((0, DIMS), np.float32),
+        [name for name, x, _ in found for _ in x],
+        np.concatenate([np.tile(bound, (len(x), 1)) for bound, x in zip(least, centroids, strict=True)]) if found else np.zeros((0, len(LENGTHS))),
+    )
+
+
+def sampled_rows(docs: DataFrame, usable: Column, per_lang: int) -> DataFrame:
+    """(lang, counts, head) of the sample, written: trigram counts as float32 and the first trigrams of each text with a letter; equal texts of a language once."""
+    rows = docs.select(F.col("lang").cast("string").alias("lang"), payload().alias("text"), F.xxhash64(F.col("doc_id").cast("long"), F.lit(9)).alias("order"), F.coalesce(usable, F.lit(False)).alias("usable"))
+    rows = rows.where(F.col("usable") & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
+    bounds = least_hashes(rows, "lang", "order", per_lang)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(lang, x) for lang, x in ((lang, ngram_ids(t)) for lang, t in zip(batch.column(0).to_pylist(), rows_of(batch.column(1)), strict=True)) if x is not None]
-            counts = [np.minimum(counts_of(x), 65535).astype(np.uint16).tobytes() for _, x in found]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.string()), pa.array(counts, pa.binary()), pa.array([x[:HEAD].astype(np.uint16).tobytes() for _, x in found], pa.binary())], ["lang", "counts", "head"])
+            for part, texts in text_parts(batch, 1):
+                found = [(lang, x) for lang, x in zip(part.column(0).to_pylist(), map(ngram_ids, texts), strict=True) if x is not None]
+                counts = [counts_of(x).tobytes() for _, x in found]
+                heads = [x[:HEAD].astype(np.uint16).tobytes() for _, x in found]
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.string()), pa.array(counts, pa.binary()), pa.array(heads, pa.binary())], ["lang", "counts", "head"])
+
+    sample = rows.where(in_sample("lang", "order", bounds)).select("lang", "text").distinct()
+    return cut(arrow_map(sample, count, "lang string, counts binary, head binary"))
 
-    sample = rows.where(uniform(F.col("doc_id"), 9) < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(0.0))).select("lang", "text").mapInArrow(counts, "lang string, counts binary, head binary")
-    taken = sorted((r["lang"], bytes(r["counts"]), bytes(r["head"])) for r in sample.limit(2 * SAMPLE_ROWS).toLocalIterator())
-    return fit([(lang, np.frombuffer(c, np.uint16), np.frombuffer(h, np.uint16)) for lang, c, h in taken])
+
+def train(docs: DataFrame, usable: Column, per_lang: int = SAMPLE_PER_LANG) -> CentroidModel:
+    """A model from a bounded sample of the usable rows (a condition on doc_id) that have a text and a lang.
+
+    A language's rows are its per_lang with the least hashes of doc_id; null ids count as one id, repeated rows as one. Each language
+    is clustered by itself; its centroids (64 KB) and the cosines of its pieces (40 KB) are what the driver gathers of it.
+    """
+    sample = sampled_rows(docs, usable, per_lang)
+
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(DIMS, dtype=np.int64), 0
+        for batch in batches:
+            for counts in batch.column(0).to_pylist():
+                total += np.frombuffer(counts, np.float32) > 0
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "present"])
+
+    held, n = np.zeros(DIMS, dtype=np.int64), 0
+    for row in arrow_map(sample.select("counts"), present, "n long, present binary").collect():  # 32 KB a task of the sample
+        held, n = held + np.frombuffer(row["present"], np.int64), n + row["n"]
+    idf = (np.log((1 + n) / (1 + held)) + 1).astype(np.float32)
+
+    def fitted(key: tuple[str], frame: pd.DataFrame) -> pd.DataFrame:
+        centroids, cosines = fit_language(frame, idf)
+        return pd.DataFrame({"lang": [key[0]], "centroids": [centroids.astype(np.float32).tobytes()], "cosines": [cosines]})
+
+    rows = sample.groupBy("lang").applyInPandas(fitted, "lang string, centroids binary, cosines array<array<double>>").collect()
+    return assemble([(r["lang"], np.frombuffer(r["centroids"], np.float32).reshape(-1, DIMS), [list(x) for x in r["cosines"]]) for r in rows], idf)
+
+
+def blocks_of(model: CentroidModel, size: int = BLOCK_LANGS) -> list[CentroidModel]:
+    """Models of `size` languages each, at least one."""
+    langs = list(dict.fromkeys(model.langs))
+    out = []
+    for start in range(0, max(1, len(langs)), size):
+        names = set(langs[start : start + size])
+        rows = [i for i, name in enumerate(model.langs) if name in names]
+        out.append(CentroidModel(model.idf, model.centroids[rows], [model.langs[i] for i in rows], model.least[rows]))
+    return out
+
+
+def judge_texts(texts: list[bytes], blocks: list[Callable[[], CentroidModel]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, cosine and whether it is rejected, of each text; of blocks that give equal cosines the first counts."""
+    langs, scores, rejected = [UNKNOWN] * len(texts), np.full(len(texts), -1.0), np.ones(len(texts), dtype=bool)
+    for block in blocks:
+        model = block()
+        for start in range(0, len(texts), 256):
+            found = [(i, c) for i, c in ((i, ngram_counts(texts[i])) for i in range(start, min(start + 256, len(texts)))) if c is not None]
+            if found:
+                names, near, far = model.predict(np.stack([c for _, c in found]))
+                for (i, _), name, cosine, no in zip(found, names, near.tolist(), far.tolist(), strict=True):
+                    if cosine > scores[i]:
+                        langs[i], scores[i], rejected[i] = name, cosine, no
+    return langs, np.maximum(0.0, scores), rejected
 
 
 def identify(docs: DataFrame, model: CentroidModel) -> DataFrame:
     """The documents, all columns kept, with __lang_pred, __score (cosine) and __rejected.
 
     Null texts and texts without a letter get 'und', score 0 and are rejected, as are texts too far from every centroid. Rows
-    are judged alone: null ids and repeated rows need no care, an empty table stays empty. There is no shuffle;
-    the model that is broadcast has CENTROIDS vectors of DIMS numbers a language.
+    are judged alone: null ids and repeated rows need no care, an empty table stays empty. A text of any length is one vector of DIMS
+    counts; of centroids at equal cosines the first by language and cluster wins. There is no shuffle; the model has
+    CENTROIDS vectors of DIMS numbers a language and is broadcast in blocks of BLOCK_LANGS languages.
     """
-    shared = share(docs.sparkSession, model)
-    columns = docs.columns
-    others = [c for c in columns if c != "text"]
-    kinds = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.select(*(f"`{c}`" for c in others)).schema)
+    shared = [share(docs.sparkSession, x) for x in blocks_of(model)]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared()
+        if len(shared) == 1:
+            only = shared[0]()
+            blocks: list[Callable[[], CentroidModel]] = [lambda: only]
+        else:
+            blocks = shared
         for batch in batches:
             for part, texts in text_parts(batch, 0):
-                langs, scores, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
-                for start in range(0, len(texts), 256):
-                    found = [(i, c) for i, c in ((i, ngram_counts(texts[i])) for i in range(start, min(start + 256, len(texts)))) if c is not None]
-                    if found:
-                        at = [i for i, _ in found]
-                        names, near, far = model.predict(np.stack([c for _, c in found]))
-                        scores[at], rejected[at] = near, far
-                        for i, name in zip(at, names, strict=True):
-                            langs[i] = name
-                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected), part.column(0), part.column(1)], ["__lang_pred", "__score", "__rejected", "__text", "__row"])
-
-    out = docs.select(F.col("text").cast("binary").alias("__t"), F.struct(F.lit(0).alias("__one"), *(F.col(f"`{c}`") for c in others)).alias("__row")).mapInArrow(judge, f"__lang_pred string, __score double, __rejected boolean, __text binary, __row struct<__one: int, {kinds}>".replace(", >", ">"))
-    return out.select(*(F.col("__text").cast("string").alias(c) if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in columns), "__lang_pred", "__score", "__rejected")
+                langs, scores, rejected = judge_texts(texts, blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected), part.column(0), part.column(1)], schema.names)
+
+    row, field = packed_rows(docs)
+    schema = T.StructType().add("__lang_pred", "string").add("__score", "double").add("__rejected", "boolean").add("__text", "binary").add(field)
+    out = arrow_map(docs.select(quoted("text").cast("binary").alias("__t"), row), judge, schema)
+    return unpacked(out, docs.columns, "__lang_pred", "__score", "__rejected")
 
 
 def held_out(modulus: int, remainder: int) -> Column:
