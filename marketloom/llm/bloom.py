@@ -13,11 +13,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from marketloom.llm.text import U64, text_parts
+from marketloom.llm.text import U64, arrow_map, give_back, mix, text_parts
 
-#: The merged filter is broadcast; this bounds its size (2**28 bits are 32 MB).
-MAX_BITS, CHUNK_BITS, N_HASHES = 1 << 28, 1 << 19, 3
+#: Filters grow with the data, by ten bits a hash, up to this bound of what is broadcast (2**30 bits are 128 MB, for 100 million hashes);
+#: a task that builds has two of them.
+MAX_BITS, CHUNK_BITS, N_HASHES = 1 << 30, 1 << 19, 3
 CHUNK_BYTES = CHUNK_BITS // 8
 
 
@@ -44,34 +46,53 @@ def add(bits: np.ndarray, hashes: np.ndarray) -> None:
     np.bitwise_or.at(bits, byte.ravel(), mask.ravel())
 
 
-def twice_seen(texts: DataFrame, n_bits: int, hashes_of: Callable[[list[bytes]], np.ndarray]) -> np.ndarray:
-    """The filter, as bytes, of hashes that may occur twice. texts: one column; hashes_of gives the hashes of some texts, repeats included."""
+def seen_filter(texts: DataFrame, n_bits: int, hashes_of: Callable[[list[bytes]], np.ndarray], twice: bool = True) -> np.ndarray:
+    """The filter, as bytes, of hashes that may occur twice, or (twice: false) of all. texts: one column; hashes_of gives the hashes of some texts, repeats included."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(n_bits // 8, dtype=np.uint8), np.zeros(n_bits // 8, dtype=np.uint8)
+        once, again = np.zeros(n_bits // 8, dtype=np.uint8), np.zeros(n_bits // 8, dtype=np.uint8)
         for batch in batches:
             for _, rows in text_parts(batch, 0):
                 found, counts = np.unique(hashes_of(rows), return_counts=True)
                 if len(found):
-                    add(twice, found[(counts > 1) | holds(once, found)])
+                    add(again, found[(counts > 1) | holds(once, found)])
                     add(once, found)
         for i in range(n_bits // CHUNK_BITS):
-            a, b = (x[i * CHUNK_BYTES : (i + 1) * CHUNK_BYTES] for x in (once, twice))
+            a, b = (x[i * CHUNK_BYTES : (i + 1) * CHUNK_BYTES] for x in (once, again))
             if a.any():
                 yield pa.RecordBatch.from_pydict({"chunk": pa.array([i], pa.int32()), "once": [a.tobytes()], "twice": [b.tobytes()]})
 
     def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for frame in frames:
-            for chunk, once, twice in frame.itertuples(index=False):
-                a, b = np.frombuffer(once, np.uint8), np.frombuffer(twice, np.uint8)
+            for chunk, once, again in frame.itertuples(index=False):
+                a, b = np.frombuffer(once, np.uint8), np.frombuffer(again, np.uint8)
                 old = held.get(chunk)
                 held[chunk] = (a, b) if old is None else (old[0] | a, old[1] | b | (old[0] & a))
-        yield pd.DataFrame({"chunk": list(held), "twice": [x[1].tobytes() for x in held.values()]})
+        yield pd.DataFrame({"chunk": list(held), "bits": [x[twice].tobytes() for x in held.values()]})
+        held.clear()
+        give_back()
 
-    parts = texts.mapInArrow(build, "chunk int, once binary, twice binary")
-    merged = parts.repartition(max(1, n_bits // CHUNK_BITS // 8), "chunk").mapInPandas(merge, "chunk int, twice binary")
+    parts = arrow_map(texts, build, "chunk int, once binary, twice binary")
+    merged = parts.repartition(max(1, n_bits // CHUNK_BITS // 8), "chunk").mapInPandas(merge, "chunk int, bits binary")
     out = np.zeros((n_bits // CHUNK_BITS, CHUNK_BYTES), dtype=np.uint8)
     for row in merged.toLocalIterator():  # of bounded size: n_bits in all
-        out[row["chunk"]] = np.frombuffer(row["twice"], np.uint8)
+        out[row["chunk"]] = np.frombuffer(row["bits"], np.uint8)
     return out.ravel()
+
+
+def twice_seen(texts: DataFrame, n_bits: int, hashes_of: Callable[[list[bytes]], np.ndarray]) -> np.ndarray:
+    """The filter, as bytes, of hashes that may occur twice."""
+    return seen_filter(texts, n_bits, hashes_of)
+
+
+def among(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows whose long `column` may be in keys (a written table of that column): a join with the keys then moves few others."""
+    hashes_of = lambda parts: mix(np.frombuffer(b"".join(parts), ">u8").astype(np.uint64))
+    shared = rows.sparkSession.sparkContext.broadcast(seen_filter(keys.select(F.unhex(F.lpad(F.hex(column), 16, "0"))), filter_bits(keys.count()), hashes_of, False))
+
+    @F.pandas_udf("boolean")
+    def may(key: pd.Series) -> pd.Series:
+        return pd.Series(holds(shared.value, mix(key.fillna(0).to_numpy(np.int64).view(np.uint64))))
+
+    return rows.where(F.col(column).isNotNull()).where(may(column))

@@ -3,7 +3,8 @@
 1. Tasks build two filters of their lines' hashes, once-seen and twice-seen, which are merged (see bloom). Beyond some 25 million lines they
    fill up: more lines are suspected and shuffled, and results stay the same.
 2. Lines whose hash is in the merged twice-filter are suspected: (digest of the key, document) is shuffled, once for
-   each document. Counting confirms repeats exactly and finds the document that keeps the line.
+   each document. Counting confirms repeats exactly and finds the document that keeps the line. Counts combine before they are shuffled
+   and are written before they are joined, so that Spark can split the join for a line that a third of all documents hold.
 3. Documents that lose lines are rewritten; the others pass through.
 """
 
@@ -17,9 +18,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketloom.llm.bloom import filter_bits, holds, twice_seen
-from marketloom.llm.text import cut, payload, text_parts
+from marketloom.llm.text import arrow_map, cut, packed_rows, payload, quoted, text_parts, unpacked
 
 STRIP = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -59,14 +61,12 @@ def plan_line_drops(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) ->
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([xxhash.xxh3_128_digest(k) for _, k in found], pa.binary())], ["doc_id", "digest"])
 
-    # Rows for a line that every document holds are one a document; counting combines them before the shuffle.
-    suspected = cut(texts.mapInArrow(suspect, "doc_id long, digest binary"))
-    held = suspected.groupBy("digest").agg(F.count(F.lit(1)).alias("rows"), F.max("doc_id").alias("keeper")).where(F.col("rows") >= min_docs)
-    drops = suspected.join(held, "digest").select("digest", "doc_id", "keeper").distinct()
-    # Repeated rows of one document count once: the exact count of documents decides.
-    counted = drops.groupBy("digest").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
-    lost = drops.join(counted, "digest").where("doc_id < keeper")
-    return lost.groupBy("doc_id").agg(F.array_join(F.collect_list(F.hex("digest")), "").alias("digests"))
+    # A document and line once, dealt by both: repeated rows of a document count as one.
+    held = cut(arrow_map(texts, suspect, "doc_id long, digest binary").distinct())
+    repeated = held.groupBy("digest").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= min_docs)
+    lost = held.join(cut(repeated.select("digest", "keeper")), "digest").where("doc_id < keeper")
+    shared.unpersist()
+    return cut(lost.groupBy("doc_id").agg(F.array_join(F.collect_list(F.hex("digest")), "").alias("digests")))  # a document's own lines
 
 
 def drop_lines(text: bytes, digests: set[bytes], min_chars: int) -> tuple[list[bytes], int]:
@@ -84,13 +84,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     """The documents, all columns kept, without the lines that min_docs documents or more share, except in the largest doc_id.
 
     Adds __n_lines, __n_dropped and __kept_sha256. Null and empty texts are one empty line; a null text that loses
-    nothing stays null. Rows with a null doc_id are not counted as documents and stay as they are. Repeated rows of a doc_id
-    count as one document and all lose the same lines. Extra columns pass through. Empty tables give empty tables.
+    nothing stays null. A very long text or line is handled whole, by the worker that reads it. Rows with a null doc_id are not counted as
+    documents and stay as they are. Repeated rows of a doc_id count as one document and all lose the same lines; as ids differ
+    otherwise, there are no ties for the largest. Extra columns pass through. Empty tables give empty tables.
     """
-    columns = docs.columns
-    drops = plan_line_drops(docs, min_chars, min_docs).select(F.col("doc_id").alias("__drop_id"), F.col("digests").alias("__digests"))
-    # Only this join moves texts; the side of drops has a row a document.
-    joined = docs.join(drops, docs["doc_id"].cast("long") == F.col("__drop_id"), "left")
+    drops = plan_line_drops(docs, min_chars, min_docs).select(F.col("doc_id").cast("string").alias("__drop_id"), F.col("digests").alias("__digests"))
+    # Only this join moves texts; the side of drops has a row a document. Rows without an id join nothing: their texts spread them.
+    key = F.coalesce(quoted("doc_id").cast("long").cast("string"), F.concat(F.lit("text:"), F.md5(payload())))
+    joined = docs.withColumn("__key", key).join(drops, F.col("__key") == F.col("__drop_id"), "left")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,14 +105,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
                     lines.append(n)
                     dropped.append(n - len(keep))
                     digest.append(hashlib.sha256(joined_text).hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(texts, pa.binary()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(digest, pa.string()), part.column(2)],
-                    ["__text", "__n_lines", "__n_dropped", "__kept_sha256", "__row"],
-                )
-
-    # The row travels with its text, so no second join is needed.
-    others = [c for c in columns if c != "text"]
-    row = F.struct(*(F.col(f"`{c}`") for c in others)).alias("__row")
-    kinds = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.select(*(f"`{c}`" for c in others)).schema)
-    out = joined.select(F.col("text").cast("binary"), "__digests", row).mapInArrow(rewrite, f"__text binary, __n_lines long, __n_dropped long, __kept_sha256 string, __row struct<{kinds}>")
-    return out.select(*(F.col("__text").cast("string").alias("text") if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in columns), "__n_lines", "__n_dropped", "__kept_sha256")
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(digest, pa.string()), part.column(2)], schema.names)
+
+    row, field = packed_rows(docs)  # the row travels with its text, so no second join is needed
+    schema = T.StructType().add("__text", "binary").add("__n_lines", "long").add("__n_dropped", "long").add("__kept_sha256", "string").add(field)
+    out = arrow_map(joined.select(quoted("text").cast("binary").alias("__text"), "__digests", row), rewrite, schema)
+    return unpacked(out, docs.columns, "__n_lines", "__n_dropped", "__kept_sha256")
