@@ -1,4 +1,7 @@
-"""Connected components of an edge table, by alternating large and small stars."""
+"""Connected components of an edge table, by alternating large and small stars.
+
+The least neighbours are written before edges are joined to them, so that Spark can split the join for a node with very many edges.
+"""
 
 from __future__ import annotations
 
@@ -11,13 +14,13 @@ from marketloom.llm.text import cut, discard
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the least of its neighbourhood."""
     both = edges.union(edges.select("dst", "src"))
-    least = both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("least"))
+    least = cut(both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("least")))
     return both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("least").alias("dst")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the least of them."""
-    least = edges.groupBy("src").agg(F.min("dst").alias("least"))
+    least = cut(edges.groupBy("src").agg(F.min("dst").alias("least")))
     inner = edges.join(least, "src").where("dst <> least").select(F.col("dst").alias("src"), F.col("least").alias("dst"))
     return inner.union(least.select("src", F.col("least").alias("dst"))).distinct()
 

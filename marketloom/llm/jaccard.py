@@ -1,6 +1,7 @@
 """Jaccard join of word n-gram sets by signature trees.
 
-1. Sets. Documents of equal sets are one node, named by a 64-bit sum over its set. Shingles are ordered by their hashes.
+1. Sets. Documents of equal sets (by 128-bit digests of all shingles) are one node, numbered by one of its rows. Shingles are ordered by their
+   64-bit hashes, which stand for them: two that collide change a count by one.
 2. Prefixes. Two sets of n and m shingles that are similar enough share L(least of both) of the first n - ceil(threshold * n) + L(n) of the one
    and m - ceil(threshold * m) + L(m) of the other. Sets with too few shingles that are in another prefix too have no partner and are done.
 3. Keys. Of what is left all shingles are counted and ordered again, rare ones first. Similar sets share one of their first
@@ -11,6 +12,8 @@
 5. The rest. Where sets of different components share a key, they are joined by trees as
    well: sets of small components by cluster or key, sets that share one with a large component with all of that, in blocks.
    So every pair that may be linked is linked already or compared, and no task has more than two blocks.
+
+Counts of groups are written before rows are joined to them, so that Spark can split these joins for a shingle, key or component of very many sets.
 """
 
 from __future__ import annotations
@@ -19,19 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.llm.bloom import among
 from marketloom.llm.components import components
-from marketloom.llm.text import SPACE, U64, cut, fold_table, mix, payload, short_hash, text_parts, windows_of, word_hashes
+from marketloom.llm.text import SPACE, U64, arrow_map, cut, fold_table, mix, payload, short_hash, text_parts, windows_of, word_hashes
 
 SHINGLE, PERCENT = 5, 80
 #: Shared shingles at which a set meets others first; sets of a tree; sets of a large component.
 FIRST_KEYS, CHUNK_NODES, LARGE_NODES = 2, 2000, 500
 #: Shingles in a tree, all sets together.
 CHUNK_TOKENS = 4_000_000
-#: Ids that are broadcast at most.
-BROADCAST_ROWS = 2_000_000
 LEAF, FANOUT = 32, 8
 
 
@@ -48,12 +51,9 @@ def shingle_sets(rows: list[bytes], width: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def set_id(tokens: np.ndarray) -> int:
-    """A set's 64-bit name, the same for equal sets."""
-    if not len(tokens):
-        return 0
-    total = (int(np.sum(mix(tokens ^ U64(0x5851F42D4C957F2D)), dtype=np.uint64)) * 3 + len(tokens)) % 2**64
-    return total - 2**64 if total >= 2**63 else total
+def set_digest(tokens: np.ndarray) -> bytes:
+    """A set's 128-bit name; of no use for an empty set."""
+    return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -66,15 +66,15 @@ def more_shared(n: int) -> int:
 
 
 def prefixes(texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, node, prefix): size and name of every set, and once a task and set its longer prefix."""
+    """(row, doc_id, n, digest, prefix): number, size and name of every set, and once a task and set its longer prefix."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             for part, rows in text_parts(batch, 1):
                 sizes, names, held = [], [], []
                 for doc_id, tokens in zip(part.column(0).to_pylist(), shingle_sets(rows, width), strict=True):
-                    n, name = len(tokens), set_id(tokens)
+                    n, name = len(tokens), set_digest(tokens)
                     sizes.append(n)
                     names.append(name)
                     if doc_id is None or name in seen or not n:
@@ -82,20 +82,28 @@ def prefixes(texts: DataFrame, width: int, percent: int) -> DataFrame:
                     else:
                         held.append(tokens[: prefix_length(n, percent) + more_shared(n) - 1].view(np.int64))
                         seen.add(name)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(held, pa.list_(pa.int64()))], ["doc_id", "n", "node", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(held, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "prefix"])
+
+    made = arrow_map(texts.select("doc_id", "text"), make, "doc_id long, n long, digest binary, prefix array<long>")
+    return cut(made.withColumn("row", F.monotonically_increasing_id()))
+
 
-    return cut(texts.select("doc_id", "text").mapInArrow(make, "doc_id long, n long, node long, prefix array<long>"))
+def short_name() -> Column:
+    """56 bits of a set's digest."""
+    return F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long")
 
 
 def survivors(sets: DataFrame, percent: int) -> DataFrame:
-    """(node) of sets that may have a partner: enough shingles of their prefixes are in another prefix too."""
-    # Counting combines before its shuffle and the join's is one that Spark can split, so a shingle of very many sets is no burden.
-    rows = sets.where("prefix is not null").select("node", F.explode("prefix").alias("token"))
-    shared = rows.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
-    held = rows.join(shared, "token").groupBy("node").agg(F.count_distinct("token").alias("n_shared"))
-    sizes = sets.where("prefix is not null").groupBy("node").agg(F.max("n").alias("n"))
+    """(name) of sets that may have a partner: enough shingles of their prefixes are in another prefix too.
+
+    Sets whose short names collide count as one that is no larger than the least of them, and so survive rather than not.
+    """
+    rows = sets.where("prefix is not null").select(short_name().alias("name"), "n", "prefix")
+    tokens = rows.select("name", F.explode("prefix").alias("token"))
+    shared = cut(tokens.groupBy("token").agg(F.min("name").alias("low"), F.max("name").alias("high")).where("low <> high").select("token"))
+    held = tokens.join(shared, "token").groupBy("name").agg(F.count_distinct("token").alias("n_shared"))
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 10))
-    return held.join(sizes, "node").where(F.col("n_shared") >= least).select("node")
+    return held.join(rows.groupBy("name").agg(F.min("n").alias("n")), "name").where(F.col("n_shared") >= least).select("name")
 
 
 class SignatureTree:
@@ -232,33 +240,35 @@ def join_groups(sets: DataFrame, percent: int) -> DataFrame:
             yield emit()
 
     dealt = sets.select("key", "part", "node", "component", "left", "tokens").repartition("key", "part").sortWithinPartitions("key", "part")
-    return dealt.mapInArrow(run, "node long, root long")
+    return arrow_map(dealt, run, "node long, root long")
 
 
 def kept_sets(texts: DataFrame, left: DataFrame, width: int) -> DataFrame:
-    """(node, tokens) of the survivors (node, doc_id), each from that document; repeated rows of a doc_id give a row each.
+    """(node, tokens) of the survivors (node, digest, doc_id), each from that document; repeated rows of a doc_id give a row each.
 
-    Up to BROADCAST_ROWS ids of survivors are broadcast to find their texts; beyond, texts shuffle.
+    A Bloom filter of the survivors' ids keeps most other texts from being shuffled to the join.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, rows in text_parts(batch, 1):
-                out = [(node, tokens.view(np.int64)) for node, tokens in zip(part.column(0).to_pylist(), shingle_sets(rows, width), strict=True) if set_id(tokens) == node]
+            for part, rows in text_parts(batch, 2):
+                named = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), shingle_sets(rows, width), strict=True)
+                out = [(node, tokens.view(np.int64)) for node, digest, tokens in named if set_digest(tokens) == digest]
                 if out:  # else another row of the doc_id
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], ["node", "tokens"])
 
-    wanted = F.broadcast(left) if left.count() <= BROADCAST_ROWS else left
-    return cut(texts.join(wanted, "doc_id").select("node", "text").mapInArrow(make, "node long, tokens array<long>"))
+    joined = among(texts, "doc_id", left).join(left, "doc_id")
+    return cut(arrow_map(joined.select("node", "digest", "text"), make, "node long, tokens array<long>"))
 
 
 def keys_of(sets: DataFrame, percent: int) -> DataFrame:
     """(node, n, keys) of sets that may have a partner; n: its size; keys: the shingles among the first of the set, rare ones first, that another set has too."""
     rows = sets.select("node", F.explode("tokens").alias("token"))
-    times = rows.groupBy("token").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token", "times")
+    times = cut(rows.groupBy("token").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token", "times"))
     # Places in the order: the number of sets, then the hash; two shingles at one place only make a group larger.
     place = F.shiftleft(F.least("times", F.lit(65535)).cast("long"), 47).bitwiseOR(F.shiftrightunsigned("token", 17))
-    held = rows.join(times, "token").distinct().groupBy("node").agg(F.array_sort(F.collect_list(place)).alias("held"))  # a set's own shingles only
+    own = F.array_sort(F.collect_set(F.struct(place.alias("place"), "token")))  # a set's own shingles only, once each
+    held = rows.join(times, "token").groupBy("node").agg(own["place"].alias("held"))
     sizes = sets.select("node", F.size("tokens").alias("n")).distinct()
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("held"))  # shingles of one set only come before
     return cut(held.join(sizes, "node").where(first > 0).select("node", "n", F.slice("held", F.lit(1), first.cast("int")).alias("keys")))
@@ -277,7 +287,7 @@ def grouped(rows: DataFrame, sets: DataFrame, component: str = "null") -> DataFr
 def first_links(sets: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
     """Links among sets that meet at one of their first keys; a group beyond CHUNK_NODES is dealt to parts, other keys deal otherwise."""
     rows = keys.select("node", "n", F.explode(F.slice("keys", 1, FIRST_KEYS)).alias("key"))
-    parts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), chunks().alias("parts")).where("size > 1")
+    parts = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), chunks().alias("parts")).where("size > 1"))
     dealt = rows.join(parts, "key").select("key", F.pmod(F.xxhash64("node", "key"), "parts").alias("part"), "node")
     return join_groups(grouped(dealt, sets), percent)
 
@@ -285,27 +295,27 @@ def first_links(sets: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
 def label(keys: DataFrame, links: DataFrame) -> DataFrame:
     """(node, n, component, size) of every set with keys as linked so far; size: sets of its component."""
     found = components(links.select(F.col("root").alias("src"), F.col("node").alias("dst")))
-    placed = keys.select("node", "n").join(found, "node", "left").select("node", "n", F.coalesce("root", "node").alias("component"))
-    return cut(placed.join(placed.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component"))
+    placed = cut(keys.select("node", "n").join(found, "node", "left").select("node", "n", F.coalesce("root", "node").alias("component")))
+    return cut(placed.join(cut(placed.groupBy("component").agg(F.count(F.lit(1)).alias("size"))), "component"))
 
 
 def last_links(sets: DataFrame, keys: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Links among sets of different components that share a key."""
     rows = keys.select("node", F.explode("keys").alias("key")).join(labels, "node")
-    mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    mixed = cut(rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"))
     open_rows = cut(rows.join(mixed, "key"))
     # What shares keys directly or by others is a cluster; as one group, each of its sets moves once.
     small = open_rows.where(F.col("size") <= LARGE_NODES)
-    star = small.join(small.groupBy("key").agg(F.min("node").alias("least")), "key").select(F.col("least").alias("src"), F.col("node").alias("dst")).distinct()
+    star = small.join(cut(small.groupBy("key").agg(F.min("node").alias("least"))), "key").select(F.col("least").alias("src"), F.col("node").alias("dst")).distinct()
     clusters = components(star).withColumnRenamed("root", "cluster")
     clusters = cut(clusters.join(labels.select("node", "n"), "node"))
-    clusters = clusters.select("node", "cluster").join(clusters.groupBy("cluster").agg(chunks().alias("cluster_parts")), "cluster")
+    clusters = clusters.select("node", "cluster").join(cut(clusters.groupBy("cluster").agg(chunks().alias("cluster_parts"))), "cluster")
     placed = cut(small.join(clusters, "node"))
     whole = placed.where("cluster_parts = 1").select(F.col("cluster").alias("key"), "node", "component", F.lit(-1).cast("long").alias("part")).distinct()
     # Clusters of several parts: a group for each key; keys with the same sets are one group, as a passage has many.
     rest = placed.where("cluster_parts > 1")
     groups = rest.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("name"), F.min("component").alias("low"), F.max("component").alias("high"), chunks().alias("blocks"))
-    groups = groups.where("low <> high").groupBy("members", "name", "blocks").agg(F.min("key").alias("key"))
+    groups = cut(groups.where("low <> high").groupBy("members", "name", "blocks").agg(F.min("key").alias("key")))
     dealt = rest.join(groups, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     # Each two blocks of a group meet in a part.
     dealt = dealt.select("key", "node", "component", F.col("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
@@ -315,8 +325,9 @@ def last_links(sets: DataFrame, keys: DataFrame, labels: DataFrame, percent: int
     # A set that shares a key with a larger component asks all of that. Sets of large components ask those that are larger still.
     large = open_rows.where(F.col("size") > LARGE_NODES).select("key", F.col("component").alias("target"), F.col("size").alias("target_size")).distinct()
     asks = cut(open_rows.join(large, "key").where(F.struct("size", "component") < F.struct("target_size", "target")).select("node", "n", "target").distinct())
-    asked_sets = labels.join(asks.select("target").distinct(), F.col("component") == F.col("target"))
+    asked_sets = labels.join(cut(asks.select("target").distinct()), F.col("component") == F.col("target"))
     counts = asks.groupBy("target").agg(chunks().alias("asking")).join(asked_sets.groupBy("target").agg(chunks().alias("asked")), "target")
+    counts = cut(counts)
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     queries = asks.join(counts, "target").select(F.col("target").alias("key"), "node", F.pmod(F.xxhash64("node"), "asking").alias("a"), each("asked").alias("b"), F.lit(True).alias("left"))
     asked = asked_sets.join(counts, "target").select(F.col("target").alias("key"), "node", F.pmod(F.xxhash64("node"), "asked").alias("b"), each("asking").alias("a"), F.lit(False).alias("left"))
@@ -329,22 +340,25 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = PER
     """(doc_id, n_shingles, component_id) of every row: the size of its set and the smallest doc_id that links reach.
 
     Two sets are linked when 100 * |both| >= percent * |either|. Null and empty texts have an empty set and are linked with nothing;
-    equal sets are linked. Rows with a null doc_id get a null component and link nothing; repeated rows of a doc_id are one
-    document each and share their components if their texts do. An empty table gives none, other columns are not read.
+    equal sets are linked, sets exactly at the threshold too. Rows with a null doc_id get a null component and link nothing; repeated rows of a
+    doc_id are one document each and share their components if their texts do. The set of a very long text is whole. An empty table gives
+    none, other columns are not read.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), payload().alias("text"))
     sets = prefixes(texts, width, percent)
     known = sets.where("doc_id is not null and n > 0")
-    names = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    kept = kept_sets(texts, cut(survivors(known, percent).join(names, "node")), width)
+    nodes = cut(known.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id")))
+    left = nodes.withColumn("name", short_name()).join(survivors(known, percent), "name").select("node", "digest", "doc_id")
+    kept = kept_sets(texts, cut(left), width)
     keys = keys_of(kept, percent)
     first = cut(first_links(kept, keys, percent))
     links = first.union(cut(last_links(kept, keys, label(keys, first), percent)))
     forest = components(links.select(F.col("root").alias("src"), F.col("node").alias("dst")))
-    least = forest.join(names, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_node = forest.join(least, "root").select(F.col("node").alias("__node"), "component_id")
-    alone = names.select(F.col("node").alias("__name"), F.col("doc_id").alias("__least"))
-    # One row a node on the right; a node of many copies is a hot key, whose rows have three numbers.
-    result = sets.select("doc_id", "n", "node").join(alone, F.col("node") == F.col("__name"), "left").join(of_node, F.col("node") == F.col("__node"), "left")
-    own = F.when(F.col("n") > 0, F.coalesce("component_id", "__least")).otherwise(F.col("doc_id"))
+    placed = cut(forest.join(nodes, "node"))
+    least = cut(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    found = nodes.select("node", "digest", "doc_id").join(placed.select("node", "root").join(least, "root"), "node", "left")
+    # A row a set on the right; a set of many copies is a hot key that Spark can split.
+    named = cut(found.select("digest", F.coalesce("component_id", "doc_id").alias("component_id")))
+    result = sets.select("doc_id", "n", "digest").join(named, "digest", "left")
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
