@@ -16,7 +16,7 @@ from marketloom.llm.langid import held_out, identify, train
 from marketloom.llm.line_dedup import dedup_lines
 from marketloom.llm.mixing import document_key, mix_documents
 from marketloom.llm.queries import MIX_FRACTION, MIX_TARGETS, table
-from marketloom.llm.text import cut
+from marketloom.llm.text import cut, quoted
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -25,33 +25,46 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters or too far from every centroid go; a missing lang is filled with the prediction."""
+    """Documents without letters or too far from every centroid go, null and empty texts among them; a missing lang is filled with the prediction.
+
+    Rows are judged alone, so repeated rows and null ids need no care; of languages at equal cosines the first wins; a very long text is one vector.
+    """
     judged = identify(docs, train(docs, ~held_out(3, 1))).where(~F.col("__rejected"))
     lang = F.coalesce("lang", "__lang_pred")
-    return judged.withColumn("lang", lang).select(*(f"`{c}`" for c in docs.columns))
+    return judged.withColumn("lang", lang).select(*map(quoted, docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that three documents or more share stay in the one with the largest doc_id only."""
-    return measured(dedup_lines(docs).select(*(f"`{c}`" for c in docs.columns)))
+    """Lines that three documents or more share stay in the one with the largest doc_id only.
+
+    Repeated rows of a doc_id lose the same lines, rows with a null id none; a null text stays null, a very long text or line is handled whole.
+    """
+    return measured(dedup_lines(docs).select(*map(quoted, docs.columns)))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays. Rows of one doc_id stay or go together,
-    equal ones once; rows with a null doc_id stay."""
+    equal ones once; rows with a null doc_id stay, as do null and empty texts. Pairs exactly at the threshold are near duplicates; a very long text is compared whole."""
     keep = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
     kept = docs.join(keep, docs["doc_id"].cast("long") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where("doc_id is null"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words inside any occurrence of a benchmark window are cut out."""
+    """Words inside any occurrence of a benchmark window are cut out, until none is left; no document goes.
+
+    Null texts stay null; repeated rows and null ids need no care; a very long text is searched whole.
+    """
     clean = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return measured(clean.select(*(f"`{c}`" for c in docs.columns)))
+    return measured(clean.select(*map(quoted, docs.columns)))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are drawn, with topic, n_tokens, weight and probability (which replace columns of these names). Rows of one doc_id are drawn together."""
+    """The documents that are drawn, with topic, n_tokens, weight and probability (which replace columns of these names).
+
+    Rows of one doc_id are drawn together, rows without one by their text; null and empty texts have no tokens and are drawn by the fraction; a very long
+    text is drawn or not as one.
+    """
     mixed = mix_documents(docs, MIX_TARGETS, MIX_FRACTION).where("sampled").groupBy(F.col("key").alias("__key"))
     mixed = cut(mixed.agg(*(F.first(c).alias(c) for c in ("topic", "n_tokens", "weight", "probability"))))
     clash = [c for c in ("topic", "n_tokens", "weight", "probability") if c in docs.columns]
