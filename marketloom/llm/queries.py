@@ -26,7 +26,7 @@ URL_RULES = [
     ("block", "org", "/es/"),
 ]
 
-#: Equal shares of the sources, 40 % English, equal shares of the topics; half of all tokens are sampled.
+#: Equal shares of the sources, 40 % English, rare topics lifted; half of all tokens are sampled.
 MIX_TARGETS = Targets(source={f"src{k}": 1.0 for k in range(20)}, lang={"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2})
 MIX_FRACTION = 0.5
 

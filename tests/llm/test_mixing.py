@@ -1,5 +1,8 @@
+import struct
+
 import numpy as np
 import pytest
+import xxhash
 from cases import alnum_words, documents, texts
 from pyspark.sql import functions as F
 
@@ -25,13 +28,13 @@ def test_raking_meets_targets():
     rng = np.random.default_rng(2)
     tokens = rng.integers(1, 1000, (4, 3, 5)).astype(float)
     targets = [x / x.sum() for x in (rng.uniform(1, 2, 4), rng.uniform(1, 2, 3), rng.uniform(1, 2, 5))]
-    cells = Cells([[], [], []], tokens, targets)
+    cells = Cells([[], [], []], np.indices(tokens.shape).reshape(3, -1), tokens.ravel(), targets)
     factor = mixing.rake(cells, tokens.sum())
     for share, wanted in zip(mixing.achieved(cells, factor), targets):
         assert np.allclose(share, wanted, atol=1e-7)
-    assert np.allclose(tokens * factor, classical(tokens, targets), rtol=1e-6)
+    assert np.allclose(tokens * factor.reshape(tokens.shape), classical(tokens, targets), rtol=1e-6)
     capped = mixing.rake(cells, tokens.sum() * 0.5, 1.0)
-    assert capped.max() <= 1 and abs((tokens * capped).sum() / tokens.sum() - 0.5) < 0.05
+    assert capped.max() <= 1 and abs((cells.tokens * capped).sum() / tokens.sum() - 0.5) < 0.05
 
 
 def test_documents(spark):
@@ -56,7 +59,10 @@ def test_margins_and_sample_of_a_corpus(spark):
     targets = Targets(source={f"src{k}": 1.0 for k in range(20)}, lang={"en": 0.55, "de": 0.15, "es": 0.15, "fr": 0.15})
     found = mixing.mix_documents(docs, targets, 0.3).cache()
     total = found.agg(F.sum("n_tokens")).first()[0]
-    for name, wanted in (("source", {f"src{k}": 0.05 for k in range(20)}), ("lang", targets.lang), ("topic", targets.topic)):
+    share = {r.topic: r.n / total for r in found.groupBy("topic").agg(F.sum("n_tokens").alias("n")).collect() if r.topic}
+    lifted = {k: x**0.5 / sum(y**0.5 for y in share.values()) for k, x in share.items()}
+    assert len(share) == mixing.TOPICS and max(share.values()) < 0.6
+    for name, wanted in (("source", {f"src{k}": 0.05 for k in range(20)}), ("lang", targets.lang), ("topic", lifted)):
         for r in found.groupBy(name).agg(F.sum(F.col("n_tokens") * F.col("probability")).alias("p"), F.sum(F.when(F.col("sampled"), F.col("n_tokens"))).alias("s")).collect():
             if r[name] is not None:
                 assert r.p / total / 0.3 == pytest.approx(wanted[r[name]], rel=1e-4)
@@ -66,5 +72,46 @@ def test_margins_and_sample_of_a_corpus(spark):
 def test_bounds():
     with pytest.raises(ValueError):
         Targets(source={"a": -1.0}, lang={})
-    with pytest.raises(ValueError):
-        Targets(source={str(k): 1.0 for k in range(200_000)}, lang={"en": 1.0})
+    assert len(Targets(source={str(k): 1.0 for k in range(200_000)}, lang={"en": 1.0}).source) == 200_000  # only cells that have tokens are kept
+
+
+def test_against_brute_force(spark):
+    """Topics, cells, weights and draws of the registered query's targets in plain Python, with the model that was learnt."""
+    from marketloom.llm.queries import MIX_FRACTION, MIX_TARGETS
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = mixing.learn_topics(docs, MIX_TARGETS.lang)
+    want, tokens = [], {}
+    for r in docs.collect():
+        words = alnum_words(r.text)
+        group = f"={r.lang}" if r.lang in MIX_TARGETS.lang else ""
+        topic = None
+        if words:
+            counts = np.zeros(4096, dtype=np.float32)
+            for w in words:
+                counts[int(mixing.word_hashes([w.encode()], mixing.fold_table(mixing.NOT_ALNUM))[0][0]) >> 52] += 1
+            x = np.sqrt(counts) * model.idf
+            x = x / np.linalg.norm(x) - model.means[group]
+            near = [float(np.dot(c, x / np.linalg.norm(x))) for c in model.centroids[group]]
+            topic = str(max(range(len(near)), key=lambda k: (round(near[k], 6), -k)))
+            cell = (r.source if r.source in MIX_TARGETS.source else None, r.lang if r.lang in MIX_TARGETS.lang else None, topic)
+            tokens[cell] = tokens.get(cell, 0) + len(words)
+        want.append((r.doc_id, r.source, r.lang, topic, len(words)))
+    found = mixing.mix_documents(docs, MIX_TARGETS, MIX_FRACTION).collect()
+    assert sorted(map(repr, ((r.doc_id, r.source, r.lang, r.topic, r.n_tokens) for r in found))) == sorted(map(repr, want))
+    assert len({r.topic for r in found}) > 3
+    dense = np.zeros([21, 5, 9])
+    at = [{x: k for k, x in enumerate(mixing.named_values(MIX_TARGETS, n))} for n in mixing.DIMENSIONS]
+    for cell, n in tokens.items():
+        dense[tuple(a.get(x, len(a)) for a, x in zip(at, cell))] = n
+    profile = mixing.profiles(docs, MIX_TARGETS.lang, model)
+    cells = mixing.gather_cells(profile, MIX_TARGETS)
+    assert {tuple(a): n for a, n in zip(cells.at.T.tolist(), cells.tokens.tolist())} == {a: dense[a] for a in map(tuple, np.argwhere(dense > 0).tolist())}
+    exact = classical(dense, cells.targets)
+    for r in found:
+        cell = tuple(a.get(getattr(r, n), len(a)) for a, n in zip(at, mixing.DIMENSIONS))
+        if r.n_tokens:
+            assert r.weight == pytest.approx(exact[cell] / dense[cell], rel=1e-3, abs=1e-6)
+        first = xxhash.xxh64_intdigest(r.key.encode(), seed=42)
+        draw = (xxhash.xxh64_intdigest(struct.pack("<i", 17), seed=first) & ((1 << 52) - 1)) / (1 << 52)
+        assert r.sampled == (draw < r.probability)
