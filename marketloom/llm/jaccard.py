@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.bloom import among
+from marketloom.llm.bloom import may_be_in
 from marketloom.llm.components import components
 from marketloom.llm.text import SPACE, U64, arrow_map, cut, fold_table, mix, payload, short_hash, text_parts, windows_of, word_hashes
 
@@ -257,7 +257,7 @@ def kept_sets(texts: DataFrame, left: DataFrame, width: int) -> DataFrame:
                 if out:  # else another row of the doc_id
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], ["node", "tokens"])
 
-    joined = among(texts, "doc_id", left).join(left, "doc_id")
+    joined = texts.where(may_be_in("doc_id", left)).join(left, "doc_id")
     return cut(arrow_map(joined.select("node", "digest", "text"), make, "node long, tokens array<long>"))
 
 

@@ -1,6 +1,6 @@
 """Language identification: nearest of several centroids per language, by cosine of TF-IDF n-gram vectors, with rejection by distance.
 
-Each language is clustered in a group of its own, from SAMPLE_PER_LANG rows at most, so a language more is a group more and none is left out.
+Each language is clustered in a group of its own, from some SAMPLE_PER_LANG rows, so a language more is a group more and none is left out.
 """
 
 from __future__ import annotations
@@ -9,16 +9,16 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketloom.llm.text import arrow_map, cut, in_sample, least_hashes, packed_rows, payload, quoted, share, text_parts, unpacked
+from marketloom.llm.text import arrow_map, cut, in_sample, packed_rows, payload, quoted, sample_bounds, share, text_parts, unpacked
 
 DIMS = 4096
-#: The classifier is fitted on a bounded sample: rows of a language at most, those with the least hashes of their ids.
+#: The classifier is fitted on a bounded sample: about so many rows of a language, those with the least hashes.
 SAMPLE_PER_LANG = 1000
 #: Languages that a task compares with at once; a model of more is broadcast in blocks, which are held one at a time.
 BLOCK_LANGS = 256
@@ -159,9 +159,9 @@ def assemble(found: list[tuple[str, np.ndarray, list[list[float]]]], idf: np.nda
 
 def sampled_rows(docs: DataFrame, usable: Column, per_lang: int) -> DataFrame:
     """(lang, counts, head) of the sample, written: trigram counts as float32 and the first trigrams of each text with a letter; equal texts of a language once."""
-    rows = docs.select(F.col("lang").cast("string").alias("lang"), payload().alias("text"), F.xxhash64(F.col("doc_id").cast("long"), F.lit(9)).alias("order"), F.coalesce(usable, F.lit(False)).alias("usable"))
+    rows = docs.select(F.col("lang").cast("string").alias("lang"), payload().alias("text"), F.col("doc_id").cast("long").alias("id"), F.coalesce(usable, F.lit(False)).alias("usable"))
     rows = rows.where(F.col("usable") & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
-    bounds = least_hashes(rows, "lang", "order", per_lang)
+    bounds = sample_bounds(rows, "lang", per_lang)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,14 +171,14 @@ def sampled_rows(docs: DataFrame, usable: Column, per_lang: int) -> DataFrame:
                 heads = [x[:HEAD].astype(np.uint16).tobytes() for _, x in found]
                 yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.string()), pa.array(counts, pa.binary()), pa.array(heads, pa.binary())], ["lang", "counts", "head"])
 
-    sample = rows.where(in_sample("lang", "order", bounds)).select("lang", "text").distinct()
+    sample = rows.where(in_sample("lang", F.xxhash64("id", "text", F.lit(9)), bounds)).select("lang", "text").distinct()
     return cut(arrow_map(sample, count, "lang string, counts binary, head binary"))
 
 
 def train(docs: DataFrame, usable: Column, per_lang: int = SAMPLE_PER_LANG) -> CentroidModel:
     """A model from a bounded sample of the usable rows (a condition on doc_id) that have a text and a lang.
 
-    A language's rows are its per_lang with the least hashes of doc_id; null ids count as one id, repeated rows as one. Each language
+    A language's rows are about per_lang, with the least hashes of id and text; repeated rows and equal texts count once. Each language
     is clustered by itself; its centroids (64 KB) and the cosines of its pieces (40 KB) are what the driver gathers of it.
     """
     sample = sampled_rows(docs, usable, per_lang)

@@ -15,7 +15,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -165,22 +164,17 @@ def short_hash(hashes: np.ndarray) -> np.uint64:
     return mix(np.array([U64(len(hashes)) + np.sum(hashes * WORD_FACTORS[: len(hashes)], dtype=np.uint64)], dtype=np.uint64))[0]
 
 
-def least_hashes(rows: DataFrame, group: str, order: str, k: int) -> dict[str | None, int]:
-    """Of each group the k-th least value of `order`, a hash (or its greatest, with fewer rows): what isn't above it is a sample of the group.
+def sample_bounds(rows: DataFrame, group: str, k: int) -> dict[str | None, int]:
+    """Of each group a bound so that about k of its rows have a uniform 64-bit hash at most as high. A number a group is gathered, nothing is sorted."""
+    return {r[group]: int(-(2**63) + min(1.0, k / r["count"]) * (2**64 - 1)) for r in rows.groupBy(group).count().collect()}
 
-    Tasks keep k rows a group before anything is shuffled, so a group of a third of all rows is no burden. A number a group is gathered.
-    """
-    place = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    least = rows.select(group, order).withColumn("__place", place).where(F.col("__place") <= k)
-    return {r[group]: r["bound"] for r in least.groupBy(group).agg(F.max(order).alias("bound")).collect()}
 
-
-def in_sample(group: str, order: str, bounds: dict[str | None, int]) -> Column:
-    """Whether a row is in the sample that least_hashes has found."""
+def in_sample(group: str, order: Column, bounds: dict[str | None, int]) -> Column:
+    """Whether a row is in the sample of its group: `order` is a hash of what tells rows apart, so that equal rows are in or out together."""
     named = [F.lit(x) for name, bound in bounds.items() if name is not None for x in (name, bound)]
     bound = F.try_element_at(F.create_map(*named), F.coalesce(F.col(group), F.lit(""))) if named else F.lit(None).cast("long")
     bound = F.when(F.col(group).isNull(), F.lit(bounds.get(None)).cast("long")).otherwise(bound)
-    return F.coalesce(F.col(order) <= bound, F.lit(False))
+    return F.coalesce(order <= bound, F.lit(False))
 
 
 def share(spark: SparkSession, value: object) -> Callable[[], object]:
