@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.text import U64, arrow_map, give_back, mix, text_parts
@@ -86,13 +86,14 @@ def twice_seen(texts: DataFrame, n_bits: int, hashes_of: Callable[[list[bytes]],
     return seen_filter(texts, n_bits, hashes_of)
 
 
-def among(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """The rows whose long `column` may be in keys (a written table of that column): a join with the keys then moves few others."""
+def may_be_in(column: str, keys: DataFrame) -> Column:
+    """Whether a long column's value may be in keys (a written table of that column), never false for one that is: what isn't needs no shuffle."""
     hashes_of = lambda parts: mix(np.frombuffer(b"".join(parts), ">u8").astype(np.uint64))
-    shared = rows.sparkSession.sparkContext.broadcast(seen_filter(keys.select(F.unhex(F.lpad(F.hex(column), 16, "0"))), filter_bits(keys.count()), hashes_of, False))
+    found = seen_filter(keys.select(F.unhex(F.lpad(F.hex(column), 16, "0"))), filter_bits(keys.count()), hashes_of, False)
+    shared = keys.sparkSession.sparkContext.broadcast(found)
 
     @F.pandas_udf("boolean")
     def may(key: pd.Series) -> pd.Series:
-        return pd.Series(holds(shared.value, mix(key.fillna(0).to_numpy(np.int64).view(np.uint64))))
+        return key.notna() & holds(shared.value, mix(key.fillna(0).to_numpy(np.int64).view(np.uint64)))
 
-    return rows.where(F.col(column).isNotNull()).where(may(column))
+    return may(column)

@@ -132,7 +132,7 @@ ORACLE = {
         reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, y FROM reach JOIN links ON r = x)
         SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
         FROM (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) LEFT JOIN sizes USING (doc_id)""",
-    "op7_suffix_dedup": """
+    "op7_suffix_dedup": rf"""
         WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
         strings AS (SELECT doc_id, i, hash(substr(x, 2 * i + 1, 800)) AS g FROM texts, unnest(range(0, greatest(0, len(x) // 2 - 399))) AS t(i)),
         repeated AS (SELECT doc_id, i FROM strings WHERE g IN (SELECT g FROM strings GROUP BY g HAVING count(*) > 1)),
@@ -141,10 +141,14 @@ ORACLE = {
         runs AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM numbered GROUP BY doc_id, run),
         parts AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS start FROM runs),
         kept AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(x, 2 * start + 1, 2 * (a - start)), '' ORDER BY a) AS before
-          FROM parts JOIN texts USING (doc_id) GROUP BY doc_id)
+          FROM parts JOIN texts USING (doc_id) GROUP BY doc_id),
+        words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{SQL_UPPER}', '{SQL_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        grams AS (SELECT doc_id, i, hash(array_to_string(w[i : i + 50], ' ')) AS g FROM words, unnest(range(1, greatest(0, len(w) - 50) + 1)) AS t(i)),
+        again AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM grams WHERE g IN (SELECT g FROM grams GROUP BY g HAVING count(*) > 1)),
+        passages AS (SELECT doc_id, sum(least(51, coalesce(next - i, 51)))::BIGINT AS n_passage_words FROM again GROUP BY doc_id)
         SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
-               sha256(unhex(coalesce(before, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
-        FROM texts LEFT JOIN kept USING (doc_id)""",
+               sha256(unhex(coalesce(before, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256, coalesce(n_passage_words, 0) AS n_passage_words
+        FROM texts LEFT JOIN kept USING (doc_id) LEFT JOIN passages USING (doc_id)""",
     "op8_decontamination": rf"""
         WITH item_words AS (
           SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), '{SQL_UPPER}', '{SQL_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark

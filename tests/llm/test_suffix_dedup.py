@@ -3,7 +3,7 @@ import random
 from collections import Counter
 
 import pytest
-from cases import documents, texts
+from cases import documents, space_words, texts
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -33,11 +33,18 @@ def _runs(t: bytes, times: Counter, length: int) -> int:
     return runs
 
 
-def check(spark, rows, length):
-    found = suffix_dedup.dedup_strings(documents(spark, [(i, t, None, None) for i, t in rows]), length).collect()
+def passages(texts: list[str | None], n: int) -> list[int]:
+    """Words of each text that n repeated words cover."""
+    words = [space_words(t) for t in texts]
+    times = Counter(tuple(w[k : k + n]) for w in words for k in range(len(w) - n + 1))
+    return [len({p for k in range(len(w) - n + 1) if times[tuple(w[k : k + n])] > 1 for p in range(k, k + n)}) for w in words]
+
+
+def check(spark, rows, length, passage=suffix_dedup.PASSAGE):
+    found = suffix_dedup.dedup_strings(documents(spark, [(i, t, None, None) for i, t in rows]), length, passage).collect()
     data = [(t or "").encode() for _, t in rows]
-    want = Counter((i, len(d), *b) for (i, _), d, b in zip(rows, data, brute(data, length)))
-    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == want
+    want = Counter((i, len(d), *b, p) for (i, _), d, b, p in zip(rows, data, brute(data, length), passages([t for _, t in rows], passage)))
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage_words) for r in found) == want
 
 
 @pytest.mark.parametrize("most", [50_000, 3])
@@ -48,12 +55,12 @@ def test_against_brute_force(spark, monkeypatch, most):
     passage = word(300)
     rows = [(k, word(rng.randrange(0, 200)) + passage[rng.randrange(60) : rng.randrange(100, 300)] + word(rng.randrange(200))) for k in range(40)]
     rows += [(50, "ab" * 200), (51, "a" * 150), (52, passage), (53, passage), (54, None), (55, ""), (None, passage[:80]), (56, word(70) * 2)]
-    for length in (40, 64, 101):
-        check(spark, rows, length)
+    for length, passage in ((40, 9), (64, 12), (101, 30)):
+        check(spark, rows, length, passage)
 
 
 def test_production_length_and_awkward_rows(spark):
-    check(spark, [(i, t) for i, t, *_ in texts() if i != 400], 400)
+    check(spark, [(i, t) for i, t, *_ in texts()], 400)  # the longest text too
     assert suffix_dedup.dedup_strings(documents(spark, [])).count() == 0
     with pytest.raises(ValueError):
         suffix_dedup.dedup_strings(documents(spark), 20)
@@ -69,7 +76,8 @@ def test_columns_find_repeats(parts):
     import numpy as np
 
     distinct = sorted({(f, min(a, len(f))) for f, (_, a) in zip(fragments, parts)})
-    marks = suffix_dedup.repeated_columns(np.zeros(len(distinct), dtype=np.int32), [f for f, _ in distinct], np.array([a for _, a in distinct]), length, k)
+    units = suffix_dedup.Units(length, k, False, length)
+    marks = suffix_dedup.repeated_columns(np.zeros(len(distinct), dtype=np.int32), [np.frombuffer(f, np.uint8) for f, _ in distinct], np.array([a for _, a in distinct]), units)
     for j, (f, a) in enumerate(distinct):
         for s in range(len(f) - length + 1):
             string, place = f[s : s + length], a - s
