@@ -10,17 +10,19 @@ import base64
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.text import cut, filesystem, payload, shared_folder
+from marketloom.llm.text import arrow_map, cut, filesystem, payload, shared_folder, text_parts
 
 MAGIC = b"\x1f\x8b\x08"
 #: An archive is closed and the next begun beyond so many bytes; ranges of a reading task; bytes of a batch of records.
 FILE_BYTES, RANGE_BYTES, BATCH_BYTES = 256 << 20, 4 << 20, 8 << 20
+#: Compressed bytes that are inflated at a time.
+STEP_BYTES = 1 << 16
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 
 
@@ -71,30 +73,45 @@ def is_member(data: bytes, at: int) -> bool:
     return found is not None or (len(head) == 65536 and head.startswith(b"WARC/"))
 
 
+def inflated(data: memoryview, at: int, more: Callable[[], bytes]) -> tuple[bytes, int] | None:
+    """The member that starts at `at` and its compressed bytes; what lies beyond the data comes from `more`. None if it breaks off. Taken in steps, so nothing behind the member is copied."""
+    unpack, parts, used = zlib.decompressobj(31), [], 0
+    while not unpack.eof:
+        step = bytes(data[at + used : at + used + STEP_BYTES]) or more()
+        if not step:
+            return None
+        parts.append(unpack.decompress(step))
+        used += len(step) - len(unpack.unused_data)
+    return b"".join(parts), used
+
+
 def records_in_range(source, start: int, end: int, size: int) -> Iterator[tuple[int, bytes]]:
     """(offset, inflated record) of each member that starts at start or later, and before end."""
     source.seek(start)
     data = source.read(min(end + 65536, size) - start)  # enough to validate a candidate at the range's end
-    at = 0
+    view, at, after = memoryview(data), 0, start + len(data)
+
+    def beyond() -> bytes:  # only the last record of the range reaches there
+        nonlocal after
+        source.seek(after)
+        found = source.read(min(RANGE_BYTES, size - after)) if after < size else b""
+        after += len(found)
+        return found
+
     while (at := data.find(MAGIC, at)) >= 0 and start + at < end:
         if not is_member(data, at):
             at += 1
             continue
-        unpack, parts, after = zlib.decompressobj(31), [], start + len(data)
+        after = start + len(data)
         try:
-            parts.append(unpack.decompress(data[at:]))
-            while not unpack.eof and after < size:  # only the last record of the range: it reaches beyond
-                source.seek(after)
-                more = source.read(min(RANGE_BYTES, size - after))
-                after += len(more)
-                parts.append(unpack.decompress(more))
+            found = inflated(view, at, beyond)
         except zlib.error:
             at += 1  # it only looked like a member
             continue
-        if not unpack.eof:
+        if found is None:
             return  # the archive breaks off in this record
-        yield start + at, b"".join(parts)
-        at = after - len(unpack.unused_data) - start
+        yield start + at, found[0]
+        at += found[1]
 
 
 RECORD_SCHEMA = "path string, offset long, record_type string, target_uri string, record_id string, refers_to_id string, payload_bytes long, payload_digest string, payload binary"
@@ -142,7 +159,7 @@ def read_warc(files: DataFrame, range_bytes: int = RANGE_BYTES, with_payload: bo
                     yield flush(rows)
 
     ranges = files.where("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
-    return ranges.repartition(files.sparkSession.sparkContext.defaultParallelism * 4).mapInArrow(scan, RECORD_SCHEMA)
+    return arrow_map(ranges.repartition(files.sparkSession.sparkContext.defaultParallelism * 4), scan, RECORD_SCHEMA)
 
 
 def write_warc(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -153,15 +170,16 @@ def write_warc(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> D
     files; only files of the attempt that counts are listed, and the list is written to the folder before it is used.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload("html").alias("body")).withColumn("sha1", F.sha1("body"))
-    first = rows.groupBy("sha1").agg(F.min("page_id").alias("first_id"))
+    # Written, so that Spark can split the join for a payload that very many pages have.
+    first = cut(rows.groupBy("sha1").agg(F.min("page_id").alias("first_id")))
     joined = rows.join(first, "sha1").select("page_id", "url", "body", "sha1", "first_id")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs = out = None
         done, path, size, count = [], "", 0, 0
         try:
-            for batch in batches:
-                for page_id, url, body, sha1, first_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, bodies in (x for batch in batches for x in text_parts(batch, 2)):
+                for page_id, url, body, sha1, first_id in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), bodies, part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
                     if out is None:
                         path, size, count = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
                         fs, local = filesystem(path)
@@ -182,13 +200,15 @@ def write_warc(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> D
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], ["path", "size", "records"])
 
-    return cut(joined.mapInArrow(write, "path string, size long, records long"))
+    return cut(arrow_map(joined, write, "path string, size long, records long"))
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each page, from archives written to the shared folder and read back.
 
-    A null html is an empty payload; a null url leaves the target out; null ids come back as null. An empty table gives no rows.
+    A null html is an empty payload; a null url leaves the target out; null ids come back as null. Repeated rows are a record each: of pages that tie for the
+    smallest page_id of a payload, all are responses. A very long html is one record, which the task that owns its start reads to its end. Pages of one
+    payload are dealt to several tasks. An empty table gives no rows, other columns are not read.
     """
     files = write_warc(pages, shared_folder(spark))
     number = lambda c: F.when(F.col(c).rlike("^urn:page:-?[0-9]+$"), F.substring(c, 10, 30)).cast("long")
