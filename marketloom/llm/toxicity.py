@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.text import payload, rows_of, share, text_parts
+from marketloom.llm.text import arrow_map, cut, payload, share, text_parts
 
 #: N-grams hash to so many buckets; the model keeps the most telling of them.
 BUCKET_BITS, ORDERS, FEATURES = 20, (5, 6), 8192
@@ -90,28 +90,37 @@ def sample_labels(labels: DataFrame, usable: Column, bound: int = SAMPLE_ROWS) -
     return rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column) -> ToxicModel:
-    """A model of the usable rows (a condition on doc_id) among the labels; without any, all scores are next to 0."""
-    spark = docs.sparkSession
-    # The sample has SAMPLE_ROWS rows of two numbers at most: it is broadcast, so texts don't shuffle to find their labels.
-    sample = sample_labels(labels, usable)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), payload().alias("text")).join(F.broadcast(sample), "doc_id").select("toxic", "text")
-    # Only the sample's texts are moved, to few tasks that count.
-    texts = texts.repartition(6)
+def bucket_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Toxic and clean documents that have each bucket, and how many there are. texts: toxic, text. Tasks send what they have counted, at most a row a bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = np.zeros((2, 1 << BUCKET_BITS), dtype=np.int32), [0, 0]
-        for batch in batches:
-            for toxic, text in zip(batch.column(0).to_pylist(), rows_of(batch.column(1)), strict=True):
+        held, n = np.zeros((2, 1 << BUCKET_BITS), dtype=np.uint32), [0, 0]
+        for part, rows in (x for batch in batches for x in text_parts(batch, 1)):
+            for toxic, text in zip(part.column(0).to_pylist(), rows, strict=True):
                 n[toxic] += 1
                 held[toxic, np.unique(np.concatenate(bucket_ids(text)))] += 1
-        yield pa.RecordBatch.from_pydict({"clean": pa.array([n[0]], pa.int64()), "toxic": pa.array([n[1]], pa.int64()), "counts": pa.array([held.astype(np.uint16).tobytes()], pa.binary())})
+        at = np.flatnonzero(held.any(axis=0))
+        buckets = np.append(at, -1)  # -1: the documents themselves
+        yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), *(pa.array(np.append(held[k, at].astype(np.int64), n[k])) for k in (1, 0))], ["bucket", "toxic", "clean"])
+
+    sums = arrow_map(texts, count, "bucket int, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    found = sums.toArrow()  # 2**BUCKET_BITS rows at most
+    bucket, toxic, clean = (found.column(k).to_numpy() for k in range(3))
+    totals = [np.zeros(1 << BUCKET_BITS, dtype=np.int64) for _ in range(2)]
+    real = bucket >= 0
+    totals[0][bucket[real]], totals[1][bucket[real]] = toxic[real], clean[real]
+    return totals[0], totals[1], int(toxic[~real].sum()), int(clean[~real].sum())
 
-    total, n_clean, n_toxic = np.zeros((2, 1 << BUCKET_BITS), dtype=np.int64), 0, 0
-    for row in texts.mapInArrow(count, "clean long, toxic long, counts binary").toLocalIterator():
-        total += np.frombuffer(row["counts"], np.uint16).reshape(2, -1)
-        n_clean, n_toxic = n_clean + row["clean"], n_toxic + row["toxic"]
-    chosen, ratio = choose_features(total[1], total[0], n_toxic, n_clean)
+
+def train(docs: DataFrame, labels: DataFrame, usable: Column) -> ToxicModel:
+    """A model of the usable rows (a condition on doc_id) among the labels; without any, all scores are next to 0. Of repeated rows of an id, the least text counts."""
+    spark = docs.sparkSession
+    # The sample has SAMPLE_ROWS rows of two numbers at most: it is broadcast, so texts don't shuffle to find their labels.
+    sample = sample_labels(labels, usable)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), payload().alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = cut(texts.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text"))  # only the sample's texts are moved
+    n_toxic_in, n_clean_in, n_toxic, n_clean = bucket_counts(texts)
+    chosen, ratio = choose_features(n_toxic_in, n_clean_in, n_toxic, n_clean)
     slot = np.full(1 << BUCKET_BITS, -1, dtype=np.int32)
     slot[chosen] = np.arange(len(chosen))
     model = ToxicModel(slot, ratio, np.zeros(len(ratio)), -60.0)
@@ -119,11 +128,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> ToxicModel:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.present(t).astype(np.int16).tobytes() for t in rows_of(batch.column(1))], pa.binary())], ["toxic", "features"])
+        for part, rows in (x for batch in batches for x in text_parts(batch, 1)):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([model.present(t).astype(np.int16).tobytes() for t in rows], pa.binary())], ["toxic", "features"])
 
-    rows = [(r["toxic"], bytes(r["features"])) for r in texts.mapInArrow(features, "toxic int, features binary").toLocalIterator()]
-    rows.sort()
+    found = arrow_map(texts, features, "toxic int, features binary").toArrow()  # SAMPLE_ROWS rows of FEATURES numbers at most
+    rows = sorted(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
     if rows:
         model.weight, model.bias = fit_linear([np.frombuffer(f, np.int16).astype(np.int64) for _, f in rows], np.array([t for t, _ in rows], dtype=float), ratio)
     return model
@@ -133,7 +142,8 @@ def score_texts(docs: DataFrame, model: ToxicModel, threshold: float = 0.3) -> D
     """(doc_id, score, predicted) of every row, the score being the probability of a toxic label.
 
     Null and empty texts have no features and get the score of the bias. Rows are scored alone: null ids and repeated rows
-    need no care, an empty table gives none, other columns are not read. There is no shuffle; the model has a fixed size.
+    need no care, an empty table gives none, other columns are not read. A very long text is scored by all of its n-grams; a score of just the
+    threshold counts as toxic. There is no shuffle; the model has a fixed size.
     """
     shared = share(docs.sparkSession, model)
 
@@ -149,4 +159,4 @@ def score_texts(docs: DataFrame, model: ToxicModel, threshold: float = 0.3) -> D
             found = np.array(scores, dtype=np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), pa.array((found >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), payload().alias("text")).mapInArrow(judge, "doc_id long, score double, predicted int")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), payload().alias("text")), judge, "doc_id long, score double, predicted int")
