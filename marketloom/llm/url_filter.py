@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from marketloom.llm.text import share
+from marketloom.llm.text import arrow_map, share
 
-#: Rules that are broadcast at most; a trie of so many takes some 100 MB.
-MAX_RULES = 500_000
+#: Rules of a trie; more are dealt to several, which tasks hold one after the other. One of so many takes some 100 MB.
+BLOCK_RULES = 500_000
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -34,8 +34,6 @@ class UrlTrie:
     """
 
     def __init__(self, rules: list[tuple[str, str, str]]) -> None:
-        if len(rules) > MAX_RULES:
-            raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are broadcast")
         self.root: list = [{}, None]
         for verdict, host, path in sorted(rules, key=lambda r: r[0] != "block"):  # allow is put last and so wins a tie
             if verdict not in ("allow", "block"):
@@ -48,9 +46,14 @@ class UrlTrie:
             at, (*whole, partial) = node[1], path.split("/")
             for segment in whole:
                 at = at[0].setdefault(segment, [{}, {}])
-            at[1][partial] = (verdict, host + path)
+            at[1][partial] = (verdict, host + path, (len(host), len(path), verdict == "allow"))
 
     def match(self, host: str, path: str) -> tuple[str, str] | None:
+        found = self.ranked(host, path)
+        return found and found[:2]
+
+    def ranked(self, host: str, path: str) -> tuple[str, str, tuple] | None:
+        """Verdict, rule and its rank among rules that fit."""
         best, node = None, self.root
         trail = [node]
         for label in reversed(host.split(".")):
@@ -83,20 +86,24 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: st
     """(page_id, host, path, rule, verdict) of every row; `default` is the verdict where no rule fits.
 
     A null url has an empty host and path and gets the default verdict. Rows are judged alone: repeated rows
-    and null ids give a row each, an empty table gives none, other columns are not read.
-    The trie is broadcast; the number of rules is checked against MAX_RULES. There is no shuffle.
+    and null ids give a row each, an empty table gives none, other columns are not read. A very long url is matched whole; of rules
+    with one host and path, allow wins. Tries of BLOCK_RULES rules each are broadcast and asked one after the other; the longest
+    match of all wins, so their number doesn't count. There is no shuffle.
     """
-    shared = share(pages.sparkSession, UrlTrie(rules))
+    shared = [share(pages.sparkSession, UrlTrie(rules[k : k + BLOCK_RULES])) for k in range(0, max(1, len(rules)), BLOCK_RULES)]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = shared()
+        only = shared[0]() if len(shared) == 1 else None
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for url in batch.column(1).to_pylist():
-                host, path = split_url(url)
-                found = trie.match(host, path)
-                for column, value in zip(out, (host, path, found and found[1], found[0] if found else default), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.string()) for x in out)], ["page_id", "host", "path", "rule", "verdict"])
-
-    return pages.selectExpr(f"cast(`{id_column}` as long) as page_id", f"cast(`{url_column}` as string) as url").mapInArrow(judge, SCHEMA)
+            split = [split_url(url) for url in batch.column(1).to_pylist()]
+            best: list[tuple[str, str, tuple] | None] = [None] * len(split)
+            for trie in [only] if only else (block() for block in shared):
+                for k, (host, path) in enumerate(split):
+                    found = trie.ranked(host, path)
+                    if found and (best[k] is None or found[2] > best[k][2]):
+                        best[k] = found
+            columns = [[x[0] for x in split], [x[1] for x in split], [x and x[1] for x in best], [x[0] if x else default for x in best]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.string()) for x in columns)], ["page_id", "host", "path", "rule", "verdict"])
+
+    rows = pages.selectExpr(f"cast(`{id_column}` as long) as page_id", f"cast(`{url_column}` as string) as url")
+    return arrow_map(rows, judge, SCHEMA)

@@ -35,3 +35,14 @@ def test_rows(spark):
     assert filter_urls(rows.limit(0), URL_RULES).count() == 0
     with pytest.raises(ValueError):
         UrlTrie([("maybe", "com", "/")])
+
+
+def test_many_rules_are_dealt_to_several_tries(spark, monkeypatch):
+    from marketloom.llm import url_filter
+
+    urls = ["http://a.com/en/1", "http://example.com/en/71", "http://x.net/de/", "http://example.net/de/80", "http://b.org/es/", None]
+    rows = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    rules = [*URL_RULES, ("block", "example.com", "/en/7"), ("block", "net", "/de/")]
+    once = sorted(map(tuple, filter_urls(rows, rules).collect()))
+    monkeypatch.setattr(url_filter, "BLOCK_RULES", 2)
+    assert sorted(map(tuple, filter_urls(rows, rules).collect())) == once and once[1][-1] == once[2][-1] == "allow"
