@@ -11,10 +11,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from marketloom.llm.text import payload, rows_of, text_parts
+from marketloom.llm.text import arrow_map, payload, text_parts
 
 MAX_CODES = 4096
-#: Files of larger canvases (pixels) are not decoded.
+#: Canvases of more pixels than a task can hold are not composed; such a file gets a row that says so.
 MAX_CANVAS = 1 << 26
 #: Fixed values of the query's stored form: samples are padded to a multiple of BLOCK, frames are WIDTH samples wide and high at most.
 BLOCK, WIDTH, DELAY_CS = 576, 96, 4
@@ -181,14 +181,20 @@ def _deinterlace(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def decode_gif(data: bytes) -> Iterator[Frame]:
-    """The frames in order, with palettes, transparency and disposal applied. A file that breaks off gives its whole frames; one that isn't GIF or is larger than MAX_CANVAS, none."""
+def file_status(data: bytes) -> str:
+    """"ok", "no gif" or "canvas too large"."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
+        return "no gif"
+    pixels = int.from_bytes(data[6:8], "little") * int.from_bytes(data[8:10], "little")
+    return "ok" if pixels <= MAX_CANVAS else "canvas too large"
+
+
+def decode_gif(data: bytes) -> Iterator[Frame]:
+    """The frames in order, with palettes, transparency and disposal applied. A file that breaks off gives its whole frames; one whose status isn't "ok", none."""
+    if file_status(data) != "ok":
         return
     width, height = int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little")
     at, common = 13, None
-    if width * height > MAX_CANVAS:
-        return
     if data[10] & 0x80:
         n = 2 << (data[10] & 7)
         if len(data) < at + 3 * n:
@@ -269,37 +275,44 @@ def frames_of(samples: bytes) -> list[np.ndarray]:
     return [rows[i : i + WIDTH] for i in range(0, len(rows), WIDTH)]
 
 
+FRAME_NAMES = ["id", "status", "frame", "start_ms", "delay_ms", "width", "height", "histogram"]
+FRAME_SCHEMA = "id long, status string, frame int, start_ms long, delay_ms long, width int, height int, histogram array<long>"
+
+
 def decoded_frames(media: DataFrame, id_column: str = "doc_id", media_column: str = "media") -> DataFrame:
-    """A row for each frame of each GIF: (id, frame, start_ms, delay_ms, width, height, histogram of eight bins).
+    """A row for each frame of each GIF: (id, status, frame, start_ms, delay_ms, width, height, histogram of eight bins).
 
-    Frames are numbered from 0 and start when the delays before them end. Null, empty and foreign bytes give no rows.
+    Frames are numbered from 0 and start when the delays before them end; their status is ok. Null, empty and foreign bytes, files without a
+    whole frame and those of a canvas beyond MAX_CANVAS give one row without a frame, whose status says why, so no file is lost.
     """
+    types = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, data in zip(batch.column(0).to_pylist(), rows_of(batch.column(1)), strict=True):
+        for part, files in (x for batch in batches for x in text_parts(batch, 1)):
+            for key, data in zip(part.column(0).to_pylist(), files, strict=True):
                 out, start = [], 0
                 for k, frame in enumerate(decode_gif(data)):
-                    out.append((key, k, start * 10, frame.delay_cs * 10, frame.canvas.shape[1], frame.canvas.shape[0], colour_histogram(frame.canvas).tolist()))
+                    out.append((key, "ok", k, start * 10, frame.delay_cs * 10, frame.canvas.shape[1], frame.canvas.shape[0], colour_histogram(frame.canvas).tolist()))
                     start += frame.delay_cs
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())), strict=True)], FRAME_NAMES)
+                if not out:
+                    status = file_status(data)
+                    out.append((key, status if status != "ok" else "no whole frame", *[None] * 6))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], FRAME_NAMES)
 
-    return media.selectExpr(f"cast(`{id_column}` as long) id", f"`{media_column}` media").mapInArrow(decode, "id long, frame int, start_ms long, delay_ms long, width int, height int, histogram array<long>")
+    return arrow_map(media.selectExpr(f"cast(`{id_column}` as long) id", f"cast(`{media_column}` as binary) media"), decode, FRAME_SCHEMA)
 
 
-FRAME_NAMES = ["id", "frame", "start_ms", "delay_ms", "width", "height", "histogram"]
-MEDIA_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, duration_ms long, histogram array<long>"
+MEDIA_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, duration_ms long, histogram array<long>, frames array<struct<start_ms: long, delay_ms: long, histogram: array<long>>>"
+MEDIA_NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "duration_ms", "histogram", "frames"]
 
 
 def media_features(docs: DataFrame) -> DataFrame:
     """Stores every whole text as an animated GIF and reads the stored bytes back; digests and features of each.
 
-    `feature` has the number of frames, the duration in ms and the colour histogram summed over the shown canvases.
-    Null and empty texts are one block of padding. Rows are independent: repeated rows and null ids
-    give a row each, an empty table gives none, other columns are not read. There is no shuffle.
+    `frames` has each frame's start, delay and colour histogram of the canvas that it shows; `feature` has the number of frames, the duration in ms and
+    the histograms' sum. Null and empty texts are one block of padding; a very long text has more frames, of one size. Rows are
+    independent: repeated rows and null ids give a row each, an empty table gives none, other columns are not read. There is no shuffle and nothing to tie.
     """
-    names = [x.split()[0] for x in MEDIA_SCHEMA.split(", ")]
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         palette = colour_palette()
@@ -308,21 +321,22 @@ def media_features(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(part.column(0).to_pylist(), texts, strict=True):
                 media = encode_gif(frames_of(pack_samples(text)), palette)
                 back, crc, total, tail = hashlib.sha256(), 0, 0, b""
-                histogram, duration, n_frames = np.zeros(8, dtype=np.int64), 0, 0
+                histogram, duration, frames = np.zeros(8, dtype=np.int64), 0, []
                 for frame in decode_gif(media):
                     samples = frame.indices.tobytes()
                     back.update(samples)
                     total += len(samples)
                     tail = (tail + samples)[-32:]
-                    histogram += colour_histogram(frame.canvas)
+                    shown = colour_histogram(frame.canvas)
+                    histogram += shown
+                    frames.append({"start_ms": duration, "delay_ms": frame.delay_cs * 10, "histogram": shown.tolist()})
                     duration += frame.delay_cs * 10
-                    n_frames += 1
                 crc = zlib.crc32(tail)
                 counts = histogram.tolist()
-                feature = f"frames={n_frames};ms={duration};hist={','.join(map(str, counts))}"
-                out.append((doc_id, len(text), total, back.hexdigest(), crc, len(media), hashlib.sha256(media).hexdigest(), feature, n_frames, duration, counts))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+                feature = f"frames={len(frames)};ms={duration};hist={','.join(map(str, counts))}"
+                out.append((doc_id, len(text), total, back.hexdigest(), crc, len(media), hashlib.sha256(media).hexdigest(), feature, len(frames), duration, counts, frames))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("start_ms", pa.int64()), ("delay_ms", pa.int64()), ("histogram", pa.list_(pa.int64()))])))
             columns = zip(*out, strict=True) if out else [[]] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], MEDIA_NAMES)
 
-    return docs.select(docs["doc_id"].cast("long"), payload().alias("text")).mapInArrow(convert, MEDIA_SCHEMA)
+    return arrow_map(docs.select(docs["doc_id"].cast("long"), payload().alias("text")), convert, MEDIA_SCHEMA)

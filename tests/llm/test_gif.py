@@ -64,5 +64,65 @@ def test_query_against_brute_force(spark):
 
 def test_frames_table(spark):
     media = [(1, bytearray(gif.encode_gif([np.zeros((2, 3)), np.ones((2, 3))], gif.colour_palette()))), (2, None), (3, bytearray(b"no"))]
-    rows = gif.decoded_frames(spark.createDataFrame(media, "doc_id long, media binary")).orderBy("frame").collect()
-    assert [(r.id, r.frame, r.start_ms, r.delay_ms, r.width, r.height, sum(r.histogram)) for r in rows] == [(1, 0, 0, 40, 3, 2, 6), (1, 1, 40, 40, 3, 2, 6)]
+    rows = gif.decoded_frames(spark.createDataFrame([*media, (4, bytearray(b"GIF89a" + b"\xff" * 4 + bytes(3)))], "doc_id long, media binary")).orderBy("id", "frame").collect()
+    assert [(r.id, r.frame, r.start_ms, r.delay_ms, r.width, r.height, sum(r.histogram)) for r in rows[:2]] == [(1, 0, 0, 40, 3, 2, 6), (1, 1, 40, 40, 3, 2, 6)]
+    assert [(r.id, r.status, r.frame) for r in rows[2:]] == [(2, "no gif", None), (3, "no gif", None), (4, "canvas too large", None)]
+
+
+def plain_decode(data: bytes) -> list[tuple[int, bytes]]:
+    """(delay, samples) of each image of a GIF with one palette and no interlacing, bit by bit: nothing of the library's decoder."""
+    at, out, delay = 13 + 3 * (2 << (data[10] & 7)), [], 0
+    while data[at] != 0x3B:
+        if data[at] == 0x21:
+            if data[at + 1] == 0xF9:
+                delay = data[at + 4] | data[at + 5] << 8
+            at += 2
+            while data[at]:
+                at += 1 + data[at]
+            at += 1
+            continue
+        size, at, stream = data[at + 10], at + 11, b""
+        while data[at]:
+            stream += data[at + 1 : at + 1 + data[at]]
+            at += 1 + data[at]
+        at += 1
+        bits, have, pos, samples = 0, 0, 0, b""
+        table, width, last = [], size + 1, None
+        while True:
+            while have < width:
+                bits |= stream[pos] << have
+                have, pos = have + 8, pos + 1
+            code, bits, have = bits & ((1 << width) - 1), bits >> width, have - width
+            if code == 1 << size:
+                table, width, last = [bytes([k]) for k in range(1 << size)] + [b"", b""], size + 1, None
+                continue
+            if code == (1 << size) + 1:
+                break
+            entry = table[code] if code < len(table) else last + last[:1]
+            if last is not None and len(table) < 4096:
+                table.append(last + entry[:1])
+            if len(table) == 1 << width and width < 12:
+                width += 1
+            samples, last = samples + entry, entry
+        out.append((delay, samples))
+    return out
+
+
+def test_stored_form_by_an_independent_decoder(spark):
+    rng = np.random.default_rng(4)
+    bodies = ["", "a" * 3000, "The quick brown fox. " * 700, "".join(map(chr, rng.integers(32, 0x3000, 9000)))]
+    found = {r.doc_id: r for r in gif.media_features(documents(spark, [(k, t, None, None) for k, t in enumerate(bodies)])).collect()}
+    for k, text in enumerate(bodies):
+        samples = gif.pack_samples(text.encode())
+        media = gif.encode_gif(gif.frames_of(samples), gif.colour_palette())
+        images = plain_decode(media)
+        assert b"".join(x for _, x in images) == samples and {d for d, _ in images} == {4}
+        assert (found[k].media_bytes, found[k].media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        colours, canvas, want = gif.colour_palette() >> 7, np.full(0, -1), []
+        for n, (_, x) in enumerate(images):  # each frame lies over the ones before, at the top left
+            shown = np.frombuffer(x, np.uint8)
+            canvas = np.concatenate([shown, canvas[len(shown) :]])
+            bins = colours[canvas] @ np.array([4, 2, 1])
+            want.append((40 * n, 40, np.bincount(bins, minlength=8).tolist()))
+        assert [(f.start_ms, f.delay_ms, f.histogram) for f in found[k].frames] == want
+        assert found[k].histogram == np.sum([h for _, _, h in want], axis=0).tolist()
