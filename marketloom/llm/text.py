@@ -166,12 +166,12 @@ def short_hash(hashes: np.ndarray) -> np.uint64:
 
 def sample_bounds(rows: DataFrame, group: str, k: int) -> dict[str | None, int]:
     """Of each group a bound so that about k of its rows have a uniform 64-bit hash at most as high. A number a group is gathered, nothing is sorted."""
-    return {r[group]: int(-(2**63) + min(1.0, k / r["count"]) * (2**64 - 1)) for r in rows.groupBy(group).count().collect()}
+    return {r[group]: min(2**63 - 1, int(-(2**63) + min(1.0, k / r["count"]) * 2.0**64)) for r in rows.groupBy(group).count().collect()}
 
 
 def in_sample(group: str, order: Column, bounds: dict[str | None, int]) -> Column:
     """Whether a row is in the sample of its group: `order` is a hash of what tells rows apart, so that equal rows are in or out together."""
-    named = [F.lit(x) for name, bound in bounds.items() if name is not None for x in (name, bound)]
+    named = [x for name, bound in bounds.items() if name is not None for x in (F.lit(name), F.lit(bound).cast("long"))]
     bound = F.try_element_at(F.create_map(*named), F.coalesce(F.col(group), F.lit(""))) if named else F.lit(None).cast("long")
     bound = F.when(F.col(group).isNull(), F.lit(bounds.get(None)).cast("long")).otherwise(bound)
     return F.coalesce(order <= bound, F.lit(False))
