@@ -16,16 +16,17 @@ PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 MAX_DISTINCT = 5000
 
 
-def require_rows(df: DataFrame, name: str = "DataFrame") -> DataFrame:
-    if df.isEmpty():
+def require_rows(df: DataFrame, guard: bool = True, name: str = "DataFrame") -> DataFrame:
+    """The frame, if it has a row; a caller that knows it turns the guard off, as that reads the frame."""
+    if guard and df.isEmpty():
         raise ValueError(f"{name} is empty.")
     return df
 
 
-def describe(panel: DataFrame, column: str, percentiles: Sequence[float] = PERCENTILES) -> DataFrame:
-    """One row a ticker: count, mean, std, min, p01 ... (exact, interpolated, the median always among them), max, non_null, n_unique."""
+def describe(panel: DataFrame, column: str, percentiles: Sequence[float] = PERCENTILES, guard: bool = True) -> DataFrame:
+    """One row a ticker, in order: count, mean, std, min, p01 ... (exact, interpolated, the median always among them), max, non_null, n_unique."""
     wanted = sorted({*percentiles, 0.5})
-    found = panel.groupBy("ticker").agg(
+    found = require_rows(panel, guard).groupBy("ticker").agg(
         F.count(column).cast("double").alias("count"),
         F.avg(column).alias("mean"),
         F.stddev_samp(column).alias("std"),
@@ -37,13 +38,14 @@ def describe(panel: DataFrame, column: str, percentiles: Sequence[float] = PERCE
     )
     points = [F.col("__p")[k].alias(f"p{round(100 * p):02d}") for k, p in enumerate(wanted)]
     unique = F.when(F.col("__unique") <= MAX_DISTINCT, F.col("__unique")).alias("n_unique")
-    return found.select("ticker", "count", "mean", "std", "min", *points, "max", "non_null", unique)
+    return found.select("ticker", "count", "mean", "std", "min", *points, "max", "non_null", unique).orderBy("ticker")
 
 
-def missingness(grid: DataFrame, column: str) -> DataFrame:
-    """One row a ticker of a dense grid: na_count, na_pct, first_na, last_na."""
+def missingness(grid: DataFrame, column: str, guard: bool = True) -> DataFrame:
+    """One row a ticker of a dense grid, the largest na_pct first: na_count, na_pct, first_na, last_na."""
     none = F.col(column).isNull()
-    return grid.groupBy("ticker").agg(F.count_if(none).alias("na_count"), (F.count_if(none) * 100.0 / F.count(F.lit(1))).alias("na_pct"), F.min(F.when(none, F.col("date"))).alias("first_na"), F.max(F.when(none, F.col("date"))).alias("last_na"))
+    found = require_rows(grid, guard).groupBy("ticker").agg(F.count_if(none).alias("na_count"), (F.count_if(none) * 100.0 / F.count(F.lit(1))).alias("na_pct"), F.min(F.when(none, F.col("date"))).alias("first_na"), F.max(F.when(none, F.col("date"))).alias("last_na"))
+    return found.orderBy(F.desc("na_pct"), "ticker")
 
 
 def null_counts(panel: DataFrame) -> DataFrame:
@@ -77,11 +79,11 @@ def _kendall(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"i": [frame["i"].iloc[0]], "j": [frame["j"].iloc[0]], "corr": [score / spread if spread > 0 else None]})
 
 
-def correlation_pairs(panel: DataFrame, column: str, method: str = "pearson") -> DataFrame:
+def correlation_pairs(panel: DataFrame, column: str, method: str = "pearson", guard: bool = True) -> DataFrame:
     """(i, j, corr) for i < j over dates that both have; NULL for constants."""
     if method not in ("pearson", "spearman", "kendall"):
         raise ValueError("method must be 'pearson', 'spearman' or 'kendall'")
-    pairs = ticker_pairs(panel, column).where("x is not null and y is not null")
+    pairs = ticker_pairs(require_rows(panel, guard), column).where("x is not null and y is not null")
     if method == "kendall":  # one pair's dates are a group: no built-in counts pairs in disorder
         return pairs.select("i", "j", "x", "y").groupBy("i", "j").applyInPandas(_kendall, "i string, j string, corr double")
     if method == "spearman":
@@ -89,18 +91,18 @@ def correlation_pairs(panel: DataFrame, column: str, method: str = "pearson") ->
     return pairs.groupBy("i", "j").agg(correlation(F.col("x"), F.col("y")).alias("corr"))
 
 
-def correlation_matrix(panel: DataFrame, column: str, tickers: Sequence[str], method: str = "pearson") -> DataFrame:
+def correlation_matrix(panel: DataFrame, column: str, tickers: Sequence[str], method: str = "pearson", guard: bool = True) -> DataFrame:
     """The matrix for display: a row and a column for each of the named tickers. Its diagonal is 1, NULL for a constant ticker."""
     some = panel.where(F.col("ticker").isin(list(tickers)))
-    pairs = correlation_pairs(some, column, method)
+    pairs = correlation_pairs(some, column, method, guard)
     own = some.groupBy("ticker").agg(F.when(F.stddev_samp(column) > 0, 1.0).alias("corr")).select(F.col("ticker").alias("i"), F.col("ticker").alias("j"), "corr")
     both = pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "corr")).unionByName(own)
     return both.groupBy(F.col("i").alias("ticker")).pivot("j", list(tickers)).agg(F.first("corr"))
 
 
-def histogram(panel: DataFrame, column: str, bins: int = 50) -> DataFrame:
+def histogram(panel: DataFrame, column: str, bins: int = 50, guard: bool = True) -> DataFrame:
     """(ticker, bin, low, high, n) of equal bins from each ticker's least to greatest value; the last bin holds the greatest. Empty bins have no row."""
-    values = panel.where(F.col(column).isNotNull()).select("ticker", column)
+    values = require_rows(panel, guard).where(F.col(column).isNotNull()).select("ticker", column)
     known = values.join(values.groupBy("ticker").agg(F.min(column).alias("__a"), F.max(column).alias("__z")), "ticker")  # a row a ticker
     width = (F.col("__z") - F.col("__a")) / F.lit(float(bins))
     place = F.least(F.lit(bins - 1), F.coalesce(F.floor(divide(F.col(column) - F.col("__a"), width)), F.lit(0)).cast("int"))
@@ -108,12 +110,12 @@ def histogram(panel: DataFrame, column: str, bins: int = 50) -> DataFrame:
     return counts.select("ticker", "bin", (F.col("__a") + F.col("bin") * F.col("__w")).alias("low"), (F.col("__a") + (F.col("bin") + 1) * F.col("__w")).alias("high"), "n")
 
 
-def density(panel: DataFrame, column: str, points: int = 100) -> DataFrame:
+def density(panel: DataFrame, column: str, points: int = 100, guard: bool = True) -> DataFrame:
     """(ticker, point, x, density): Gaussian kernel density by Scott's rule at so many points, three bandwidths beyond the values; no rows without spread.
 
     Each value adds to each point, so rows grow by the factor `points`; sums are combined before the shuffle.
     """
-    known = panel.where(F.col(column).isNotNull())
+    known = require_rows(panel, guard).where(F.col(column).isNotNull())
     stats = known.groupBy("ticker").agg(F.count(F.lit(1)).cast("double").alias("n"), F.stddev_samp(column).alias("sd"), F.min(column).alias("a"), F.max(column).alias("z")).where("sd > 0")
     stats = stats.withColumn("h", F.col("sd") * F.pow("n", F.lit(-0.2)))
     grid = stats.select("ticker", "n", "h", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"), "a", "z")
@@ -123,9 +125,9 @@ def density(panel: DataFrame, column: str, points: int = 100) -> DataFrame:
     return sums.select("ticker", "point", "x", (F.col("s") / (F.col("n") * F.col("h") * F.sqrt(F.lit(2 * np.pi)))).alias("density"))
 
 
-def box_stats(panel: DataFrame, column: str, reach: float = 1.5) -> DataFrame:
+def box_stats(panel: DataFrame, column: str, reach: float = 1.5, guard: bool = True) -> DataFrame:
     """One row a ticker: quartiles, whiskers (the outermost values within so many interquartile ranges) and the number of outliers."""
-    known = panel.where(F.col(column).isNotNull()).select("ticker", F.col(column).alias("v"))
+    known = require_rows(panel, guard).where(F.col(column).isNotNull()).select("ticker", F.col(column).alias("v"))
     quartiles = known.groupBy("ticker").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     bounds = quartiles.select("ticker", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     low, high = F.col("q1") - reach * (F.col("q3") - F.col("q1")), F.col("q3") + reach * (F.col("q3") - F.col("q1"))
@@ -146,13 +148,14 @@ def first_tickers(panel: DataFrame, max_cols: int = 15) -> DataFrame:
     return panel.join(F.broadcast(names), "ticker", "left_semi")  # max_cols rows
 
 
-def quick_summary(prices: DataFrame | None = None, returns: DataFrame | None = None, max_cols: int = 15) -> dict[str, DataFrame]:
+def quick_summary(prices: DataFrame | None = None, returns: DataFrame | None = None, max_cols: int = 15, guard: bool = True) -> dict[str, DataFrame]:
     """Lazy tables describe and missingness of returns (ret) if given, else of prices (price), of the first tickers; corr if returns are given."""
     if prices is None and returns is None:
         raise ValueError("Provide at least one of `prices` or `returns`.")
     base, column = (returns, "ret") if returns is not None else (prices, "price")
     use = first_tickers(base, max_cols)
-    out = {"describe": describe(use, column), "missingness": missingness(use, column)}
+    require_rows(base, guard)
+    out = {"describe": describe(use, column, guard=False), "missingness": missingness(use, column, False)}
     if returns is not None:
-        out["corr"] = correlation_pairs(use, column)
+        out["corr"] = correlation_pairs(use, column, guard=False)
     return out

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.functions.expressions import average_rank, by_date, by_ticker, clip, correlation, lagged_change, log_of, rolling, zscore
+from marketloom.functions.expressions import average_rank, by_date, by_ticker, clip, correlation, lagged_change, log_of, quantise, rolling, zscore
 from marketloom.operators.explore import ticker_pairs
 from marketloom.operators.features import forward_returns, returns
 
@@ -130,12 +130,14 @@ def best_of(table: DataFrame, value: str, *place: str) -> DataFrame:
     return table.orderBy(F.abs(F.col(value)).desc_nulls_last(), *place).limit(1)
 
 
-def config_sweep(panel: DataFrame, configs: Sequence[GravityParams], horizons: Sequence[int], rets: DataFrame | None = None) -> DataFrame:
-    """(config, horizon, pos, mean_ic) of every configuration and horizon."""
-    fwd = forward_returns(panel, horizons)
+def config_sweep(panel: DataFrame, configs: Sequence[GravityParams], horizons: Sequence[int], rets: DataFrame | None = None, places: int | None = None) -> DataFrame:
+    """(config, horizon, pos, mean_ic) of every configuration and horizon; with `places`, signals and returns are ranked as rounded to so many."""
+    exact = lambda df, column: df if places is None else df.withColumn(column, quantise(column, places))
+    fwd = exact(forward_returns(panel, horizons), "fwd")
     out = None
     for k, params in enumerate(configs):
-        means = mean_ic(information_coefficient(gravity_signals(panel, params, rets), fwd), horizons).withColumn("config", F.lit(k))
+        found = exact(gravity_signals(panel, params, rets), "signal")
+        means = mean_ic(information_coefficient(found, fwd), horizons).withColumn("config", F.lit(k))
         out = means if out is None else out.unionByName(means)
     return out.select("config", "horizon", "pos", "mean_ic")
 

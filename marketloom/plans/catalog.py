@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.functions.expressions import average_rank, last_known, log_of, quantise, zscore
+from marketloom.functions.expressions import average_rank, by_date, last_known, log_of, quantise, zscore
 from marketloom.operators import clean, dashboard, explore, features, gravity
 from marketloom.operators.prepare import Prepared, prepare_price_data
 from marketloom.plans import oracle as o
@@ -274,9 +274,12 @@ def summary_stats(spark, sf):
     return rounded(features.summary_stats(panels.order_panel(spark, sf)).select("ticker", *STATS), *STATS)
 
 
-@query("summary_strings", SUMMARY + "SELECT ticker, printf('$%.2f', current_price) AS current_price_text, printf('$%.2f', price_change) AS price_change_text, printf('%.2f%%', price_change_pct) AS price_change_pct_text, printf('%.2f%%', volatility) AS volatility_text FROM t")
+TEXTS = {"current_price": "$%.2f", "price_change": "$%.2f", "price_change_pct": "%.2f%%", "high": "$%.2f", "low": "$%.2f", "avg_volume": "%.0f", "volatility": "%.2f%%"}
+
+
+@query("summary_strings", SUMMARY + f"SELECT ticker, {', '.join(f"printf('{form}', {c}) AS {c}_text" for c, form in TEXTS.items())} FROM t")
 def summary_strings(spark, sf):
-    return features.summary_stats(panels.order_panel(spark, sf)).select("ticker", "current_price_text", "price_change_text", "price_change_pct_text", "volatility_text")
+    return features.summary_stats(panels.order_panel(spark, sf)).select("ticker", *(f"{c}_text" for c in TEXTS))
 
 
 @query("normalised_price", WITH_PREP + f"SELECT date, ticker, {q('price / nullif(first_value(price IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0)')} AS normalised FROM prep")
@@ -296,18 +299,18 @@ def describe_sql(column: str) -> str:
 
 @query("describe", WITH_GRID + f"{describe_sql('price')} grid GROUP BY ticker")
 def describe(spark, sf):
-    return rounded(explore.describe(grid(spark, sf), "price"), "mean", "std", "min", *POINTS, "max")
+    return rounded(explore.describe(grid(spark, sf), "price", guard=False), "mean", "std", "min", *POINTS, "max")
 
 
 @query("describe_many", "WITH t AS (SELECT o_orderpriority AS ticker, o_totalprice AS v FROM orders) " + describe_sql("v") + " t GROUP BY ticker")
 def describe_many(spark, sf):
     rows = panels.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("ticker"), F.col("o_totalprice").alias("v"))
-    return rounded(explore.describe(rows, "v"), "mean", "std", "min", *POINTS, "max")
+    return rounded(explore.describe(rows, "v", guard=False), "mean", "std", "min", *POINTS, "max")
 
 
 @query("missingness", WITH_GRID + f"SELECT ticker, count(*) FILTER (price IS NULL) AS na_count, {q('100.0 * (count(*) FILTER (price IS NULL)) / count(*)')} AS na_pct, min(date) FILTER (price IS NULL) AS first_na, max(date) FILTER (price IS NULL) AS last_na FROM grid GROUP BY ticker")
 def missingness(spark, sf):
-    return rounded(explore.missingness(grid(spark, sf), "price"), "na_pct")
+    return rounded(explore.missingness(grid(spark, sf), "price", guard=False), "na_pct")
 
 
 @query("null_counts", WITH_GRID + "SELECT count(*) FILTER (date IS NULL) AS date_nulls, count(*) FILTER (ticker IS NULL) AS ticker_nulls, count(*) FILTER (price IS NULL) AS price_nulls, count(*) FILTER (volume IS NULL) AS volume_nulls FROM grid")
@@ -320,7 +323,7 @@ RET_PAIRS = WITH_PREP + ", pr AS (SELECT a.ticker AS i, b.ticker AS j, a.ret AS
 
 @query("corr_pearson", RET_PAIRS + f"SELECT i, j, {q(o.corr('x', 'y'))} AS corr FROM pr GROUP BY i, j")
 def corr_pearson(spark, sf):
-    return rounded(explore.correlation_pairs(prep_panel(spark, sf), "ret"), "corr")
+    return rounded(explore.correlation_pairs(prep_panel(spark, sf), "ret", guard=False), "corr")
 
 
 def _pair_rank(x: str) -> str:
@@ -332,18 +335,28 @@ QUANTISED_RET_PAIRS = RET_PAIRS + f", pq AS (SELECT i, j, {q('x')} AS x, {q('y')
 
 @query("corr_spearman", QUANTISED_RET_PAIRS + f"SELECT i, j, {q(o.corr('x', 'y'))} AS corr FROM (SELECT i, j, {_pair_rank('x')} AS x, {_pair_rank('y')} AS y FROM pq) GROUP BY i, j")
 def corr_spearman(spark, sf):
-    return rounded(explore.correlation_pairs(rounded(prep_panel(spark, sf), "ret"), "ret", "spearman"), "corr")
+    return rounded(explore.correlation_pairs(rounded(prep_panel(spark, sf), "ret"), "ret", "spearman", guard=False), "corr")
 
 
-@query("corr_kendall")
+@query(
+    "corr_kendall",
+    QUANTISED_RET_PAIRS
+    + f""", n AS (SELECT *, row_number() OVER (PARTITION BY i, j) AS rn FROM pq),
+    s AS (SELECT a.i, a.j, sum(sign(a.x - b.x) * sign(a.y - b.y)) AS score, count(*) AS pairs, count(*) FILTER (a.x = b.x) AS same_x, count(*) FILTER (a.y = b.y) AS same_y
+      FROM n a JOIN n b ON a.i = b.i AND a.j = b.j AND a.rn < b.rn GROUP BY a.i, a.j)
+    SELECT i, j, {q("score / nullif(sqrt(pairs - same_x) * sqrt(pairs - same_y), 0)")} AS corr FROM s""",
+)
 def corr_kendall(spark, sf):
-    return rounded(explore.correlation_pairs(rounded(prep_panel(spark, sf), "ret"), "ret", "kendall"), "corr")
+    return rounded(explore.correlation_pairs(rounded(prep_panel(spark, sf), "ret"), "ret", "kendall", guard=False), "corr")
+
 
+REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
-@query("corr_matrix", RET_PAIRS + f", c AS (SELECT i, j, {o.corr('x', 'y')} AS corr FROM pr GROUP BY i, j), e AS (SELECT i, j, corr FROM c UNION ALL SELECT j, i, corr FROM c UNION ALL SELECT DISTINCT ticker, ticker, 1.0 FROM prep) SELECT i AS ticker, " + ", ".join(f"{q(f'max(corr) FILTER (j = {t!r})')} AS {t}" for t in ("AFRICA", "AMERICA", "ASIA", "EUROPE")) + " FROM e WHERE i IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE') GROUP BY i")
+
+@query("corr_matrix", RET_PAIRS + f", c AS (SELECT i, j, {o.corr('x', 'y')} AS corr FROM pr GROUP BY i, j), e AS (SELECT i, j, corr FROM c UNION ALL SELECT j, i, corr FROM c UNION ALL SELECT DISTINCT ticker, ticker, 1.0 FROM prep) SELECT i AS ticker, " + ", ".join(f"{q(f'max(corr) FILTER (j = {t!r})')} AS {t.replace(' ', '_')}" for t in REGIONS) + " FROM e GROUP BY i")
 def corr_matrix(spark, sf):
-    names = ["AFRICA", "AMERICA", "ASIA", "EUROPE"]
-    return rounded(explore.correlation_matrix(prep_panel(spark, sf), "ret", names), *names)
+    found = rounded(explore.correlation_matrix(prep_panel(spark, sf), "ret", REGIONS, guard=False), *REGIONS)
+    return found.withColumnsRenamed({t: t.replace(" ", "_") for t in REGIONS})
 
 
 @query(
@@ -354,7 +367,7 @@ def corr_matrix(spark, sf):
     SELECT ticker, bin, {q("a + bin * w")} AS low, {q("a + (bin + 1) * w")} AS high, count(*) AS n FROM p GROUP BY ticker, bin, a, w""",
 )
 def hist_returns(spark, sf):
-    return rounded(explore.histogram(rounded(prepared(spark, sf).returns, "ret"), "ret"), "low", "high")
+    return rounded(explore.histogram(rounded(prepared(spark, sf).returns, "ret"), "ret", guard=False), "low", "high")
 
 
 @query(
@@ -365,7 +378,7 @@ def hist_returns(spark, sf):
     SELECT ticker, point, {q("x")} AS x, {q("sum(exp(-pow((x - ret) / h, 2) / 2)) / (n * h * sqrt(2 * pi()))")} AS density FROM g JOIN prep USING (ticker) WHERE ret IS NOT NULL GROUP BY ticker, point, x, n, h""",
 )
 def kde_returns(spark, sf):
-    return rounded(explore.density(prepared(spark, sf).returns, "ret"), "x", "density")
+    return rounded(explore.density(prepared(spark, sf).returns, "ret", guard=False), "x", "density")
 
 
 @query(
@@ -377,13 +390,30 @@ def kde_returns(spark, sf):
     SELECT ticker, {q("q1")} AS q1, {q("m")} AS median, {q("q3")} AS q3, min(v) FILTER (inside) AS whisker_low, max(v) FILTER (inside) AS whisker_high, count(*) FILTER (NOT inside) AS n_outliers FROM w GROUP BY ticker, q1, m, q3""",
 )
 def box_stats(spark, sf):
-    return rounded(explore.box_stats(rounded(prepared(spark, sf).returns, "ret"), "ret"), "q1", "median", "q3")
+    return rounded(explore.box_stats(rounded(prepared(spark, sf).returns, "ret"), "ret", guard=False), "q1", "median", "q3")
 
 
-@query("quick_summary", WITH_PREP + ", f AS (SELECT * FROM prep WHERE ticker IN (SELECT DISTINCT ticker FROM prep ORDER BY ticker LIMIT 3)) " + describe_sql("ret") + " f GROUP BY ticker")
-def quick_summary(spark, sf):
+FIRST_15 = ", f AS (SELECT * FROM prep WHERE ticker IN (SELECT DISTINCT ticker FROM prep ORDER BY ticker LIMIT 15)) "
+
+
+def _quick_summary(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     found = prepared(spark, sf)
-    return rounded(explore.quick_summary(found.prices, found.returns, 3)["describe"], "mean", "std", "min", *POINTS, "max")
+    return explore.quick_summary(found.prices, found.returns, guard=False)
+
+
+@query("quick_summary", WITH_PREP + FIRST_15 + describe_sql("ret") + " f GROUP BY ticker")
+def quick_summary(spark, sf):
+    return rounded(_quick_summary(spark, sf)["describe"], "mean", "std", "min", *POINTS, "max")
+
+
+@query("quick_summary_missingness", WITH_PREP + FIRST_15 + f"SELECT ticker, count(*) FILTER (ret IS NULL) AS na_count, {q('100.0 * (count(*) FILTER (ret IS NULL)) / count(*)')} AS na_pct, min(date) FILTER (ret IS NULL) AS first_na, max(date) FILTER (ret IS NULL) AS last_na FROM f GROUP BY ticker")
+def quick_summary_missingness(spark, sf):
+    return rounded(_quick_summary(spark, sf)["missingness"], "na_pct")
+
+
+@query("quick_summary_corr", WITH_PREP + FIRST_15 + f", pr AS (SELECT a.ticker AS i, b.ticker AS j, a.ret AS x, b.ret AS y FROM f a JOIN f b ON a.date = b.date AND a.ticker < b.ticker WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL) SELECT i, j, {q(o.corr('x', 'y'))} AS corr FROM pr GROUP BY i, j")
+def quick_summary_corr(spark, sf):
+    return rounded(_quick_summary(spark, sf)["corr"], "corr")
 
 
 # Gravity
@@ -402,14 +432,11 @@ def mass_market_cap(spark, sf):
 
 @query(
     "asof_mass",
-    WITH_PANEL
-    + f""", m AS (SELECT ticker, date, volume AS mass FROM panel WHERE day(date) % 7 = 0), d AS (SELECT DISTINCT date FROM panel WHERE day(date) % 5 = 0),
-    k AS (SELECT date, ticker FROM d CROSS JOIN (SELECT DISTINCT ticker FROM m)) SELECT k.date, k.ticker, coalesce(m.mass, 0) AS mass FROM k ASOF LEFT JOIN m ON k.ticker = m.ticker AND k.date >= m.date""",
+    WITH_GRID + ", k AS (SELECT date, ticker FROM cal CROSS JOIN (SELECT DISTINCT ticker FROM panel)) SELECT k.date, k.ticker, coalesce(p.volume, 0) AS mass FROM k ASOF LEFT JOIN panel p ON k.ticker = p.ticker AND k.date >= p.date",
 )
 def asof_mass(spark, sf):
     panel = panels.region_panel(spark, sf)
-    mass = panel.where(F.dayofmonth("date") % 7 == 0).select("date", "ticker", F.col("volume").alias("mass"))
-    return gravity.mass_as_of(mass, panel.where(F.dayofmonth("date") % 5 == 0))
+    return gravity.mass_as_of(panel.select("date", "ticker", F.col("volume").alias("mass")), panels.calendar(panel))
 
 
 @query("momentum_z", WITH_DEFAULT + f"SELECT date, ticker, {q('mom')} AS mom FROM mom")
@@ -452,6 +479,22 @@ def pair_force_capped(spark, sf):
     return pair_forces(spark, sf, FORCE_CAP).select("date", "i", "j", quantise(log_of("force")).alias("ln_force"))
 
 
+@query(
+    "pair_force_missing_mass",
+    WITH_DEFAULT
+    + f""", few AS (SELECT date, ticker, CASE WHEN volume >= avg(volume) OVER (PARTITION BY date) THEN price * volume END AS mass FROM prep),
+    own AS (SELECT date, ticker, coalesce(mass, median(mass) OVER (PARTITION BY date)) AS mass FROM few)
+    SELECT d.date, d.i, d.j, {q("ln(a.mass * b.mass / (d.dist * d.dist + 1e-6))")} AS ln_force FROM dist d JOIN own a ON a.date = d.date AND a.ticker = d.i JOIN own b ON b.date = d.date AND b.ticker = d.j""",
+)
+def pair_force_missing_mass(spark, sf):
+    """Masses are unknown where a ticker trades less than the mean of its date: they become the median of the known ones."""
+    panel = prep_panel(spark, sf)
+    dist = gravity.distances(gravity.rolling_correlations(panel.select("date", "ticker", "ret")))
+    known = F.when(F.col("volume") >= F.avg("volume").over(by_date()), F.col("price") * F.col("volume"))
+    force = gravity.forces(dist, panel.select("date", "ticker", known.alias("mass")))
+    return force.select("date", "i", "j", quantise(log_of("force")).alias("ln_force"))
+
+
 @query("net_force", WITH_DEFAULT + f"SELECT date, ticker, {q('sign(net) * ln(1 + abs(net))')} AS net FROM net")
 def net_force(spark, sf):
     panel = prep_panel(spark, sf)
@@ -518,13 +561,7 @@ def sweep_sql() -> str:
 
 def sweep(spark: SparkSession, sf: str) -> DataFrame:
     panel = prep_panel(spark, sf)
-    fwd = rounded(features.forward_returns(panel, SWEEP_HORIZONS), "fwd")
-    rets, out = panel.select("date", "ticker", "ret"), None
-    for k, params in enumerate(CONFIGS):
-        found = rounded(gravity.gravity_signals(panel, params, rets), "signal")
-        means = gravity.mean_ic(gravity.information_coefficient(found, fwd), SWEEP_HORIZONS).withColumn("config", F.lit(k))
-        out = means if out is None else out.unionByName(means)
-    return out
+    return gravity.config_sweep(panel, CONFIGS, SWEEP_HORIZONS, panel.select("date", "ticker", "ret"), places=6)
 
 
 @query("config_sweep", sweep_sql() + f"SELECT config, horizon, {q('mean_ic')} AS mean_ic FROM m")
@@ -540,15 +577,18 @@ def best_config(spark, sf):
 # JSON payloads and files
 
 
-@query("json_store_encode")
+OHLCV_COLUMNS = ["open", "high", "low", "close", "volume"]
+STORE_LISTS = ", ".join(f"""'"{c}":[' || string_agg(coalesce({c}::VARCHAR, 'null'), ',' ORDER BY date) || ']'""" for c in OHLCV_COLUMNS).replace(", '\"", " || ',' || '\"")
+
+
+@query("json_store_encode", WITH_OHLCV + f"""SELECT ticker, '{{"index":[' || string_agg('"' || strftime(date, '%Y-%m-%d') || '"', ',' ORDER BY date) || '],"data":{{' || {STORE_LISTS} || '}}}}' AS store FROM ohlcv GROUP BY ticker""")
 def json_store_encode(spark, sf):
-    return sinks.encode_column_store(panels.order_panel(spark, sf), ["open", "high", "low", "close", "volume"])
+    return sinks.encode_column_store(panels.order_panel(spark, sf), OHLCV_COLUMNS)
 
 
 @query("json_store_decode", WITH_OHLCV + "SELECT date, ticker, open, high, low, close, volume FROM ohlcv")
 def json_store_decode(spark, sf):
-    names = ["open", "high", "low", "close", "volume"]
-    return sinks.decode_column_store(sinks.encode_column_store(panels.order_panel(spark, sf), names), names)
+    return sinks.decode_column_store(sinks.encode_column_store(panels.order_panel(spark, sf), OHLCV_COLUMNS), OHLCV_COLUMNS)
 
 
 @query("chart_specs")
@@ -556,6 +596,33 @@ def chart_specs(spark, sf):
     return dashboard.chart_specs(panels.order_panel(spark, sf), "1-urgent", "1y", AS_OF)
 
 
+def _traces() -> str:
+    sma = [f"SELECT date, 'technical' AS chart, 'SMA_{w}' AS trace, {o.roll('avg', 'close', w)} AS value FROM few" for w in (5, 10, 20, 50)]
+    bands = [f"SELECT date, 'technical', '{name}', {x} FROM few" for name, x in (("middle", MID), ("upper", f"{MID} + 2 * {STD}"), ("lower", f"{MID} - 2 * {STD}"), ("close", "close"))]
+    candles = [f"SELECT date, 'candlestick', '{c}', {c} FROM few" for c in ("open", "high", "low", "close")]
+    return " UNION ALL ".join([*sma, *bands, *candles, "SELECT date, 'volume', 'volume', volume FROM few", "SELECT date, 'rsi', 'rsi', CASE WHEN down = 0 THEN CASE WHEN up > 0 THEN 100.0 END ELSE 100 - 100 / (1 + up / down) END FROM a"])
+
+
+@query(
+    "chart_traces",
+    WITH_OHLCV
+    + f""", few AS (SELECT * FROM ohlcv WHERE ticker = '1-URGENT' AND date BETWEEN DATE '{AS_OF}' - 365 AND DATE '{AS_OF}'),
+    d AS (SELECT ticker, date, close - {o.back("close")} AS delta FROM few),
+    g AS (SELECT ticker, date, CASE WHEN delta > 0 THEN delta ELSE 0 END AS gain, CASE WHEN delta < 0 THEN -delta ELSE 0 END AS loss FROM d),
+    a AS (SELECT ticker, date, {o.roll("avg", "gain", 14)} AS up, {o.roll("avg", "loss", 14)} AS down FROM g)
+    SELECT chart, trace, date, {q("value")} AS value FROM ({_traces()})""",
+)
+def chart_traces(spark, sf):
+    """What the chart specifications hold, read back from their JSON: a row a trace and date."""
+    specs = dashboard.chart_specs(panels.order_panel(spark, sf), "1-urgent", "1y", AS_OF)
+    names = list(dict.fromkeys(c for columns in dashboard.CHART_COLUMNS.values() for c in columns if c != "colour"))
+    read = specs.select("chart", F.from_json("spec", "x array<string>, " + ", ".join(f"{c} array<double>" for c in names)).alias("s"))
+    traces = F.explode(F.array(*(F.struct(F.lit(c).alias("trace"), F.col(f"s.{c}").alias("values")) for c in names))).alias("t")
+    rows = read.select("chart", "s.x", traces).where("t.values is not null")
+    points = rows.select("chart", "t.trace", F.explode(F.arrays_zip(F.col("x").alias("x"), F.col("t.values").alias("value"))).alias("p"))
+    return points.select("chart", "trace", F.to_date("p.x").alias("date"), quantise(F.col("p.value")).alias("value"))
+
+
 CARDS = SUMMARY.replace("WHERE true", f"WHERE ticker = '1-URGENT' AND date BETWEEN DATE '{AS_OF}' - 365 AND DATE '{AS_OF}'")
 
 
@@ -574,3 +641,13 @@ def roundtrip_parquet(spark, sf):
 def roundtrip_csv(spark, sf):
     path = sinks.save_processed(panels.order_panel(spark, sf), scratch_path(spark, "csv"), save_parquet=False)[0]
     return panels.read_ohlcv(spark, path, "csv").select("date", "ticker", "close", "volume")
+
+
+@query("roundtrip_two_header_csv", WITH_OHLCV + "SELECT date, ticker, open, high, low, close, volume FROM ohlcv WHERE ticker = '1-URGENT'")
+def roundtrip_two_header_csv(spark, sf):
+    rows = panels.order_panel(spark, sf).where("ticker = '1-URGENT'")
+    text = rows.select(F.col("date").cast("string").alias("Date"), *(F.col(c).cast("string").alias(c.title()) for c in OHLCV_COLUMNS))
+    names = spark.createDataFrame([(None, *["1-URGENT"] * len(OHLCV_COLUMNS))], text.schema)
+    path = scratch_path(spark, "two_header")
+    names.unionByName(text).coalesce(1).write.option("header", True).csv(path)  # one ticker's days: the format is one small file
+    return panels.read_two_header_csv(spark, path)

@@ -16,8 +16,17 @@ def test_describe(spark):
     assert (a["count"], a.non_null, a.n_unique, a.std) == (3.0, 3, 1, 0.0)
     many = spark.range(5001).selectExpr("'A' ticker", "cast(id as double) price")
     assert explore.describe(many, "price").first().n_unique is None
+    assert [r.ticker for r in explore.describe(panel(spark, {"B": [1, 2], "C": [1, 2], "A": [5, None]}), "price").collect()] == ["A", "B", "C"]
+
+
+def test_empty_panels_are_refused(spark):
+    none = panel(spark, {"A": [1, 2]}).limit(0)
+    for work in (explore.describe, explore.missingness, explore.correlation_pairs, explore.histogram, explore.density, explore.box_stats):
+        with pytest.raises(ValueError, match="empty"):
+            work(none, "price")
+        assert work(none, "price", guard=False).count() == 0
     with pytest.raises(ValueError, match="empty"):
-        explore.require_rows(many.limit(0))
+        explore.quick_summary(none)
 
 
 def test_missingness(spark):
@@ -25,6 +34,7 @@ def test_missingness(spark):
     a = found.where("ticker = 'A'").first()
     assert (a.na_count, a.na_pct, a.first_na, a.last_na) == (2, 50.0, dt.date(2023, 1, 3), dt.date(2023, 1, 5))
     assert found.where("ticker = 'B'").first().first_na is None
+    assert [r.ticker for r in explore.missingness(panel(spark, {"A": [1, 1], "C": [1, None], "B": [1, None]}), "price").collect()] == ["B", "C", "A"]
     assert explore.null_counts(panel(spark, {"A": [1, None]})).first().price_nulls == 1
 
 
