@@ -81,7 +81,7 @@ def fit_linear(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray) ->
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = RATE * (1 - step / (STEPS + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         weight, bias = weight - move[:-1], bias - move[-1]
-    return KEEP * weight + (1 - KEEP) * np.abs(weight).mean() * (ratio != 0), bias
+    return KEEP * weight + (1 - KEEP) * (np.abs(weight).mean() if len(weight) else 0.0) * (ratio != 0), bias
 
 
 def sample_labels(labels: DataFrame, usable: Column, bound: int = SAMPLE_ROWS) -> DataFrame:

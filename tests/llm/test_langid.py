@@ -1,4 +1,5 @@
 import base64
+import zlib
 
 import numpy as np
 from cases import documents, texts
@@ -48,3 +49,59 @@ def test_rejects_what_is_no_known_language(spark):
     short = [r.text for r in docs.where(langid.held_out(3, 1) & F.col("lang").isNotNull() & F.length("text").between(5, 60)).collect()] + ["Hello world"]
     counts = [c for c in (langid.ngram_counts(t.encode()) for t in short) if c is not None]
     assert len(counts) > 20 and model.predict(np.stack(counts))[2].mean() < 0.02 and not model.predict(counts[-1][None])[2][0]
+
+
+def plain_vector(text: str | None) -> np.ndarray | None:
+    """Trigram counts one by one; None without a letter."""
+    data = (text or "").encode()
+    folded = [32]
+    for b in data:
+        c = b + 32 if 65 <= b <= 90 else b
+        kept = 97 <= c <= 122 or c >= 128
+        if kept or folded[-1] != 32:
+            folded.append(c if kept else 32)
+    folded.append(32)
+    if not any(x.isalpha() for x in data.decode()):
+        return None
+    counts = np.zeros(langid.DIMS)
+    for a, b, c in zip(folded, folded[1:], folded[2:]):
+        counts[((a << 16 | b << 8 | c) * 0x9E3779B97F4A7C15 % 2**64) >> 52] += 1
+    return counts
+
+
+def test_query_against_plain_judgement(spark):
+    from marketloom.llm.queries import queries
+
+    small = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = langid.train(docs, ~langid.held_out(3, 1))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    found = queries()["op9_language_id"](spark, small).collect()
+    assert len(found) == len(text)
+    for r in found:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        counts = plain_vector(text[r.doc_id])
+        if counts is None:
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        x = np.sqrt(counts) * model.idf
+        cosines = [sum(x * c) / np.linalg.norm(x) for c in model.centroids.astype(float)]
+        best = int(np.argmax(cosines))
+        assert abs(r.score - cosines[best]) < 1e-5 and cosines[model.langs.index(r.lang_pred)] > -1
+        assert max(c for c, lang in zip(cosines, model.langs) if lang == r.lang_pred) > cosines[best] - 1e-5
+        n, least = counts.sum(), [0.0, *model.least[best]]
+        step = min(max(np.log2(max(1, n) / 16) + 1, 0), len(langid.LENGTHS))
+        low = min(int(step), len(langid.LENGTHS) - 1)
+        bound = least[low] + (step - low) * (least[low + 1] - least[low])
+        if abs(cosines[best] - bound) > 1e-5:
+            assert r.rejected == (cosines[best] < bound)
+
+
+def test_blocks_of_languages_give_the_same(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.train(docs, F.lit(True), per_lang=40)
+    sample = [(r.text or "").encode() for r in docs.collect()]
+    whole = langid.judge_texts(sample, [lambda: model])
+    parts = langid.judge_texts(sample, [lambda m=m: m for m in langid.blocks_of(model, 1)])
+    assert len(langid.blocks_of(model, 1)) == 4 and whole[0] == parts[0] and (whole[2] == parts[2]).all() and np.allclose(whole[1], parts[1], atol=1e-6)
+    assert len(langid.blocks_of(langid.train(docs.limit(0), F.lit(True)))) == 1

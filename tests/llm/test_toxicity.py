@@ -47,3 +47,47 @@ def test_sample_is_bounded(spark):
 def test_held_out_split(spark):
     rows = spark.range(50).select(F.col("id").alias("doc_id"), held_out(4, 2).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+
+
+def plain_score(model, text: str | None) -> float:
+    """By single bytes and grams, without the library's vectorised steps."""
+    folded = b" "
+    for b in (text or "").encode():
+        c = b + 32 if 65 <= b <= 90 else b
+        kept = 97 <= c <= 122 or 48 <= c <= 57 or c >= 128
+        if kept or folded[-1] != 32:
+            folded += bytes([c]) if kept else b" "
+    folded += b" "
+    found = set()
+    for n in toxicity.ORDERS:
+        for k in range(len(folded) - n + 1):
+            key = n
+            for c in folded[k : k + n]:
+                key = (key << 8 | c) % 2**64
+            slot = model.slot[key * 0x9E3779B97F4A7C15 % 2**64 >> (64 - toxicity.BUCKET_BITS)]
+            if slot >= 0:
+                found.add(int(slot))
+    z = model.bias + sum(float(model.weight[k] * model.ratio[k]) for k in found)
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+
+def test_query_against_plain_scoring(spark):
+    from marketloom.llm.queries import queries
+
+    small = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    model = toxicity.train(docs, labels, ~held_out(4, 2))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    found = queries()["op6_toxicity"](spark, small).collect()
+    assert len(found) == len(text)
+    for r in found:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        assert abs(r.score - plain_score(model, text[r.doc_id])) < 1e-9 and r.predicted == (r.score >= 0.3)
+
+
+def test_repeated_rows_of_an_id_count_once(spark):
+    docs = documents(spark, [(k, f"text {k} of {'nasty' if k % 2 else 'friendly'} words", "en", "s") for k in range(8)] + [(0, "text 0 of friendly words", "en", "s")] * 300)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id long, toxic int")
+    once = toxicity.train(docs.distinct(), labels, F.lit(True))
+    again = toxicity.train(docs, labels, F.lit(True))
+    assert (once.slot >= 0).any() and (once.slot == again.slot).all() and (once.weight == again.weight).all() and once.bias == again.bias
