@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.bloom import filter_bits, holds, may_be_in, twice_seen
-from marketloom.llm.text import BYTE_VALUE, SPACE, U64, arrow_map, cut, fold_table, mix, payload, text_parts, windows_of, word_hashes
+from marketloom.llm.text import BYTE_VALUE, SPACE, U64, arrow_map, cut, discard, fold_table, mix, payload, text_parts, windows_of, word_hashes
 
 LENGTH, PASSAGE = 400, 51
 #: Fragments that go through the rounds together, and of one anchor at most.
@@ -125,18 +125,6 @@ FRAGMENT_SCHEMA = "key long, digest binary, starts array<int>, anchor int, fid b
 RUN_SCHEMA = "key long, anchor int, fid binary, runs array<struct<start: int, end: int>>"
 
 
-def anchor_counts(texts: DataFrame, shared, units: Units) -> DataFrame:
-    """(key, n): how many places have each anchor of the filter."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in (x for batch in batches for x in text_parts(batch, 0)):
-            keys, n = np.unique(anchor_hashes(rows, units), return_counts=True)
-            hit = holds(shared.value, keys)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[hit].view(np.int64)), pa.array(n[hit].astype(np.int64))], ["key", "n"])
-
-    return arrow_map(texts, count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
 def cut_fragments(texts: DataFrame, shared, units: Units) -> DataFrame:
     """The fragments of anchors in the filter. starts: where the fragment begins in its document, several times if that repeats it;
     anchor: where the anchor begins in the fragment; fid: the fragment's digest."""
@@ -306,16 +294,17 @@ def repeated_spans(texts: DataFrame, n_bytes: int, units: Units) -> DataFrame:
     texts = texts.where(F.octet_length("text") >= units.least_bytes)
     bits = twice_seen(texts.select("text"), filter_bits(n_bytes * 2 // (units.length * (6 if units.words else 1))), lambda rows: anchor_hashes(rows, units))  # two anchors a string
     shared = texts.sparkSession.sparkContext.broadcast(bits)
-    fragments = cut_fragments(texts, shared, units)
+    fragments = cut(cut_fragments(texts, shared, units))
+    shared.unpersist()
     distinct = fragments.groupBy("key", "anchor", "fragment").agg(F.sum(F.size("starts")).alias("times"))
-    large = cut(anchor_counts(texts.select("text"), shared, units).where(F.col("n") > GROUP_FRAGMENTS).select("key"))
+    large = cut(fragments.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP_FRAGMENTS).select("key"))
     if large.isEmpty():
         runs = repeated_runs(distinct, units)
     else:
         runs = repeated_runs(distinct.join(large, "key", "left_anti"), units).unionByName(counted_runs(distinct.join(large, "key", "left_semi"), units))
     spans = fragments.select("key", "anchor", "fid", "digest", "starts").join(runs, ["key", "anchor", "fid"])
     spans = cut(spans.select("digest", F.lit(units.words).alias("words"), "starts", "runs"))
-    shared.unpersist()
+    discard(fragments)
     return spans
 
 
