@@ -10,8 +10,9 @@
    Burrows-Wheeler transform) from that of the round before, and range minima make the common prefixes of neighbours. Symbols, orders and
    prefixes go through files that are read and written in sequence. A string whose suffix has a common prefix of `length` with a
    neighbour is repeated.
-4. An anchor of more than GROUP_FRAGMENTS fragments is no group for a task: their strings are counted by 128-bit hashes instead, which combine
-   before the shuffle as well.
+4. An anchor of more than GROUP_FRAGMENTS distinct fragments is no group for a task: it is split in two by how far before the anchor
+   strings begin. Strings of a half have more in common than the anchor, which names smaller groups, each with the part of its fragments that the half's
+   strings cover. Halves are split again while they are too large; in the end a group is a single string.
 5. Repeated strings become spans of their documents, which are cut out. Equal texts, and equal fragments of one anchor, repeat each other
    wholly: the rounds could only confirm that, so they take part once.
 
@@ -24,6 +25,7 @@ import hashlib
 import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from pathlib import Path
 
 import numpy as np
@@ -36,8 +38,8 @@ from marketloom.llm.bloom import filter_bits, holds, may_be_in, twice_seen
 from marketloom.llm.text import BYTE_VALUE, SPACE, U64, arrow_map, cut, discard, fold_table, mix, payload, text_parts, windows_of, word_hashes
 
 LENGTH, PASSAGE = 400, 51
-#: Fragments that go through the rounds together, and of one anchor at most.
-ROUND_FRAGMENTS, GROUP_FRAGMENTS = 8192, 50_000
+#: Fragments that go through the rounds together, and distinct ones of a group at most.
+ROUND_FRAGMENTS, GROUP_FRAGMENTS = 8192, 8192
 
 
 @dataclass(frozen=True)
@@ -121,13 +123,29 @@ def anchor_hashes(rows: list[bytes], units: Units) -> np.ndarray:
     return find_anchors(sizes, grams, units)[1]
 
 
-FRAGMENT_SCHEMA = "key long, digest binary, starts array<int>, anchor int, fid binary, fragment binary"
+FRAGMENT_SCHEMA = "key long, digest binary, starts array<int>, anchor int, fid binary, fragment binary, near int, far int"
 RUN_SCHEMA = "key long, anchor int, fid binary, runs array<struct<start: int, end: int>>"
 
 
+def fragment_rows(rows: list[tuple[int, bytes, list[int], int, bytes, int, int]]) -> pa.RecordBatch:
+    """Rows of FRAGMENT_SCHEMA from all but their digest."""
+    key, digest, starts, anchor, fragment, near, far = zip(*rows, strict=True)
+    columns = [
+        pa.array(key, pa.int64()),
+        pa.array(digest, pa.binary()),
+        pa.array(starts, pa.list_(pa.int32())),
+        pa.array(anchor, pa.int32()),
+        pa.array([xxhash.xxh3_128_digest(f) for f in fragment], pa.binary()),
+        pa.array(fragment, pa.binary()),
+        pa.array(near, pa.int32()),
+        pa.array(far, pa.int32()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in FRAGMENT_SCHEMA.split(", ")])
+
+
 def cut_fragments(texts: DataFrame, shared, units: Units) -> DataFrame:
     """The fragments of anchors in the filter. starts: where the fragment begins in its document, several times if that repeats it;
-    anchor: where the anchor begins in the fragment; fid: the fragment's digest."""
+    anchor: where the anchor begins in the fragment; fid: the fragment's digest; near, far: how far before the anchor its strings may begin."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in (x for batch in batches for x in text_parts(batch, 1)):
@@ -146,15 +164,7 @@ def cut_fragments(texts: DataFrame, shared, units: Units) -> DataFrame:
                 fragment = symbols[begin[d] + s : begin[d] + e + units.length].tobytes()
                 held.setdefault((d, key, a - s, fragment), []).append(s)
             if held:
-                columns = [
-                    pa.array([k[1] for k in held], pa.int64()),
-                    pa.array([digests[k[0]] for k in held], pa.binary()),
-                    pa.array(list(held.values()), pa.list_(pa.int32())),
-                    pa.array([k[2] for k in held], pa.int32()),
-                    pa.array([xxhash.xxh3_128_digest(k[3]) for k in held], pa.binary()),
-                    pa.array([k[3] for k in held], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in FRAGMENT_SCHEMA.split(", ")])
+                yield fragment_rows([(key, digests[d], starts, anchor, fragment, 0, units.length - units.gram) for (d, key, anchor, fragment), starts in held.items()])
 
     return arrow_map(texts, extract, FRAGMENT_SCHEMA)
 
@@ -272,21 +282,46 @@ def repeated_runs(distinct: DataFrame, units: Units) -> DataFrame:
     return arrow_map(dealt, rounds, RUN_SCHEMA)
 
 
-def counted_runs(distinct: DataFrame, units: Units) -> DataFrame:
-    """The same runs by counting the hashes of all strings: a row for each string, in no group of a task."""
+def split_fragments(fragments: DataFrame, units: Units) -> DataFrame:
+    """Fragments in halves by how far before the anchor strings begin. Equal strings are in the same half and have what its strings have in common, so they meet again."""
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = units.symbol.itemsize
         for batch in batches:
-            for key, anchor, fragment, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n, fid = len(fragment) // size - units.length + 1, xxhash.xxh3_128_digest(fragment)
-                hashes = [xxhash.xxh3_128_digest(fragment[a * size : (a + units.length) * size]) for a in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * n), pa.array([anchor] * n, pa.int32()), pa.array([fid] * n), pa.array(range(n), pa.int32()), pa.array(hashes), pa.array([times] * n, pa.int64())], ["key", "anchor", "fid", "start", "string", "times"])
-
-    rows = arrow_map(distinct.select("key", "anchor", "fragment", "times"), strings, "key long, anchor int, fid binary, start int, string binary, times long")
-    again = cut(rows.groupBy("string").agg(F.sum("times").alias("all")).where(F.col("all") > 1).select("string"))  # written, so that Spark can split the join
-    runs = F.collect_list(F.struct("start", (F.col("start") + units.length).alias("end")))  # of one fragment: length - gram + 1 at most
-    return rows.join(again, "string").groupBy("key", "anchor", "fid").agg(runs.alias("runs"))
+            for begin in range(0, batch.num_rows, 1024):
+                out = []
+                for key, digest, starts, anchor, _, fragment, near, far in zip(*(c.to_pylist() for c in batch.slice(begin, 1024).columns), strict=True):
+                    middle = (near + far) // 2
+                    for a, b in ((near, middle), (middle + 1, far)):
+                        first, last = max(0, anchor - b), min(len(fragment) // size - units.length, anchor - a)
+                        if first <= last:
+                            common = fragment[(anchor - a) * size : (anchor - b + units.length) * size]
+                            name = int(U64(xxhash.xxh3_64_intdigest(common, a * units.length + b)).view(np.int64))
+                            part = fragment[first * size : (last + units.length) * size]
+                            out.append((name, digest, [s + first for s in starts], anchor - first, part, a, b))
+                if out:
+                    yield fragment_rows(out)
+
+    return arrow_map(fragments, halves, FRAGMENT_SCHEMA)
+
+
+def bounded_groups(fragments: DataFrame, units: Units) -> tuple[DataFrame, list[DataFrame]]:
+    """The fragments (a written table) with groups of GROUP_FRAGMENTS distinct ones at most, and the tables that were written for that."""
+    done, written = [], []
+    while True:
+        open_rows = fragments.where("near < far")  # else a group is one string
+        many = cut(open_rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP_FRAGMENTS).select("key"))
+        written.append(many)
+        if not many.isEmpty():  # many rows may be few fragments
+            distinct = open_rows.join(many, "key").groupBy("key", "anchor", "fid").agg(F.lit(1))
+            many = cut(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP_FRAGMENTS).select("key"))
+            written.append(many)
+        if many.isEmpty():
+            done.append(fragments)
+            return reduce(DataFrame.unionByName, done), written
+        done.append(fragments.join(many, "key", "left_anti"))
+        fragments = cut(split_fragments(fragments.join(many, "key", "left_semi"), units))
+        written.append(fragments)
 
 
 def repeated_spans(texts: DataFrame, n_bytes: int, units: Units) -> DataFrame:
@@ -294,17 +329,14 @@ def repeated_spans(texts: DataFrame, n_bytes: int, units: Units) -> DataFrame:
     texts = texts.where(F.octet_length("text") >= units.least_bytes)
     bits = twice_seen(texts.select("text"), filter_bits(n_bytes * 2 // (units.length * (6 if units.words else 1))), lambda rows: anchor_hashes(rows, units))  # two anchors a string
     shared = texts.sparkSession.sparkContext.broadcast(bits)
-    fragments = cut(cut_fragments(texts, shared, units))
+    first = cut(cut_fragments(texts, shared, units))
     shared.unpersist()
-    distinct = fragments.groupBy("key", "anchor", "fragment").agg(F.sum(F.size("starts")).alias("times"))
-    large = cut(fragments.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP_FRAGMENTS).select("key"))
-    if large.isEmpty():
-        runs = repeated_runs(distinct, units)
-    else:
-        runs = repeated_runs(distinct.join(large, "key", "left_anti"), units).unionByName(counted_runs(distinct.join(large, "key", "left_semi"), units))
+    fragments, written = bounded_groups(first, units)
+    runs = repeated_runs(fragments.groupBy("key", "anchor", "fragment").agg(F.sum(F.size("starts")).alias("times")), units)
     spans = fragments.select("key", "anchor", "fid", "digest", "starts").join(runs, ["key", "anchor", "fid"])
     spans = cut(spans.select("digest", F.lit(units.words).alias("words"), "starts", "runs"))
-    discard(fragments)
+    for table in (first, *written):
+        discard(table)
     return spans
 
 
@@ -351,6 +383,8 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE)
     removed = spans.withColumn("copied", F.lit(False)).unionByName(copies.withColumn("copied", F.lit(True)), allowMissingColumns=True)
     # Written, so that Spark can split the join for a text of very many copies; texts that lose nothing aren't shuffled to it.
     removed = cut(removed.withColumn("name", digest_name()))
+    for table in (*parts, copies):
+        discard(table)
     texts = texts.withColumn("name", digest_name())
     may = may_be_in("name", removed)
     some = texts.where(may).join(removed.select(F.col("digest").alias("__digest"), "spans", "copied"), F.col("digest") == F.col("__digest"), "left")
