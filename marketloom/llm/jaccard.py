@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from marketloom.llm.bloom import may_be_in
 from marketloom.llm.components import components
-from marketloom.llm.text import SPACE, U64, arrow_map, cut, fold_table, mix, payload, short_hash, text_parts, windows_of, word_hashes
+from marketloom.llm.text import SPACE, U64, arrow_map, cut, fold_table, mix, passing_tables, payload, short_hash, text_parts, windows_of, word_hashes
 
 SHINGLE, PERCENT = 5, 80
 #: Shared shingles at which a set meets others first; sets of a tree; sets of a large component.
@@ -345,20 +345,21 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = PER
     none, other columns are not read.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), payload().alias("text"))
-    sets = prefixes(texts, width, percent)
-    known = sets.where("doc_id is not null and n > 0")
-    nodes = cut(known.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id")))
-    left = nodes.withColumn("name", short_name()).join(survivors(known, percent), "name").select("node", "digest", "doc_id")
-    kept = kept_sets(texts, cut(left), width)
-    keys = keys_of(kept, percent)
-    first = cut(first_links(kept, keys, percent))
-    links = first.union(cut(last_links(kept, keys, label(keys, first), percent)))
-    forest = components(links.select(F.col("root").alias("src"), F.col("node").alias("dst")))
-    placed = cut(forest.join(nodes, "node"))
-    least = cut(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    found = nodes.select("node", "digest", "doc_id").join(placed.select("node", "root").join(least, "root"), "node", "left")
-    # A row a set on the right; a set of many copies is a hot key that Spark can split.
-    named = cut(found.select("digest", F.coalesce("component_id", "doc_id").alias("component_id")))
+    with passing_tables() as keep:
+        sets = keep(prefixes(texts, width, percent))
+        known = sets.where("doc_id is not null and n > 0")
+        nodes = cut(known.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id")))
+        left = nodes.withColumn("name", short_name()).join(survivors(known, percent), "name").select("node", "digest", "doc_id")
+        kept = kept_sets(texts, cut(left), width)
+        keys = keys_of(kept, percent)
+        first = cut(first_links(kept, keys, percent))
+        links = first.union(cut(last_links(kept, keys, label(keys, first), percent)))
+        forest = components(links.select(F.col("root").alias("src"), F.col("node").alias("dst")))
+        placed = cut(forest.join(nodes, "node"))
+        least = cut(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+        found = nodes.select("node", "digest", "doc_id").join(placed.select("node", "root").join(least, "root"), "node", "left")
+        # A row a set on the right; a set of many copies is a hot key that Spark can split.
+        named = keep(cut(found.select("digest", F.coalesce("component_id", "doc_id").alias("component_id"))))
     result = sets.select("doc_id", "n", "digest").join(named, "digest", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))

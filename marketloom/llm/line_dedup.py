@@ -1,6 +1,6 @@
 """Line deduplication: two Bloom filters find suspected repeats, only those shuffle for exact confirmation.
 
-1. Tasks build two filters of their lines' hashes, once-seen and twice-seen, which are merged (see bloom). Beyond some 25 million lines they
+1. Tasks build two filters of their lines' hashes, once-seen and twice-seen, which are merged (see bloom). Beyond 100 million lines they
    fill up: more lines are suspected and shuffled, and results stay the same.
 2. Lines whose hash is in the merged twice-filter are suspected: (digest of the key, document) is shuffled, once for
    each document. Counting confirms repeats exactly and finds the document that keeps the line. Counts combine before they are shuffled
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketloom.llm.bloom import filter_bits, holds, twice_seen
-from marketloom.llm.text import arrow_map, cut, packed_rows, payload, quoted, text_parts, unpacked
+from marketloom.llm.text import arrow_map, cut, packed_rows, passing_tables, payload, quoted, text_parts, unpacked
 
 STRIP = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -61,12 +61,13 @@ def plan_line_drops(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) ->
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([xxhash.xxh3_128_digest(k) for _, k in found], pa.binary())], ["doc_id", "digest"])
 
-    # A document and line once, dealt by both: repeated rows of a document count as one.
-    held = cut(arrow_map(texts, suspect, "doc_id long, digest binary").distinct())
-    repeated = held.groupBy("digest").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= min_docs)
-    lost = held.join(cut(repeated.select("digest", "keeper")), "digest").where("doc_id < keeper")
-    shared.unpersist()
-    return cut(lost.groupBy("doc_id").agg(F.array_join(F.collect_list(F.hex("digest")), "").alias("digests")))  # a document's own lines
+    with passing_tables() as keep:
+        # A document and line once, dealt by both: repeated rows of a document count as one.
+        held = cut(arrow_map(texts, suspect, "doc_id long, digest binary").distinct())
+        shared.unpersist()
+        repeated = held.groupBy("digest").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= min_docs)
+        lost = held.join(cut(repeated.select("digest", "keeper")), "digest").where("doc_id < keeper")
+        return keep(cut(lost.groupBy("doc_id").agg(F.array_join(F.collect_list(F.hex("digest")), "").alias("digests"))))  # a document's own lines
 
 
 def drop_lines(text: bytes, digests: set[bytes], min_chars: int) -> tuple[list[bytes], int]:

@@ -9,6 +9,8 @@ import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -193,12 +195,38 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+_PASSING: ContextVar[list[DataFrame] | None] = ContextVar("passing", default=None)
+
+
+@contextmanager
+def passing_tables() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that `cut` writes inside are deleted at the end, but for those that are handed to the function it gives."""
+    written: list[DataFrame] = []
+    kept: list[str] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table.cut_path)
+        return table
+
+    before = _PASSING.set(written)
+    try:
+        yield keep
+    finally:
+        _PASSING.reset(before)
+        for table in written:
+            if table.cut_path not in kept:
+                discard(table)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut: written as Parquet to the shared folder and read again."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_path = path
+    passing = _PASSING.get()
+    if passing is not None:
+        passing.append(out)
     return out
 
 

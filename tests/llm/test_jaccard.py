@@ -1,4 +1,5 @@
 import random
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -6,7 +7,7 @@ from cases import components, documents, shingles, texts, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from marketloom.llm import jaccard
+from marketloom.llm import jaccard, text
 
 
 def expected(rows):
@@ -69,3 +70,11 @@ def test_known_links_are_kept():
     sets = [np.array([k], dtype=np.uint64) for k in range(4)]
     root = jaccard.join_tree(sets, 80, None, [7, None, 7, None])
     assert root[0] == root[2] and len(set(root)) == 3
+
+
+def test_tables_of_a_run_are_deleted(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(text, "shared_folder", lambda _: f"file://{tmp_path}/{uuid.uuid4().hex}")
+    docs = documents(spark, [(1, "a b c d e f", None, None), (2, "a b c d e f", None, None), (3, "other words than those of before", None, None)])
+    found = jaccard.jaccard_components(docs)
+    assert len(list(tmp_path.iterdir())) == 2  # sets and their components, which the result reads
+    assert {(r.doc_id, r.component_id) for r in found.collect()} == {(1, 1), (2, 1), (3, 3)}
