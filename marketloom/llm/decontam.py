@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketloom.llm.text import NOT_ALNUM, arrow_map, cut, filesystem, fold_table, packed_rows, payload, quoted, shared_folder, text_parts, unpacked, word_hashes
+from marketloom.llm.text import NOT_ALNUM, arrow_map, cut, filesystem, fold_table, packed_rows, passing_tables, payload, quoted, shared_folder, text_parts, unpacked, word_hashes
 
 WINDOW = 10
 #: Bytes of texts in a shard's index, and of texts that are searched for a block together; suffixes between two samples.
@@ -287,10 +287,11 @@ def phrase_blocks(benchmark: DataFrame, width: int = WINDOW) -> list[str]:
             yield put()
 
     given = benchmark.select(F.col("item_id").cast("string").alias("item"), payload().alias("text"))
-    rows = cut(arrow_map(given, windows, "window binary, item string").distinct())
-    blocks = max(1, -(-rows.count() // BLOCK_WINDOWS))
-    dealt = rows.select(F.pmod(F.xxhash64("window", "item"), F.lit(blocks)).alias("block"), "window", "item").repartition(blocks, "block").sortWithinPartitions("block", "window", "item")
-    return sorted(r["path"] for r in cut(arrow_map(dealt, write, "path string")).collect())  # a name for each block
+    with passing_tables():
+        rows = cut(arrow_map(given, windows, "window binary, item string").distinct())
+        blocks = max(1, -(-rows.count() // BLOCK_WINDOWS))
+        dealt = rows.select(F.pmod(F.xxhash64("window", "item"), F.lit(blocks)).alias("block"), "window", "item").repartition(blocks, "block").sortWithinPartitions("block", "window", "item")
+        return sorted(r["path"] for r in cut(arrow_map(dealt, write, "path string")).collect())  # a name for each block
 
 
 def block_reader(paths: list[str]) -> Callable[[], Iterator[Phrases]]:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketloom.llm.text import arrow_map, cut, in_sample, packed_rows, payload, quoted, sample_bounds, share, text_parts, unpacked
+from marketloom.llm.text import arrow_map, cut, discard, in_sample, packed_rows, payload, quoted, sample_bounds, share, text_parts, unpacked
 
 DIMS = 4096
 #: The classifier is fitted on a bounded sample: about so many rows of a language, those with the least hashes.
@@ -201,6 +201,7 @@ def train(docs: DataFrame, usable: Column, per_lang: int = SAMPLE_PER_LANG) -> C
         return pd.DataFrame({"lang": [key[0]], "centroids": [centroids.astype(np.float32).tobytes()], "cosines": [cosines]})
 
     rows = sample.groupBy("lang").applyInPandas(fitted, "lang string, centroids binary, cosines array<array<double>>").collect()
+    discard(sample)
     return assemble([(r["lang"], np.frombuffer(r["centroids"], np.float32).reshape(-1, DIMS), [list(x) for x in r["cosines"]]) for r in rows], idf)
 
 

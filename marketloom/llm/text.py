@@ -200,7 +200,7 @@ _PASSING: ContextVar[list[DataFrame] | None] = ContextVar("passing", default=Non
 
 @contextmanager
 def passing_tables() -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Tables that `cut` writes inside are deleted at the end, but for those that are handed to the function it gives."""
+    """Tables that `cut` writes inside are deleted at the end, but for those that are handed to the function it gives; these are written in the block around, if there is one."""
     written: list[DataFrame] = []
     kept: list[str] = []
 
@@ -213,9 +213,12 @@ def passing_tables() -> Iterator[Callable[[DataFrame], DataFrame]]:
         yield keep
     finally:
         _PASSING.reset(before)
+        around = _PASSING.get()
         for table in written:
             if table.cut_path not in kept:
                 discard(table)
+            elif around is not None:
+                around.append(table)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.text import arrow_map, cut, payload, share, text_parts
+from marketloom.llm.text import arrow_map, cut, discard, payload, share, text_parts
 
 #: N-grams hash to so many buckets; the model keeps the most telling of them.
 BUCKET_BITS, ORDERS, FEATURES = 20, (5, 6), 8192
@@ -132,6 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> ToxicModel:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([model.present(t).astype(np.int16).tobytes() for t in rows], pa.binary())], ["toxic", "features"])
 
     found = arrow_map(texts, features, "toxic int, features binary").toArrow()  # SAMPLE_ROWS rows of FEATURES numbers at most
+    discard(texts)
     rows = sorted(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
     if rows:
         model.weight, model.bias = fit_linear([np.frombuffer(f, np.int16).astype(np.int64) for _, f in rows], np.array([t for t, _ in rows], dtype=float), ratio)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.text import arrow_map, cut, filesystem, payload, shared_folder, text_parts
+from marketloom.llm.text import arrow_map, cut, filesystem, passing_tables, payload, shared_folder, text_parts
 
 MAGIC = b"\x1f\x8b\x08"
 #: An archive is closed and the next begun beyond so many bytes; ranges of a reading task; bytes of a batch of records.
@@ -170,9 +170,6 @@ def write_warc(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> D
     files; only files of the attempt that counts are listed, and the list is written to the folder before it is used.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload("html").alias("body")).withColumn("sha1", F.sha1("body"))
-    # Written, so that Spark can split the join for a payload that very many pages have.
-    first = cut(rows.groupBy("sha1").agg(F.min("page_id").alias("first_id")))
-    joined = rows.join(first, "sha1").select("page_id", "url", "body", "sha1", "first_id")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs = out = None
@@ -200,7 +197,11 @@ def write_warc(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> D
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], ["path", "size", "records"])
 
-    return cut(arrow_map(joined, write, "path string, size long, records long"))
+    with passing_tables() as keep:
+        # Written, so that Spark can split the join for a payload that very many pages have.
+        first = cut(rows.groupBy("sha1").agg(F.min("page_id").alias("first_id")))
+        joined = rows.join(first, "sha1").select("page_id", "url", "body", "sha1", "first_id")
+        return keep(cut(arrow_map(joined, write, "path string, size long, records long")))
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
