@@ -16,7 +16,7 @@ from marketloom.llm.langid import held_out, identify, train
 from marketloom.llm.line_dedup import dedup_lines
 from marketloom.llm.mixing import document_key, mix_documents
 from marketloom.llm.queries import MIX_FRACTION, MIX_TARGETS, table
-from marketloom.llm.text import cut, quoted
+from marketloom.llm.text import cut, discard, passing_tables, quoted
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -84,8 +84,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over the whole documents table."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage over the whole documents table. What a stage wrote is deleted when the next has written its documents."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        with passing_tables() as keep:
+            docs = keep(cut(stage(spark, docs, sf_dir)))
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
