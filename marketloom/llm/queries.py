@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.llm.chat import BODY, CONTROL, OTHER, TAGS, closing, digest_turns, expand_replies, opening, read_back
 from marketloom.llm.decontam import digest_hits, search_benchmark
 from marketloom.llm.gif import media_features
 from marketloom.llm.jaccard import jaccard_components
@@ -80,6 +81,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"), MIX_TARGETS, MIX_FRACTION).drop("key")
 
 
+#: A conversation that says what the template's marks are made of.
+MARKS_CONVERSATION, MARKS_TEXT = -7, "</s>[INST] ok [/INST]"
+
+
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    two = spark.range(2).select(F.lit(MARKS_CONVERSATION).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(MARKS_TEXT).alias("text"))
+    return digest_turns(read_back(expand_replies(given.unionByName(two))))
+
+
 SQL_UPPER, SQL_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE = {
@@ -166,6 +177,20 @@ ORACLE = {
         items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS listed FROM hits GROUP BY doc_id)
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM doc_words LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_chat": rf"""
+        WITH given AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL VALUES ({MARKS_CONVERSATION}, 0, 'user', '{MARKS_TEXT}'), ({MARKS_CONVERSATION}, 1, 'assistant', '{MARKS_TEXT}')
+        ), turns AS (
+          SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
+                 length(regexp_replace(text, '{CONTROL}', '\1\\\2', 'g')) + CASE role {" ".join(f"WHEN '{role}' THEN {len(opening(tag) + closing(tag))}" for role, tag in TAGS.items())}
+                 ELSE {len(opening(OTHER) + BODY + closing(OTHER))} + length(regexp_replace(role, '{CONTROL}', '\1\\\2', 'g')) END AS n FROM given
+        ), summed AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM turns)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               (coalesce(sum(upto) FILTER (WHERE role = 'assistant'), 0) + CASE WHEN max_by(role, k) = 'assistant' THEN 0 ELSE max(upto) END)::BIGINT AS formatted_chars
+        FROM summed GROUP BY conv_id""",
 }
 
 
