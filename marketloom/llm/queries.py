@@ -14,6 +14,7 @@ from marketloom.llm.jaccard import jaccard_components
 from marketloom.llm.langid import held_out, identify, train
 from marketloom.llm.line_dedup import dedup_lines
 from marketloom.llm import toxicity
+from marketloom.llm.merkle import leaf_of, manifest
 from marketloom.llm.mixing import Targets, mix_documents
 from marketloom.llm.suffix_dedup import dedup_strings
 from marketloom.llm.url_filter import filter_urls
@@ -91,8 +92,23 @@ def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_turns(read_back(expand_replies(given.unionByName(two))))
 
 
+MANIFEST_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
+    found = [F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text")) if c == "text" else F.col(c) for c in MANIFEST_FIELDS]
+    out = manifest(docs, MANIFEST_FIELDS, "source", "doc_id", seen=leaf_of(found))
+    return out.withColumnRenamed("order", "doc_id").withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 SQL_UPPER, SQL_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: CRC-32 of a decimal doc_id, bit by bit.
+CRC32_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(d)::BIGINT FOR d IN string_split(doc_id::VARCHAR, '')]),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
 ORACLE = {
     "op2_warc": """
         WITH digests AS (
@@ -191,6 +207,34 @@ ORACLE = {
                sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
                (coalesce(sum(upto) FILTER (WHERE role = 'assistant'), 0) + CASE WHEN max_by(role, k) = 'assistant' THEN 0 ELSE max(upto) END)::BIGINT AS formatted_chars
         FROM summed GROUP BY conv_id""",
+    "op12_manifest": rf"""
+        WITH RECURSIVE given AS (
+          SELECT doc_id, coalesce('s' || source, '') AS tree, text,
+                 concat({", ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in MANIFEST_FIELDS[:-1])}) AS head,
+                 CASE WHEN {CRC32_SQL} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS found FROM documents
+        ), leaves AS (
+          SELECT doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(found) || ':' || found, '-')) AS seen FROM given
+        ), ranked AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+        nodes(tree, lev, pos, n, h) AS (
+          SELECT tree, 0, pos, n, leaf FROM ranked
+          UNION ALL SELECT tree, lev + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY tree, lev, n, pos // 3
+        ), subroots AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+        tops(tree, lev, pos, n, h) AS (
+          SELECT 't', 0, pos, n, subroot FROM subroots
+          UNION ALL SELECT tree, lev + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY tree, lev, n, pos // 3
+        ), every AS (SELECT * FROM nodes UNION ALL SELECT * FROM tops),
+        sides AS (
+          SELECT a.tree, a.lev, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS r
+          FROM every a JOIN every b ON a.tree = b.tree AND a.lev = b.lev AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY a.tree, a.lev, a.pos
+        ), walk(doc_id, leaf, own, tree, lev, pos, h, proof) AS (
+          SELECT doc_id, leaf, tree, tree, 0, pos, seen, '' FROM ranked
+          UNION ALL SELECT doc_id, leaf, own, tree, lev + 1, pos // 3, sha256(l || h || r), proof || l || r FROM walk JOIN sides USING (tree, lev, pos)
+        ), up(doc_id, leaf, own, tree, lev, pos, h, proof) AS (
+          SELECT doc_id, leaf, own, 't', 0, s.pos, h, proof FROM (SELECT * FROM walk QUALIFY lev = max(lev) OVER (PARTITION BY tree)) w JOIN subroots s ON s.tree = w.own
+          UNION ALL SELECT doc_id, leaf, own, tree, lev + 1, pos // 3, sha256(l || h || r), proof || l || r FROM up JOIN sides USING (tree, lev, pos)
+        )
+        SELECT doc_id, leaf, subroot, t.h AS root, sha256(proof) AS proof_sha256, up.h AS folded_root, up.h = t.h AS verified
+        FROM up JOIN tops t ON t.n = 1 AND up.lev = t.lev JOIN subroots s ON s.tree = up.own""",
 }
 
 
