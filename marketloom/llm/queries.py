@@ -14,6 +14,7 @@ from marketloom.llm.jaccard import jaccard_components
 from marketloom.llm.langid import held_out, identify, train
 from marketloom.llm.line_dedup import dedup_lines
 from marketloom.llm import toxicity
+from marketloom.llm.lexical import TERM, rank_documents
 from marketloom.llm.merkle import leaf_of, manifest
 from marketloom.llm.mixing import Targets, mix_documents
 from marketloom.llm.suffix_dedup import dedup_strings
@@ -103,6 +104,10 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("order", "doc_id").withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 SQL_UPPER, SQL_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: CRC-32 of a decimal doc_id, bit by bit.
@@ -235,6 +240,19 @@ ORACLE = {
         )
         SELECT doc_id, leaf, subroot, t.h AS root, sha256(proof) AS proof_sha256, up.h AS folded_root, up.h = t.h AS verified
         FROM up JOIN tops t ON t.n = 1 AND up.lev = t.lev JOIN subroots s ON s.tree = up.own""",
+    "op13_search": rf"""
+        WITH texts AS (
+          SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{SQL_UPPER}', '{SQL_LOWER}'), '{TERM}') AS w FROM documents
+        ), sizes AS (SELECT r, doc_id, w, len(w) AS n FROM texts WHERE len(w) > 0),
+        whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes),
+        asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{SQL_UPPER}', '{SQL_LOWER}'), '{TERM}')) AS term FROM benchmark),
+        counts AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM sizes) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+        weights AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM counts, whole GROUP BY term, docs),
+        impacts AS (
+          SELECT r, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))) AS part FROM counts JOIN weights USING (term) JOIN sizes USING (r), whole
+        ), scored AS (SELECT item_id, r, sum(part)::BIGINT AS score FROM asked JOIN impacts USING (term) GROUP BY ALL HAVING sum(part) > 0)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+        FROM scored JOIN sizes USING (r) QUALIFY rank <= 10""",
 }
 
 
