@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketloom.llm.text import NOT_ALNUM, arrow_map, cut, filesystem, fold_table, packed_rows, passing_tables, payload, quoted, shared_folder, text_parts, unpacked, word_hashes
+from marketloom.llm.text import NOT_ALNUM, arrow_map, cut, filesystem, fold_table, folded, free_names, packed_rows, passing_tables, payload, quoted, shared_folder, text_parts, unpacked, word_hashes
 
 WINDOW = 10
 #: Bytes of texts in a shard's index, and of texts that are searched for a block together; suffixes between two samples.
@@ -140,27 +140,28 @@ class FMIndex:
 
 @dataclass
 class Phrases:
-    """The benchmark's distinct windows as symbols, and the items that have each."""
+    """The benchmark's distinct windows as symbols and as words, and the items that have each."""
 
     vocabulary: np.ndarray
     windows: np.ndarray
     lengths: np.ndarray
     items: list[list[str]]
+    words: list[bytes]
 
     @staticmethod
     def of(rows: list[tuple[bytes, str | None]], width: int) -> Phrases:
-        """Of (window, item) rows, a window being the hashes of its words."""
+        """Of (window, item) rows, a window being its words with blanks between. Symbols are hashes of words, so windows of other words may have the same."""
         owners: dict[bytes, list[str]] = {}
         for window, item in rows:
             held = owners.setdefault(window, [])
             if item is not None:
                 held.append(item)
-        lengths = np.array([len(w) // 8 for w in owners], dtype=np.int64)
-        words = np.frombuffer(b"".join(owners), dtype=np.uint64)
-        vocabulary, symbol = np.unique(words, return_inverse=True)
+        hashes, first, _, _ = word_hashes(list(owners), fold_table(NOT_ALNUM))
+        lengths = np.diff(first)
+        vocabulary, symbol = np.unique(hashes, return_inverse=True)
         windows = np.full((len(owners), width), END, dtype=np.int64)
         windows[np.arange(width) < lengths[:, None]] = symbol + 2
-        return Phrases(vocabulary, windows, lengths, [sorted(x) for x in owners.values()])
+        return Phrases(vocabulary, windows, lengths, [sorted(x) for x in owners.values()], list(owners))
 
 
 def shard_text(hashes: np.ndarray, first: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
@@ -192,6 +193,7 @@ class Shard:
     def __init__(self, rows: list[bytes]) -> None:
         self.rows = rows
         self.hashes, self.first, self.starts, self.ends = word_hashes(rows, fold_table(NOT_ALNUM))
+        self.text = folded(rows, fold_table(NOT_ALNUM))
         self.covered = np.zeros(len(self.hashes), dtype=bool)
         self.items: dict[int, set[str]] = {}
 
@@ -209,6 +211,8 @@ class Shard:
         which = np.repeat(found, counts)
         offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         at = word[index.locate(low[which] + offset)]
+        same = np.fromiter((self.has(a, phrases.words[w], n) for a, w, n in zip(at.tolist(), which.tolist(), phrases.lengths[which].tolist(), strict=True)), bool, len(at))
+        at, which = at[same], which[same]
         hit = np.zeros(len(self.hashes) + 1, dtype=np.int32)
         np.add.at(hit, at, 1)
         np.add.at(hit, at + phrases.lengths[which], -1)
@@ -217,6 +221,10 @@ class Shard:
         for doc, window in np.unique(np.stack([owner, which]), axis=1).T.tolist():
             self.items.setdefault(doc, set()).update(phrases.items[window])
 
+    def has(self, at: int, words: bytes, n: int) -> bool:
+        """Whether the n words from one on are these, letter by letter: a hit so far is one of hashes."""
+        return self.text[self.starts[at] : self.ends[at + n - 1]].split() == words.split()
+
     def found(self) -> Iterator[tuple[int, int, list[str], list[tuple[int, int]]]]:
         """Of each text: number of words, of hit words, items found, merged byte spans that hold hits."""
         begin = np.cumsum([0, *(len(r) + 1 for r in self.rows)])
@@ -245,9 +253,9 @@ def find_hits(texts: list[bytes], blocks: Iterable[Phrases]) -> list[tuple[int,
 
 
 def item_windows(text: bytes, width: int) -> set[bytes]:
-    """The distinct windows of an item, each as the hashes of its words."""
-    hashes, _, _, _ = word_hashes([text], fold_table(NOT_ALNUM))
-    return {hashes[k : k + width].tobytes() for k in range(max(1, len(hashes) - width + 1))} if len(hashes) else set()
+    """The distinct windows of an item, each as its words with blanks between."""
+    words = folded([text], fold_table(NOT_ALNUM)).split()
+    return {b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
 
 
 def phrase_blocks(benchmark: DataFrame, width: int = WINDOW) -> list[str]:
@@ -274,7 +282,7 @@ def phrase_blocks(benchmark: DataFrame, width: int = WINDOW) -> list[str]:
             fs.create_dir(local.rpartition("/")[0], recursive=True)
             with fs.open_output_stream(local, compression=None) as out:
                 found = Phrases.of([(w, i) for _, w, i in held], width)
-                out.write(pickle.dumps((found.vocabulary, found.windows, found.lengths, found.items)))
+                out.write(pickle.dumps((found.vocabulary, found.windows, found.lengths, found.items, found.words)))
             return pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
 
         for batch in batches:
@@ -355,7 +363,7 @@ def remove_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """The documents, all columns kept, with hit words cut out of their texts, and __n_cut, the number of words cut.
+    """The documents, all columns kept, with hit words cut out of their texts, and __n_cut (as free_names has it), the number of words cut.
 
     All blocks of the benchmark are searched in the same text before it is cut; that is repeated while what is left holds a window again. Null
     texts stay null, documents without hits stay as they are; null ids and repeated rows need no care, a very long text is a shard of its own, an
@@ -381,7 +389,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
 
     row, field = packed_rows(docs)
     schema = T.StructType().add("__text", "binary").add("__n_cut", "long").add(field)
-    return unpacked(arrow_map(docs.select(quoted("text").cast("binary").alias("__text"), row), search, schema), docs.columns, "__n_cut")
+    return unpacked(arrow_map(docs.select(quoted("text").cast("binary").alias("__text"), row), search, schema), docs.columns, F.col("__n_cut").alias(free_names(docs, "__n_cut")[0]))
 
 
 def digest_hits(hits: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketloom.llm.text import arrow_map, cut, discard, in_sample, packed_rows, payload, quoted, sample_bounds, share, text_parts, unpacked
+from marketloom.llm.text import arrow_map, cut, discard, free_names, in_sample, packed_rows, payload, quoted, sample_bounds, share, text_parts, unpacked
 
 DIMS = 4096
 #: The classifier is fitted on a bounded sample: about so many rows of a language, those with the least hashes.
@@ -232,7 +232,7 @@ def judge_texts(texts: list[bytes], blocks: list[Callable[[], CentroidModel]]) -
 
 
 def identify(docs: DataFrame, model: CentroidModel) -> DataFrame:
-    """The documents, all columns kept, with __lang_pred, __score (cosine) and __rejected.
+    """The documents, all columns kept, with __lang_pred, __score (cosine) and __rejected (as free_names has them, where such columns are there).
 
     Null texts and texts without a letter get 'und', score 0 and are rejected, as are texts too far from every centroid. Rows
     are judged alone: null ids and repeated rows need no care, an empty table stays empty. A text of any length is one vector of DIMS
@@ -255,7 +255,8 @@ def identify(docs: DataFrame, model: CentroidModel) -> DataFrame:
     row, field = packed_rows(docs)
     schema = T.StructType().add("__lang_pred", "string").add("__score", "double").add("__rejected", "boolean").add("__text", "binary").add(field)
     out = arrow_map(docs.select(quoted("text").cast("binary").alias("__t"), row), judge, schema)
-    return unpacked(out, docs.columns, "__lang_pred", "__score", "__rejected")
+    found = ["__lang_pred", "__score", "__rejected"]
+    return unpacked(out, docs.columns, *(F.col(c).alias(name) for c, name in zip(found, free_names(docs, *found), strict=True)))
 
 
 def held_out(modulus: int, remainder: int) -> Column:

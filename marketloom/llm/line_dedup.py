@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketloom.llm.bloom import filter_bits, holds, twice_seen
-from marketloom.llm.text import arrow_map, cut, packed_rows, passing_tables, payload, quoted, text_parts, unpacked
+from marketloom.llm.bloom import filter_bits, holds, may_be_in, twice_seen
+from marketloom.llm.text import arrow_map, cut, free_names, packed_rows, passing_tables, payload, quoted, text_parts, unpacked
 
 STRIP = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -84,15 +84,18 @@ def drop_lines(text: bytes, digests: set[bytes], min_chars: int) -> tuple[list[b
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """The documents, all columns kept, without the lines that min_docs documents or more share, except in the largest doc_id.
 
-    Adds __n_lines, __n_dropped and __kept_sha256. Null and empty texts are one empty line; a null text that loses
+    Adds __n_lines, __n_dropped and __kept_sha256 (as free_names has them, where such columns are there). Null and empty texts are one empty line; a null text that loses
     nothing stays null. A very long text or line is handled whole, by the worker that reads it. Rows with a null doc_id are not counted as
     documents and stay as they are. Repeated rows of a doc_id count as one document and all lose the same lines; as ids differ
     otherwise, there are no ties for the largest. Extra columns pass through. Empty tables give empty tables.
     """
-    drops = plan_line_drops(docs, min_chars, min_docs).select(F.col("doc_id").cast("string").alias("__drop_id"), F.col("digests").alias("__digests"))
-    # Only this join moves texts; the side of drops has a row a document. Rows without an id join nothing: their texts spread them.
-    key = F.coalesce(quoted("doc_id").cast("long").cast("string"), F.concat(F.lit("text:"), F.md5(payload())))
-    joined = docs.withColumn("__key", key).join(drops, F.col("__key") == F.col("__drop_id"), "left")
+    drops = plan_line_drops(docs, min_chars, min_docs)
+    row, field = packed_rows(docs)  # the row travels with its text, so no second join is needed
+    given = docs.select(quoted("doc_id").cast("long").alias("doc_id"), quoted("text").cast("binary").alias("text"), row)
+    # Only documents that may lose lines are shuffled; what the filter lets through besides joins nothing.
+    may = may_be_in("doc_id", drops)
+    some = given.where(may).join(drops, "doc_id", "left").select("text", "digests", "__row")
+    rest = given.where(~may).select("text", F.lit(None).cast("string").alias("digests"), "__row")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,7 +111,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
                     digest.append(hashlib.sha256(joined_text).hexdigest())
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(digest, pa.string()), part.column(2)], schema.names)
 
-    row, field = packed_rows(docs)  # the row travels with its text, so no second join is needed
     schema = T.StructType().add("__text", "binary").add("__n_lines", "long").add("__n_dropped", "long").add("__kept_sha256", "string").add(field)
-    out = arrow_map(joined.select(quoted("text").cast("binary").alias("__text"), "__digests", row), rewrite, schema)
-    return unpacked(out, docs.columns, "__n_lines", "__n_dropped", "__kept_sha256")
+    found = ["__n_lines", "__n_dropped", "__kept_sha256"]
+    names = zip(found, free_names(docs, *found), strict=True)
+    return unpacked(arrow_map(some.unionByName(rest), rewrite, schema), docs.columns, *(F.col(c).alias(name) for c, name in names))

@@ -15,6 +15,7 @@ from contextvars import ContextVar
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,6 @@ U64 = np.uint64
 SLICE_BYTES = 1 << 19
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 BYTE_VALUE = _RNG.integers(1, 2**64, 256, dtype=np.uint64)
-BASE = 0x9E3779B97F4A7C55
 WORD_FACTORS = _RNG.integers(1, 2**64, 64, dtype=np.uint64) | U64(1)
 
 
@@ -50,13 +50,8 @@ def text_parts(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) ->
         start = end
 
 
-#: Rows of a batch that goes to a Python worker, where the session has Spark's own default: 10,000 texts may be more than a worker should hold.
-BATCH_ROWS, DEFAULT_BATCH_ROWS = 2000, "10000"
-
-
 def give_back() -> None:
     """Memory that this process has freed goes back to the system. Workers are used again: without this they keep the most that any task took."""
-    _POWERS.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     libc = ctypes.CDLL(None)
@@ -65,10 +60,7 @@ def give_back() -> None:
 
 
 def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow in batches of BATCH_ROWS (a session's own setting goes first), whose workers give their memory back when a task ends."""
-    conf = df.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == DEFAULT_BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """mapInArrow, whose workers give their memory back when a task ends. Batches are as large as the session has them: 10,000 rows and 64 MB by Spark's default."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -84,17 +76,28 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def packed_rows(docs: DataFrame, leave: str = "text") -> tuple[Column, T.StructField]:
-    """All columns but `leave` as one struct __row, which travels through a worker as it is, and its field in a schema."""
-    others = docs.drop(leave).schema.fields
-    row = F.struct(F.lit(0).alias("__one"), *(quoted(f.name).alias(f.name) for f in others)).alias("__row")
-    return row, T.StructField("__row", T.StructType([T.StructField("__one", T.IntegerType()), *others]))
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be none of the columns'."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def packed_rows(docs: DataFrame, leave: str | None = "text") -> tuple[Column, T.StructField]:
+    """All columns but `leave` as one struct __row, which travels through a worker as it is, and its field in a schema. Its fields go by number, so no name can clash."""
+    others = [f for f in docs.schema.fields if f.name != leave]
+    row = F.struct(F.lit(0).alias("one"), *(quoted(f.name).alias(f"c{k}") for k, f in enumerate(others))).alias("__row")
+    return row, T.StructField("__row", T.StructType([T.StructField("one", T.IntegerType()), *(T.StructField(f"c{k}", f.dataType) for k, f in enumerate(others))]))
 
 
-def unpacked(out: DataFrame, columns: list[str], *more: str) -> DataFrame:
+def unpacked(out: DataFrame, columns: list[str], *more: Column, leave: str | None = "text") -> DataFrame:
     """The columns in their order from __row and __text, then `more`."""
-    row = F.col("__row")
-    return out.select(*(F.col("__text").cast("string").alias(c) if c == "text" else row.getField(c).alias(c) for c in columns), *more)
+    place = {c: k for k, c in enumerate(c for c in columns if c != leave)}
+    return out.select(*(F.col("__text").cast("string").alias(c) if c == leave else F.col("__row").getField(f"c{place[c]}").alias(c) for c in columns), *more)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -106,27 +109,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_POWERS: dict[str, np.ndarray] = {}
+def fold_table(separators: bytes) -> bytes:
+    """A table for bytes.translate: A-Z lower-cased, separators as blanks."""
+    table = bytearray(range(256))
+    table[65:91] = range(97, 123)
+    for c in separators:
+        table[c] = 0x20
+    return bytes(table)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i up to n."""
-    if len(_POWERS.get("up", ())) <= n:
-        size = max(n + 1, SLICE_BYTES + 4096)
-        for name, base in (("up", BASE), ("down", pow(BASE, -1, 2**64))):
-            steps = np.full(size, U64(base))
-            steps[0] = U64(1)
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"], _POWERS["down"]
-
-
-def fold_table(separators: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Per byte: its value when A-Z are lower-cased, and whether it belongs to a word."""
-    lower = np.arange(256, dtype=np.uint8)
-    lower[65:91] += 32
-    inside = np.ones(256, dtype=bool)
-    inside[list(separators)] = False
-    return BYTE_VALUE[lower], inside
+def folded(rows: list[bytes], table: bytes) -> bytes:
+    """The rows by the table, a blank after each."""
+    return (b" ".join(rows) + b" ").translate(table)
 
 
 #: Separators of words: ASCII white space, and every ASCII byte but letters and digits.
@@ -134,19 +128,22 @@ SPACE = bytes([0x20, *range(0x09, 0x0E)])
 NOT_ALNUM = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 
 
-def word_hashes(rows: list[bytes], table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the rows in order; the first word of each row and of a row beyond the last; starts and ends of words in the joined rows."""
-    value, inside = table
-    data = np.frombuffer(b" ".join(rows) + b" ", dtype=np.uint8)
-    word = inside[data]
+#: Words that are Python objects at once.
+WORD_SLICE = 1 << 16
+
+
+def word_hashes(rows: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes (xxh3) of all words of the rows in order; the first word of each row and of a row beyond the last; starts and ends of words in the joined rows."""
+    text = folded(rows, table)
+    word = np.frombuffer(text, dtype=np.uint8) != 0x20
     edge = np.flatnonzero(word[1:] != word[:-1]) + 1
     if len(word) and word[0]:
         edge = np.concatenate([[0], edge])
     starts, ends = edge[::2], edge[1::2]
-    up, down = powers(len(data))
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(value[data] * up[: len(data)], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts])
+    hashes = np.empty(len(starts), dtype=np.uint64)
+    for k in range(0, len(starts), WORD_SLICE):
+        last = min(k + WORD_SLICE, len(starts))
+        hashes[k:last] = np.fromiter(map(xxhash.xxh3_64_intdigest, text[starts[k] : ends[last - 1]].split()), np.uint64, last - k)
     begin = np.zeros(len(rows) + 1, dtype=np.int64)
     np.cumsum([len(r) + 1 for r in rows], out=begin[1:])
     return hashes, np.searchsorted(starts, begin), starts, ends
