@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's docs. All but the
 last return the columns of documents; n_chars follows the text. Null ids, null and empty texts, repeated rows and extra
-columns pass through, but for what a stage decides on; empty tables give empty tables.
+columns of any names pass through, but for what a stage decides on; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from marketloom.llm.langid import held_out, identify, train
 from marketloom.llm.line_dedup import dedup_lines
 from marketloom.llm.mixing import document_key, mix_documents
 from marketloom.llm.queries import MIX_FRACTION, MIX_TARGETS, table
-from marketloom.llm.text import cut, discard, passing_tables, quoted
+from marketloom.llm.text import cut, discard, free_names, packed_rows, passing_tables, quoted, unpacked
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -24,13 +24,24 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
+def once(docs: DataFrame) -> DataFrame:
+    """Rows that are equal in all columns once. Maps, which can't be compared, count by their JSON."""
+    maps = [f.name for f in docs.schema.fields if "map<" in f.dataType.simpleString()]
+    if not maps:
+        return docs.dropDuplicates()
+    names = dict(zip(maps, free_names(docs, *("__json" for _ in maps)), strict=True))
+    told = docs.withColumns({name: F.to_json(F.struct(quoted(c)), {"ignoreNullFields": "false"}) for c, name in names.items()})
+    return told.dropDuplicates([c for c in told.columns if c not in maps]).drop(*names.values())
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters or too far from every centroid go, null and empty texts among them; a missing lang is filled with the prediction.
 
     Rows are judged alone, so repeated rows and null ids need no care; of languages at equal cosines the first wins; a very long text is one vector.
     """
-    judged = identify(docs, train(docs, ~held_out(3, 1))).where(~F.col("__rejected"))
-    lang = F.coalesce("lang", "__lang_pred")
+    found, _, rejected = free_names(docs, "__lang_pred", "__score", "__rejected")
+    judged = identify(docs, train(docs, ~held_out(3, 1))).where(~F.col(rejected))
+    lang = F.coalesce("lang", found)
     return judged.withColumn("lang", lang).select(*map(quoted, docs.columns))
 
 
@@ -44,10 +55,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays. Rows of one doc_id stay or go together,
-    equal ones once; rows with a null doc_id stay, as do null and empty texts. Pairs exactly at the threshold are near duplicates; a very long text is compared whole."""
-    keep = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, docs["doc_id"].cast("long") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    those that are equal in all columns once; rows with a null doc_id stay, as do null and empty texts. Pairs exactly at the threshold are near duplicates; a very long text is compared whole."""
+    keep = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(keep, docs["doc_id"].cast("long") == keep["doc_id"], "left_semi")
+    return once(kept).unionByName(docs.where("doc_id is null"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,10 +76,13 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Rows of one doc_id are drawn together, rows without one by their text; null and empty texts have no tokens and are drawn by the fraction; a very long
     text is drawn or not as one.
     """
-    mixed = mix_documents(docs, MIX_TARGETS, MIX_FRACTION).where("sampled").groupBy(F.col("key").alias("__key"))
-    mixed = cut(mixed.agg(*(F.first(c).alias(c) for c in ("topic", "n_tokens", "weight", "probability"))))
-    clash = [c for c in ("topic", "n_tokens", "weight", "probability") if c in docs.columns]
-    return docs.drop(*clash).join(mixed, document_key() == F.col("__key")).drop("__key")
+    found = ["topic", "n_tokens", "weight", "probability"]
+    mixed = mix_documents(docs, MIX_TARGETS, MIX_FRACTION).where("sampled").groupBy("key")
+    mixed = cut(mixed.agg(*(F.first(c).alias(c) for c in found)))
+    kept = docs.drop(*(c for c in docs.columns if c.lower() in found))
+    row, _ = packed_rows(kept, None)
+    # The drawn rows' columns travel in a struct, so that none can clash with the key's or the results' names.
+    return unpacked(docs.select(document_key().alias("key"), row).join(mixed, "key"), kept.columns, *map(F.col, found), leave=None)
 
 
 STAGES = [
