@@ -50,6 +50,24 @@ def text_parts(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) ->
         start = end
 
 
+#: Rows of a batch that goes to a Python worker while an operator writes a table of its own, where the session has Spark's default: 10,000 texts take more of an executor.
+BATCH_ROWS, DEFAULT_BATCH_ROWS, BATCH_SETTING = 2000, "10000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of BATCH_ROWS rows for what is written inside; afterwards the session is as it was."""
+    before = spark.conf.get(BATCH_SETTING)
+    if before != DEFAULT_BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
 def give_back() -> None:
     """Memory that this process has freed goes back to the system. Workers are used again: without this they keep the most that any task took."""
     gc.collect()
@@ -60,7 +78,7 @@ def give_back() -> None:
 
 
 def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow, whose workers give their memory back when a task ends. Batches are as large as the session has them: 10,000 rows and 64 MB by Spark's default."""
+    """mapInArrow, whose workers give their memory back when a task ends. Batches are as large as the session has them (10,000 rows and 64 MB by Spark's default), smaller in what `cut` writes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -221,7 +239,8 @@ def passing_tables() -> Iterator[Callable[[DataFrame], DataFrame]]:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut: written as Parquet to the shared folder and read again."""
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_path = path
     passing = _PASSING.get()

@@ -2,11 +2,12 @@
 
 from pathlib import Path
 
+import pyarrow as pa
 from cases import documents
 from pyspark.sql import functions as F
 
 from marketloom.llm import decontam, langid
-from marketloom.llm.text import cut, passing_tables
+from marketloom.llm.text import BATCH_SETTING, arrow_map, cut, passing_tables
 
 
 def there(df):
@@ -31,3 +32,19 @@ def test_training_leaves_no_tables(spark, monkeypatch):
     langid.train(documents(spark), F.lit(True))
     decontam.phrase_blocks(spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string"))
     assert len(written) == 3 and not any(map(there, written))
+
+
+def test_the_session_stays_as_it_was(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], ["n"])
+
+    rows = spark.range(5000).coalesce(1)
+    before = spark.conf.get(BATCH_SETTING)
+    assert cut(arrow_map(rows, sizes, "n long")).agg(F.max("n")).first()[0] == 2000
+    assert spark.conf.get(BATCH_SETTING) == before == "10000" and arrow_map(rows, sizes, "n long").first().n == 5000
+    spark.conf.set(BATCH_SETTING, "700")
+    try:
+        assert cut(arrow_map(rows, sizes, "n long")).agg(F.max("n")).first()[0] == 700
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
