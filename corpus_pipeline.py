@@ -67,7 +67,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     Null texts stay null; repeated rows and null ids need no care; a very long text is searched whole.
     """
     clean = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return measured(clean.select(*map(quoted, docs.columns)))
+    return cut(measured(clean.select(*map(quoted, docs.columns))))  # written here, in batches that are small next to a shard's index
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -102,7 +102,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         with passing_tables() as keep:
-            docs = keep(cut(stage(spark, docs, sf_dir)))
+            found = stage(spark, docs, sf_dir)
+            docs = keep(found if hasattr(found, "cut_path") else cut(found))
         if before is not None:
             discard(before)
         before = docs
