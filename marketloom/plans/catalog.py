@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.functions.expressions import average_rank, by_date, last_known, log_of, quantise, zscore
+from marketloom.functions.expressions import average_rank, by_date, by_ticker, last_known, log_of, quantise, zscore
 from marketloom.operators import clean, dashboard, explore, features, gravity
 from marketloom.operators.prepare import Prepared, prepare_price_data
 from marketloom.plans import oracle as o
@@ -651,3 +651,6 @@ def roundtrip_two_header_csv(spark, sf):
     path = scratch_path(spark, "two_header")
     names.unionByName(text).coalesce(1).write.option("header", True).csv(path)  # one ticker's days: the format is one small file
     return panels.read_two_header_csv(spark, path)
+
+
+from marketloom.plans import advanced  # noqa: E402, F401  it registers its queries here
