@@ -23,6 +23,16 @@ def require_rows(df: DataFrame, guard: bool = True, name: str = "DataFrame") ->
     return df
 
 
+def of_ticker(panel: DataFrame, ticker: str | None, name: str = "returns") -> DataFrame:
+    """The rows of one ticker, which has to be there; all if none is named."""
+    if ticker is None:
+        return panel
+    some = panel.where(F.col("ticker") == ticker)
+    if some.isEmpty():
+        raise KeyError(f"{ticker} not found in {name}.")
+    return some
+
+
 def describe(panel: DataFrame, column: str, percentiles: Sequence[float] = PERCENTILES, guard: bool = True) -> DataFrame:
     """One row a ticker, in order: count, mean, std, min, p01 ... (exact, interpolated, the median always among them), max, non_null, n_unique."""
     wanted = sorted({*percentiles, 0.5})
@@ -100,9 +110,9 @@ def correlation_matrix(panel: DataFrame, column: str, tickers: Sequence[str], me
     return both.groupBy(F.col("i").alias("ticker")).pivot("j", list(tickers)).agg(F.first("corr"))
 
 
-def histogram(panel: DataFrame, column: str, bins: int = 50, guard: bool = True) -> DataFrame:
-    """(ticker, bin, low, high, n) of equal bins from each ticker's least to greatest value; the last bin holds the greatest. Empty bins have no row."""
-    values = require_rows(panel, guard).where(F.col(column).isNotNull()).select("ticker", column)
+def histogram(panel: DataFrame, column: str, bins: int = 50, guard: bool = True, ticker: str | None = None) -> DataFrame:
+    """(ticker, bin, low, high, n) of equal bins from each ticker's least to greatest value; the last bin holds the greatest. Empty bins have no row. A named ticker alone, which has to be there."""
+    values = of_ticker(require_rows(panel, guard), ticker).where(F.col(column).isNotNull()).select("ticker", column)
     known = values.join(values.groupBy("ticker").agg(F.min(column).alias("__a"), F.max(column).alias("__z")), "ticker")  # a row a ticker
     width = (F.col("__z") - F.col("__a")) / F.lit(float(bins))
     place = F.least(F.lit(bins - 1), F.coalesce(F.floor(divide(F.col(column) - F.col("__a"), width)), F.lit(0)).cast("int"))
@@ -110,12 +120,12 @@ def histogram(panel: DataFrame, column: str, bins: int = 50, guard: bool = True)
     return counts.select("ticker", "bin", (F.col("__a") + F.col("bin") * F.col("__w")).alias("low"), (F.col("__a") + (F.col("bin") + 1) * F.col("__w")).alias("high"), "n")
 
 
-def density(panel: DataFrame, column: str, points: int = 100, guard: bool = True) -> DataFrame:
+def density(panel: DataFrame, column: str, points: int = 100, guard: bool = True, ticker: str | None = None) -> DataFrame:
     """(ticker, point, x, density): Gaussian kernel density by Scott's rule at so many points, three bandwidths beyond the values; no rows without spread.
 
     Each value adds to each point, so rows grow by the factor `points`; sums are combined before the shuffle.
     """
-    known = require_rows(panel, guard).where(F.col(column).isNotNull())
+    known = of_ticker(require_rows(panel, guard), ticker).where(F.col(column).isNotNull())
     stats = known.groupBy("ticker").agg(F.count(F.lit(1)).cast("double").alias("n"), F.stddev_samp(column).alias("sd"), F.min(column).alias("a"), F.max(column).alias("z")).where("sd > 0")
     stats = stats.withColumn("h", F.col("sd") * F.pow("n", F.lit(-0.2)))
     grid = stats.select("ticker", "n", "h", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"), "a", "z")
@@ -125,9 +135,9 @@ def density(panel: DataFrame, column: str, points: int = 100, guard: bool = True
     return sums.select("ticker", "point", "x", (F.col("s") / (F.col("n") * F.col("h") * F.sqrt(F.lit(2 * np.pi)))).alias("density"))
 
 
-def box_stats(panel: DataFrame, column: str, reach: float = 1.5, guard: bool = True) -> DataFrame:
+def box_stats(panel: DataFrame, column: str, reach: float = 1.5, guard: bool = True, ticker: str | None = None) -> DataFrame:
     """One row a ticker: quartiles, whiskers (the outermost values within so many interquartile ranges) and the number of outliers."""
-    known = require_rows(panel, guard).where(F.col(column).isNotNull()).select("ticker", F.col(column).alias("v"))
+    known = of_ticker(require_rows(panel, guard), ticker).where(F.col(column).isNotNull()).select("ticker", F.col(column).alias("v"))
     quartiles = known.groupBy("ticker").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     bounds = quartiles.select("ticker", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     low, high = F.col("q1") - reach * (F.col("q3") - F.col("q1")), F.col("q3") + reach * (F.col("q3") - F.col("q1"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.expressions import by_ticker, canonical, divide, lagged_change, last_known, log_of, rolling
 
+from marketloom.operators.explore import require_rows
+
 
 def returns(panel: DataFrame, kind: str = "log", column: str = "price", pad: bool = True) -> DataFrame:
     """(date, ticker, ret): change to the row before. Simple returns carry the last price over gaps if pad, log returns never do."""
@@ -42,10 +44,10 @@ def technical_features(panel: DataFrame, windows: Sequence[int] = (5, 20, 60)) -
     return panel.select("date", "ticker", *(columns[name].alias(name) for name in sorted(columns)))
 
 
-def rolling_stats(panel: DataFrame, column: str, windows: Sequence[int] = (20, 60)) -> DataFrame:
-    """(date, ticker, column, mean_w, std_w ...)."""
+def rolling_stats(panel: DataFrame, column: str, windows: Sequence[int] = (20, 60), guard: bool = True) -> DataFrame:
+    """(date, ticker, column, mean_w, std_w ...). An empty panel is refused, unless the guard is off."""
     stats = [f(column, w).alias(f"{name}_{w}") for w in windows for name, f in (("mean", lambda c, w: rolling(F.avg, c, w, max(1, w // 2))), ("std", lambda c, w: rolling(F.stddev_samp, c, w, max(1, w // 2))))]
-    return panel.select("date", "ticker", column, *stats)
+    return require_rows(panel, guard, "series").select("date", "ticker", column, *stats)
 
 
 def moving_averages(ohlcv: DataFrame, windows: Sequence[int] = (5, 10, 20, 50)) -> DataFrame:
@@ -73,10 +75,10 @@ def volume_colours(ohlcv: DataFrame) -> DataFrame:
     return ohlcv.select("date", "ticker", "volume", F.when(F.col("close") < F.col("open"), "red").otherwise("green").alias("colour"))
 
 
-def normalised(panel: DataFrame, column: str = "price") -> DataFrame:
-    """(date, ticker, normalised): the column by its ticker's first value that isn't NULL."""
+def normalised(panel: DataFrame, column: str = "price", guard: bool = True) -> DataFrame:
+    """(date, ticker, normalised): the column by its ticker's first value that isn't NULL. An empty panel is refused, unless the guard is off."""
     start = F.first(F.col(column), ignorenulls=True).over(by_ticker().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return panel.select("date", "ticker", divide(F.col(column), start).alias("normalised"))
+    return require_rows(panel, guard, "prices").select("date", "ticker", divide(F.col(column), start).alias("normalised"))
 
 
 def summary_stats(ohlcv: DataFrame) -> DataFrame:

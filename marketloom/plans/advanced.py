@@ -10,8 +10,9 @@ from marketloom.plans import catalog as c
 from marketloom.plans import oracle as o
 from marketloom.plans.catalog import query
 from marketloom.plans.oracle import q
-from marketloom.sources import panels
-from marketloom.sources.scratch import materialise
+from marketloom.sources import connector, panels
+from marketloom.sources.scratch import materialise, scratch_path
+from marketloom.streaming import features as stream
 
 # Exponential means: the recurrence, row after row.
 
@@ -112,3 +113,30 @@ def direction_models(spark, sf):
     """Held-out metrics of logistic regression, random forest and boosted trees in every fold. Prices of the driver's tables revert, so they beat a coin."""
     rows = materialise(models.direction_rows(c.prepared(spark, sf).panel), "direction")
     return models.direction_models(rows, models.feature_names(), PLAN)
+
+
+# Bars from a store of files by ticker and year, and features of a stream of them.
+
+
+@query("connector_bars", c.WITH_OHLCV + "SELECT date, ticker, open, high, low, close, volume FROM ohlcv WHERE ticker IN ('1-URGENT', '4-NOT SPECIFIED') AND date >= DATE '1995-07-01' AND date < DATE '1997-02-01'")
+def connector_bars(spark, sf):
+    folder = scratch_path(spark, "bars")
+    connector.write_store(panels.order_panel(spark, sf), folder)
+    return connector.read_store(spark, folder, ["1-URGENT", "4-NOT SPECIFIED"], "1995-07-01", "1997-02-01")
+
+
+STREAMED = {"ret": "ret", **c.FEATURES, "EMA_12": "fast", "EMA_26": "slow"}
+LEVELS = ("EMA_12", "EMA_26")
+
+
+@query(
+    "stream_features",
+    EMA
+    + f""", prep AS (SELECT ticker, date, close AS price, ln(close) - {o.back("ln(close)")} AS ret FROM ohlcv)
+    SELECT date, ticker, {", ".join(f"{q(sql, PLACES if n in LEVELS else 6)} AS {n}" for n, sql in STREAMED.items())} FROM prep JOIN e USING (ticker, date)""",
+)
+def stream_features(spark, sf):
+    """The streaming query over all bars, which arrive in three parts; it starts anew, from its checkpoint, for each."""
+    bars = panels.order_panel(spark, sf).select(F.col("date").cast("timestamp").alias("ts"), "ticker", F.col("close").alias("price"))
+    found = stream.replay(materialise(bars, "bars"))
+    return found.select(F.to_date("ts").alias("date"), "ticker", *(quantise(n, PLACES if n in LEVELS else 6).alias(n) for n in STREAMED))

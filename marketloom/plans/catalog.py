@@ -99,7 +99,7 @@ def panel_ohlcv(spark, sf):
 
 @query("fetch_prices", WITH_OHLCV + "SELECT date, ticker, close AS price, volume FROM ohlcv WHERE ticker IN ('1-URGENT', '2-HIGH') AND date >= DATE '1995-01-01' AND date < DATE '1996-01-01'")
 def fetch_prices(spark, sf):
-    return panels.fetch_prices(panels.order_panel(spark, sf), ["1-URGENT", "2-HIGH"], "1995-01-01", "1996-01-01")
+    return panels.fetch_prices(panels.order_panel(spark, sf), ["1-URGENT", "2-HIGH"], "1995-01-01", "1996-01-01", guard=False)
 
 
 @query("calendar_business", WITH_GRID + "SELECT date FROM cal")
@@ -228,7 +228,7 @@ def features_all(spark, sf):
 
 @query("rolling_mean_std", WITH_PREP + f"SELECT date, ticker, {q('price')} AS price, " + ", ".join(f"{q(o.roll(f, 'price', w, w // 2))} AS {n}_{w}" for w in (20, 60) for n, f in (("mean", "avg"), ("std", "stddev_samp"))) + " FROM prep")
 def rolling_mean_std(spark, sf):
-    return rounded(features.rolling_stats(prepared(spark, sf).prices, "price"), "price", "mean_20", "std_20", "mean_60", "std_60")
+    return rounded(features.rolling_stats(prepared(spark, sf).prices, "price", guard=False), "price", "mean_20", "std_20", "mean_60", "std_60")
 
 
 @query("ind_sma", WITH_OHLCV + f"SELECT date, ticker, {', '.join(f'{q(o.roll("avg", "close", w))} AS SMA_{w}' for w in (5, 10, 20, 50))} FROM ohlcv")
@@ -284,7 +284,7 @@ def summary_strings(spark, sf):
 
 @query("normalised_price", WITH_PREP + f"SELECT date, ticker, {q('price / nullif(first_value(price IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0)')} AS normalised FROM prep")
 def normalised_price(spark, sf):
-    return rounded(features.normalised(prepared(spark, sf).prices), "normalised")
+    return rounded(features.normalised(prepared(spark, sf).prices, guard=False), "normalised")
 
 
 # Exploration

@@ -40,15 +40,21 @@ def price_column(columns: list[str]) -> str:
     raise KeyError("neither adj_close nor close is there")
 
 
-def fetch_prices(ohlcv: DataFrame, tickers: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
-    """(date, ticker, price, volume): adjusted closes are preferred, end is not included, of repeated rows one is kept."""
+NO_DATA = "No data returned. Check tickers, dates, or interval."
+
+
+def fetch_prices(ohlcv: DataFrame, tickers: list[str] | None = None, start: str | None = None, end: str | None = None, guard: bool = True) -> DataFrame:
+    """(date, ticker, price, volume): adjusted closes are preferred, end is not included. An empty result is refused; a caller that knows better turns the guard off, as that reads a row."""
     out = ohlcv if tickers is None else ohlcv.where(F.col("ticker").isin(list(tickers)))
     if start is not None:
         out = out.where(F.col("date") >= F.lit(start).cast("date"))
     if end is not None:
         out = out.where(F.col("date") < F.lit(end).cast("date"))
+    price = price_column(out.columns)
+    if guard and out.isEmpty():
+        raise ValueError(NO_DATA)
     volume = F.col("volume").cast("double") if "volume" in out.columns else F.lit(None).cast("double")
-    return out.select("date", "ticker", canonical(price_column(out.columns)).alias("price"), volume.alias("volume"))
+    return out.select("date", "ticker", canonical(price).alias("price"), volume.alias("volume"))
 
 
 def read_two_header_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 from helpers import close, panel
 
-from marketloom.operators import explore
+from marketloom.operators import explore, features
+from marketloom.sources import panels
 
 
 def test_describe(spark):
@@ -89,3 +90,18 @@ def test_quick_summary(spark):
         explore.quick_summary()
     stats = explore.panel_stats(rows, "price").first()
     assert stats.mean == pytest.approx((1.5 + 2 + 2) / 3) and stats.max == 3
+
+
+def test_unknown_tickers_and_empty_panels_are_refused(spark):
+    rows = panel(spark, {"A": [1, 2, 3, 4], "B": [2, 2, 3, 5]})
+    for table in (explore.histogram, explore.density, explore.box_stats):
+        assert {r.ticker for r in table(rows, "price", ticker="B").collect()} == {"B"}
+        with pytest.raises(KeyError, match="X not found in returns"):
+            table(rows, "price", ticker="X")
+    for table in (lambda df: features.normalised(df), lambda df: features.rolling_stats(df, "price")):
+        with pytest.raises(ValueError, match="is empty"):
+            table(rows.limit(0))
+    assert features.normalised(rows.limit(0), guard=False).count() == 0
+    with pytest.raises(ValueError, match="No data returned"):
+        panels.fetch_prices(rows.withColumnRenamed("price", "close"), ["X"])
+    assert panels.fetch_prices(rows.withColumnRenamed("price", "close"), ["X"], guard=False).count() == 0
