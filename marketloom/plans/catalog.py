@@ -48,12 +48,13 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, sf: str) -> DataFrame:
-    return panels.dense_grid(panels.region_panel(spark, sf))
+    # The calendar and the tickers come from the panel too: it is written first, so that the lines it sums up are read once.
+    return panels.dense_grid(materialise(panels.region_panel(spark, sf), "region"))
 
 
 def prepared(spark: SparkSession, sf: str) -> Prepared:
     # The panel is an aggregate: a date of a ticker is there once, so there is nothing to validate.
-    return prepare_price_data(panels.region_panel(spark, sf), validate=False)
+    return prepare_price_data(materialise(panels.region_panel(spark, sf), "region"), validate=False)
 
 
 def prep_panel(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,7 +176,7 @@ def dropped_tickers(spark, sf):
 
 @query("align_and_fill", WITH_PREP + f"SELECT date, ticker, {q('price')} AS price FROM covered")
 def align_and_fill(spark, sf):
-    return rounded(clean.align_and_fill(panels.region_panel(spark, sf)), "price")
+    return rounded(clean.align_and_fill(materialise(panels.region_panel(spark, sf), "region")), "price")
 
 
 @query("winsorize", WITH_PANEL + f"SELECT date, ticker, {q('price')} AS price FROM {o.winsor('panel', 1.5)}")
@@ -561,7 +562,7 @@ def sweep_sql() -> str:
 
 def sweep(spark: SparkSession, sf: str) -> DataFrame:
     panel = prep_panel(spark, sf)
-    return gravity.config_sweep(panel, CONFIGS, SWEEP_HORIZONS, panel.select("date", "ticker", "ret"), places=6)
+    return gravity.config_sweep(panel, CONFIGS, SWEEP_HORIZONS, places=6)
 
 
 @query("config_sweep", sweep_sql() + f"SELECT config, horizon, {q('mean_ic')} AS mean_ic FROM m")

@@ -115,3 +115,32 @@ def test_random_walk_has_no_skill(spark):
 def test_sweep(rows):
     found = gravity.config_sweep(rows, [gravity.GravityParams(dist_window=30), gravity.GravityParams()], [1, 5])
     assert {(r.config, r.horizon) for r in found.collect()} == {(0, 1), (0, 5), (1, 1), (1, 5)}
+
+
+def test_sweep_is_each_configuration_by_itself(spark):
+    """One chain for all configurations gives what signals and coefficients of each give alone, whatever their parameters."""
+    import random
+
+    rng = random.Random(4)
+    n = 90
+    prices = {t: [None if rng.random() < 0.05 else 100 * rng.lognormvariate(0, 0.2) for _ in range(n)] for t in "ABCDE"}
+    volumes = {t: [None if rng.random() < 0.05 else 1e4 * rng.random() for _ in range(n)] for t in prices}
+    caps = {t: [rng.random() * 1e6 for _ in range(n)] for t in prices}
+    rows = features.with_returns(panel(spark, prices, volume=volumes, market_cap=caps)).cache()
+    P = gravity.GravityParams
+    configs = [P(mass_window=5, dist_window=20, dist_min_periods=10, momentum_lookback=5), P(mass_window=9, dist_window=20, dist_min_periods=15, momentum_lookback=5, momentum_kind="simple", g=2.0, zscore_signals=False)]
+    configs += [P(mass_method="market_cap", dist_window=30, dist_min_periods=20, momentum_lookback=9, eps=1e-3), P(mass_window=5, dist_window=30, dist_min_periods=20, momentum_lookback=9, force_cap=1e9)]
+    horizons = [1, 4, 200]
+    found = {(r.config, r.horizon): r for r in gravity.config_sweep(rows, configs, horizons).collect()}
+    assert len(found) == len(configs) * len(horizons)
+    fwd = features.forward_returns(rows, horizons)
+    for k, params in enumerate(configs):
+        signals = gravity.gravity_signals(rows, params, rows.select("date", "ticker", "ret"))
+        for r in gravity.mean_ic(gravity.information_coefficient(signals, fwd), horizons).collect():
+            got = found[k, r.horizon]
+            assert got.pos == r.pos and (got.mean_ic is None) == (r.mean_ic is None) and (r.mean_ic is None or abs(got.mean_ic - r.mean_ic) < 1e-9)
+    again = gravity.config_sweep(rows.drop("ret"), configs[:1], horizons, rows.select("date", "ticker", "ret"))
+    assert all(abs((found[0, r.horizon].mean_ic or 0) - (r.mean_ic or 0)) < 1e-9 for r in again.collect())
+    plan = gravity.config_sweep(spark.createDataFrame(rows.collect(), rows.schema), configs, horizons)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 12
+    rows.unpersist()
