@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketloom.functions.expressions import by_ticker, clip, last_known
+from marketloom.operators.ranges import order_report
 from marketloom.sources.panels import dense_grid
 
 
@@ -18,12 +19,10 @@ def keep_first(panel: DataFrame, order: str) -> DataFrame:
 
 def validation_report(panel: DataFrame, order: str | None = None) -> DataFrame:
     """One row: rows, rows that repeat a date of their ticker, rows earlier than the one before them by `order` (0 without one)."""
-    rows = panel.groupBy("ticker", "date").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_duplicates"))
     if order is None:
+        rows = panel.groupBy("ticker", "date").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_duplicates"))
         return rows.withColumn("n_backward", F.lit(0).cast("long"))
-    before = F.lag("date").over(Window.partitionBy("ticker").orderBy(order))
-    back = panel.select((F.col("date") < before).alias("back")).agg(F.count_if("back").alias("n_backward"))
-    return rows.crossJoin(F.broadcast(back))  # a row each
+    return order_report(panel, order)
 
 
 def validate_prices(panel: DataFrame, order: str | None = None) -> None:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions.expressions import average_rank, correlation, corrected_skew, divide
+from marketloom.operators.ranges import exact_quantiles
 
 PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 #: Above so many distinct values, their number is NULL.
@@ -36,16 +37,17 @@ def of_ticker(panel: DataFrame, ticker: str | None, name: str = "returns") -> Da
 def describe(panel: DataFrame, column: str, percentiles: Sequence[float] = PERCENTILES, guard: bool = True) -> DataFrame:
     """One row a ticker, in order: count, mean, std, min, p01 ... (exact, interpolated, the median always among them), max, non_null, n_unique."""
     wanted = sorted({*percentiles, 0.5})
-    found = require_rows(panel, guard).groupBy("ticker").agg(
+    stats = require_rows(panel, guard).groupBy("ticker").agg(
         F.count(column).cast("double").alias("count"),
         F.avg(column).alias("mean"),
         F.stddev_samp(column).alias("std"),
         F.min(column).alias("min"),
-        F.percentile(column, F.array(*(F.lit(float(p)) for p in wanted))).alias("__p"),
         F.max(column).alias("max"),
         F.count(column).alias("non_null"),
         F.count_distinct(column).alias("__unique"),
     )
+    ranks = exact_quantiles(panel, column, wanted).select(F.col("ticker").alias("__of"), F.col("quantiles").alias("__p"))
+    found = stats.join(ranks, F.col("ticker").eqNullSafe(F.col("__of")), "left")
     points = [F.col("__p")[k].alias(f"p{round(100 * p):02d}") for k, p in enumerate(wanted)]
     unique = F.when(F.col("__unique") <= MAX_DISTINCT, F.col("__unique")).alias("n_unique")
     return found.select("ticker", "count", "mean", "std", "min", *points, "max", "non_null", unique).orderBy("ticker")
@@ -138,7 +140,7 @@ def density(panel: DataFrame, column: str, points: int = 100, guard: bool = True
 def box_stats(panel: DataFrame, column: str, reach: float = 1.5, guard: bool = True, ticker: str | None = None) -> DataFrame:
     """One row a ticker: quartiles, whiskers (the outermost values within so many interquartile ranges) and the number of outliers."""
     known = of_ticker(require_rows(panel, guard), ticker).where(F.col(column).isNotNull()).select("ticker", F.col(column).alias("v"))
-    quartiles = known.groupBy("ticker").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    quartiles = exact_quantiles(known, "v", [0.25, 0.5, 0.75]).withColumnRenamed("quantiles", "q")
     bounds = quartiles.select("ticker", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     low, high = F.col("q1") - reach * (F.col("q3") - F.col("q1")), F.col("q3") + reach * (F.col("q3") - F.col("q1"))
     inside = (F.col("v") >= low) & (F.col("v") <= high)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketloom.functions.expressions import divide, lagged_change, quantise
-from marketloom.operators import models, scan, validate
+from marketloom.operators import blocks, clean, models, scan, validate
 from marketloom.plans import catalog as c
 from marketloom.plans import oracle as o
 from marketloom.plans.catalog import query
@@ -140,3 +140,52 @@ def stream_features(spark, sf):
     bars = panels.order_panel(spark, sf).select(F.col("date").cast("timestamp").alias("ts"), "ticker", F.col("close").alias("price"))
     found = stream.replay(materialise(bars, "bars"))
     return found.select(F.to_date("ts").alias("date"), "ticker", *(quantise(n, PLACES if n in LEVELS else 6).alias(n) for n in STREAMED))
+
+
+# Sums by blocks and bins.
+
+
+@query("corr_blocked", c.ORACLE["corr_pearson"])
+def corr_blocked(spark, sf):
+    return c.rounded(blocks.blocked_correlations(c.prep_panel(spark, sf), "ret"), "corr")
+
+
+@query(
+    "kde_binned",
+    c.WITH_PREP
+    + f""", s AS (SELECT ticker, count(*)::DOUBLE AS n, stddev_samp(ret) * pow(count(*), -0.2) AS h, min(ret) AS a, max(ret) AS z FROM prep WHERE ret IS NOT NULL GROUP BY ticker HAVING stddev_samp(ret) > 0),
+    p AS (SELECT ticker, least((ret - a) / ((z - a) / 2048), 2048.0) AS pos FROM prep JOIN s USING (ticker) WHERE ret IS NOT NULL),
+    w AS (SELECT ticker, node, sum(w) AS w FROM (SELECT ticker, floor(pos) AS node, 1 - (pos - floor(pos)) AS w FROM p UNION ALL SELECT ticker, floor(pos) + 1, pos - floor(pos) FROM p) WHERE w > 0 GROUP BY ticker, node),
+    g AS (SELECT ticker, n, h, a, (z - a) / 2048 AS cell, k::INTEGER AS point, a - 3 * h + (z - a + 6 * h) * k / 99.0 AS x FROM s, range(100) t(k))
+    SELECT ticker, point, {q("x")} AS x, {q("sum(w * exp(-pow((x - a - node * cell) / h, 2) / 2)) / (n * h * sqrt(2 * pi()))")} AS density FROM g JOIN w USING (ticker) GROUP BY ticker, point, x, n, h""",
+)
+def kde_binned(spark, sf):
+    return c.rounded(blocks.binned_density(c.prepared(spark, sf).returns, "ret"), "x", "density")
+
+
+VERDICTS = """WITH given AS (
+  SELECT 'orders' AS name, CAST(o_orderdate AS DATE) AS date, o_orderpriority AS ticker, o_orderkey AS place FROM orders
+  UNION ALL SELECT 'ordered', CAST(o_orderdate AS DATE), o_orderpriority, row_number() OVER (ORDER BY o_orderdate, o_orderkey) FROM orders
+  UNION ALL SELECT 'days', CAST(o_orderdate AS DATE), o_orderpriority, datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) FROM orders GROUP BY ALL
+), steps AS (SELECT *, date < lag(date) OVER (PARTITION BY name, ticker ORDER BY place) AS back FROM given),
+counts AS (SELECT name, count(*) AS n, count_if(back) AS n_back, count(*) - count(DISTINCT (ticker, date)) AS n_twice FROM steps GROUP BY name)
+SELECT r.name, CASE WHEN n IS NULL THEN 'Price panel is empty.' WHEN n_back > 0 THEN 'Dates must be sorted ascending (monotonic increasing).'
+  WHEN n_twice > 0 THEN 'Panel contains duplicate timestamps.' ELSE 'ok' END AS verdict
+FROM (VALUES ('orders'), ('ordered'), ('days'), ('none')) r(name) LEFT JOIN counts USING (name)"""
+
+
+@query("validate_verdicts", VERDICTS)
+def validate_verdicts(spark, sf):
+    """What the validation of prices says of orders by key, of orders by date, of days on which orders were made, and of no orders."""
+    rows = panels.table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("date"), F.col("o_orderpriority").alias("ticker"), F.col("o_orderkey").cast("long").alias("at"))
+    day = F.datediff("date", F.lit("1970-01-01").cast("date")).cast("long")
+    days = rows.select("date", "ticker").distinct().withColumn("at", day)
+    cases = {"orders": rows, "ordered": rows.withColumn("at", day), "days": days, "none": rows.where(F.lit(False))}
+    said = []
+    for name, case in cases.items():
+        try:
+            clean.validate_prices(case, "at")
+            said.append((name, "ok"))
+        except ValueError as e:
+            said.append((name, str(e)))
+    return spark.createDataFrame(said, "name string, verdict string")
