@@ -62,9 +62,9 @@ def rolling(aggregate: Callable[[Column], Column], c: Column | str, n: int, leas
     return F.when(F.count(x).over(frame) >= (n if least is None else least), aggregate(x).over(frame))
 
 
-def lagged_change(c: Column | str, n: int = 1) -> Column:
+def lagged_change(c: Column | str, n: int = 1, window: WindowSpec | None = None) -> Column:
     """c / (c, n rows before) - 1."""
-    return divide(col(c), F.lag(col(c), n).over(by_ticker())) - 1
+    return divide(col(c), F.lag(col(c), n).over(window or by_ticker())) - 1
 
 
 def last_known(c: Column | str, limit: int | None = None) -> Column:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions.expressions import average_rank, correlation, corrected_skew, divide
+from marketloom.operators.kendall import kendall_pairs
 from marketloom.operators.ranges import exact_quantiles
 
 PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -72,32 +72,14 @@ def ticker_pairs(panel: DataFrame, column: str) -> DataFrame:
     return left.join(right, "date").where("i < j")
 
 
-def _kendall(frame: pd.DataFrame) -> pd.DataFrame:
-    """tau-b of one pair of tickers; pairs in disorder are counted while halves of y, in order of x, are merged."""
-    x, y = frame["x"].to_numpy(), frame["y"].to_numpy()
-    n = len(x)
-    rank = np.unique(y[np.lexsort((y, x))], return_inverse=True)[1]
-
-    def disorder(part: np.ndarray) -> tuple[int, np.ndarray]:
-        if len(part) < 2:
-            return 0, part
-        (a, low), (b, high) = disorder(part[: len(part) // 2]), disorder(part[len(part) // 2 :])
-        return a + b + int((len(low) - np.searchsorted(low, high, side="right")).sum()), np.sort(part)
-
-    tied = lambda *keys: int(sum(k * (k - 1) // 2 for k in pd.DataFrame(dict(enumerate(keys))).value_counts()))
-    total, same_x, same_y = n * (n - 1) // 2, tied(x), tied(y)
-    spread = np.sqrt(float(total - same_x)) * np.sqrt(float(total - same_y))
-    score = total - same_x - same_y + tied(x, y) - 2 * disorder(rank)[0]
-    return pd.DataFrame({"i": [frame["i"].iloc[0]], "j": [frame["j"].iloc[0]], "corr": [score / spread if spread > 0 else None]})
-
-
 def correlation_pairs(panel: DataFrame, column: str, method: str = "pearson", guard: bool = True) -> DataFrame:
     """(i, j, corr) for i < j over dates that both have; NULL for constants."""
     if method not in ("pearson", "spearman", "kendall"):
         raise ValueError("method must be 'pearson', 'spearman' or 'kendall'")
-    pairs = ticker_pairs(require_rows(panel, guard), column).where("x is not null and y is not null")
-    if method == "kendall":  # one pair's dates are a group: no built-in counts pairs in disorder
-        return pairs.select("i", "j", "x", "y").groupBy("i", "j").applyInPandas(_kendall, "i string, j string, corr double")
+    require_rows(panel, guard)
+    if method == "kendall":
+        return kendall_pairs(panel, column)
+    pairs = ticker_pairs(panel, column).where("x is not null and y is not null")
     if method == "spearman":
         pairs = pairs.withColumns({"x": average_rank("x", "i", "j"), "y": average_rank("y", "i", "j")})
     return pairs.groupBy("i", "j").agg(correlation(F.col("x"), F.col("y")).alias("corr"))

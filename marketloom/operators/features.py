@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from marketloom.functions.expressions import by_ticker, canonical, divide, lagged_change, last_known, log_of, rolling
@@ -33,14 +33,14 @@ def forward_returns(panel: DataFrame, horizons: Sequence[int], column: str = "pr
     return leads.select("date", "ticker", F.explode("__all").alias("__one")).select("date", "ticker", "__one.horizon", "__one.fwd")
 
 
-def technical_features(panel: DataFrame, windows: Sequence[int] = (5, 20, 60)) -> DataFrame:
-    """(date, ticker, momentum_w, sma_w, volatility_w ...) of a panel (date, ticker, price, ret), features in the order of their names."""
+def technical_features(panel: DataFrame, windows: Sequence[int] = (5, 20, 60), over: WindowSpec | None = None) -> DataFrame:
+    """(date, ticker, momentum_w, sma_w, volatility_w ...) of a panel (date, ticker, price, ret), features in the order of their names. over: rows in order, by default a ticker's."""
     columns = {}
     for w in windows:
         least = max(1, w // 2)
-        columns[f"sma_{w}"] = rolling(F.avg, "price", w, least)
-        columns[f"momentum_{w}"] = lagged_change("price", w)
-        columns[f"volatility_{w}"] = rolling(F.stddev_samp, "ret", w, least)
+        columns[f"sma_{w}"] = rolling(F.avg, "price", w, least, over)
+        columns[f"momentum_{w}"] = lagged_change("price", w, over)
+        columns[f"volatility_{w}"] = rolling(F.stddev_samp, "ret", w, least, over)
     return panel.select("date", "ticker", *(columns[name].alias(name) for name in sorted(columns)))
 
 
@@ -55,11 +55,11 @@ def moving_averages(ohlcv: DataFrame, windows: Sequence[int] = (5, 10, 20, 50))
     return ohlcv.withColumns({f"SMA_{w}": rolling(F.avg, "close", w) for w in windows})
 
 
-def rsi(ohlcv: DataFrame, period: int = 14) -> DataFrame:
+def rsi(ohlcv: DataFrame, period: int = 14, over: WindowSpec | None = None) -> DataFrame:
     """Adds rsi, by simple means of gains and losses. The first row has neither, so the first value is on row `period`; 100 without losses, NULL if flat."""
-    delta = F.col("close") - F.lag("close").over(by_ticker())
+    delta = F.col("close") - F.lag("close").over(over or by_ticker())
     moved = ohlcv.withColumns({"__gain": F.when(delta > 0, delta).otherwise(0.0), "__loss": F.when(delta < 0, -delta).otherwise(0.0)})
-    moved = moved.withColumns({"__up": rolling(F.avg, "__gain", period), "__down": rolling(F.avg, "__loss", period)})
+    moved = moved.withColumns({"__up": rolling(F.avg, "__gain", period, window=over), "__down": rolling(F.avg, "__loss", period, window=over)})
     value = F.when(F.col("__down") == 0, F.when(F.col("__up") > 0, F.lit(100.0))).otherwise(100.0 - 100.0 / (1.0 + divide(F.col("__up"), F.col("__down"))))
     return moved.withColumn("rsi", value).drop("__gain", "__loss", "__up", "__down")
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from marketloom.sources.scratch import materialise
@@ -41,6 +41,24 @@ def exact_quantiles(rows: DataFrame, column: str, percentiles: Sequence[float])
     return found.select("ticker", F.array(*between).alias("quantiles"))
 
 
+def in_stretches(panel: DataFrame, reach: int, compute: Callable[[DataFrame, WindowSpec], DataFrame], stretch: int = STRETCH) -> DataFrame:
+    """What compute(rows, window) gives for a panel (date, ticker, ...), where it looks at most `reach` rows back in the window's order.
+
+    A ticker's rows are cut into stretches; each has a copy of the last `reach` rows before it, which are left out of the result. So rolling windows of a ticker are as many
+    tasks as it has stretches, and equal those over all of its rows. compute keeps the columns date and ticker.
+    """
+    if not 0 < reach <= stretch:
+        raise ValueError("reach must be positive and no longer than a stretch")
+    at = placed(panel, ["date"])
+    own = F.floor(F.col("__pos") / stretch)
+    copies = F.when(F.col("__pos") % stretch >= stretch - reach, F.array(F.struct(own.alias("__stretch"), F.lit(False).alias("__copy")), F.struct((own + 1).alias("__stretch"), F.lit(True).alias("__copy"))))
+    dealt = at.select(*panel.columns, "__pos", F.inline(F.coalesce(copies, F.array(F.struct(own.alias("__stretch"), F.lit(False).alias("__copy"))))))
+    # The computed rows know their stretch and whether they are copies by columns that travel as the ticker's and date's.
+    keyed = dealt.withColumn("ticker", F.struct("ticker", "__stretch", "__copy", "__pos"))
+    found = compute(keyed.drop("__stretch", "__copy", "__pos"), Window.partitionBy("ticker.ticker", "ticker.__stretch").orderBy("ticker.__pos"))
+    return found.where(~F.col("ticker.__copy")).withColumn("ticker", F.col("ticker.ticker"))
+
+
 def order_report(panel: DataFrame, order: str) -> DataFrame:
     """One row: n_rows, n_duplicates (rows that repeat a date of their ticker), n_backward (rows earlier than the one before them by `order`).
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketloom.functions.expressions import divide, lagged_change, quantise
-from marketloom.operators import blocks, clean, models, scan, validate
+from marketloom.operators import blocks, clean, features, models, ranges, scan, validate
 from marketloom.plans import catalog as c
 from marketloom.plans import oracle as o
 from marketloom.plans.catalog import query
@@ -70,6 +70,21 @@ def risk_stats(spark, sf):
     return c.rounded(scan.risk_stats(panels.region_panel(spark, sf)), "max_drawdown", "sharpe")
 
 
+# Rolling windows by stretches of a ticker.
+
+
+@query("rsi_stretches", c.ORACLE["ind_rsi"])
+def rsi_stretches(spark, sf):
+    bars = panels.order_panel(spark, sf).select("date", "ticker", "close")
+    return c.rounded(ranges.in_stretches(bars, 14, lambda rows, over: features.rsi(rows, 14, over), 256).select("date", "ticker", "rsi"), "rsi")
+
+
+@query("features_stretches", c.ORACLE["features_all"])
+def features_stretches(spark, sf):
+    panel = c.prepared(spark, sf).panel.select("date", "ticker", "price", "ret")
+    return c.rounded(ranges.in_stretches(panel, 60, lambda rows, over: features.technical_features(rows, over=over), 512), *c.FEATURES)
+
+
 # Walk-forward validation: the next row's return by the last five rows' momentum.
 
 PLAN = validate.WalkForward()

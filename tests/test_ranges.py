@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from helpers import START, business_days, panel
 
-from marketloom.operators import blocks, clean, explore, ranges
+from marketloom.operators import blocks, clean, explore, features, kendall, ranges
 
 
 def test_places_and_quantiles(spark):
@@ -71,3 +71,39 @@ def test_binned_density(spark):
     assert all(abs(found[k][0] - exact[k][0]) < 1e-9 and abs(found[k][1] - exact[k][1]) < 1e-4 for k in exact)
     coarse = blocks.binned_density(rows, "price", bins=256).collect()
     assert max(abs(r.density - exact[r.ticker, r.point][1]) for r in coarse) < 1e-3
+
+
+@pytest.mark.parametrize("buckets", [2, 16])
+def test_kendall_by_buckets(spark, buckets):
+    """tau-b with ties, gaps, constants and tickers of few dates, against all pairs of dates."""
+    rng = random.Random(5)
+    n = 70
+    prices = {t: [None if rng.random() < 0.1 else rng.gauss(0, 1) for _ in range(n)] for t in "AB"}
+    prices |= {"ties": [float(rng.randrange(4)) for _ in range(n)], "same": [5.5] * n, "few": [1.0, 2.0] + [None] * (n - 2), "one": [3.0] + [None] * (n - 1), "up": [float(k) for k in range(n)]}
+    found = {(r.i, r.j): r["corr"] for r in kendall.kendall_pairs(panel(spark, prices, business_days(n)), "price", buckets).collect()}
+    for i in prices:
+        for j in prices:
+            both = [(a, b) for a, b in zip(prices[i], prices[j]) if a is not None and b is not None]
+            if i < j and both:
+                steps = [(np.sign(a[0] - b[0]), np.sign(a[1] - b[1])) for k, a in enumerate(both) for b in both[:k]]
+                spread = np.sqrt(float(sum(s != 0 for s, _ in steps))) * np.sqrt(float(sum(t != 0 for _, t in steps)))
+                want = sum(s * t for s, t in steps) / spread if spread else None
+                got = found.pop((i, j))
+                assert (got is None) == (want is None) and (want is None or abs(got - want) < 1e-9), (i, j)
+    assert not found
+
+
+def test_rolling_windows_by_stretches(spark):
+    """RSI and features of gapped tickers are those of windows over whole tickers, at stretches as short as their reach."""
+    rng = random.Random(6)
+    prices = {t: [None if rng.random() < 0.1 else 100 * rng.lognormvariate(0, 0.1) for _ in range(n)] + [None] * (100 - n) for t, n in (("A", 100), ("B", 60), ("C", 3))}
+    rows = features.with_returns(panel(spark, prices, business_days(100))).withColumn("close", F.col("price"))
+    rows = rows.where("ticker <> 'C' or date < '2023-01-05'").repartition(4)
+    cases = [(14, lambda r, w=None: features.rsi(r, 14, w)), (20, lambda r, w=None: features.technical_features(r, (5, 20), w))]
+    for reach, compute in cases:
+        want = sorted(map(repr, compute(rows).collect()))
+        for stretch in (20, 33, 4096):
+            found = ranges.in_stretches(rows, reach, compute, stretch)
+            assert sorted(map(repr, found.select(compute(rows).columns).collect())) == want
+    with pytest.raises(ValueError):
+        ranges.in_stretches(rows, 21, cases[0][1], 20)
