@@ -121,10 +121,12 @@ def lzw_decode(stream: bytes, min_size: int, limit: int) -> bytes:
             later = ((data[byte] | data[byte + 1] << np.uint32(8) | data[byte + 2] << np.uint32(16)) >> (rest & 7).astype(np.uint32)) & np.uint32(4095)
             halt = np.flatnonzero((later == clear) | (later == end))
             stopped = int(halt[0]) if len(halt) else len(later)
-            for code in later[:stopped].tolist():
-                out.append(table[code])
-            if not len(halt) or later[stopped] == end:
+            filled = np.cumsum(np.fromiter(map(len, table), np.int64, len(table))[later[:stopped]])
+            wanted = int(np.searchsorted(filled, limit - size)) + 1  # codes up to the limit
+            out += [table[code] for code in later[: min(stopped, wanted)].tolist()]
+            if wanted <= stopped or not len(halt) or later[stopped] == end:
                 break
+            size += int(filled[-1]) if stopped else 0
             at += 12 * (stopped + 1)
             continue
         if codes[count] == end:
@@ -190,7 +192,7 @@ def file_status(data: bytes) -> str:
 
 
 def decode_gif(data: bytes) -> Iterator[Frame]:
-    """The frames in order, with palettes, transparency and disposal applied. A file that breaks off gives its whole frames; one whose status isn't "ok", none."""
+    """The frames in order, with palettes, transparency and disposal applied. A file that breaks off, or has a frame beyond MAX_CANVAS pixels, gives the whole frames before; one whose status isn't "ok", none."""
     if file_status(data) != "ok":
         return
     width, height = int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little")
@@ -228,7 +230,7 @@ def decode_gif(data: bytes) -> Iterator[Frame]:
                     return
                 palette = np.frombuffer(data[at : at + 3 * n], dtype=np.uint8).reshape(-1, 3)
                 at += 3 * n
-            if at >= len(data) or not 2 <= data[at] <= 8 or palette is None:
+            if at >= len(data) or not 2 <= data[at] <= 8 or palette is None or w * h > MAX_CANVAS:
                 return
             stream, after = sub_blocks(at + 1)
             samples = lzw_decode(stream, data[at], w * h)

@@ -28,8 +28,8 @@ START_SHARE, LEAST_SHARE = 0.05, 0.02
 #: Lengths in trigrams for which the least cosine is measured on held-out pieces of the sample; it falls to 0 at half the first length.
 LENGTHS = 16 << np.arange(9)
 #: A text is rejected below the cosine that all but REJECT_QUANTILE of the pieces of its length reach. A language with fewer than
-#: LEAST_PIECES of them takes those of all languages; HEAD trigrams of a text are cut to pieces, at most.
-REJECT_QUANTILE, LEAST_PIECES, HEAD = 0.005, 200, 8192
+#: LEAST_PIECES of them takes those of all languages.
+REJECT_QUANTILE, LEAST_PIECES = 0.005, 200
 UNKNOWN = "und"
 
 _LETTER = np.full(256, 0x20, dtype=np.uint64)
@@ -112,14 +112,30 @@ def cluster(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return centroids[size >= max(1, LEAST_SHARE * len(x))]
 
 
-def held_out_cosines(own: np.ndarray, heads: list[np.ndarray], idf: np.ndarray, k: int) -> list[list[float]]:
-    """For each of LENGTHS: cosines of pieces of a language's texts (two a text, at most) to clusters of the other half of the texts."""
+def piece_places(size: int) -> list[tuple[int, int, int]]:
+    """(place in LENGTHS, start, end) of the pieces of a text of so many trigrams: of each length the first and the last one of the whole text."""
+    return [(i, a, a + n) for i, n in enumerate(LENGTHS.tolist()) if size >= n for a in sorted({0, (size // n - 1) * n})]
+
+
+def cut_pieces(ids: np.ndarray) -> np.ndarray:
+    """The trigrams of a text's pieces, one after the other."""
+    return np.concatenate([ids[a:z] for _, a, z in piece_places(len(ids))] or [ids[:0]]).astype(np.uint16)
+
+
+def pieces_of(size: int, held: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(place in LENGTHS, trigrams) of what cut_pieces made of a text of so many trigrams."""
+    places = piece_places(size)
+    return list(zip([i for i, _, _ in places], np.split(held, np.cumsum([z - a for _, a, z in places])[:-1]), strict=True)) if places else []
+
+
+def held_out_cosines(own: np.ndarray, texts: list[tuple[int, np.ndarray]], idf: np.ndarray, k: int) -> list[list[float]]:
+    """For each of LENGTHS: cosines of pieces of a language's texts (size, cut pieces) to clusters of the other half of the texts."""
     found: list[list[float]] = [[] for _ in LENGTHS]
     for half in (0, 1):
         if len(own) > 1:
             centroids = cluster(own[1 - half :: 2], k)
-            for head in heads[half::2]:
-                pieces = [(i, head[a : a + n]) for i, n in enumerate(LENGTHS) for a in sorted({0, (len(head) // n - 1) * n}) if len(head) >= n]
+            for text in texts[half::2]:
+                pieces = pieces_of(*text)
                 if pieces:
                     near = (weighted(np.stack([counts_of(p) for _, p in pieces]), idf) @ centroids.T).max(axis=1)
                     for (i, _), cosine in zip(pieces, near.tolist(), strict=True):
@@ -137,10 +153,10 @@ def least_cosines(own: list[list[float]], every: list[list[float]]) -> np.ndarra
 
 
 def fit_language(frame: pd.DataFrame, idf: np.ndarray, k: int = CENTROIDS) -> tuple[np.ndarray, list[list[float]]]:
-    """Centroids of one language, and cosines of held-out pieces, from its sampled rows (counts, head: bytes) in an order of their own."""
-    rows = sorted(zip(frame["counts"], frame["head"], strict=True))
-    x = weighted(np.stack([np.frombuffer(c, np.float32) for c, _ in rows]), idf)
-    return cluster(x, k), held_out_cosines(x, [np.frombuffer(h, np.uint16) for _, h in rows], idf, k)
+    """Centroids of one language, and cosines of held-out pieces, from its sampled rows (counts, pieces: bytes; size) in an order of their own."""
+    rows = sorted(zip(frame["counts"], frame["pieces"], frame["size"], strict=True))
+    x = weighted(np.stack([np.frombuffer(c, np.float32) for c, _, _ in rows]), idf)
+    return cluster(x, k), held_out_cosines(x, [(size, np.frombuffer(p, np.uint16)) for _, p, size in rows], idf, k)
 
 
 def assemble(found: list[tuple[str, np.ndarray, list[list[float]]]], idf: np.ndarray) -> CentroidModel:
@@ -158,7 +174,7 @@ def assemble(found: list[tuple[str, np.ndarray, list[list[float]]]], idf: np.nda
 
 
 def sampled_rows(docs: DataFrame, usable: Column, per_lang: int) -> DataFrame:
-    """(lang, counts, head) of the sample, written: trigram counts as float32 and the first trigrams of each text with a letter; equal texts of a language once."""
+    """(lang, counts, size, pieces) of the sample, written: of each text with a letter its trigram counts as float32, their number, and its pieces; equal texts of a language once."""
     rows = docs.select(F.col("lang").cast("string").alias("lang"), payload().alias("text"), F.col("doc_id").cast("long").alias("id"), F.coalesce(usable, F.lit(False)).alias("usable"))
     rows = rows.where(F.col("usable") & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
     bounds = sample_bounds(rows, "lang", per_lang)
@@ -168,11 +184,11 @@ def sampled_rows(docs: DataFrame, usable: Column, per_lang: int) -> DataFrame:
             for part, texts in text_parts(batch, 1):
                 found = [(lang, x) for lang, x in zip(part.column(0).to_pylist(), map(ngram_ids, texts), strict=True) if x is not None]
                 counts = [counts_of(x).tobytes() for _, x in found]
-                heads = [x[:HEAD].astype(np.uint16).tobytes() for _, x in found]
-                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.string()), pa.array(counts, pa.binary()), pa.array(heads, pa.binary())], ["lang", "counts", "head"])
+                columns = [pa.array([n for n, _ in found], pa.string()), pa.array(counts, pa.binary()), pa.array([len(x) for _, x in found], pa.int64()), pa.array([cut_pieces(x).tobytes() for _, x in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "counts", "size", "pieces"])
 
     sample = rows.where(in_sample("lang", F.xxhash64("id", "text", F.lit(9)), bounds)).select("lang", "text").distinct()
-    return cut(arrow_map(sample, count, "lang string, counts binary, head binary"))
+    return cut(arrow_map(sample, count, "lang string, counts binary, size long, pieces binary"))
 
 
 def train(docs: DataFrame, usable: Column, per_lang: int = SAMPLE_PER_LANG) -> CentroidModel:

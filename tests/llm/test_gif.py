@@ -126,3 +126,36 @@ def test_stored_form_by_an_independent_decoder(spark):
             want.append((40 * n, 40, np.bincount(bins, minlength=8).tolist()))
         assert [(f.start_ms, f.delay_ms, f.histogram) for f in found[k].frames] == want
         assert found[k].histogram == np.sum([h for _, _, h in want], axis=0).tolist()
+
+
+def test_long_streams_stop_at_the_limit():
+    """A stream without a clear code whose every later code is a long string: only what is wanted is put together."""
+    import tracemalloc
+
+    codes, width, bits, held = [4, *[0] * 2], 3, 0, 0
+    codes += list(range(6, 4096))[:4091]  # each code is the one just made: strings grow by a sample each
+    codes += [4095] * 100_000
+    out, size, free = bytearray(), 3, 6
+    for k, code in enumerate(codes):
+        held |= code << bits
+        bits += size
+        while bits >= 8:
+            out.append(held & 255)
+            held >>= 8
+            bits -= 8
+        if k >= 2 and free < 4096:
+            free += 1
+            if free == 1 << size and size < 12:
+                size += 1
+    tracemalloc.start()
+    samples = gif.lzw_decode(bytes(out), 2, 10_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(samples) <= 10_000 and peak < 60_000_000
+
+
+def test_frames_beyond_the_bound_are_left_out():
+    small = gif.encode_gif([np.zeros((4, 4), np.uint8)], np.zeros((4, 3), np.uint8))
+    at = small.index(b"\x2c")
+    large = small[: at + 5] + (30_000).to_bytes(2, "little") * 2 + small[at + 9 :]
+    assert len(list(gif.decode_gif(small))) == 1 and list(gif.decode_gif(large)) == []

@@ -105,3 +105,12 @@ def test_blocks_of_languages_give_the_same(spark):
     parts = langid.judge_texts(sample, [lambda m=m: m for m in langid.blocks_of(model, 1)])
     assert len(langid.blocks_of(model, 1)) == 4 and whole[0] == parts[0] and (whole[2] == parts[2]).all() and np.allclose(whole[1], parts[1], atol=1e-6)
     assert len(langid.blocks_of(langid.train(docs.limit(0), F.lit(True)))) == 1
+
+
+def test_pieces_come_from_the_whole_text():
+    for size in (0, 15, 16, 31, 33, 5000, 20_000):
+        ids = np.arange(size)
+        pieces = langid.pieces_of(size, langid.cut_pieces(ids))
+        assert [(i, p[0], p[-1]) for i, p in pieces] == [(i, a, z - 1) for i, a, z in langid.piece_places(size)]
+        assert all(len(p) == langid.LENGTHS[i] for i, p in pieces)
+    assert max(p[-1] for _, p in pieces) == 20_000 // 16 * 16 - 1
