@@ -410,4 +410,7 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE)
             columns = zip(*out, strict=True) if out else [[]] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], DEDUP_NAMES)
 
-    return arrow_map(some.select("doc_id", "text", "spans", "copied").unionByName(rest), remove, DEDUP_SCHEMA)
+    # Written here, in small batches, as its rows have no texts.
+    out = cut(arrow_map(some.select("doc_id", "text", "spans", "copied").unionByName(rest), remove, DEDUP_SCHEMA))
+    discard(removed)
+    return out
