@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marketloom.functions.expressions import divide, lagged_change, quantise
+from marketloom.functions.expressions import by_ticker, divide, lagged_change, quantise
 from marketloom.operators import blocks, clean, features, models, ranges, scan, validate
 from marketloom.plans import catalog as c
 from marketloom.plans import oracle as o
@@ -100,7 +100,7 @@ MOMENTUM = f"""{o.PREP}, r AS (
 def momentum_rows(spark, sf):
     """Features and target of every date and ticker, written once: folds, fit and test all read them."""
     panel = c.prepared(spark, sf).panel
-    fwd = divide(F.lead("price", 1).over(c.by_ticker()), F.col("price")) - 1
+    fwd = divide(F.lead("price", 1).over(by_ticker()), F.col("price")) - 1
     return materialise(panel.select("date", "ticker", lagged_change("price", 5).alias("x"), fwd.alias("y")), "momentum")
 
 
