@@ -1,18 +1,19 @@
 """Benchmark decontamination: an FM-index of each training shard, searched backward for the benchmark's word windows.
 
-A shard's text is the sequence of its documents' words as symbols of the benchmark's vocabulary. Stretches of words that are too short to hold a
-window, or are outside the vocabulary, become one separator, as no window can lie in them. The index has
+A shard's text is the sequence of its documents' words as symbols of those of its words that any window of the benchmark has. Stretches of words that are
+too short to hold a window, or are in no window, become one separator, as no window can lie in them. The index has
 a wavelet matrix of the Burrows-Wheeler transform and sampled suffix positions, nothing else of the text.
 
-The benchmark's windows are cut by tasks, made distinct by a shuffle and written to the shared folder in blocks of bounded size. A task
-searches its shards for one block after the other, so nothing of the benchmark is broadcast or passes through the driver.
+The benchmark's windows are cut by tasks, made distinct by a shuffle and written to the shared folder in blocks of bounded size. A task reads
+the vocabularies of all blocks, one after the other, to mark its words, builds each shard's index once, and searches it for one block after the
+other, so nothing of the benchmark is broadcast or passes through the driver, and more blocks are more searches but no more suffix sorting.
 """
 
 from __future__ import annotations
 
 import pickle
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -148,6 +149,10 @@ class Phrases:
     items: list[list[str]]
     words: list[bytes]
 
+    @property
+    def shortest(self) -> int:
+        return int(self.lengths.min(initial=2**31))
+
     @staticmethod
     def of(rows: list[tuple[bytes, str | None]], width: int) -> Phrases:
         """Of (window, item) rows, a window being its words with blanks between. Symbols are hashes of words, so windows of other words may have the same."""
@@ -164,11 +169,11 @@ class Phrases:
         return Phrases(vocabulary, windows, lengths, [sorted(x) for x in owners.values()], list(owners))
 
 
-def shard_text(hashes: np.ndarray, first: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of a shard's words, with a separator between stretches, and the word that each symbol is."""
-    shortest = int(phrases.lengths.min()) if len(phrases.lengths) else 1
-    at = np.minimum(np.searchsorted(phrases.vocabulary, hashes), max(0, len(phrases.vocabulary) - 1))
-    known = phrases.vocabulary[at] == hashes if len(phrases.vocabulary) else np.zeros(len(hashes), dtype=bool)
+def shard_text(hashes: np.ndarray, first: np.ndarray, known: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of a shard's known words, with a separator between stretches; the word that each symbol is; the hash of each symbol from 2 on.
+
+    Stretches of fewer than `shortest` known words are left out, as no window fits into them.
+    """
     begins = known.copy()
     begins[1:] &= ~known[:-1]
     inner = first[(first > 0) & (first < len(hashes))]
@@ -182,35 +187,94 @@ def shard_text(hashes: np.ndarray, first: np.ndarray, phrases: Phrases) -> tuple
     place = np.arange(len(words)) + np.cumsum(fresh)  # a separator before each stretch
     n = len(words) + int(fresh.sum())
     text, word = np.full(n + 2, GAP, dtype=np.int64), np.full(n + 2, -1, dtype=np.int64)
-    text[place], word[place] = at[words] + 2, words
+    vocabulary, symbol = np.unique(hashes[words], return_inverse=True)
+    text[place], word[place] = symbol + 2, words
     text[-1] = END
-    return text, word
+    return text, word, vocabulary
+
+
+class Blocks:
+    """Blocks of phrases in memory."""
+
+    def __init__(self, blocks: list[Phrases]) -> None:
+        self.blocks = blocks
+
+    def vocabularies(self) -> Iterator[tuple[np.ndarray, int]]:
+        """Of each block the vocabulary and the number of words of its shortest window."""
+        return ((b.vocabulary, b.shortest) for b in self.blocks)
+
+    def __iter__(self) -> Iterator[Phrases]:
+        return iter(self.blocks)
+
+
+class BlockFiles(Blocks):
+    """Blocks in files, read one after the other; a single one is read once a task."""
+
+    def __init__(self, paths: list[str]) -> None:
+        self.paths = paths
+        super().__init__([])
+
+    def read(self, path: str, whole: bool) -> Phrases:
+        """A block, or no more than its vocabulary and its shortest window."""
+        fs, local = filesystem(path)
+        with fs.open_input_file(local) as source:
+            size, shortest = np.frombuffer(source.read(16), np.int64).tolist()
+            vocabulary = np.frombuffer(source.read(8 * size), np.uint64)
+            return Phrases(vocabulary, *pickle.loads(source.read())) if whole else Phrases(vocabulary, np.zeros((0, 0), np.int64), np.array([shortest]), [], [])
+
+    def vocabularies(self) -> Iterator[tuple[np.ndarray, int]]:
+        if len(self.paths) == 1:
+            return ((b.vocabulary, b.shortest) for b in self)
+        return ((b.vocabulary, b.shortest) for b in (self.read(p, False) for p in self.paths))
+
+    def __iter__(self) -> Iterator[Phrases]:
+        if len(self.paths) == 1:
+            self.blocks = self.blocks or [self.read(self.paths[0], True)]
+            return iter(self.blocks)
+        return (self.read(p, True) for p in self.paths)
 
 
 class Shard:
-    """Texts that are searched together: which of their words are hit, by which items."""
+    """Texts that are searched together: which of their words are hit, by which items. First all blocks are met, then the index is built, then all blocks are searched."""
 
     def __init__(self, rows: list[bytes]) -> None:
         self.rows = rows
         self.hashes, self.first, self.starts, self.ends = word_hashes(rows, fold_table(NOT_ALNUM))
         self.text = folded(rows, fold_table(NOT_ALNUM))
-        self.covered = np.zeros(len(self.hashes), dtype=bool)
+        self.known, self.covered = np.zeros(len(self.hashes), dtype=bool), np.zeros(len(self.hashes), dtype=bool)
         self.items: dict[int, set[str]] = {}
+        self.index: FMIndex | None = None
+
+    def meet(self, vocabulary: np.ndarray) -> None:
+        """Marks the words that a block's windows have."""
+        if len(vocabulary):
+            self.known |= vocabulary[np.minimum(np.searchsorted(vocabulary, self.hashes), len(vocabulary) - 1)] == self.hashes
+
+    def build(self, shortest: int) -> None:
+        """The index of the marked words, for windows of `shortest` words and more."""
+        text, self.word, self.vocabulary = shard_text(self.hashes, self.first, self.known, shortest)
+        if len(text) > 2:
+            self.index = FMIndex(text, len(self.vocabulary) + 2)
+
+    def symbols(self, phrases: Phrases) -> np.ndarray:
+        """The block's windows in the shard's symbols, -1 where the shard doesn't have a word."""
+        at = np.minimum(np.searchsorted(self.vocabulary, phrases.vocabulary), len(self.vocabulary) - 1)
+        return np.concatenate([[END, GAP], np.where(self.vocabulary[at] == phrases.vocabulary, at + 2, -1)])[phrases.windows]
 
     def search(self, phrases: Phrases) -> None:
-        """Builds the shard's index over the block's vocabulary and adds what it finds. The texts stay as they are, so the order of blocks doesn't count."""
-        text, word = shard_text(self.hashes, self.first, phrases)
-        if len(text) <= 2:
+        """Adds what the index has of the block. The texts stay as they are, so the order of blocks doesn't count."""
+        if self.index is None:
             return
-        index = FMIndex(text, len(phrases.vocabulary) + 2)
-        low, high = index.search(phrases.windows, phrases.lengths)
+        windows = self.symbols(phrases)
+        asked = np.flatnonzero((windows >= 0).all(axis=1))
+        low, high = self.index.search(windows[asked], phrases.lengths[asked])
         found = np.flatnonzero(high > low)
         if not len(found):
             return
         counts = (high - low)[found]
-        which = np.repeat(found, counts)
-        offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = word[index.locate(low[which] + offset)]
+        row = np.repeat(low[found], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        which = np.repeat(asked[found], counts)
+        at = self.word[self.index.locate(row)]
         same = np.fromiter((self.has(a, phrases.words[w], n) for a, w, n in zip(at.tolist(), which.tolist(), phrases.lengths[which].tolist(), strict=True)), bool, len(at))
         at, which = at[same], which[same]
         hit = np.zeros(len(self.hashes) + 1, dtype=np.int32)
@@ -235,8 +299,8 @@ class Shard:
             yield b - a, int(self.covered[a:b].sum()), sorted(self.items.get(i, ())), spans
 
 
-def find_hits(texts: list[bytes], blocks: Iterable[Phrases]) -> list[tuple[int, int, list[str], list[tuple[int, int]]]]:
-    """What Shard.found gives, of each text; each block is there once for all of them."""
+def find_hits(texts: list[bytes], blocks: Blocks) -> list[tuple[int, int, list[str], list[tuple[int, int]]]]:
+    """What Shard.found gives, of each text; each block is there twice for all of them, first with its vocabulary alone."""
     shards, part, size = [], [], 0
     for text in texts:
         if part and size + len(text) > SHARD_BYTES:
@@ -246,6 +310,13 @@ def find_hits(texts: list[bytes], blocks: Iterable[Phrases]) -> list[tuple[int,
         size += len(text)
     if part:
         shards.append(Shard(part))
+    shortest = []
+    for vocabulary, least in blocks.vocabularies():
+        shortest.append(least)
+        for shard in shards:
+            shard.meet(vocabulary)
+    for shard in shards:
+        shard.build(min(shortest, default=1))
     for phrases in blocks:
         for shard in shards:
             shard.search(phrases)
@@ -282,7 +353,8 @@ def phrase_blocks(benchmark: DataFrame, width: int = WINDOW) -> list[str]:
             fs.create_dir(local.rpartition("/")[0], recursive=True)
             with fs.open_output_stream(local, compression=None) as out:
                 found = Phrases.of([(w, i) for _, w, i in held], width)
-                out.write(pickle.dumps((found.vocabulary, found.windows, found.lengths, found.items, found.words)))
+                out.write(np.array([len(found.vocabulary), found.shortest], np.int64).tobytes() + found.vocabulary.tobytes())
+                out.write(pickle.dumps((found.windows, found.lengths, found.items, found.words)))
             return pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
 
         for batch in batches:
@@ -302,25 +374,6 @@ def phrase_blocks(benchmark: DataFrame, width: int = WINDOW) -> list[str]:
         return sorted(r["path"] for r in cut(arrow_map(dealt, write, "path string")).collect())  # a name for each block
 
 
-def block_reader(paths: list[str]) -> Callable[[], Iterator[Phrases]]:
-    """In a task: the blocks, read one after the other; a single one is read once a task."""
-    only: list[Phrases] = []
-
-    def read(path: str) -> Phrases:
-        fs, local = filesystem(path)
-        with fs.open_input_file(local) as source:
-            return Phrases(*pickle.loads(source.read()))
-
-    def blocks() -> Iterator[Phrases]:
-        if len(paths) == 1:
-            only[:] = only or [read(paths[0])]
-            yield only[0]
-        else:
-            yield from map(read, paths)
-
-    return blocks
-
-
 HITS_SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
 
 
@@ -335,10 +388,10 @@ def search_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW)
     paths = phrase_blocks(benchmark, width)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, blocks = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), block_reader(paths)
+        kind, blocks = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), BlockFiles(paths)
         for batch in batches:
             for part, rows in text_parts(batch, 1, HOLD_BYTES):
-                found = find_hits(rows, blocks())
+                found = find_hits(rows, blocks)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -372,13 +425,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     paths = phrase_blocks(benchmark, width)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = block_reader(paths)
+        blocks = BlockFiles(paths)
         for batch in batches:
             for part, texts in text_parts(batch, 0, HOLD_BYTES):
                 dropped, todo = [0] * len(texts), [i for i, t in enumerate(texts) if t]
                 while todo:
                     changed = []
-                    for i, (_, hit, _, spans) in zip(todo, find_hits([texts[i] for i in todo], blocks()), strict=True):
+                    for i, (_, hit, _, spans) in zip(todo, find_hits([texts[i] for i in todo], blocks), strict=True):
                         if spans:
                             texts[i] = remove_spans(texts[i], spans)
                             dropped[i] += hit

@@ -79,3 +79,25 @@ def test_removal_by_blocks_of_items_gives_the_same(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 2)
     assert sorted((r.doc_id, r.text, r["__n_cut"]) for r in decontam.decontaminate(docs, items).collect()) == once
     assert sorted((r.doc_id, r.spans) for r in decontam.search_benchmark(docs, items).collect()) == spans
+
+
+def test_one_index_a_shard_however_many_blocks(monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    items = [(str(k), words(rng, 14)) for k in range(12)]
+    rows = [f"{words(rng, 40)} {items[k % 12][1]} {words(rng, 9)} {items[(k + 5) % 12][1][:60]}".encode() for k in range(30)]
+    windows = [(w, i) for i, text in items for w in decontam.item_windows(text.encode(), 10)]
+    built = []
+    plain = decontam.FMIndex
+    monkeypatch.setattr(decontam, "FMIndex", lambda *x: built.append(1) or plain(*x))
+    monkeypatch.setattr(decontam, "SHARD_BYTES", sum(map(len, rows)) // 3)
+    found = []
+    for n in (1, 7, 20):
+        built.clear()
+        found.append(decontam.find_hits(rows, decontam.Blocks([decontam.Phrases.of(windows[k::n], 10) for k in range(n)])))
+        assert len(built) == 4  # shards
+    assert found[0] == found[1] == found[2]
+    for text, (n_words, hit, owners, _) in zip(rows, found[0]):
+        w, at, have = decontaminate(text.decode(), dict(items))
+        assert (n_words, hit, owners) == (len(w), len(at), sorted(have))

@@ -56,7 +56,7 @@ def test_hits_of_equal_hashes_are_confirmed(monkeypatch):
 
     monkeypatch.setattr(decontam, "word_hashes", by_length)
     phrases = decontam.Phrases.of([(b"aa bb", "1"), (b"cc dd", "2"), (b"aa bb", "3")], 10)
-    found = decontam.find_hits([b"xx AA, bb cc cc dd", b"dd cc"], [phrases])
+    found = decontam.find_hits([b"xx AA, bb cc cc dd", b"dd cc"], decontam.Blocks([phrases]))
     assert [(hit, items) for _, hit, items, _ in found] == [(4, ["1", "2", "3"]), (0, [])]
 
 
