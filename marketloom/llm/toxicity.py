@@ -7,27 +7,37 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.text import arrow_map, cut, discard, payload, share, text_parts
+from marketloom.llm.text import arrow_map, cut, discard, mix, payload, share, text_parts
 
-#: N-grams hash to so many buckets; the model keeps the most telling of them.
+#: N-grams hash to so many buckets; the model keeps the most telling of them, 2**15 at most.
 BUCKET_BITS, ORDERS, FEATURES = 20, (5, 6), 8192
-#: The classifier is fitted on a bounded sample of the labelled rows.
-SAMPLE_ROWS = 20_000
+#: The classifier is fitted on a bounded sample of the labelled rows. The driver holds their features by two bytes each (328 MB if every
+#: row had all FEATURES) and computes with some FIT_FEATURES of them at once.
+SAMPLE_ROWS, FIT_FEATURES = 20_000, 1 << 20
 SMOOTH, RIDGE, STEPS, RATE, KEEP = 1.0, 1e-3, 250, 0.3, 0.9
 
-_FOLD = np.full(256, 0x20, dtype=np.uint64)
-_FOLD[128:] = np.arange(128, 256)
+_FOLD = np.full(128, 0x20, dtype=np.uint64)
 _FOLD[48:58] = np.arange(48, 58)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[97:123] = np.arange(97, 123)
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def code_points(text: bytes) -> np.ndarray:
+    """The text's characters, A-Z lower-cased and ASCII other than letters and digits as blanks."""
+    if text.isascii():
+        return _FOLD[np.frombuffer(text, dtype=np.uint8)]
+    points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
+    return np.where(points < 128, _FOLD[np.minimum(points, 127)], points.astype(np.uint64))
 
 
 def bucket_ids(text: bytes) -> list[np.ndarray]:
-    """Bucket of each byte n-gram, A-Z lower-cased and runs of other ASCII than letters and digits as one blank, for every order."""
-    folded = _FOLD[np.frombuffer(text, dtype=np.uint8)]
+    """Bucket of each character n-gram, runs of blanks as one and a blank at both ends, for every order. A character is a code point, of whatever script."""
+    folded = code_points(text)
     blank = folded == 0x20
     folded = np.concatenate([[np.uint64(0x20)], folded[~(blank & np.concatenate([[True], blank[:-1]]))], [np.uint64(0x20)]])
     out = []
@@ -35,8 +45,8 @@ def bucket_ids(text: bytes) -> list[np.ndarray]:
         m = max(0, len(folded) - n + 1)
         key = np.full(m, np.uint64(n))
         for k in range(n):
-            key = key << np.uint64(8) | folded[k : k + m]
-        out.append(((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
+            key = key * _FACTOR + folded[k : k + m]
+        out.append((mix(key) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
     return out
 
 
@@ -68,22 +78,46 @@ def choose_features(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean:
     return chosen, ratio[chosen]
 
 
-def fit_linear(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression on present features scaled by their ratios, by Adam on the whole sample; pulled to naive Bayes by 1 - KEEP."""
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
-    weight, bias = np.zeros(len(ratio)), float(np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1)))
+def row_blocks(offsets: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """(first row, last row + 1) of consecutive rows of about `size` features together, one row at least."""
+    out, start = [], 0
+    while start < len(offsets) - 1:
+        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + size, side="right")) - 1)
+        out.append((start, end))
+        start = end
+    return out
+
+
+def fit_linear(features: np.ndarray, offsets: np.ndarray, labels: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression on present features scaled by their ratios, by Adam on the whole sample; pulled to naive Bayes by 1 - KEEP.
+
+    Row i has features[offsets[i] : offsets[i + 1]]. Each step adds up the gradients of blocks of FIT_FEATURES, which are all that is unfolded at once.
+    """
+    n, blocks = len(labels), row_blocks(offsets, FIT_FEATURES)
+    weight, bias = np.zeros(len(ratio)), float(np.log((labels.sum() + 1) / (n - labels.sum() + 1)))
     m, v = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
     for step in range(1, STEPS + 1):
-        z = bias + np.bincount(row, weights=(weight * ratio)[col], minlength=len(rows))
-        error = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - labels) / len(rows)
-        grad = np.append(np.bincount(col, weights=error[row], minlength=len(ratio)) * ratio + RIDGE * weight, error.sum())
+        effect, slope, total = weight * ratio, np.zeros(len(ratio)), 0.0
+        for a, z in blocks:
+            col, row = features[offsets[a] : offsets[z]].astype(np.int64), np.repeat(np.arange(z - a), np.diff(offsets[a : z + 1]))
+            logit = bias + np.bincount(row, weights=effect[col], minlength=z - a)
+            error = (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - labels[a:z]) / n
+            slope += np.bincount(col, weights=error[row], minlength=len(ratio))
+            total += error.sum()
+        grad = np.append(slope * ratio + RIDGE * weight, total)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = RATE * (1 - step / (STEPS + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         weight, bias = weight - move[:-1], bias - move[-1]
     return KEEP * weight + (1 - KEEP) * (np.abs(weight).mean() if len(weight) else 0.0) * (ratio != 0), bias
 
 
+def feature_values(rows: pa.BinaryArray) -> np.ndarray:
+    """The numbers of two bytes of all rows, one after the other, without a copy. There are no nulls."""
+    _, offsets, data = rows.buffers()
+    ends = np.frombuffer(offsets, np.int32)[rows.offset : rows.offset + len(rows) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(np.int16) if data else np.zeros(0, np.int16)
+
+
 def sample_labels(labels: DataFrame, usable: Column, bound: int = SAMPLE_ROWS) -> DataFrame:
     """At most `bound` usable labelled documents (doc_id, toxic), by the least hash of the id; a document of several labels counts as toxic if one says so."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(usable & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
@@ -131,11 +165,13 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> ToxicModel:
         for part, rows in (x for batch in batches for x in text_parts(batch, 1)):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([model.present(t).astype(np.int16).tobytes() for t in rows], pa.binary())], ["toxic", "features"])
 
-    found = arrow_map(texts, features, "toxic int, features binary").toArrow()  # SAMPLE_ROWS rows of FEATURES numbers at most
+    found = arrow_map(texts, features, "toxic int, features binary").orderBy("toxic", "features").toArrow()  # SAMPLE_ROWS rows of FEATURES numbers at most
     discard(texts)
-    rows = sorted(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
-    if rows:
-        model.weight, model.bias = fit_linear([np.frombuffer(f, np.int16).astype(np.int64) for _, f in rows], np.array([t for t, _ in rows], dtype=float), ratio)
+    if found.num_rows:
+        labels, held = found.column(0).to_numpy().astype(np.float64), found.column(1).cast(pa.binary()).combine_chunks()
+        del found
+        offsets = np.concatenate([[0], np.cumsum(pc.binary_length(held).to_numpy().astype(np.int64) // 2)])
+        model.weight, model.bias = fit_linear(feature_values(held), offsets, labels, ratio)
     return model
 
 

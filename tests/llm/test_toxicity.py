@@ -49,28 +49,76 @@ def test_held_out_split(spark):
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
 
 
-def plain_score(model, text: str | None) -> float:
-    """By single bytes and grams, without the library's vectorised steps."""
-    folded = b" "
-    for b in (text or "").encode():
-        c = b + 32 if 65 <= b <= 90 else b
-        kept = 97 <= c <= 122 or 48 <= c <= 57 or c >= 128
-        if kept or folded[-1] != 32:
-            folded += bytes([c]) if kept else b" "
-    folded += b" "
+def plain_buckets(text: str | None) -> set[int]:
+    """By single characters and grams, without the library's vectorised steps."""
+    folded = " "
+    for c in text or "":
+        c = c.lower() if "A" <= c <= "Z" else c
+        kept = "a" <= c <= "z" or "0" <= c <= "9" or ord(c) >= 128
+        if kept or folded[-1] != " ":
+            folded += c if kept else " "
+    folded += " "
     found = set()
     for n in toxicity.ORDERS:
         for k in range(len(folded) - n + 1):
             key = n
             for c in folded[k : k + n]:
-                key = (key << 8 | c) % 2**64
-            slot = model.slot[key * 0x9E3779B97F4A7C15 % 2**64 >> (64 - toxicity.BUCKET_BITS)]
-            if slot >= 0:
-                found.add(int(slot))
-    z = model.bias + sum(float(model.weight[k] * model.ratio[k]) for k in found)
+                key = (key * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
+            key = (key ^ key >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+            key = (key ^ key >> 27) * 0x94D049BB133111EB % 2**64
+            found.add((key ^ key >> 31) >> (64 - toxicity.BUCKET_BITS))
+    return found
+
+
+def plain_score(model, text: str | None) -> float:
+    slots = {int(model.slot[b]) for b in plain_buckets(text)} - {-1}
+    z = model.bias + sum(float(model.weight[k] * model.ratio[k]) for k in slots)
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
+def test_ngrams_are_of_characters():
+    for text in ("", "a", "Stupid!! idiot 7", "ты глупец", "ηλίθιε", "你真是个笨蛋啊", "tu es bête 😀😀 x", "\x00é"):
+        ids = toxicity.bucket_ids(text.encode())
+        assert {int(x) for x in np.concatenate(ids)} == plain_buckets(text)
+    assert [len(x) for x in toxicity.bucket_ids("глупец".encode())] == [4, 3]  # eight characters with the blanks
+    assert [len(x) for x in toxicity.bucket_ids(b"\xff\xfeab")] == [2, 1]  # no UTF-8: two replacement characters
+
+
+def test_fit_by_blocks_is_the_plain_fit(monkeypatch):
+    rng = np.random.default_rng(5)
+    dense = rng.random((40, 30)) < 0.3
+    dense[7] = False
+    labels, ratio = (rng.random(40) < 0.4).astype(float), rng.normal(size=30)
+    features, offsets = np.flatnonzero(dense) % 30, np.concatenate([[0], np.cumsum(dense.sum(axis=1))])
+    x, w, b = dense * ratio, np.zeros(30), np.log((labels.sum() + 1) / (40 - labels.sum() + 1))
+    m, v = np.zeros(31), np.zeros(31)
+    for t in range(1, toxicity.STEPS + 1):
+        error = (1 / (1 + np.exp(-(x @ w + b))) - labels) / 40
+        grad = np.append(x.T @ error + toxicity.RIDGE * w, error.sum())
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+        move = toxicity.RATE * (1 - t / (toxicity.STEPS + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+        w, b = w - move[:-1], b - move[-1]
+    w = toxicity.KEEP * w + (1 - toxicity.KEEP) * np.abs(w).mean()
+    for size in (1, 25, 1 << 20):
+        monkeypatch.setattr(toxicity, "FIT_FEATURES", size)
+        weight, bias = toxicity.fit_linear(features.astype(np.int16), offsets, labels, ratio)
+        assert np.allclose(weight, w, atol=1e-6) and abs(bias - b) < 1e-6
+
+
+def test_fit_unfolds_no_more_than_a_block(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(toxicity, "STEPS", 2)
+    peaks = []
+    for n in (500, 2000):
+        features, offsets = np.tile(np.arange(8192, dtype=np.int16), n), np.arange(n + 1) * 8192
+        tracemalloc.start()
+        toxicity.fit_linear(features, offsets, np.arange(n) % 2.0, np.ones(8192))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.1 * peaks[0] < 64 << 20
+
+
 def test_query_against_plain_scoring(spark):
     from marketloom.llm.queries import queries
 
