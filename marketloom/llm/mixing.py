@@ -1,9 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting (raking).
 
-1. Topics. A bounded sample of each language's documents (some SAMPLE_PER_LANG with the least hashes) is clustered by how the TF-IDF of
-   its words differs from the language's mean; languages without a target are one. A document's topic is the nearest centroid of its
-   language, larger clusters having lower numbers.
-2. Profiles. Every text is read once: its tokens are counted and its topic is found.
+1. Vectors. Every text is read once: its tokens are counted, in all and by their hashes.
+2. Topics. All documents of each language are clustered by how the TF-IDF of their words differs from the language's mean; languages without
+   a target are one. Document frequencies, means and each round's centroids are sums over all vectors, added up by tasks and then by cluster.
+   A document's topic is the nearest centroid of its language, larger clusters having lower numbers.
 3. Cells. Tokens are summed by (source, language, topic). Values without a target are pooled, so cells are no more than the combinations
    of targets; those that have tokens reach the driver.
 4. Raking. Weights of cells are scaled to the source, language and topic targets in turn until all hold.
@@ -19,14 +19,17 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.langid import weighted
-from marketloom.llm.text import NOT_ALNUM, arrow_map, cut, discard, fold_table, in_sample, payload, sample_bounds, share, text_parts, word_hashes
+from marketloom.llm.text import NOT_ALNUM, arrow_map, cut, discard, fold_table, payload, share, text_parts, word_hashes
 
-#: Topics of a language at most, dimensions that its words hash to, documents of a language that they are learnt from.
-TOPICS, TOPIC_BITS, SAMPLE_PER_LANG = 8, 12, 500
+#: Topics of a language at most, dimensions that its words hash to.
+TOPICS, TOPIC_BITS = 8, 12
+DIMS = 1 << TOPIC_BITS
+#: Vectors are added up as whole numbers of this part of 1, so that no order of rows changes a sum; what is nearer to its language's mean than LEAST_NORM has no direction.
+UNIT, LEAST_NORM = 1 << 24, 1e-3
 #: Rounds of clustering; without targets for topics, their shares are raised to this power, which lifts rare ones.
 CLUSTER_ROUNDS, TEMPER = 12, 0.5
 ROUNDS, TOLERANCE = 500, 1e-9
@@ -50,11 +53,13 @@ class Targets:
                 raise ValueError("targets are not negative")
 
 
-def word_counts(rows: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
-    """Number of words of each text, and counts of them by hash."""
+def word_counts(rows: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Number of words of each text, and the dimensions that they hash to, in order, with their counts."""
     hashes, first, _, _ = word_hashes(rows, fold_table(NOT_ALNUM))
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        yield b - a, np.bincount((hashes[a:b] >> np.uint64(64 - TOPIC_BITS)).astype(np.int64), minlength=1 << TOPIC_BITS).astype(np.float32)
+        counts = np.bincount((hashes[a:b] >> np.uint64(64 - TOPIC_BITS)).astype(np.int64), minlength=DIMS)
+        dims = np.flatnonzero(counts)
+        yield b - a, dims.astype(np.uint16), counts[dims].astype(np.uint32)
 
 
 def document_key() -> Column:
@@ -62,21 +67,28 @@ def document_key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("md5:"), F.md5(payload())))
 
 
-def residual(counts: np.ndarray, idf: np.ndarray, mean: np.ndarray) -> np.ndarray:
-    """Unit vectors of how documents differ from their language's mean."""
-    x = weighted(counts, idf) - mean
-    return x / np.maximum(1e-12, np.linalg.norm(x, axis=-1, keepdims=True))
+@dataclass
+class Rows:
+    """Rows of a batch that have words: their places in it, and of each the first entry, the number of entries and its group's number; of entries the dimension and the weight, each row having length 1."""
 
+    at: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+    group: np.ndarray
+    dims: np.ndarray
+    weight: np.ndarray
 
-def cluster_topics(x: np.ndarray, k: int) -> np.ndarray:
-    """Spherical k-means of unit rows, begun at rows in equal steps; clusters without rows go, larger ones come first."""
-    centroids = x[np.unique(np.linspace(0, len(x) - 1, k).astype(np.int64))]
-    for _ in range(CLUSTER_ROUNDS):
-        own = (x @ centroids.T).argmax(axis=1)
-        sums = np.stack([x[own == i].sum(axis=0) for i in range(len(centroids)) if (own == i).any()])
-        centroids = sums / np.maximum(1e-12, np.linalg.norm(sums, axis=1, keepdims=True))
-    size = np.bincount((x @ centroids.T).argmax(axis=1), minlength=len(centroids))
-    return centroids[np.argsort(-size, kind="stable")[: max(1, int((size > 0).sum()))]]
+    def __post_init__(self) -> None:
+        self.place = np.repeat(self.group * DIMS, self.size) + self.dims  # in the vectors of all groups
+
+    def dot(self, vectors: np.ndarray) -> np.ndarray:
+        """Each row by its group's vector, summed up row by row, so that the order of rows can't decide."""
+        return np.add.reduceat(vectors.ravel().take(self.place) * self.weight, self.first) if len(self.at) else np.zeros(0)
+
+    def sums(self, slot: np.ndarray, factor: np.ndarray, slots: int) -> np.ndarray:
+        """Sums of rows times their factors by slot, in UNIT."""
+        entries = np.rint(self.weight * np.repeat(factor, self.size) * UNIT)
+        return np.bincount(np.repeat(slot, self.size) * DIMS + self.dims, weights=entries, minlength=slots * DIMS).astype(np.int64).reshape(slots, DIMS)
 
 
 @dataclass
@@ -87,10 +99,40 @@ class TopicModel:
     means: dict[str, np.ndarray]
     centroids: dict[str, np.ndarray]
 
-    def topic(self, group: str, counts: np.ndarray) -> str | None:
-        """The nearest centroid, the first of equals; judged alone, so that the order of rows can't decide. None for a language that had no sample."""
-        known = self.centroids.get(group)
-        return None if known is None else str(int((known @ residual(counts, self.idf, self.means[group])).argmax()))
+    def __post_init__(self) -> None:
+        self.groups = list(self.means)
+        most = max((len(c) for c in self.centroids.values()), default=0)
+        self.mean = np.stack(list(self.means.values())) if self.groups else np.zeros((0, DIMS), np.float32)
+        # The k-th centroid of every group together; a group that has none is infinitely far.
+        self.near = np.zeros((most, len(self.groups), DIMS), np.float32)
+        self.offset = np.full((most, len(self.groups)), np.inf)
+        for g, name in enumerate(self.groups):
+            for k, centroid in enumerate(self.centroids.get(name, ())):
+                self.near[k, g], self.offset[k, g] = centroid, np.dot(centroid.astype(np.float64), self.mean[g].astype(np.float64))
+
+    def rows(self, batch: pa.RecordBatch) -> Rows:
+        """The batch's vectors (group, dims, counts), but for those of groups that the model doesn't have."""
+        number = {name: g for g, name in enumerate(self.groups)}
+        group = np.array([number.get(x, -1) for x in batch.column("group").to_pylist()], dtype=np.int64)
+        known = pa.array(group >= 0)
+        size = np.where(group >= 0, pc.binary_length(batch.column("dims")).to_numpy(zero_copy_only=False) // 2, 0).astype(np.int64)
+        dims, counts = (np.frombuffer(b"".join(batch.column(c).filter(known).to_pylist()), kind) for c, kind in (("dims", np.uint16), ("counts", np.uint32)))
+        at = np.flatnonzero(size)
+        size, dims = size[at], dims.astype(np.int64)
+        first = np.cumsum(size) - size
+        weight = np.sqrt(counts) * self.idf[dims]
+        if len(at):
+            weight /= np.repeat(np.sqrt(np.add.reduceat(weight * weight, first)), size)
+        return Rows(at, first, size, group[at], dims, weight)
+
+    def topics(self, rows: Rows) -> np.ndarray:
+        """The nearest centroid of each row's residual, the first of equals."""
+        return np.stack([rows.dot(near) - offset[rows.group] for near, offset in zip(self.near, self.offset, strict=True)]).argmax(axis=0) if len(self.near) else np.zeros(len(rows.at), dtype=np.int64)
+
+    def inverse_norms(self, rows: Rows) -> np.ndarray:
+        """1 by the length of each row's residual, 0 for those without a direction."""
+        square = 1 - 2 * rows.dot(self.mean) + (self.mean.astype(np.float64) ** 2).sum(axis=1)[rows.group]
+        return np.where(square > LEAST_NORM**2, 1 / np.sqrt(np.maximum(square, LEAST_NORM**2)), 0.0)
 
 
 def language_group(langs: dict[str, float]) -> Column:
@@ -104,61 +146,134 @@ def keyed(docs: DataFrame, langs: dict[str, float]) -> DataFrame:
     return given.select("key", "doc_id", "source", "lang", language_group(langs).alias("group"), "text")
 
 
-def learn_topics(docs: DataFrame, langs: dict[str, float], topics: int = TOPICS, per_lang: int = SAMPLE_PER_LANG) -> TopicModel:
-    """Clusters of the sample of each language; equal texts of a language count once. What the driver gathers is bounded by the targets."""
-    rows = keyed(docs, langs).where(F.octet_length("text") > 0).select("group", "key", "text")
-    bounds = sample_bounds(rows, "group", per_lang)
+VECTOR_SCHEMA = "key string, doc_id long, source string, lang string, group string, n_tokens long, dims binary, counts binary"
+
+
+def vectors(docs: DataFrame, langs: dict[str, float]) -> DataFrame:
+    """A row for each document, with the counts of its words in place of its text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in text_parts(batch, 1):
-                found = [(group, c.tobytes()) for group, (n, c) in zip(part.column(0).to_pylist(), word_counts(texts), strict=True) if n]
-                yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in found], pa.string()), pa.array([c for _, c in found], pa.binary())], ["group", "counts"])
+            for part, rows in text_parts(batch, 5):
+                found = [(n, dims.tobytes(), counts.tobytes()) for n, dims, counts in word_counts(rows)]
+                kinds = (pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], *(pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds))], [x.split()[0] for x in VECTOR_SCHEMA.split(", ")])
+
+    return arrow_map(keyed(docs, langs), count, VECTOR_SCHEMA)
+
+
+def document_frequencies(told: DataFrame) -> np.ndarray:
+    """idf of every dimension, from all vectors."""
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(1 << TOPIC_BITS, dtype=np.int64), 0
+        held = np.zeros(DIMS + 1, dtype=np.int64)  # the last one: vectors
         for batch in batches:
-            for counts in batch.column(0).to_pylist():
-                total += np.frombuffer(counts, np.float32) > 0
-                n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "present"])
+            held[:DIMS] += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint16), minlength=DIMS)
+            held[DIMS] += len(batch)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["dim", "n"])
+
+    held = np.zeros(DIMS + 1, dtype=np.int64)
+    for row in arrow_map(told.select("dims"), present, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect():  # a row a dimension
+        held[row["dim"]] = row["n"]
+    return np.log((1 + held[DIMS]) / (1 + held[:DIMS])) + 1
+
+
+def start_vectors(told: DataFrame, topics: int) -> pa.RecordBatch:
+    """(group, dims, counts) of the vectors that clusters begin at: of each of `topics` ranges of hashes in a group the least."""
+    hashed = told.select("group", F.xxhash64("dims", "counts").alias("hash"), "dims", "counts")
+    least = [r["hash"] for r in hashed.groupBy("group", F.pmod("hash", F.lit(topics)).alias("bucket")).agg(F.min("hash").alias("hash")).collect()]
+    found = sorted(hashed.where(F.col("hash").isin(least)).dropDuplicates(["group", "hash"]).collect(), key=lambda r: (r["group"], r["hash"]))
+    columns = [[r["group"] for r in found], *([bytes(r[c]) for r in found] for c in ("dims", "counts"))]
+    return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(columns, (pa.string(), pa.binary(), pa.binary()), strict=True)], ["group", "dims", "counts"])
 
-    sample = cut(arrow_map(rows.where(in_sample("group", F.xxhash64("key", "text", F.lit(5)), bounds)).select("group", "text").distinct(), count, "group string, counts binary"))
-    held, n = np.zeros(1 << TOPIC_BITS, dtype=np.int64), 0
-    for row in arrow_map(sample.select("counts"), present, "n long, present binary").collect():  # 32 KB a task of the sample
-        held, n = held + np.frombuffer(row["present"], np.int64), n + row["n"]
-    idf = (np.log((1 + n) / (1 + held)) + 1).astype(np.float32)
 
-    def clustered(key: tuple[str], frame: pd.DataFrame) -> pd.DataFrame:
-        counts = np.stack([np.frombuffer(c, np.float32) for c in sorted(frame["counts"])])
-        mean = weighted(counts, idf).mean(axis=0)
-        centroids = cluster_topics(residual(counts, idf, mean), topics)
-        return pd.DataFrame({"group": [key[0]], "mean": [mean.astype(np.float32).tobytes()], "centroids": [centroids.astype(np.float32).tobytes()]})
+def added_up(told: DataFrame, model: TopicModel, topics: int | None) -> dict[tuple[str, int], tuple[int, np.ndarray]]:
+    """By group and topic: the number of vectors, and the sum of their residuals; without topics by group, and the sum of the vectors themselves.
 
-    found = sample.groupBy("group").applyInPandas(clustered, "group string, mean binary, centroids binary").collect()
-    discard(sample)
-    vectors = lambda data: np.frombuffer(data, np.float32).reshape(-1, 1 << TOPIC_BITS)
-    return TopicModel(idf, {r["group"]: vectors(r["mean"])[0] for r in found}, {r["group"]: vectors(r["centroids"]) for r in found})
+    Tasks add up their own vectors; a row a task, group and topic is shuffled, a row a group and topic comes to the driver.
+    """
+    slots, shared = len(model.groups) * (topics or 1), share(told.sparkSession, model)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared()
+        n, inverse, sums = np.zeros(slots, np.int64), np.zeros(slots, np.int64), np.zeros((slots, DIMS), np.int64)
+        for batch in batches:
+            rows = model.rows(batch)
+            slot = rows.group * topics + model.topics(rows) if topics else rows.group
+            factor = model.inverse_norms(rows) if topics else np.ones(len(rows.at))
+            n += np.bincount(slot, minlength=slots)
+            inverse += np.bincount(slot, weights=np.rint(factor * UNIT), minlength=slots).astype(np.int64)
+            sums += rows.sums(slot, factor, slots)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(inverse[at]), pa.array([sums[k].tobytes() for k in at], pa.binary())], ["slot", "n", "inverse", "sums"])
+
+    def whole(key: tuple[int], frame: pd.DataFrame) -> pd.DataFrame:
+        sums = np.zeros(DIMS, np.int64)
+        for part in frame["sums"]:
+            sums += np.frombuffer(part, np.int64)
+        return pd.DataFrame({"slot": [key[0]], "n": [frame["n"].sum()], "inverse": [frame["inverse"].sum()], "sums": [sums.tobytes()]})
+
+    schema, found = "slot long, n long, inverse long, sums binary", {}
+    for r in arrow_map(told.select("group", "dims", "counts"), add, schema).groupBy("slot").applyInPandas(whole, schema).collect():
+        g, k = divmod(r["slot"], topics or 1)
+        sums = np.frombuffer(r["sums"], np.int64) / UNIT
+        found[model.groups[g], k] = r["n"], sums - model.mean[g] * (r["inverse"] / UNIT) if topics else sums
+    return found
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return (x / np.maximum(1e-12, np.linalg.norm(x, axis=-1, keepdims=True))).astype(np.float32)
+
+
+def fit_topics(table: DataFrame, topics: int = TOPICS) -> TopicModel:
+    """Spherical k-means over all vectors with words, every language by itself; copies count as often as they are there. Clusters without vectors go, larger ones come first."""
+    told = table.where("n_tokens > 0").select("group", "dims", "counts")
+    idf, starts = document_frequencies(told), start_vectors(told, topics)
+    groups = sorted(set(starts.column("group").to_pylist()))
+    empty = TopicModel(idf, {g: np.zeros(DIMS, np.float32) for g in groups}, {})
+    means = {g: (sums / n).astype(np.float32) for (g, _), (n, sums) in sorted(added_up(told, empty, None).items())}
+    rows = empty.rows(starts)
+    begun = rows.sums(rows.at, np.ones(len(starts)), len(starts)) / UNIT
+    model = TopicModel(idf, means, {name: unit(begun[rows.group == g] - means[name]) for g, name in enumerate(groups)})
+    for _ in range(CLUSTER_ROUNDS):
+        found = added_up(told, model, topics)
+        # Equal sizes go by the numbers of the round before.
+        order = {g: sorted((k for name, k in found if name == g), key=lambda k: (-found[g, k][0], k)) for g in groups}  # noqa: B023
+        before, model = model, TopicModel(idf, means, {g: np.stack([unit(found[g, k][1]) for k in order[g]]) for g in groups})
+        if all(np.array_equal(before.centroids[g], model.centroids[g]) for g in groups):
+            break
+    return model
+
+
+def learn_topics(docs: DataFrame, langs: dict[str, float], topics: int = TOPICS) -> TopicModel:
+    """Topics of all documents with words. What the driver gathers is bounded by the targets."""
+    table = cut(vectors(docs, langs))
+    model = fit_topics(table, topics)
+    discard(table)
+    return model
 
 
 PROFILE_SCHEMA = "key string, doc_id long, source string, lang string, topic string, n_tokens long"
 
 
-def profiles(docs: DataFrame, langs: dict[str, float], model: TopicModel) -> DataFrame:
-    """A row for each document without its text: key, id, source, lang, topic (null without words), tokens."""
-    shared = share(docs.sparkSession, model)
+def placed(table: DataFrame, model: TopicModel) -> DataFrame:
+    """Profiles of vectors: key, id, source, lang, topic (null without words), tokens."""
+    shared = share(table.sparkSession, model)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared()
         for batch in batches:
-            for part, rows in text_parts(batch, 5):
-                topics, tokens = [], []
-                for group, (n, counts) in zip(part.column(4).to_pylist(), word_counts(rows), strict=True):
-                    topics.append(model.topic(group, counts) if n else None)
-                    tokens.append(n)
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(topics, pa.string()), pa.array(tokens, pa.int64())], [x.split()[0] for x in PROFILE_SCHEMA.split(", ")])
+            rows, topics = model.rows(batch), np.full(len(batch), None, dtype=object)
+            topics[rows.at] = [str(k) for k in model.topics(rows)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(topics, pa.string()), batch.column("n_tokens")], [x.split()[0] for x in PROFILE_SCHEMA.split(", ")])
 
-    return arrow_map(keyed(docs, langs), count, PROFILE_SCHEMA)
+    return arrow_map(table, place, PROFILE_SCHEMA)
+
+
+def profiles(docs: DataFrame, langs: dict[str, float], model: TopicModel) -> DataFrame:
+    """A row for each document without its text: key, id, source, lang, topic (null without words), tokens."""
+    return placed(vectors(docs, langs), model)
 
 
 def category(name: str, named: dict[str, float]) -> Column:
@@ -247,7 +362,9 @@ def mix_documents(docs: DataFrame, targets: Targets, fraction: float = 0.5, seed
     number counts, and draws at the probability itself are out. Rows with a null id draw by their text; repeated rows draw alike. An empty table gives none.
     Other columns are not read.
     """
-    profile = cut(profiles(docs, targets.lang, learn_topics(docs, targets.lang)))
+    told = cut(vectors(docs, targets.lang))
+    profile = cut(placed(told, fit_topics(told)))
+    discard(told)
     cells = gather_cells(profile, targets)
     weight, probability = rake(cells, cells.tokens.sum()), rake(cells, fraction * cells.tokens.sum(), 1.0)
     table = lookup(cells, weight, probability, docs.sparkSession)

@@ -115,3 +115,46 @@ def test_against_brute_force(spark):
         first = xxhash.xxh64_intdigest(r.key.encode(), seed=42)
         draw = (xxhash.xxh64_intdigest(struct.pack("<i", 17), seed=first) & ((1 << 52) - 1)) / (1 << 52)
         assert r.sampled == (draw < r.probability)
+
+
+def directions(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def lloyd(x, centroids):
+    """Plain spherical k-means, clusters without rows dropped, larger ones first."""
+    for _ in range(mixing.CLUSTER_ROUNDS):
+        own = (x @ centroids.T).argmax(axis=1)
+        order = sorted(set(own), key=lambda k: (-(own == k).sum(), k))
+        centroids = directions(np.stack([x[own == k].sum(axis=0) for k in order]))
+    return centroids
+
+
+def test_topics_of_all_documents(spark):
+    """Frequencies, means and centroids are those of every document: 1,600 of a language, with a topic that one in 40 has, and copies."""
+    rng, docs = np.random.default_rng(5), []
+    for k in range(1600):
+        topic = 7 if k % 40 == 0 else k % 5
+        words = [f"t{topic}w{x}" for x in rng.integers(0, 30, 40)] + [f"common{x}" for x in rng.integers(0, 50, 20)]
+        docs.append((k, " ".join(words), "en" if k % 4 else "xx", "src0"))
+    docs += [(2000 + k, *docs[3][1:]) for k in range(100)] + [(3000, None, "en", "src0"), (3001, "...", "en", "src0")]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(5)
+    model = mixing.learn_topics(table, {"en": 1.0})
+    told = [(f"={lang}" if lang == "en" else "", *next(mixing.word_counts([text.encode()]))) for _, text, lang, _ in docs if text not in (None, "...")]
+    counts = np.zeros((len(told), mixing.DIMS))
+    for row, (_, _, dims, n) in zip(counts, told):
+        row[dims] = n
+    idf = np.log((1 + len(told)) / (1 + (counts > 0).sum(axis=0))) + 1
+    assert np.allclose(model.idf, idf)
+    x = np.sqrt(counts) * idf
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    starts = mixing.start_vectors(mixing.vectors(table, {"en": 1.0}).where("n_tokens > 0"), mixing.TOPICS).to_pylist()
+    for group in ("", "=en"):
+        own = x[[g == group for g, *_ in told]]
+        mean = own.mean(axis=0)
+        assert np.allclose(model.means[group], mean, atol=1e-6)
+        begun = np.zeros((sum(s["group"] == group for s in starts), mixing.DIMS))
+        for row, s in zip(begun, (s for s in starts if s["group"] == group)):
+            row[np.frombuffer(s["dims"], np.uint16)] = np.sqrt(np.frombuffer(s["counts"], np.uint32))
+        centroids = lloyd(directions(own - mean), directions(directions(begun * idf) - mean))
+        assert np.allclose(model.centroids[group], centroids, atol=1e-4)
