@@ -11,10 +11,18 @@ from pyspark.sql import functions as F
 from marketloom.llm.text import cut, discard
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is linked to the least of its neighbourhood."""
+def _neighbours(edges: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """Edges in both directions, the least of each node's neighbourhood, and whether all components are stars around their least node:
+    then each node has one neighbour or only larger ones."""
     both = edges.union(edges.select("dst", "src"))
-    least = cut(both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("least")))
+    seen = Observation()
+    least = both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("least"), F.count(F.lit(1)).alias("n"))
+    least = cut(least.observe(seen, F.count_if((F.col("least") < F.col("src")) & (F.col("n") > 1)).alias("open")).select("src", "least"))
+    return both, least, not seen.get["open"]
+
+
+def _large_star(both: DataFrame, least: DataFrame) -> DataFrame:
+    """Every larger neighbour of a node is linked to the least of its neighbourhood."""
     return both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("least").alias("dst")).distinct()
 
 
@@ -25,20 +33,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return inner.union(least.select("src", F.col("least").alias("dst"))).distinct()
 
 
-def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """The edges as a table, and what tells them from others: their number and a sum over them, seen while they were written."""
-    seen = Observation()
-    table = cut(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("s")))
-    return table, (seen.get["n"], seen.get["s"])
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): each node of an edge (src, dst) with the least node of its component, roots included. Rounds are logarithmic in the longest path."""
-    current, state = _written(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
+    current = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
     while True:
-        last, before = current, state
-        current, state = _written(_small_star(_large_star(last)))
-        discard(last)
-        if state == before:
+        both, least, stars = _neighbours(current)
+        if stars:
             break
+        last, current = current, cut(_small_star(cut(_large_star(both, least))))
+        discard(last)
     return current.select(F.col("src").alias("node"), F.col("dst").alias("root")).union(current.select("dst", "dst").distinct())

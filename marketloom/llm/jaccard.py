@@ -352,9 +352,10 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = PER
         left = nodes.withColumn("name", short_name()).join(survivors(known, percent), "name").select("node", "digest", "doc_id")
         kept = kept_sets(texts, cut(left), width)
         keys = keys_of(kept, percent)
-        first = cut(first_links(kept, keys, percent))
-        links = first.union(cut(last_links(kept, keys, label(keys, first), percent)))
-        forest = components(links.select(F.col("root").alias("src"), F.col("node").alias("dst")))
+        labels = label(keys, cut(first_links(kept, keys, percent)))
+        last = cut(last_links(kept, keys, labels, percent))
+        # What was linked first is stars by now.
+        forest = components(labels.select(F.col("component").alias("src"), F.col("node").alias("dst")).union(last.select("root", "node")))
         placed = cut(forest.join(nodes, "node"))
         least = cut(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")))
         found = nodes.select("node", "digest", "doc_id").join(placed.select("node", "root").join(least, "root"), "node", "left")

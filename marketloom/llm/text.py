@@ -68,6 +68,10 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(BATCH_SETTING, before)
 
 
+#: Bytes of batches from which a task gives memory back.
+GIVE_BACK_BYTES = 1 << 20
+
+
 def give_back() -> None:
     """Memory that this process has freed goes back to the system. Workers are used again: without this they keep the most that any task took."""
     gc.collect()
@@ -78,13 +82,22 @@ def give_back() -> None:
 
 
 def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow, whose workers give their memory back when a task ends. Batches are as large as the session has them (10,000 rows and 64 MB by Spark's default), smaller in what `cut` writes."""
+    """mapInArrow, whose workers give their memory back when a task of GIVE_BACK_BYTES or more ends: that takes 40 ms, more than small tasks do. Batches are as large as the session has them (10,000 rows and 64 MB by Spark's default), smaller in what `cut` writes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            nonlocal read
+            for batch in batches:
+                read += batch.nbytes
+                yield batch
+
         try:
-            yield from work(batches)
+            yield from work(counted())
         finally:
-            give_back()
+            if read >= GIVE_BACK_BYTES:
+                give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -78,3 +78,16 @@ def test_tables_of_a_run_are_deleted(spark, monkeypatch, tmp_path):
     found = jaccard.jaccard_components(docs)
     assert len(list(tmp_path.iterdir())) == 2  # sets and their components, which the result reads
     assert {(r.doc_id, r.component_id) for r in found.collect()} == {(1, 1), (2, 1), (3, 3)}
+
+
+def test_components_of_stars_need_no_round(spark, monkeypatch):
+    """Edges and least neighbours are written, then it is seen that nothing is left to do; paths still need rounds."""
+    from marketloom.llm import components as c
+
+    written, cut = [], c.cut
+    monkeypatch.setattr(c, "cut", lambda df: written.append(1) or cut(df))
+    stars = [(k % 3, k) for k in range(3, 30)]
+    found = c.components(spark.createDataFrame(stars, "src long, dst long")).collect()
+    assert sorted((r.node, r.root) for r in found) == [(k, k % 3) for k in range(30)] and len(written) == 2
+    path = c.components(spark.createDataFrame([(k, k + 1) for k in range(9)], "src long, dst long")).collect()
+    assert sorted((r.node, r.root) for r in path) == [(k, 0) for k in range(10)]
