@@ -2,6 +2,7 @@
 
 from pathlib import Path
 
+import numpy as np
 import pytest
 from cases import alnum_words, ascii_lower, components, decontaminate, documents, line_dedup, shingles, texts
 
@@ -62,3 +63,16 @@ def test_awkward_documents_pass_every_stage(spark, tmp_path):
 def test_run_is_the_stages(spark):
     found = corpus_pipeline.run(spark, SF)
     assert found.count() > 0 and len(corpus_pipeline.STAGES) == 5
+
+
+def test_mixing_learns_from_all_documents(spark, monkeypatch):
+    """The model of the last stage has the document frequencies of all 1,200 documents of a language."""
+    from marketloom.llm import mixing
+
+    models, placed = [], mixing.TopicModel
+    monkeypatch.setattr(mixing, "CLUSTER_ROUNDS", 1)
+    monkeypatch.setattr(mixing, "TopicModel", lambda *a: models.append(placed(*a)) or models[-1])
+    docs = spark.createDataFrame([(k, f"word{k % 7} other{k % 11} every", "en", "src0") for k in range(1200)], "doc_id long, text string, lang string, source string")
+    corpus_pipeline.source_mixing(spark, docs, SF)
+    assert abs(models[-1].idf - 1).min() < 1e-9  # `every` is in all
+    assert models[-1].idf.max() == pytest.approx(1 + np.log(1201))
