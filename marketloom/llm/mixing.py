@@ -180,8 +180,8 @@ def document_frequencies(told: DataFrame) -> np.ndarray:
 
 
 def start_vectors(told: DataFrame, topics: int) -> pa.RecordBatch:
-    """(group, dims, counts) of the vectors that clusters begin at: of each of `topics` ranges of hashes in a group the least."""
-    hashed = told.select("group", F.xxhash64("dims", "counts").alias("hash"), "dims", "counts")
+    """(group, dims, counts) of the vectors that clusters begin at: of each of `topics` ranges of hashes in a group the least. Hashes take in the group, so that equal vectors of several groups are told apart."""
+    hashed = told.select("group", F.xxhash64("group", "dims", "counts").alias("hash"), "dims", "counts")
     least = [r["hash"] for r in hashed.groupBy("group", F.pmod("hash", F.lit(topics)).alias("bucket")).agg(F.min("hash").alias("hash")).collect()]
     found = sorted(hashed.where(F.col("hash").isin(least)).dropDuplicates(["group", "hash"]).collect(), key=lambda r: (r["group"], r["hash"]))
     columns = [[r["group"] for r in found], *([bytes(r[c]) for r in found] for c in ("dims", "counts"))]

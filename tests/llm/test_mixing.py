@@ -158,3 +158,19 @@ def test_topics_of_all_documents(spark):
             row[np.frombuffer(s["dims"], np.uint16)] = np.sqrt(np.frombuffer(s["counts"], np.uint32))
         centroids = lloyd(directions(own - mean), directions(directions(begun * idf) - mean))
         assert np.allclose(model.centroids[group], centroids, atol=1e-4)
+
+
+def test_equal_texts_of_several_languages(spark):
+    """Each language's clusters begin at `TOPICS` of its own vectors, also where languages share texts; its model is that of its documents alone."""
+    rng = np.random.default_rng(8)
+    shared = [" ".join(f"w{x}" for x in rng.integers(0, 60, 12)) for _ in range(40)]
+    docs = [(k, t, lang, "src0") for k, (t, lang) in enumerate((t, lang) for lang, own in (("de", shared[::2]), ("en", shared), ("fr", shared[5:25])) for t in own)]
+    docs += [(100 + k, " ".join(f"v{x}" for x in rng.integers(0, 60, 12)), ("de", "fr")[k % 2], "src0") for k in range(80)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    langs = {"de": 1.0, "en": 1.0, "fr": 1.0}
+    told = mixing.vectors(table, langs)
+    starts = mixing.start_vectors(told, mixing.TOPICS).column("group").to_pylist()
+    assert {g: starts.count(g) for g in starts} == {"=de": 8, "=en": 8, "=fr": 8}
+    model = mixing.fit_topics(told)
+    sums = mixing.added_up(told.select("group", "dims", "counts"), model, mixing.TOPICS)
+    assert {g: sum(n for (name, _), (n, _) in sums.items() if name == g) for g in model.groups} == {"=de": 60, "=en": 40, "=fr": 60}
