@@ -1,6 +1,10 @@
 """Language identification: nearest of several centroids per language, by cosine of TF-IDF n-gram vectors, with rejection by distance.
 
-Each language is clustered in a group of its own, from some SAMPLE_PER_LANG rows, so a language more is a group more and none is left out.
+1. Vectors. Every labelled text is read once and its trigrams are counted.
+2. Centroids. All vectors of each language are clustered by k-means whose rounds are sums by tasks, and those of each half of its texts as well.
+3. Bounds. Pieces of every labelled text are compared with the clusters of the half that it isn't in; least cosines are quantiles of their counts.
+
+A language more is a group more and none is left out.
 """
 
 from __future__ import annotations
@@ -15,18 +19,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marketloom.llm.mixing import clustered, document_frequencies, start_vectors
 from marketloom.llm.text import arrow_map, cut, discard, free_names, in_sample, packed_rows, payload, quoted, sample_bounds, share, text_parts, unpacked
 
 DIMS = 4096
-#: The classifier is fitted on a bounded sample: about so many rows of a language, those with the least hashes.
-SAMPLE_PER_LANG = 1000
+#: Languages that are fitted at once: a task holds 12 sums of 32 KB for each.
+FIT_LANGS = 64
 #: Languages that a task compares with at once; a model of more is broadcast in blocks, which are held one at a time.
 BLOCK_LANGS = 256
 CENTROIDS, ROUNDS = 4, 12
-#: Starts of clusters are taken at this share of the rows, not at the very farthest; clusters of a smaller share than LEAST_SHARE go.
-START_SHARE, LEAST_SHARE = 0.05, 0.02
-#: Lengths in trigrams for which the least cosine is measured on held-out pieces of the sample; it falls to 0 at half the first length.
+#: Clusters of a smaller share of their language's rows go.
+LEAST_SHARE = 0.02
+#: Lengths in trigrams for which the least cosine is measured on held-out pieces; it falls to 0 at half the first length.
 LENGTHS = 16 << np.arange(9)
+#: Cosines are counted in steps of 1 / BINS, the lower end being taken.
+BINS = 1 << 12
 #: A text is rejected below the cosine that all but REJECT_QUANTILE of the pieces of its length reach. A language with fewer than
 #: LEAST_PIECES of them takes those of all languages.
 REJECT_QUANTILE, LEAST_PIECES = 0.005, 200
@@ -98,20 +105,6 @@ class CentroidModel:
         return least[best, low] + (at - low) * (least[best, low + 1] - least[best, low])
 
 
-def cluster(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Spherical k-means from far starts; deterministic. Clusters of next to no rows are no part of a language and go."""
-    starts = [int((x @ x.mean(axis=0)).argmax())]
-    while len(starts) < min(k, len(x)):
-        starts.append(int((x @ x[starts].T).max(axis=1).argsort(kind="stable")[int(START_SHARE * len(x))]))
-    centroids = x[starts]
-    for _ in range(rounds):
-        own = (x @ centroids.T).argmax(axis=1)
-        sums = np.stack([x[own == i].sum(axis=0) if (own == i).any() else centroids[i] for i in range(len(centroids))])
-        centroids = sums / np.maximum(1e-12, np.linalg.norm(sums, axis=1, keepdims=True))
-    size = np.bincount((x @ centroids.T).argmax(axis=1), minlength=len(centroids))
-    return centroids[size >= max(1, LEAST_SHARE * len(x))]
-
-
 def piece_places(size: int) -> list[tuple[int, int, int]]:
     """(place in LENGTHS, start, end) of the pieces of a text of so many trigrams: of each length the first and the last one of the whole text."""
     return [(i, a, a + n) for i, n in enumerate(LENGTHS.tolist()) if size >= n for a in sorted({0, (size // n - 1) * n})]
@@ -128,97 +121,132 @@ def pieces_of(size: int, held: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return list(zip([i for i, _, _ in places], np.split(held, np.cumsum([z - a for _, a, z in places])[:-1]), strict=True)) if places else []
 
 
-def held_out_cosines(own: np.ndarray, texts: list[tuple[int, np.ndarray]], idf: np.ndarray, k: int) -> list[list[float]]:
-    """For each of LENGTHS: cosines of pieces of a language's texts (size, cut pieces) to clusters of the other half of the texts."""
-    found: list[list[float]] = [[] for _ in LENGTHS]
-    for half in (0, 1):
-        if len(own) > 1:
-            centroids = cluster(own[1 - half :: 2], k)
-            for text in texts[half::2]:
-                pieces = pieces_of(*text)
-                if pieces:
-                    near = (weighted(np.stack([counts_of(p) for _, p in pieces]), idf) @ centroids.T).max(axis=1)
-                    for (i, _), cosine in zip(pieces, near.tolist(), strict=True):
-                        found[i].append(cosine)
-    return found
+def piece_cosines(ids: np.ndarray, idf: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in LENGTHS and cosines to the nearest centroid, of the pieces of a text."""
+    pieces = pieces_of(len(ids), cut_pieces(ids))
+    if not pieces:
+        return np.zeros(0, np.int64), np.zeros(0)
+    counts = np.stack([counts_of(p) for _, p in pieces])
+    return np.array([i for i, _ in pieces]), (weighted(counts, idf) @ centroids.T).max(axis=1)
 
 
-def least_cosines(own: list[list[float]], every: list[list[float]]) -> np.ndarray:
-    """The bound for each of LENGTHS; where there are too few pieces, that of the length before."""
+def low_quantile(counts: np.ndarray) -> float:
+    """The REJECT_QUANTILE of cosines, between ranks by proportion, from how many each of BINS has."""
+    rank = REJECT_QUANTILE * (counts.sum() - 1)
+    low, high = np.searchsorted(np.cumsum(counts), [np.floor(rank), np.ceil(rank)], side="right")
+    return float(low + rank % 1 * (high - low)) / BINS
+
+
+def least_cosines(own: dict[int, tuple[int, float]], every: np.ndarray) -> np.ndarray:
+    """The bound for each of LENGTHS, from (pieces, quantile) of the language, or where it has too few from the counts of all; where these are too few, that of the length before."""
     least = np.zeros(len(LENGTHS))
     for i in range(len(LENGTHS)):
-        pieces = next((p for p in (own[i], every[i]) if len(p) >= LEAST_PIECES), None)
-        least[i] = np.quantile(pieces, REJECT_QUANTILE) if pieces else least[i - 1] if i else 0.0
+        n, bound = own.get(i, (0, 0.0))
+        least[i] = bound if n >= LEAST_PIECES else low_quantile(every[i]) if every[i].sum() >= LEAST_PIECES else least[i - 1] if i else 0.0
     return least
 
 
-def fit_language(frame: pd.DataFrame, idf: np.ndarray, k: int = CENTROIDS) -> tuple[np.ndarray, list[list[float]]]:
-    """Centroids of one language, and cosines of held-out pieces, from its sampled rows (counts, pieces: bytes; size) in an order of their own."""
-    rows = sorted(zip(frame["counts"], frame["pieces"], frame["size"], strict=True))
-    x = weighted(np.stack([np.frombuffer(c, np.float32) for c, _, _ in rows]), idf)
-    return cluster(x, k), held_out_cosines(x, [(size, np.frombuffer(p, np.uint16)) for _, p, size in rows], idf, k)
-
-
-def assemble(found: list[tuple[str, np.ndarray, list[list[float]]]], idf: np.ndarray) -> CentroidModel:
-    """The model of (language, centroids, cosines) rows."""
-    found = sorted(found, key=lambda x: x[0])
-    every = [[c for _, _, own in found for c in own[i]] for i in range(len(LENGTHS))]
-    least = [least_cosines(own, every) for _, _, own in found]
-    centroids = [x for _, x, _ in found]
-    return CentroidModel(
-        idf,
-        np.concatenate(centroids).astype(np.float32) if found else np.zeros((0, DIMS), np.float32),
-        [name for name, x, _ in found for _ in x],
-        np.concatenate([np.tile(bound, (len(x), 1)) for bound, x in zip(least, centroids, strict=True)]) if found else np.zeros((0, len(LENGTHS))),
-    )
-
-
-def sampled_rows(docs: DataFrame, usable: Column, per_lang: int) -> DataFrame:
-    """(lang, counts, size, pieces) of the sample, written: of each text with a letter its trigram counts as float32, their number, and its pieces; equal texts of a language once."""
+def labelled_rows(docs: DataFrame, usable: Column, per_lang: int | None) -> DataFrame:
+    """(lang, half, text) of the usable rows with a text and a lang; equal texts are in the same half."""
     rows = docs.select(F.col("lang").cast("string").alias("lang"), payload().alias("text"), F.col("doc_id").cast("long").alias("id"), F.coalesce(usable, F.lit(False)).alias("usable"))
     rows = rows.where(F.col("usable") & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
-    bounds = sample_bounds(rows, "lang", per_lang)
+    if per_lang is not None:
+        rows = rows.where(in_sample("lang", F.xxhash64("id", "text", F.lit(9)), sample_bounds(rows, "lang", per_lang)))
+    return rows.select("lang", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"), "text")
+
+
+def trigram_vectors(rows: DataFrame) -> DataFrame:
+    """(lang, half, dims, counts) of each text with a letter: the dimensions that its trigrams hash to, in order (two bytes each), and their counts (four)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in text_parts(batch, 1):
-                found = [(lang, x) for lang, x in zip(part.column(0).to_pylist(), map(ngram_ids, texts), strict=True) if x is not None]
-                counts = [counts_of(x).tobytes() for _, x in found]
-                columns = [pa.array([n for n, _ in found], pa.string()), pa.array(counts, pa.binary()), pa.array([len(x) for _, x in found], pa.int64()), pa.array([cut_pieces(x).tobytes() for _, x in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "counts", "size", "pieces"])
+            for part, texts in text_parts(batch, 2):
+                at, dims, counts = [], [], []
+                for k, ids in enumerate(map(ngram_ids, texts)):
+                    if ids is not None:
+                        held = np.bincount(ids, minlength=DIMS)
+                        found = np.flatnonzero(held)
+                        at.append(k)
+                        dims.append(found.astype(np.uint16).tobytes())
+                        counts.append(held[found].astype(np.uint32).tobytes())
+                known = part.select(["lang", "half"]).take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*known.columns, pa.array(dims, pa.binary()), pa.array(counts, pa.binary())], ["lang", "half", "dims", "counts"])
+
+    return arrow_map(rows, count, "lang string, half int, dims binary, counts binary")
+
+
+def fit_centroids(told: DataFrame, idf: np.ndarray) -> dict[str, np.ndarray]:
+    """Unit centroids of all vectors of each language ('+' and its name) and of each half of them ('0', '1' and its name)."""
+    grouped = told.select(F.explode(F.array(F.concat(F.lit("+"), "lang"), F.concat(F.col("half").cast("string"), F.col("lang")))).alias("group"), "dims", "counts")
+    starts = start_vectors(grouped, CENTROIDS)
+    model, sizes = clustered(grouped, idf, {g: np.zeros(DIMS, np.float32) for g in sorted(set(starts.column("group").to_pylist()))}, starts, CENTROIDS, ROUNDS)
+    # Clusters of next to no rows are no part of a language.
+    return {g: x[np.array(sizes[g]) >= LEAST_SHARE * sum(sizes[g])] for g, x in model.centroids.items()}
+
+
+def piece_bounds(rows: DataFrame, langs: list[str], idf: np.ndarray, centroids: dict[str, np.ndarray]) -> tuple[list[dict[int, tuple[int, float]]], np.ndarray]:
+    """For each language by place in LENGTHS the number of its pieces and the quantile of their cosines to clusters of the other half; and how many cosines all have, by place and bin.
+
+    Tasks count cosines by bins; a row a language, length and bin is shuffled, 32 KB a length and a number a language and length come to the driver.
+    """
+    shared = share(rows.sparkSession, (langs, idf, centroids))
 
-    sample = rows.where(in_sample("lang", F.xxhash64("id", "text", F.lit(9)), bounds)).select("lang", "text").distinct()
-    return cut(arrow_map(sample, count, "lang string, counts binary, size long, pieces binary"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs, idf, centroids = shared()
+        number, size = {name: k for k, name in enumerate(langs)}, len(LENGTHS) * BINS
+        held = np.zeros((len(langs) + 1) * size, np.int64)  # the last ones: of all languages
+        for batch in batches:
+            for part, texts in text_parts(batch, 2):
+                for lang, half, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, strict=True):
+                    other, ids = centroids.get(f"{1 - half}{lang}"), ngram_ids(text)
+                    if other is not None and ids is not None:
+                        length, near = piece_cosines(ids, idf, other)
+                        place = length * BINS + np.clip((near * BINS).astype(np.int64), 0, BINS - 1)
+                        np.add.at(held, number[lang] * size + place, 1)
+                        np.add.at(held, len(langs) * size + place, 1)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at // size), pa.array(at % size // BINS), pa.array(at % BINS), pa.array(held[at])], ["lang", "length", "bin", "n"])
+
+    def bound(key: tuple[int, int], frame: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros(BINS, np.int64)
+        held[frame["bin"]] = frame["n"]
+        return pd.DataFrame({"lang": [key[0]], "length": [key[1]], "n": [held.sum()], "least": [low_quantile(held)], "held": [held.tobytes() if key[0] == len(langs) else None]})
+
+    own: list[dict[int, tuple[int, float]]] = [{} for _ in langs]
+    every = np.zeros((len(LENGTHS), BINS), np.int64)
+    counts = arrow_map(rows, count, "lang long, length long, bin long, n long").groupBy("lang", "length", "bin").agg(F.sum("n").alias("n"))
+    for r in counts.groupBy("lang", "length").applyInPandas(bound, "lang long, length long, n long, least double, held binary").collect():
+        if r["held"] is None:
+            own[r["lang"]][r["length"]] = r["n"], r["least"]
+        else:
+            every[r["length"]] = np.frombuffer(r["held"], np.int64)
+    return own, every
 
 
-def train(docs: DataFrame, usable: Column, per_lang: int = SAMPLE_PER_LANG) -> CentroidModel:
-    """A model from a bounded sample of the usable rows (a condition on doc_id) that have a text and a lang.
+def train(docs: DataFrame, usable: Column, per_lang: int | None = None) -> CentroidModel:
+    """A model of all usable rows (a condition on doc_id) that have a text with a letter and a lang; repeated rows and equal texts count as often as they are there.
 
-    A language's rows are about per_lang, with the least hashes of id and text; repeated rows and equal texts count once. Each language
-    is clustered by itself; its centroids (64 KB) and the cosines of its pieces (40 KB) are what the driver gathers of it.
+    Languages are fitted FIT_LANGS at a time. The driver holds sums of 12 clusters of 32 KB for each of these, then 64 KB a language.
+    per_lang is for trials: about so many rows of a language, those with the least hashes of id and text.
     """
-    sample = sampled_rows(docs, usable, per_lang)
-
-    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(DIMS, dtype=np.int64), 0
-        for batch in batches:
-            for counts in batch.column(0).to_pylist():
-                total += np.frombuffer(counts, np.float32) > 0
-                n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "present"])
-
-    held, n = np.zeros(DIMS, dtype=np.int64), 0
-    for row in arrow_map(sample.select("counts"), present, "n long, present binary").collect():  # 32 KB a task of the sample
-        held, n = held + np.frombuffer(row["present"], np.int64), n + row["n"]
-    idf = (np.log((1 + n) / (1 + held)) + 1).astype(np.float32)
-
-    def fitted(key: tuple[str], frame: pd.DataFrame) -> pd.DataFrame:
-        centroids, cosines = fit_language(frame, idf)
-        return pd.DataFrame({"lang": [key[0]], "centroids": [centroids.astype(np.float32).tobytes()], "cosines": [cosines]})
-
-    rows = sample.groupBy("lang").applyInPandas(fitted, "lang string, centroids binary, cosines array<array<double>>").collect()
-    discard(sample)
-    return assemble([(r["lang"], np.frombuffer(r["centroids"], np.float32).reshape(-1, DIMS), [list(x) for x in r["cosines"]]) for r in rows], idf)
+    rows = labelled_rows(docs, usable, per_lang)
+    told = cut(trigram_vectors(rows))
+    langs = sorted(r["lang"] for r in told.select("lang").distinct().collect())
+    idf = document_frequencies(told).astype(np.float32)
+    centroids, own, every = {}, [], np.zeros((len(LENGTHS), BINS), np.int64)
+    for start in range(0, len(langs), FIT_LANGS):
+        block = langs[start : start + FIT_LANGS]
+        found = fit_centroids(told.where(F.col("lang").isin(block)), idf)
+        centroids |= {name: found[f"+{name}"] for name in block}
+        pieces, counts = piece_bounds(rows.where(F.col("lang").isin(block)), block, idf, {g: x for g, x in found.items() if g[0] != "+"})
+        own, every = own + pieces, every + counts
+    discard(told)
+    return CentroidModel(
+        idf,
+        np.concatenate([centroids[name] for name in langs]) if langs else np.zeros((0, DIMS), np.float32),
+        [name for name in langs for _ in centroids[name]],
+        np.concatenate([np.tile(least_cosines(x, every), (len(centroids[name]), 1)) for name, x in zip(langs, own, strict=True)]) if langs else np.zeros((0, len(LENGTHS))),
+    )
 
 
 def blocks_of(model: CentroidModel, size: int = BLOCK_LANGS) -> list[CentroidModel]:

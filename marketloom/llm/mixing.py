@@ -30,6 +30,8 @@ TOPICS, TOPIC_BITS = 8, 12
 DIMS = 1 << TOPIC_BITS
 #: Vectors are added up as whole numbers of this part of 1, so that no order of rows changes a sum; what is nearer to its language's mean than LEAST_NORM has no direction.
 UNIT, LEAST_NORM = 1 << 24, 1e-3
+#: Bytes of dimensions (two each) that a task unfolds at once when it adds vectors up.
+DIM_BYTES = 1 << 21
 #: Rounds of clustering; without targets for topics, their shares are raised to this power, which lifts rare ones.
 CLUSTER_ROUNDS, TEMPER = 12, 0.5
 ROUNDS, TOLERANCE = 500, 1e-9
@@ -198,8 +200,7 @@ def added_up(told: DataFrame, model: TopicModel, topics: int | None) -> dict[tup
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared()
         n, inverse, sums = np.zeros(slots, np.int64), np.zeros(slots, np.int64), np.zeros((slots, DIMS), np.int64)
-        for batch in batches:
-            rows = model.rows(batch)
+        for rows in (model.rows(part) for batch in batches for part, _ in text_parts(batch, 1, DIM_BYTES)):
             slot = rows.group * topics + model.topics(rows) if topics else rows.group
             factor = model.inverse_norms(rows) if topics else np.ones(len(rows.at))
             n += np.bincount(slot, minlength=slots)
@@ -226,6 +227,23 @@ def unit(x: np.ndarray) -> np.ndarray:
     return (x / np.maximum(1e-12, np.linalg.norm(x, axis=-1, keepdims=True))).astype(np.float32)
 
 
+def clustered(told: DataFrame, idf: np.ndarray, means: dict[str, np.ndarray], starts: pa.RecordBatch, topics: int, rounds: int) -> tuple[TopicModel, dict[str, list[int]]]:
+    """Spherical k-means of the residuals of (group, dims, counts) in each group of `means`, from these starts, and how many vectors each cluster had in the last round."""
+    groups = sorted(means)
+    rows = TopicModel(idf, {g: means[g] for g in groups}, {}).rows(starts)
+    begun = rows.sums(rows.at, np.ones(len(rows.at)), len(starts))[rows.at] / UNIT
+    model, sizes = TopicModel(idf, means, {name: unit(begun[rows.group == g] - means[name]) for g, name in enumerate(groups)}), {}
+    for _ in range(rounds):
+        found = added_up(told, model, topics)
+        # Equal sizes go by the numbers of the round before.
+        order = {g: sorted((k for name, k in found if name == g), key=lambda k: (-found[g, k][0], k)) for g in groups}  # noqa: B023
+        before, model = model, TopicModel(idf, means, {g: np.stack([unit(found[g, k][1]) for k in order[g]]) for g in groups})
+        sizes = {g: [found[g, k][0] for k in order[g]] for g in groups}
+        if all(np.array_equal(before.centroids[g], model.centroids[g]) for g in groups):
+            break
+    return model, sizes
+
+
 def fit_topics(table: DataFrame, topics: int = TOPICS) -> TopicModel:
     """Spherical k-means over all vectors with words, every language by itself; copies count as often as they are there. Clusters without vectors go, larger ones come first."""
     told = table.where("n_tokens > 0").select("group", "dims", "counts")
@@ -233,17 +251,7 @@ def fit_topics(table: DataFrame, topics: int = TOPICS) -> TopicModel:
     groups = sorted(set(starts.column("group").to_pylist()))
     empty = TopicModel(idf, {g: np.zeros(DIMS, np.float32) for g in groups}, {})
     means = {g: (sums / n).astype(np.float32) for (g, _), (n, sums) in sorted(added_up(told, empty, None).items())}
-    rows = empty.rows(starts)
-    begun = rows.sums(rows.at, np.ones(len(starts)), len(starts)) / UNIT
-    model = TopicModel(idf, means, {name: unit(begun[rows.group == g] - means[name]) for g, name in enumerate(groups)})
-    for _ in range(CLUSTER_ROUNDS):
-        found = added_up(told, model, topics)
-        # Equal sizes go by the numbers of the round before.
-        order = {g: sorted((k for name, k in found if name == g), key=lambda k: (-found[g, k][0], k)) for g in groups}  # noqa: B023
-        before, model = model, TopicModel(idf, means, {g: np.stack([unit(found[g, k][1]) for k in order[g]]) for g in groups})
-        if all(np.array_equal(before.centroids[g], model.centroids[g]) for g in groups):
-            break
-    return model
+    return clustered(told, idf, means, starts, topics, CLUSTER_ROUNDS)[0]
 
 
 def learn_topics(docs: DataFrame, langs: dict[str, float], topics: int = TOPICS) -> TopicModel:

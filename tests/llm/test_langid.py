@@ -114,3 +114,22 @@ def test_pieces_come_from_the_whole_text():
         assert [(i, p[0], p[-1]) for i, p in pieces] == [(i, a, z - 1) for i, a, z in langid.piece_places(size)]
         assert all(len(p) == langid.LENGTHS[i] for i, p in pieces)
     assert max(p[-1] for _, p in pieces) == 20_000 // 16 * 16 - 1
+
+
+def test_learns_from_all_rows(spark):
+    """Frequencies are those of all 1,500 texts of a language, and centroids, all together, the sums of their own texts; bounds come from counts of all pieces."""
+    rng = np.random.default_rng(4)
+    rows = [(k, " ".join(f"{'abcde'[k % 5]}{chr(97 + x)}{chr(97 + y)}" for x, y in rng.integers(0, 26, (30, 2))), ("en", "de")[k % 2]) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.train(docs, F.lit(True))
+    counts = np.stack([langid.ngram_counts(t.encode()) for _, t, _ in rows])
+    assert np.allclose(model.idf, np.log(3001 / (1 + (counts > 0).sum(axis=0))) + 1, atol=1e-5)
+    x = langid.weighted(counts, model.idf)
+    for lang in ("en", "de"):
+        own, centroids = x[[name == lang for _, _, name in rows]], model.centroids[[name == lang for name in model.langs]]
+        nearest = (own @ centroids.T).argmax(axis=1)
+        again = np.stack([own[nearest == k].sum(axis=0) for k in range(len(centroids))])
+        again /= np.linalg.norm(again, axis=1, keepdims=True)
+        assert ((again * centroids).sum(axis=1) > 0.99).all()
+    held = np.bincount(rng.integers(300, 900, 5000), minlength=langid.BINS)
+    assert abs(langid.low_quantile(held) - np.quantile(np.repeat(np.arange(langid.BINS), held), langid.REJECT_QUANTILE) / langid.BINS) < 1e-12
