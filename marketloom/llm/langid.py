@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketloom.llm.mixing import clustered, document_frequencies, start_vectors
-from marketloom.llm.text import arrow_map, cut, discard, free_names, in_sample, packed_rows, payload, quoted, sample_bounds, share, text_parts, unpacked
+from marketloom.llm.text import arrow_map, cut, discard, free_names, in_sample, packed_rows, payload, quoted, sample_bounds, share, small_batches, text_parts, unpacked
 
 DIMS = 4096
 #: Languages that are fitted at once: a task holds 12 sums of 32 KB for each.
@@ -215,7 +215,9 @@ def piece_bounds(rows: DataFrame, langs: list[str], idf: np.ndarray, centroids:
     own: list[dict[int, tuple[int, float]]] = [{} for _ in langs]
     every = np.zeros((len(LENGTHS), BINS), np.int64)
     counts = arrow_map(rows, count, "lang long, length long, bin long, n long").groupBy("lang", "length", "bin").agg(F.sum("n").alias("n"))
-    for r in counts.groupBy("lang", "length").applyInPandas(bound, "lang long, length long, n long, least double, held binary").collect():
+    with small_batches(rows.sparkSession):
+        found = counts.groupBy("lang", "length").applyInPandas(bound, "lang long, length long, n long, least double, held binary").collect()
+    for r in found:
         if r["held"] is None:
             own[r["lang"]][r["length"]] = r["n"], r["least"]
         else:

@@ -23,15 +23,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.text import NOT_ALNUM, arrow_map, cut, discard, fold_table, payload, share, text_parts, word_hashes
+from marketloom.llm.text import NOT_ALNUM, arrow_map, cut, discard, fold_table, joined_values, parts_of, payload, share, small_batches, text_parts, word_hashes
 
 #: Topics of a language at most, dimensions that its words hash to.
 TOPICS, TOPIC_BITS = 8, 12
 DIMS = 1 << TOPIC_BITS
 #: Vectors are added up as whole numbers of this part of 1, so that no order of rows changes a sum; what is nearer to its language's mean than LEAST_NORM has no direction.
 UNIT, LEAST_NORM = 1 << 24, 1e-3
-#: Bytes of dimensions (two each) that a task unfolds at once when it adds vectors up.
-DIM_BYTES = 1 << 21
+#: Bytes of dimensions (two each) that a task unfolds at once when it adds vectors up: few enough for the processor's cache, more where there are many sums.
+DIM_BYTES, MOST_DIM_BYTES = 1 << 17, 1 << 21
 #: Rounds of clustering; without targets for topics, their shares are raised to this power, which lifts rare ones.
 CLUSTER_ROUNDS, TEMPER = 12, 0.5
 ROUNDS, TOLERANCE = 500, 1e-9
@@ -84,12 +84,19 @@ class Rows:
         self.place = np.repeat(self.group * DIMS, self.size) + self.dims  # in the vectors of all groups
 
     def dot(self, vectors: np.ndarray) -> np.ndarray:
-        """Each row by its group's vector, summed up row by row, so that the order of rows can't decide."""
-        return np.add.reduceat(vectors.ravel().take(self.place) * self.weight, self.first) if len(self.at) else np.zeros(0)
+        """Each row by all of its group's vectors (vectors, groups, DIMS), summed up row by row, so that the order of rows can't decide."""
+        out, held = np.empty((len(vectors), len(self.at))), np.empty(len(self.place))
+        for k, vector in enumerate(vectors if len(self.at) else ()):
+            vector.ravel().take(self.place, out=held, mode="clip")  # places are known to be inside: without a check it takes half the time
+            np.multiply(held, self.weight, out=held)
+            np.add.reduceat(held, self.first, out=out[k])
+        return out
 
     def sums(self, slot: np.ndarray, factor: np.ndarray, slots: int) -> np.ndarray:
         """Sums of rows times their factors by slot, in UNIT."""
-        entries = np.rint(self.weight * np.repeat(factor, self.size) * UNIT)
+        entries = self.weight * np.repeat(factor, self.size)
+        entries *= UNIT
+        np.rint(entries, out=entries)
         return np.bincount(np.repeat(slot, self.size) * DIMS + self.dims, weights=entries, minlength=slots * DIMS).astype(np.int64).reshape(slots, DIMS)
 
 
@@ -105,36 +112,37 @@ class TopicModel:
         self.groups = list(self.means)
         most = max((len(c) for c in self.centroids.values()), default=0)
         self.mean = np.stack(list(self.means.values())) if self.groups else np.zeros((0, DIMS), np.float32)
-        # The k-th centroid of every group together; a group that has none is infinitely far.
-        self.near = np.zeros((most, len(self.groups), DIMS), np.float32)
+        # Of every group all centroids, then the mean; a centroid that a group doesn't have is infinitely far.
+        self.vectors = np.zeros((most + 1, len(self.groups), DIMS))
         self.offset = np.full((most, len(self.groups)), np.inf)
+        self.square = (self.mean.astype(np.float64) ** 2).sum(axis=1)
+        self.vectors[most] = self.mean
         for g, name in enumerate(self.groups):
             for k, centroid in enumerate(self.centroids.get(name, ())):
-                self.near[k, g], self.offset[k, g] = centroid, np.dot(centroid.astype(np.float64), self.mean[g].astype(np.float64))
+                self.vectors[k, g], self.offset[k, g] = centroid, np.dot(centroid.astype(np.float64), self.mean[g].astype(np.float64))
 
     def rows(self, batch: pa.RecordBatch) -> Rows:
         """The batch's vectors (group, dims, counts), but for those of groups that the model doesn't have."""
         number = {name: g for g, name in enumerate(self.groups)}
         group = np.array([number.get(x, -1) for x in batch.column("group").to_pylist()], dtype=np.int64)
-        known = pa.array(group >= 0)
         size = np.where(group >= 0, pc.binary_length(batch.column("dims")).to_numpy(zero_copy_only=False) // 2, 0).astype(np.int64)
-        dims, counts = (np.frombuffer(b"".join(batch.column(c).filter(known).to_pylist()), kind) for c, kind in (("dims", np.uint16), ("counts", np.uint32)))
+        known = batch if (group >= 0).all() else batch.filter(pa.array(group >= 0))
+        dims, counts = joined_values(known.column("dims"), np.uint16), joined_values(known.column("counts"), np.uint32)
         at = np.flatnonzero(size)
         size, dims = size[at], dims.astype(np.int64)
         first = np.cumsum(size) - size
-        weight = np.sqrt(counts) * self.idf[dims]
+        weight = np.sqrt(counts)
+        weight *= self.idf.take(dims, mode="clip")
         if len(at):
             weight /= np.repeat(np.sqrt(np.add.reduceat(weight * weight, first)), size)
         return Rows(at, first, size, group[at], dims, weight)
 
-    def topics(self, rows: Rows) -> np.ndarray:
-        """The nearest centroid of each row's residual, the first of equals."""
-        return np.stack([rows.dot(near) - offset[rows.group] for near, offset in zip(self.near, self.offset, strict=True)]).argmax(axis=0) if len(self.near) else np.zeros(len(rows.at), dtype=np.int64)
-
-    def inverse_norms(self, rows: Rows) -> np.ndarray:
-        """1 by the length of each row's residual, 0 for those without a direction."""
-        square = 1 - 2 * rows.dot(self.mean) + (self.mean.astype(np.float64) ** 2).sum(axis=1)[rows.group]
-        return np.where(square > LEAST_NORM**2, 1 / np.sqrt(np.maximum(square, LEAST_NORM**2)), 0.0)
+    def topics(self, rows: Rows) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest centroid of each row's residual, the first of equals; and 1 by the residual's length, 0 for those without a direction."""
+        near = rows.dot(self.vectors)
+        square = 1 - 2 * near[-1] + self.square[rows.group]
+        inverse = np.where(square > LEAST_NORM**2, 1 / np.sqrt(np.maximum(square, LEAST_NORM**2)), 0.0)
+        return (near[:-1] - self.offset[:, rows.group]).argmax(axis=0) if len(near) > 1 else np.zeros(len(rows.at), dtype=np.int64), inverse
 
 
 def language_group(langs: dict[str, float]) -> Column:
@@ -170,13 +178,16 @@ def document_frequencies(told: DataFrame) -> np.ndarray:
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(DIMS + 1, dtype=np.int64)  # the last one: vectors
         for batch in batches:
-            held[:DIMS] += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint16), minlength=DIMS)
+            for part in parts_of(batch, 0, MOST_DIM_BYTES):
+                held[:DIMS] += np.bincount(joined_values(part.column(0), np.uint16), minlength=DIMS)
             held[DIMS] += len(batch)
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["dim", "n"])
 
     held = np.zeros(DIMS + 1, dtype=np.int64)
-    for row in arrow_map(told.select("dims"), present, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect():  # a row a dimension
+    with small_batches(told.sparkSession):
+        found = arrow_map(told.select("dims"), present, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()  # a row a dimension
+    for row in found:
         held[row["dim"]] = row["n"]
     return np.log((1 + held[DIMS]) / (1 + held[:DIMS])) + 1
 
@@ -196,13 +207,14 @@ def added_up(told: DataFrame, model: TopicModel, topics: int | None) -> dict[tup
     Tasks add up their own vectors; a row a task, group and topic is shuffled, a row a group and topic comes to the driver.
     """
     slots, shared = len(model.groups) * (topics or 1), share(told.sparkSession, model)
+    limit = min(MOST_DIM_BYTES, max(DIM_BYTES, slots * DIMS // 2))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared()
         n, inverse, sums = np.zeros(slots, np.int64), np.zeros(slots, np.int64), np.zeros((slots, DIMS), np.int64)
-        for rows in (model.rows(part) for batch in batches for part, _ in text_parts(batch, 1, DIM_BYTES)):
-            slot = rows.group * topics + model.topics(rows) if topics else rows.group
-            factor = model.inverse_norms(rows) if topics else np.ones(len(rows.at))
+        for rows in (model.rows(part) for batch in batches for part in parts_of(batch, 1, limit)):
+            nearest, factor = model.topics(rows) if topics else (0, np.ones(len(rows.at)))
+            slot = rows.group * (topics or 1) + nearest
             n += np.bincount(slot, minlength=slots)
             inverse += np.bincount(slot, weights=np.rint(factor * UNIT), minlength=slots).astype(np.int64)
             sums += rows.sums(slot, factor, slots)
@@ -216,7 +228,9 @@ def added_up(told: DataFrame, model: TopicModel, topics: int | None) -> dict[tup
         return pd.DataFrame({"slot": [key[0]], "n": [frame["n"].sum()], "inverse": [frame["inverse"].sum()], "sums": [sums.tobytes()]})
 
     schema, found = "slot long, n long, inverse long, sums binary", {}
-    for r in arrow_map(told.select("group", "dims", "counts"), add, schema).groupBy("slot").applyInPandas(whole, schema).collect():
+    with small_batches(told.sparkSession):
+        totals = arrow_map(told.select("group", "dims", "counts"), add, schema, frugal=limit < MOST_DIM_BYTES).groupBy("slot").applyInPandas(whole, schema).collect()
+    for r in totals:
         g, k = divmod(r["slot"], topics or 1)
         sums = np.frombuffer(r["sums"], np.int64) / UNIT
         found[model.groups[g], k] = r["n"], sums - model.mean[g] * (r["inverse"] / UNIT) if topics else sums
@@ -272,9 +286,10 @@ def placed(table: DataFrame, model: TopicModel) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared()
         for batch in batches:
-            rows, topics = model.rows(batch), np.full(len(batch), None, dtype=object)
-            topics[rows.at] = [str(k) for k in model.topics(rows)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(topics, pa.string()), batch.column("n_tokens")], [x.split()[0] for x in PROFILE_SCHEMA.split(", ")])
+            for part in parts_of(batch, 6, DIM_BYTES):
+                rows, topics = model.rows(part), np.full(len(part), None, dtype=object)
+                topics[rows.at] = [str(k) for k in model.topics(rows)[0]]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(topics, pa.string()), part.column("n_tokens")], [x.split()[0] for x in PROFILE_SCHEMA.split(", ")])
 
     return arrow_map(table, place, PROFILE_SCHEMA)
 

@@ -38,18 +38,32 @@ def rows_of(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.to_pylist()]
 
 
-def text_parts(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Consecutive parts of a batch with about `limit` bytes of text each, and their texts (null as empty): only a part's texts are Python objects."""
-    texts = batch.column(column)
-    ends = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.float64)))
+def parts_of(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with about `limit` bytes of this column each."""
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.float64)))
     start = 0
-    while start < len(texts):
+    while start < len(batch):
         begun = ends[start - 1] if start else 0
         end = max(start + 1, int(np.searchsorted(ends, begun + limit, side="right")))
-        yield batch.slice(start, end - start), rows_of(texts.slice(start, end - start))
+        yield batch.slice(start, end - start)
         start = end
 
 
+def text_parts(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Consecutive parts of a batch with about `limit` bytes of text each, and their texts (null as empty): only a part's texts are Python objects."""
+    for part in parts_of(batch, column, limit):
+        yield part, rows_of(part.column(column))
+
+
+def joined_values(column: pa.Array, kind: type) -> np.ndarray:
+    """The numbers of all values of a binary column without nulls, one value after the other, where Arrow has them."""
+    _, offsets, data = column.buffers()
+    if data is None or not len(column):
+        return np.zeros(0, kind)
+    ends = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[[column.offset, column.offset + len(column)]]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[1]].view(kind)
+
+
 #: Rows of a batch that goes to a Python worker while an operator writes a table of its own, where the session has Spark's default: 10,000 texts take more of an executor.
 BATCH_ROWS, DEFAULT_BATCH_ROWS, BATCH_SETTING = 2000, "10000", "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -81,8 +95,8 @@ def give_back() -> None:
         libc.malloc_trim(0)
 
 
-def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow, whose workers give their memory back when a task of GIVE_BACK_BYTES or more ends: that takes 40 ms, more than small tasks do. Batches are as large as the session has them (10,000 rows and 64 MB by Spark's default), smaller in what `cut` writes."""
+def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, frugal: bool = False) -> DataFrame:
+    """mapInArrow, whose workers give their memory back when a task of GIVE_BACK_BYTES or more ends: that takes 40 ms, more than small tasks do, and is left out for work that is frugal: a few MB at once. Batches are as large as the session has them (10,000 rows and 64 MB by Spark's default), smaller in what `cut` writes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = 0
@@ -96,7 +110,7 @@ def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator
         try:
             yield from work(counted())
         finally:
-            if read >= GIVE_BACK_BYTES:
+            if read >= GIVE_BACK_BYTES and not frugal:
                 give_back()
 
     return df.mapInArrow(run, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marketloom.llm import mixing
 from marketloom.llm.mixing import Cells, Targets
+from marketloom.llm.text import BATCH_ROWS, BATCH_SETTING, DEFAULT_BATCH_ROWS
 
 
 def classical(tokens, targets, rounds=3000):
@@ -174,3 +175,38 @@ def test_equal_texts_of_several_languages(spark):
     model = mixing.fit_topics(told)
     sums = mixing.added_up(told.select("group", "dims", "counts"), model, mixing.TOPICS)
     assert {g: sum(n for (name, _), (n, _) in sums.items() if name == g) for g in model.groups} == {"=de": 60, "=en": 40, "=fr": 60}
+
+
+def test_batches_of_clustering_are_small(spark, monkeypatch):
+    """Frequencies and all rounds are planned with small batches, and the session has its own again."""
+    table = mixing.cut(mixing.vectors(documents(spark), {"en": 1.0}))
+    seen, plain = [], mixing.arrow_map
+    monkeypatch.setattr(mixing, "arrow_map", lambda df, *more, **named: seen.append(spark.conf.get(BATCH_SETTING)) or plain(df, *more, **named))
+    before = spark.conf.get(BATCH_SETTING)
+    mixing.fit_topics(table, 2)
+    assert len(seen) > 2 and set(seen) == {str(BATCH_ROWS) if before == DEFAULT_BATCH_ROWS else before} and spark.conf.get(BATCH_SETTING) == before
+
+
+def test_vectors_of_a_slice():
+    """Topics and lengths of a slice with a group that the model doesn't have are those of plain dot products; so are all sums."""
+    rng, n = np.random.default_rng(3), 30
+    dims = [np.sort(rng.choice(mixing.DIMS, k % 7, replace=False)).astype(np.uint16) for k in range(n)]
+    counts = [rng.integers(1, 9, len(d)).astype(np.uint32) for d in dims]
+    group = ["=en", "=xx", "=de"] * (n // 3)
+    batch = mixing.pa.RecordBatch.from_pydict({"group": group, "dims": [d.tobytes() for d in dims], "counts": [c.tobytes() for c in counts]})
+    idf = rng.uniform(1, 5, mixing.DIMS)
+    means = {g: rng.uniform(0, 0.01, mixing.DIMS).astype(np.float32) for g in ("=de", "=en")}
+    model = mixing.TopicModel(idf, means, {"=de": mixing.unit(rng.normal(size=(2, mixing.DIMS))), "=en": mixing.unit(rng.normal(size=(3, mixing.DIMS)))})
+    rows = model.rows(batch.slice(4, 20))
+    found, inverse = model.topics(rows)
+    want = [k for k in range(4, 24) if group[k] != "=xx" and len(dims[k])]
+    assert (rows.at + 4).tolist() == want
+    total = np.zeros((2, mixing.DIMS))
+    for k, topic, length in zip(want, found.tolist(), inverse.tolist(), strict=True):
+        x = np.zeros(mixing.DIMS)
+        x[dims[k]] = np.sqrt(counts[k])
+        x = x * idf / np.linalg.norm(x * idf)
+        rest = x - means[group[k]]
+        assert topic == int(np.argmax(model.centroids[group[k]] @ rest)) and length == pytest.approx(1 / np.linalg.norm(rest))
+        total[group[k] == "=en"] += x
+    assert np.allclose(rows.sums(rows.group, np.ones(len(want)), 2) / mixing.UNIT, total, atol=1e-6)
