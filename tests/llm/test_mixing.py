@@ -208,5 +208,5 @@ def test_vectors_of_a_slice():
         x = x * idf / np.linalg.norm(x * idf)
         rest = x - means[group[k]]
         assert topic == int(np.argmax(model.centroids[group[k]] @ rest)) and length == pytest.approx(1 / np.linalg.norm(rest))
-        total[group[k] == "=en"] += x
+        total[int(group[k] == "=en")] += x
     assert np.allclose(rows.sums(rows.group, np.ones(len(want)), 2) / mixing.UNIT, total, atol=1e-6)
